@@ -212,7 +212,8 @@ def padded(data: bytes) -> bytes:
 
 def write_avi(payload: bytes) -> bytes:
     """payload: a positive multiple of UNIT bytes. The last frame is filled with zeros; an INFO chunk keeps the length."""
-    rows = min(ROWS, len(payload) // WIDTH)
+    lines = len(payload) // WIDTH
+    rows = -(-lines // -(-lines // ROWS))
     each = rows * WIDTH
     samples = np.frombuffer(payload + b"\0" * (-len(payload) % each), np.uint8).reshape(-1, rows, WIDTH)
     frames = [encode_frame(x) for x in samples]
