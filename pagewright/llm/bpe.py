@@ -167,7 +167,7 @@ MANY = 64
 class Codec:
     """Encodes texts to ids as little-endian unsigned 32-bit integers, and back."""
 
-    def __init__(self, rank_file: bytes, pattern: str, remembered: int = 900_000):
+    def __init__(self, rank_file: bytes, pattern: str, remembered: int = 700_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():

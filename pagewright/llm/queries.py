@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, decontam, line_dedup, simhash, suffix_lm, token_counts, toxicity
+from . import avi, bpe, decontam, line_dedup, secret_scan, simhash, suffix_lm, token_counts, toxicity, url_filter
 from .common import remainder, table
 
 
@@ -32,6 +32,17 @@ def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates go by their digests, so that no secret is spread further."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.findings(spark)), path="source")
+    return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,8 +73,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op5_toxicity, op6_decontamination, op7_simhash, op8_suffix_tree_lm, op9_avi_media, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_token_counts, op4_secret_scan, op5_toxicity, op6_decontamination, op7_simhash, op8_suffix_tree_lm, op9_avi_media, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filter.sql()}
