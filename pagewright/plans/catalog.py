@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import evaluation_queries, extraction_queries, lineage_queries, retrieval_queries, store_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
