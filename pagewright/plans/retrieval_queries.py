@@ -1 +1,233 @@
+"""Queries over lexical and vector retrieval and fusion."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import fusion, lexical, vectors
+from .registry import query, sql_values, table, values
+
+_TERMS = "(1, 'the'), (1, 'thonre'), (2, 'und'), (2, 'erber'), (3, 'que'), (3, 'ción'), (3, 'loser')"
+_TOK = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+_HITS = f"""q AS (SELECT query_id, term FROM {sql_values(_TERMS, 'query_id, term')}), d AS (SELECT doc_id, {_TOK} AS toks FROM documents), l AS (SELECT doc_id, len(toks) AS len FROM d), s AS (SELECT count(*) AS n, avg(len) AS avg FROM l),
+t AS (SELECT doc_id, unnest(toks) AS term FROM d), h AS (SELECT query_id, doc_id, term, count(*) AS f FROM t JOIN q USING (term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL),
+b AS (SELECT query_id, doc_id, count(*) AS n_terms, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg))) AS score FROM h JOIN df USING (query_id, term) JOIN l USING (doc_id) CROSS JOIN s GROUP BY 1, 2)"""
+
+
+def _scored(spark, sf_dir):
+    queries = values(spark, _TERMS, "query_id, term")
+    return lexical.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), queries, {"text": (F.col("text"), 1.0)}), queries
+
+
+@query(f"WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    """A top-k report for each query."""
+    scored, _ = _scored(spark, sf_dir)
+    return lexical.top(scored.withColumn("score", F.round("score", 9)), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_HITS} SELECT query_id, doc_id, n_terms FROM b WHERE n_terms = (SELECT count(*) FROM q WHERE q.query_id = b.query_id)")
+def match_and(spark, sf_dir):
+    scored, queries = _scored(spark, sf_dir)
+    return lexical.matching(scored, queries, "AND").select("query_id", "doc_id", "n_terms")
+
+
+@query(f"WITH {_HITS} SELECT query_id, doc_id, n_terms FROM b")
+def match_or(spark, sf_dir):
+    scored, queries = _scored(spark, sf_dir)
+    return lexical.matching(scored, queries, "OR").select("query_id", "doc_id", "n_terms")
+
+
+@query(f"WITH {_HITS}, a AS (SELECT * FROM b WHERE n_terms = (SELECT count(*) FROM q WHERE q.query_id = b.query_id)) SELECT query_id, doc_id FROM a UNION ALL SELECT query_id, doc_id FROM b WHERE query_id NOT IN (SELECT query_id FROM a)")
+def match_with_fallback(spark, sf_dir):
+    scored, queries = _scored(spark, sf_dir)
+    return lexical.with_or_fallback(scored, queries).select("query_id", "doc_id")
+
+
+_PHRASES = "(1, 'the', 0), (1, 'of', 1), (2, 'de', 0), (2, 'la', 1), (3, 'der', 0), (3, 'die', 1)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_TOK} AS toks FROM documents), t AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS place FROM d), p AS (SELECT * FROM {sql_values(_PHRASES, 'query_id, term, pos')})
+SELECT query_id, doc_id, count(*) AS n FROM (SELECT query_id, doc_id, place - pos AS start FROM t JOIN p USING (term) GROUP BY ALL HAVING count(*) = 2) GROUP BY 1, 2""")
+def match_phrase(spark, sf_dir):
+    return lexical.phrase(table(spark, sf_dir, "documents").select("doc_id", "text"), values(spark, _PHRASES, "query_id, term, pos"), F.col("text"))
+
+
+_TITLE = "coalesce(nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ''), regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1))"
+
+
+@query(f"""
+WITH q AS (SELECT query_id, term FROM {sql_values(_TERMS, 'query_id, term')}), d AS (SELECT page_id AS doc_id, list_filter(string_split_regex(lower({_TITLE}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS a, list_filter(string_split_regex(lower(regexp_replace(html, '<[^>]+>', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS b FROM pages),
+l AS (SELECT doc_id, 10.0 * len(a) + len(b) AS len FROM d), s AS (SELECT count(*) AS n, avg(len) AS avg FROM l), t AS (SELECT doc_id, unnest(a) AS term, 10.0 AS w FROM d UNION ALL SELECT doc_id, unnest(b), 1.0 FROM d),
+h AS (SELECT query_id, doc_id, term, sum(w) AS f FROM t JOIN q USING (term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL)
+SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM h JOIN df USING (query_id, term) JOIN l USING (doc_id) CROSS JOIN s GROUP BY 1, 2""")
+def bm25_fielded(spark, sf_dir):
+    """Titles weigh ten times the body."""
+    title = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), F.lit("")), F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), title.alias("title"), F.regexp_replace("html", "<[^>]+>", " ").alias("body"))
+    scored = lexical.bm25(pages, values(spark, _TERMS, "query_id, term"), {"title": (F.col("title"), 10.0), "body": (F.col("body"), 1.0)})
+    return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def snippets(spark, sf_dir):
+    scored, queries = _scored(spark, sf_dir)
+    terms = queries.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    best = lexical.top(scored, 3).join(terms, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return best.select("query_id", "doc_id", lexical.snippet(F.col("text"), F.col("terms")).alias("snippet"))
+
+
+_PAGES = "(1, 'https://a.example/errors/codes', 3), (2, 'https://a.example/guide', 1), (3, 'https://b.example/Error-list', 5), (4, 'https://b.example/x', 2), (5, NULL, 4)"
+
+
+@query(f"SELECT id, url FROM {sql_values(_PAGES, 'id, url, rank')} ORDER BY CASE WHEN contains(lower(url), 'error') THEN 0 ELSE 1 END, rank, id LIMIT 4")
+def error_code_search(spark, sf_dir):
+    """A top-k report: error pages first, then by rank."""
+    first = F.when(F.lower("url").contains("error"), 0).otherwise(1)
+    return values(spark, _PAGES, "id, url, rank").orderBy(first, "rank", "id").limit(4).select("id", "url")
+
+
+@query("SELECT p_partkey, p_name FROM parts_view".replace("parts_view", "part") + " WHERE p_name ILIKE '%a_e%' AND upper(p_brand) ILIKE 'BRAND%'")
+def path_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").filter(F.col("p_name").ilike("%a_e%") & F.upper("p_brand").ilike("BRAND%"))
+    return rows.select("p_partkey", "p_name")
+
+
+_DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_NORM = "sqrt(list_dot_product({x}.embedding::DOUBLE[], {x}.embedding::DOUBLE[]))"
+
+
+@query("""
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(distance, 5) AS distance, rank FROM r WHERE rank <= 10""")
+def knn_l2(spark, sf_dir):
+    """Queries: every vector whose id 50 divides, against all."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.knn(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+
+
+@query(f"""
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, 1 - {_DOT} / ({_NORM.format(x='a')} * {_NORM.format(x='b')}) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(distance, 5) AS distance, rank FROM r WHERE rank <= 10""")
+def knn_cosine(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.knn(e, e.filter("vec_id % 50 = 0"), 10, "cosine").select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+
+
+_LEX = "(1, 'a', 9.0), (1, 'b', 7.5), (1, 'c', 1.0), (2, 'x', 3.0), (2, 'y', 3.0), (3, 'm', 0.9), (5, 'p', 0.8), (5, 'q', 0.4)"
+_SEM = "(1, 'b', 0.9), (1, 'd', 0.8), (1, 'a', 0.1), (2, 'z', 0.5), (4, 'k', 0.2), (4, 'l', 0.2)"
+
+
+def _lists(spark):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
+    part = lambda rows, n, weight: values(spark, rows, "query_id, key, score").withColumns({"rank": F.row_number().over(w), "list_id": F.lit(n), "weight": F.lit(weight)})
+    return part(_LEX, 1, 0.7).unionByName(part(_SEM, 2, 1.3))
+
+
+@query(f"""
+WITH u AS (SELECT query_id, key, 0.7 AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {sql_values(_LEX, 'query_id, key, score')} UNION ALL SELECT query_id, key, 1.3, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) FROM {sql_values(_SEM, 'query_id, key, score')})
+SELECT query_id, key, round(sum(w / (60 + r))::DOUBLE, 9) AS score FROM u GROUP BY 1, 2""")
+def rrf_fuse(spark, sf_dir):
+    return fusion.rrf(_lists(spark)).select("query_id", "key", F.round("score", 9).alias("score"))
+
+
+def _mm(rows, name):
+    return f"(SELECT query_id, key, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END::DOUBLE AS {name} FROM {sql_values(rows, 'query_id, key, score')} WINDOW w AS (PARTITION BY query_id))"
+
+
+@query(f"SELECT query_id, key, round(0.4 * coalesce(l, 0) + 0.6 * coalesce(s, 0), 9) AS score, (l IS NOT NULL AND s IS NOT NULL) AS in_both FROM {_mm(_LEX, 'l')} a FULL JOIN {_mm(_SEM, 's')} b USING (query_id, key)")
+def cc_fuse(spark, sf_dir):
+    side = lambda rows: values(spark, rows, "query_id, key, score").withColumn("score", F.col("score").cast("double"))
+    return fusion.convex(side(_LEX), side(_SEM), 0.4).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH a AS ({_mm(_LEX, 'l')[1:-1]}), b AS ({_mm(_SEM, 's')[1:-1]}), g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS alpha), c AS (SELECT alpha, query_id, key, alpha * coalesce(l, 0) + (1 - alpha) * coalesce(s, 0) AS score FROM a FULL JOIN b USING (query_id, key) CROSS JOIN g) SELECT alpha::DOUBLE AS alpha, query_id, arg_max(key, (round(score::DOUBLE, 9), key)) AS best FROM c GROUP BY 1, 2")
+def alpha_sweep(spark, sf_dir):
+    side = lambda rows, n: values(spark, rows, "query_id, key, score").withColumn("score", F.col("score").cast("double")).withColumn(n, fusion.minmax("score")).select("query_id", "key", n)
+    both = side(_LEX, "l").join(side(_SEM, "s"), ["query_id", "key"], "full")
+    swept = both.withColumn("alpha", F.explode(F.array(*(F.lit(a) for a in (0.0, 0.25, 0.5, 0.75, 1.0)))))
+    score = F.round(F.col("alpha") * F.coalesce("l", F.lit(0.0)) + (1 - F.col("alpha")) * F.coalesce("s", F.lit(0.0)), 9)
+    return swept.groupBy("alpha", "query_id").agg(F.max_by("key", F.struct(score.alias("s"), F.col("key"))).alias("best"))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {sql_values(_LEX, 'query_id, key, score')}) SELECT query_id, max(score) FILTER (r = 1) >= 0.7 AND (count(*) = 1 OR max(score) FILTER (r = 1) - max(score) FILTER (r = 2) >= 0.3) AS strong FROM r GROUP BY 1")
+def strong_signal(spark, sf_dir):
+    return fusion.strong_signal(values(spark, _LEX, "query_id, key, score"))
+
+
+_RERANK = "(1, 'a', 0.900), (1, 'b', 0.895), (1, 'c', 0.5), (1, 'd', 0.4), (1, 'e', 0.3), (1, 'f', 0.2), (2, 'a', 0.9), (3, 'a', 0.9), (3, 'b', 0.7), (3, 'c', 0.5), (3, 'd', 0.4), (3, 'e', 0.3), (3, 'f', 0.2), (4, 'a', 0.5), (4, 'b', 0.49), (4, 'c', 0.488), (4, 'd', 0.485), (4, 'e', 0.482), (4, 'f', 0.1)"
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {sql_values(_RERANK, 'query_id, key, score')}), s AS (SELECT query_id, count(*) AS n, max(score) FILTER (r = 1) AS a, max(score) FILTER (r = 2) AS b, min(score) FILTER (r <= 5) AS z FROM r GROUP BY 1),
+d AS (SELECT query_id, CASE WHEN n < 6 THEN 'few_candidates' WHEN a - b <= 0.006 OR a - z <= 0.02 THEN 'ambiguous' ELSE 'confident' END AS reason FROM s) SELECT query_id, reason = 'ambiguous' AS rerank, reason FROM d""")
+def auto_rerank(spark, sf_dir):
+    return fusion.auto_rerank(values(spark, _RERANK, "query_id, key, score").withColumn("score", F.col("score").cast("double")), 5)
+
+
+_BLEND = "(1, 'a', 1, 2.0, 0.5), (1, 'b', 2, 1.5, -1.0), (1, 'c', 4, 1.0, 3.0), (1, 'd', 11, 0.5, 2.0), (1, 'e', 12, 0.4, NULL), (2, 'x', 1, 0.0, 1.0)"
+
+
+@query(f"SELECT query_id, key, round(CASE WHEN rerank IS NULL THEN n ELSE w * n + (1 - w) / (1 + exp(-rerank)) END::DOUBLE, 9) AS score FROM (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS n, CASE WHEN rank <= 3 THEN 0.75 WHEN rank <= 10 THEN 0.6 ELSE 0.4 END AS w FROM {sql_values(_BLEND, 'query_id, key, rank, score, rerank')})")
+def position_blend(spark, sf_dir):
+    rows = values(spark, _BLEND, "query_id, key, rank, score, rerank").withColumns({"score": F.col("score").cast("double"), "rerank": F.col("rerank").cast("double")})
+    return fusion.position_blend(rows).withColumn("score", F.round("score", 9))
+
+
+_BOOST = "(1, 'https://a.example/docs/introduction', 'how to start', 1.0), (2, 'https://a.example/docs/introduction', 'order 5', 1.0), (3, 'https://a.example/x', 'what is it', 2.0), (4, 'https://a.example/rest-api', 'API', 1.0), (5, 'https://a.example/rate-limits', 'rate limit', 1.0)"
+
+
+@query(f"SELECT id, round(CASE WHEN regexp_matches(url, '{fusion.OVERVIEW}') AND regexp_matches(q, '{fusion.BROAD}') THEN score * 1.4 ELSE score END::DOUBLE, 6) AS score FROM {sql_values(_BOOST, 'id, url, q, score')}")
+def page_type_boost(spark, sf_dir):
+    return values(spark, _BOOST, "id, url, q, score").select("id", F.round(fusion.page_type_boost(F.col("score").cast("double"), F.col("url"), F.col("q")), 6).alias("score"))
+
+
+@query("""
+WITH r AS (SELECT l_returnflag AS query_id, l_orderkey AS page, l_partkey AS chunk, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem)
+SELECT query_id, page, min(rank) AS rank, arg_min(chunk, rank) AS chunk FROM r GROUP BY 1, 2""")
+def best_chunk_per_doc(spark, sf_dir):
+    """The first row of each page in a ranked list."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    order = F.struct((-F.col("l_extendedprice")).alias("p"), "l_orderkey", "l_linenumber")
+    best = l.groupBy(F.col("l_returnflag").alias("query_id"), F.col("l_orderkey").alias("page")).agg(F.min(F.struct(order.alias("o"), F.col("l_partkey").alias("chunk"))).alias("b"))
+    # the rank of a page's best row: ranks are dealt by range over all rows, not in one task
+    return _global_rank(l.select(F.col("l_returnflag").alias("query_id"), order.alias("o")), best)
+
+
+def _global_rank(rows, best):
+    """Joins the best rows with their position within their query's list: rows are range-partitioned by query and order, each partition numbers its own rows, and the counts of earlier partitions are added."""
+    dealt = rows.repartitionByRange("query_id", "o").sortWithinPartitions("query_id", "o").withColumn("p", F.spark_partition_id())
+    from pyspark.sql import Window
+
+    numbered = dealt.withColumn("i", F.row_number().over(Window.partitionBy("p", "query_id").orderBy("o")))
+    sizes = dealt.groupBy("query_id", "p").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("query_id", "p", "before")
+    ranks = numbered.join(before, ["query_id", "p"]).select("query_id", "o", (F.col("i") + F.col("before")).alias("rank"))
+    b = best.select("query_id", "page", F.col("b.o").alias("o"), F.col("b.chunk").alias("chunk"))
+    return b.join(ranks, ["query_id", "o"]).select("query_id", "page", "rank", "chunk")
+
+
+@query(f"""
+WITH {_HITS}, lx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM b QUALIFY r <= 20),
+v AS (SELECT a.vec_id / 50 + 1 AS query_id, b.vec_id AS doc_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 50, 100) AND a.vec_id <> b.vec_id),
+vs AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS r FROM v QUALIFY r <= 20), u AS (SELECT query_id, doc_id, 0.7 AS w, r FROM lx UNION ALL SELECT query_id, doc_id, 1.3, r FROM vs),
+f AS (SELECT query_id, doc_id, round(sum(w / (60 + r))::DOUBLE, 9) AS score FROM u GROUP BY 1, 2) SELECT query_id::BIGINT AS query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_search(spark, sf_dir):
+    """Lexical and vector lists of three queries, fused by reciprocal rank; a top-k report."""
+    scored, _ = _scored(spark, sf_dir)
+    lex = lexical.top(scored.withColumn("score", F.round("score", 9)), 20).select(F.col("query_id").cast("bigint").alias("query_id"), F.col("doc_id").alias("key"), "rank", F.lit(0.7).alias("weight"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    sem = vectors.knn(e, e.filter("vec_id IN (0, 50, 100)"), 20).select((F.col("query_id") / 50 + 1).cast("bigint").alias("query_id"), F.col("vec_id").alias("key"), "rank", F.lit(1.3).alias("weight"))
+    fused = fusion.rrf(lex.unionByName(sem)).select("query_id", F.col("key").alias("doc_id"), F.round("score", 9).alias("score"))
+    return lexical.top(fused, 10)
+
+
+_CITED = "(1, 'https://a.example/docs', NULL, NULL), (2, 'https://a.example/openapi.yaml', 'https://a.example/found', NULL), (3, NULL, NULL, 'https://a.example/src'), (4, NULL, NULL, 'https://a.example/swagger.json'), (5, NULL, NULL, NULL)"
+
+
+@query(f"SELECT id, CASE WHEN docs_url IS NOT NULL AND NOT regexp_matches(lower(docs_url), 'openapi|swagger|\\.ya?ml$') THEN docs_url WHEN found IS NOT NULL THEN found WHEN source IS NOT NULL AND NOT regexp_matches(lower(source), 'openapi|swagger|\\.ya?ml$') THEN source END AS url FROM {sql_values(_CITED, 'id, docs_url, found, source')}")
+def citation_url(spark, sf_dir):
+    usable = lambda c: F.when(~F.lower(c).rlike(r"openapi|swagger|\.ya?ml$"), F.col(c))
+    return values(spark, _CITED, "id, docs_url, found, source").select("id", F.coalesce(usable("docs_url"), F.col("found"), usable("source")).alias("url"))

@@ -9,11 +9,11 @@ from ..operators import coverage, store
 from .registry import query, table
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE date_diff('microsecond', o_orderdate, TIMESTAMP '1998-09-02 12:00:00') / 86400000000.0 > 2000.0")
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE date_diff('microsecond', o_orderdate, TIMESTAMP '2000-01-01 12:00:00') / 86400000000.0 > 500.0")
 def stale_pages(spark, sf_dir):
-    as_of = F.lit("1998-09-02 12:00:00").cast("timestamp_ntz")
+    as_of = F.lit("2000-01-01 12:00:00").cast("timestamp_ntz")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return rows.filter(store.stale(F.col("o_orderdate"), as_of, 2000.0))
+    return rows.filter(store.stale(F.col("o_orderdate"), as_of, 500.0))
 
 
 @query("SELECT event_type, count(*) AS n, sum(CASE WHEN json_extract(props, '$.k') IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing_k, sum(CASE WHEN json_extract(props, '$.z') IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing_z FROM events GROUP BY 1")
@@ -200,10 +200,10 @@ def sync_totals(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count_if(F.col("user_id") % 3 == 0).alias("fetched"), F.count_if(F.col("user_id") % 3 == 1).alias("skipped"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("total"))
 
 
-@query("SELECT count(*) AS n, regr FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1995-06-17' - INTERVAL 7 DAYS AND o_orderstatus IN ('F', 'P') THEN 'resolved' ELSE 'open' END AS regr FROM orders) GROUP BY 2")
+@query("SELECT count(*) AS n, regr FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1999-06-17' - INTERVAL 7 DAYS AND o_orderstatus IN ('F', 'P') THEN 'resolved' ELSE 'open' END AS regr FROM orders) GROUP BY 2")
 def review_auto_resolve(spark, sf_dir):
     """Old items of certain kinds are resolved."""
-    old = (F.col("o_orderdate") < F.lit("1995-06-17").cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")) & F.col("o_orderstatus").isin("F", "P")
+    old = (F.col("o_orderdate") < F.lit("1999-06-17").cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")) & F.col("o_orderstatus").isin("F", "P")
     return table(spark, sf_dir, "orders").groupBy(F.when(old, "resolved").otherwise("open").alias("regr")).agg(F.count("*").alias("n"))
 
 
