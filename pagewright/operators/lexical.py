@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -144,10 +145,10 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and measure(w[:-1]) > 1 else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(tokens):
     """Stems of arrays of tokens, each distinct token once a batch."""
     import pandas as pd
 
-    known: dict[str, str] = {}
-    return pd.Series([None if ts is None else [known.setdefault(t, None) or known.__setitem__(t, stem(t)) or known[t] for t in ts] for ts in tokens])
+    known = {t: stem(t) for ts in tokens if ts is not None for t in set(ts)}
+    return pd.Series([None if ts is None else [known[t] for t in ts] for ts in tokens])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, extraction_queries, lineage_queries, retrieval_queries, store_queries, text_queries  # noqa: F401
+from . import evaluation_queries, extraction_queries, lineage_queries, retrieval_queries, store_queries, streaming_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

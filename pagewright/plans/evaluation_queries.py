@@ -1 +1,62 @@
+"""Queries over retrieval metrics: nearest vectors of a label stand for relevant documents."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluation, vectors
+from .registry import query, sql_values, table, values
+
+_RANKED = """q AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT a.vec_id AS query_id, b.vec_id AS key, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY d, key) AS rank FROM p QUALIFY rank <= 10), rel AS (SELECT q.query_id, e.vec_id AS key, 1 + e.vec_id % 3 AS relevance FROM q JOIN embeddings e ON q.label = e.label AND q.query_id <> e.vec_id)"""
+
+
+def _lists(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    q = e.filter("vec_id % 50 = 0")
+    ranked = vectors.knn(e, q, 10).select("query_id", F.col("vec_id").alias("key"), "rank")
+    queries = q.select(F.col("vec_id").alias("query_id"), "label")
+    relevant = queries.join(e.select(F.col("vec_id").alias("key"), "label"), "label").filter("query_id <> key").select("query_id", "key", (1 + F.col("key") % 3).alias("relevance"))
+    return queries, ranked, relevant
+
+
+@query(f"WITH {_RANKED}, f AS (SELECT query_id, count(*) AS n FROM r JOIN rel USING (query_id, key) WHERE rank <= 5 GROUP BY 1), t AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1) SELECT count(*) AS n_queries, round(avg(CASE WHEN f.n > 0 THEN 1.0 ELSE 0.0 END), 9) AS hit_rate, round(avg(coalesce(f.n, 0) / greatest(coalesce(t.n, 1), 1)), 9) AS mean_recall FROM q LEFT JOIN f USING (query_id) LEFT JOIN t USING (query_id)")
+def hit_recall_at_k(spark, sf_dir):
+    return evaluation.hit_and_recall(*_lists(spark, sf_dir), 5).select("n_queries", F.round("hit_rate", 9).alias("hit_rate"), F.round("mean_recall", 9).alias("mean_recall"))
+
+
+@query(f"WITH {_RANKED}, f AS (SELECT query_id, min(rank) AS first FROM r JOIN rel USING (query_id, key) GROUP BY 1) SELECT count(*) AS n_queries, round(avg(coalesce(1 / first, 0)), 9) AS mrr FROM q LEFT JOIN f USING (query_id)")
+def mrr(spark, sf_dir):
+    return evaluation.mrr(*_lists(spark, sf_dir)).withColumn("mrr", F.round("mrr", 9))
+
+
+@query(f"""WITH {_RANKED}, g AS (SELECT query_id, sum(relevance / log2(rank + 1)) AS dcg FROM r JOIN rel USING (query_id, key) WHERE rank <= 5 GROUP BY 1),
+i AS (SELECT query_id, sum(relevance / log2(n + 1)) AS ideal FROM (SELECT query_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, key) AS n FROM rel) WHERE n <= 5 GROUP BY 1)
+SELECT query_id, round(coalesce(dcg, 0) / ideal, 9) AS ndcg FROM q LEFT JOIN g USING (query_id) LEFT JOIN i USING (query_id)""")
+def ndcg_at_5(spark, sf_dir):
+    return evaluation.ndcg(*_lists(spark, sf_dir)).withColumn("ndcg", F.round("ndcg", 9))
+
+
+_BASE, _NOW = "('hit', 0.80), ('mrr', 0.60), ('ndcg', 0.70), ('gone', 0.2)", "('hit', 0.78), ('mrr', 0.45), ('ndcg', 0.64), ('new', 0.1)"
+
+
+@query(f"SELECT coalesce(a.metric, b.metric) AS metric, round(coalesce(b.value, 0) - coalesce(a.value, 0), 9)::DOUBLE AS delta, CASE WHEN coalesce(b.value, 0) - coalesce(a.value, 0) <= -0.10 THEN 'fail' WHEN coalesce(b.value, 0) - coalesce(a.value, 0) <= -0.05 THEN 'warn' ELSE 'pass' END AS verdict FROM {sql_values(_BASE, 'metric, value')} a FULL JOIN {sql_values(_NOW, 'metric, value')} b ON a.metric = b.metric")
+def regression_gate(spark, sf_dir):
+    side = lambda rows: values(spark, rows, "metric, value").withColumn("value", F.col("value").cast("double"))
+    return evaluation.regression_gate(side(_BASE), side(_NOW))
+
+
+@query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p05, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1")
+def percentiles(spark, sf_dir):
+    at = lambda p: F.percentile("l_extendedprice", F.lit(p))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
+@query("""
+WITH q AS (SELECT item_id, text FROM benchmark), h AS (SELECT item_id, count(*) AS n FROM q JOIN documents d ON contains(d.text, q.text) GROUP BY 1)
+SELECT item_id, coalesce(n, 0) AS n_documents FROM q LEFT JOIN h USING (item_id)""")
+def passage_relevance(spark, sf_dir):
+    """Documents that hold a test passage word for word: the relevance set for retrieval tests. A stated query set against all rows."""
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    hits = table(spark, sf_dir, "documents").select("text").join(F.broadcast(q), F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    return q.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))

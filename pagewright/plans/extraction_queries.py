@@ -1 +1,76 @@
+"""Queries over chunks, endpoints, dated entries and parameters."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import markup
+from ..operators import extraction
+from .registry import query, sql_values, table, values
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1536) / 1344.0), 0)::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0)
+SELECT doc_id, i AS chunk_index, i * 1344 AS char_start, least(i * 1344 + 1536, length(text)) AS char_end, sha256(substr(text, i * 1344 + 1, 1536)) AS chunk_hash FROM d""")
+def chunk_documents(spark, sf_dir):
+    rows = extraction.windows(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "chunk_index", "char_start", "char_end", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+@query()
+def chunk_markdown(spark, sf_dir):
+    """Pages as markdown, cut at headings and paragraphs."""
+    pages = table(spark, sf_dir, "pages").select("page_id", markup.html_to_markdown("html").alias("md"), markup.title("html").alias("title"))
+    chunks = extraction.chunks(pages, "page_id", "md").join(pages.select(F.col("page_id").alias("doc_id"), "title"), "doc_id")
+    shown = extraction.with_context(F.col("chunk"), F.col("title"), F.col("heading"))
+    return chunks.select(F.col("doc_id").alias("page_id"), "chunk_index", "char_start", "char_end", F.sha2(shown, 256).alias("chunk_hash"))
+
+
+_API = "(1, '# GET /api/v3/order¶text¶POST `/api/v3/order/`¶GET /api/v3/order?x=1'), (2, '## Place order (HTTP PUT, x)¶¶`https://h.example/v2/spot`¶` DELETE /v1/:id `'), (3, 'no endpoint'), (4, 'GET /a/<id>).¶GET /a/{x}')"
+_API_EXPECTED = "(1, 'GET', '/api/v3/order', 0), (1, 'POST', '/api/v3/order', 2), (2, 'PUT', '/v2/spot', 1), (2, 'DELETE', '/v1/{id}', 3), (4, 'GET', '/a/{id}', 2)"
+
+
+@query(f"SELECT doc_id, method, path, pattern FROM (VALUES {_API_EXPECTED}) AS v(doc_id, method, path, pattern)")
+def endpoint_scan(spark, sf_dir):
+    return extraction.endpoints(values(spark, _API, "doc_id, text")).select("doc_id", "method", "path", "pattern")
+
+
+@query("SELECT 'GET' AS method, '/api/v3/order' AS dedup_path, 1 AS doc_id UNION ALL SELECT 'POST', '/api/v3/order', 1 UNION ALL SELECT 'PUT', '/v2/spot', 2 UNION ALL SELECT 'DELETE', '/v1/{}', 2")
+def endpoint_new(spark, sf_dir):
+    existing = values(spark, "('GET', '/a/{}')", "method, dedup_path")
+    return extraction.new_endpoints(extraction.endpoints(values(spark, _API, "doc_id, text")), existing).select("method", "dedup_path", "doc_id")
+
+
+_LOG = "('https://a.example/log', 'intro¶# 2024-01-05¶first¶# 2024-02-06 more¶second'), ('https://a.example/prose', '## March 3rd, 2023¶one¶## April 2, 2023¶two'), ('https://a.example/2022-09-09/x', 'single entry'), ('https://a.example/none', 'nothing dated')"
+_LOG_EXPECTED = "('https://a.example/log', 0, NULL, 'intro'), ('https://a.example/log', 1, '2024-01-05', '# 2024-01-05¶first'), ('https://a.example/log', 2, '2024-02-06', '# 2024-02-06 more¶second'), ('https://a.example/prose', 0, '2023-03-03', '## March 3rd, 2023¶one'), ('https://a.example/prose', 1, '2023-04-02', '## April 2, 2023¶two'), ('https://a.example/2022-09-09/x', 0, '2022-09-09', 'single entry'), ('https://a.example/none', 0, NULL, 'nothing dated')"
+
+
+@query(f"SELECT url, seq, entry_date, trim(entry, ' ' || chr(10)) AS entry FROM {sql_values(_LOG_EXPECTED, 'url, seq, entry_date, entry', ('entry',))}")
+def dated_entries(spark, sf_dir):
+    return extraction.dated_entries(values(spark, _LOG, "url, md")).select("url", "seq", "entry_date", F.trim(F.regexp_replace("entry", r"\s+\z", "")).alias("entry"))
+
+
+_LIMITS = "(1, 'Rate Limit: 20 requests per 2 seconds'), (2, 'Limit: 10 requests per second'), (3, '10 times/1s'), (4, 'weight: 40'), (5, 'Rate limit: 5 calls / 3 minutes, weight is 7'), (6, 'none')"
+_LIMITS_EXPECTED = "(1, 20, 2, NULL), (2, 10, 1, NULL), (3, 10, 1, NULL), (4, NULL, NULL, 40), (5, 5, 180, 7), (6, NULL, NULL, NULL)"
+
+
+@query(f"SELECT id, requests::BIGINT AS requests, seconds::BIGINT AS seconds, weight::BIGINT AS weight FROM (VALUES {_LIMITS_EXPECTED}) AS v(id, requests, seconds, weight)")
+def rate_limits(spark, sf_dir):
+    requests, seconds = extraction.rate_limit(F.col("s"))
+    return values(spark, _LIMITS, "id, s").select("id", requests.alias("requests"), seconds.alias("seconds"), extraction.weight(F.col("s")).alias("weight"))
+
+
+_PARAMS = "(1, '| Parameter | Type | Required | Description |¶| --- | --- | --- | --- |¶| symbol | STRING | YES | the pair |¶| -leg | INT | no | |¶| side | ENUM | | |'), (2, 'Name¦Type¦Mandatory¶id¦LONG¦true'), (3, 'no table')"
+_PARAMS_EXPECTED = "(1, 'symbol', 'STRING', true, NULL), (1, 'leg', 'INT', false, 'symbol'), (1, 'side', 'ENUM', NULL, NULL), (2, 'id', 'LONG', true, NULL)"
+
+
+@query(f"SELECT id, name, type, required, parent FROM (VALUES {_PARAMS_EXPECTED}) AS v(id, name, type, required, parent)")
+def parameter_tables(spark, sf_dir):
+    return values(spark, _PARAMS, "id, md").select("id", F.inline(extraction.parameter_table("md"))).select("id", "name", "type", "required", "parent")
+
+
+@query("SELECT l_orderkey, l_linenumber, sha256(concat_ws('|', l_returnflag, l_linestatus, 'http', 'https://h.example', 'v1', 'GET', '/o/' || l_orderkey)) AS record_id FROM lineitem")
+def record_ids(spark, sf_dir):
+    c = F.col
+    made = extraction.record_id(c("l_returnflag"), c("l_linestatus"), F.lit("http"), F.lit("https://h.example"), F.lit("v1"), F.lit("get"), F.concat(F.lit("/o/"), c("l_orderkey").cast("string")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", made.alias("record_id"))
