@@ -58,7 +58,8 @@ def scores(c: Column) -> dict[str, Column]:
 
 
 def classified(c: Column) -> tuple[Column, Column]:
-    """(kind, confidence): the highest score, of equals the first of KINDS. Empty texts are questions of confidence 0."""
+    """(kind, confidence): the highest score, of equals the first of KINDS. Null and empty texts are questions of confidence 0."""
+    c = F.coalesce(c, F.lit(""))
     t = F.trim(c)
     ranked = F.array(*(F.struct(v.alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, v) in enumerate(scores(c).items())))
     best = F.when(t == "", F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("order"), F.lit("question").alias("kind"))).otherwise(F.array_max(ranked))
