@@ -72,6 +72,11 @@ def _finer(mask: int, radius: int) -> list[int]:
     return [mask | sum(1 << i for i in free[j :: radius + 1]) for j in range(radius + 1)]
 
 
+def _ones(x: np.ndarray) -> np.ndarray:
+    """Set bits of signed 64-bit integers; the sign bit is one of them."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the fingerprints within the radius; as much memory as one row of distances."""
     parent = list(range(len(fps)))
@@ -84,7 +89,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
     out = []
     for i in range(len(fps) - 1):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) + i + 1:
+        for j in np.flatnonzero(_ones(fps[i + 1 :] ^ fps[i]) <= radius) + i + 1:
             a, b = root(i), root(int(j))
             if a != b:
                 parent[b] = a
@@ -124,7 +129,7 @@ def _links_in_buckets(radius: int, bucket: int):
             starts = starts[:-1]
             links, finer = [], []
             two = starts[ends - starts == 2]
-            near = np.bitwise_count(rows[2, two] ^ rows[2, two + 1]) <= radius
+            near = _ones(rows[2, two] ^ rows[2, two + 1]) <= radius
             links += zip(rows[2, two[near]].tolist(), rows[2, two[near] + 1].tolist(), strict=True)
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
                 more, deeper = of_bucket(int(rows[0, s]), rows[2, s:e])
