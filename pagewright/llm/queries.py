@@ -76,5 +76,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_token_counts, op4_secret_scan, op5_toxicity, op6_decontamination, op7_simhash, op8_suffix_tree_lm, op9_avi_media, op10_line_dedup)}
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+g AS (SELECT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT n FROM g), p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, s WHERE len(w) >= n),
+h AS (SELECT DISTINCT doc_id, item_id, i, g.n FROM p JOIN g ON g.n = p.n AND g.gram = array_to_string(w[i : i + p.n - 1], ' ')),
+k AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.sql()}
+    """The others have no SQL: they need a tokeniser, a hash, a media format or a fitted model; tests hold them against brute force."""
+    return {"op2_url_filter": url_filter.sql(), "op6_decontamination": OP6_SQL}
