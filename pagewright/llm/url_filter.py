@@ -91,8 +91,9 @@ def score_strings(strings: DataFrame, labelled: DataFrame, order: int = ORDER, k
 
 
 def threshold(labelled_scores: DataFrame) -> DataFrame:
-    """One row: threshold. labelled_scores: score, rejected. Percentiles over all rows, from counts of equal scores."""
-    q = labelled_scores.agg(F.percentile(F.when(~F.col("rejected"), F.col("score")), F.lit(0.99)).alias("a"), F.percentile(F.when(F.col("rejected"), F.col("score")), F.lit(0.01)).alias("r"))
+    """One row: threshold. labelled_scores: score, rejected. Percentiles over all rows; scores go by four decimals, so what each task keeps and sends is counts of a bounded number of values."""
+    score = F.round("score", 4)
+    q = labelled_scores.agg(F.percentile(F.when(~F.col("rejected"), score), F.lit(0.99)).alias("a"), F.percentile(F.when(F.col("rejected"), score), F.lit(0.01)).alias("r"))
     return q.select(F.when(F.col("r").isNotNull(), F.greatest(F.lit(0.0), (F.coalesce("a", "r") + F.col("r")) / 2)).alias("threshold"))
 
 
@@ -131,7 +132,7 @@ r AS (SELECT s, junk, substr(p, i, {order}) AS context, substr(p, i + {order}, 1
 g AS (SELECT context, symbol, sum(CASE WHEN junk THEN 0 ELSE 1 END) AS accepted, sum(CASE WHEN junk THEN 1 ELSE 0 END) AS rejected FROM r GROUP BY 1, 2),
 {", ".join(steps)},
 z AS (SELECT s, any_value(junk) AS junk, sum(ln(pr) - ln(pa)) / count(*) AS score FROM r JOIN p{order} USING (context, symbol) GROUP BY s),
-q AS (SELECT quantile_cont(CASE WHEN NOT junk THEN score END, 0.99) AS a, quantile_cont(CASE WHEN junk THEN score END, 0.01) AS b FROM z),
+q AS (SELECT quantile_cont(CASE WHEN NOT junk THEN round(score, 4) END, 0.99) AS a, quantile_cont(CASE WHEN junk THEN round(score, 4) END, 0.01) AS b FROM z),
 m AS (SELECT CASE WHEN b IS NOT NULL THEN greatest(0.0, (coalesce(a, b) + b) / 2) END AS threshold FROM q),
 y AS (SELECT page_id, host, path, {rule} AS rule, {said} AS said FROM h)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score > threshold THEN 'block' ELSE 'allow' END) AS verdict
