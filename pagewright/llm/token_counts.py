@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, shared_folder, slices, whole_text
+from .common import LOWER, UPPER, shared_folder, slices, whole_text, written
 
 KEY, TEXT = "__digest", "__text"
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -118,7 +118,8 @@ def token_counts(docs: DataFrame, definition: bytes, cache: str | None = None, t
     stored = spark.read.schema(schema).parquet(cache).select(KEY)
     misses = texts.join(stored, KEY, "left_anti") if stored.take(1) else texts
     count_misses(misses, definition).write.mode("append").parquet(cache)
-    counts = spark.read.schema(schema).parquet(cache).groupBy(KEY).agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join below has two plain sides and a frequent digest can be split
+    counts = written(spark.read.schema(schema).parquet(cache).groupBy(KEY).agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     out = keyed.drop("n_tokens", "n_bytes").withColumn("n_bytes", F.octet_length(TEXT).cast("bigint")).drop(TEXT, text)
     return out.join(counts, KEY).drop(KEY)
 
