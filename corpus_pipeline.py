@@ -43,9 +43,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded_matches."""
     ranks, pattern = bpe.default_ranks(spark)
     digest = docs.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("__sha"), "text")
-    encoded = bpe.encode(digest, ranks, pattern).withColumn("__ids", F.col("ids"))
-    decoded = bpe.decode(encoded, ranks, pattern, "__ids")
-    return decoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("__sha")).alias("decoded_matches"))
+    coded = bpe.round_trip(digest, ranks, pattern)
+    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("__sha")).alias("decoded_matches"))
 
 
 STAGES = [

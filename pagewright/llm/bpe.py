@@ -103,8 +103,15 @@ class Pairs:
     """Which two tokens make a third: a sorted array of left id * 2**32 + right id, and the ids made."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        made = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
-        self.keys, self.ids = np.array([k for k, _ in made] + [_NONE], np.int64), np.array([i for _, i in made] + [_NONE], np.int64)
+        keys, ids = [], []
+        for token, r in ranks.items():
+            for i in range(1, len(token)):
+                if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None:
+                    keys.append(left << 32 | right)
+                    ids.append(r)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys = np.append(np.array(keys, np.int64)[order], _NONE)
+        self.ids = np.append(np.array(ids, np.int64)[order], _NONE)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -162,12 +169,14 @@ def merge_many(pieces: list[bytes], pairs: Pairs, of_byte: np.ndarray) -> list[n
 
 
 MANY = 64
+#: Texts whose new chunks are merged together.
+TEXTS_AT_ONCE = 512
 
 
 class Codec:
     """Encodes texts to ids as little-endian unsigned 32-bit integers, and back."""
 
-    def __init__(self, rank_file: bytes, pattern: str, remembered: int = 700_000):
+    def __init__(self, rank_file: bytes, pattern: str, remembered: int = 200_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
@@ -214,7 +223,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*given.value)
-        for b in slices(batches, 1024):
+        for b in slices(batches, TEXTS_AT_ONCE):
             ids = codec.encode_batch([t or "" for t in b.column(text).to_pylist()])
             yield with_columns(b, (text,), n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
@@ -233,6 +242,20 @@ def decode(encoded: DataFrame, rank_file: bytes, pattern: str, ids: str = "ids")
     return encoded.mapInArrow(run, schema_with(encoded, (ids,), decoded="binary"))
 
 
+def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """encode() and decode() of its ids in one worker: adds n_tokens long, ids and decoded binary; the text is dropped."""
+    given = docs.sparkSession.sparkContext.broadcast((rank_file, pattern))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(*given.value)
+        for b in slices(batches, TEXTS_AT_ONCE):
+            ids = codec.encode_batch([t or "" for t in b.column(text).to_pylist()])
+            columns = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([codec.decode(x) for x in ids], pa.binary())}
+            yield with_columns(b, (text,), **columns)
+
+    return docs.mapInArrow(run, schema_with(docs, (text,), n_tokens="bigint", ids="binary", decoded="binary"))
+
+
 def default_ranks(spark: SparkSession) -> tuple[bytes, str]:
     import public_tokenizers
 

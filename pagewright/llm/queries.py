@@ -13,23 +13,8 @@ from .common import remainder, table
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.default_ranks(spark)
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    hashed = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return bpe.decode(hashed, ranks, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.token_counts(docs, token_counts.default_definition(spark))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
-
-
-def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = avi.write_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    stored = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    read = avi.read_media(stored)
-    tail = F.substring("payload", -64, 64)
-    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,8 @@ def test_bpe_equals_the_library(spark, vocabulary):
     assert got == {i: (len(ids), ids) for i, t in enumerate(texts) for ids in [library.encode_ordinary(t or "")]}
     back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(encoded, *vocabulary).collect()}
     assert back == {i: (t or "").encode() for i, t in enumerate(texts)}
+    both = {r["doc_id"]: (r["n_tokens"], bytes(r["decoded"])) for r in bpe.round_trip(docs(spark, texts), *vocabulary).collect()}
+    assert both == {i: (got[i][0], back[i]) for i in got}
     assert bpe.encode(docs(spark, []), *vocabulary).count() == 0
 
 
