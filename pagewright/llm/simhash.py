@@ -177,24 +177,29 @@ def components(found: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without the text, with fp (signed 64-bit fingerprint) and component_id, the least id of its component."""
+def _members(docs: DataFrame, doc_id: str, text: str, radius: int) -> DataFrame:
+    """docs without the text, with fp, component_id and __component, the fingerprint that names the component: ids may be null or repeated, so component_id does not."""
     printed = written(fingerprints(docs.drop("fp", "component_id"), text), "fingerprints")
     distinct = printed.groupBy("fp").agg(F.min(doc_id).alias("least"))
     member = components(links(distinct.select("fp"), radius))
-    joined = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(ids, "component").select("fp", "component_id")
+    joined = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("__component", F.coalesce("component", "fp"))
+    ids = joined.groupBy("__component").agg(F.min("least").alias("component_id"))
+    named = joined.join(ids, "__component").select("fp", "component_id", "__component")
     return printed.join(named, "fp")
 
 
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs without the text, with fp (signed 64-bit fingerprint) and component_id, the least id of its component."""
+    return _members(docs, doc_id, text, radius).drop("__component")
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The document with the least id of each component; of rows with this id, that with the least text hash, once."""
+    """The document with the least id of each component, null only where all are; of rows with this id, that with the least text hash, once."""
     names = docs.columns
     key = lambda i, h: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), h.cast("string"))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("__hash"))
-    found = near_duplicates(narrow, radius=radius)
-    least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("doc_id", "__hash")).alias("k"))
+    found = _members(narrow, "doc_id", "text", radius)
+    least = found.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash")).alias("k"))
     kept = least.select(key(F.col("k.doc_id"), F.col("k.__hash")).alias("__key"))
     marked = docs.withColumn("__key", key(F.col(doc_id), F.xxhash64(text)))
     one = Window.partitionBy("__key").orderBy(F.lit(0))

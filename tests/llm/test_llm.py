@@ -202,6 +202,12 @@ def test_near_duplicates_edge_cases(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 7] and kept.columns == d.columns
 
 
+def test_keep_first_keeps_one_of_each_component_where_ids_are_null_or_repeat(spark):
+    texts = ["one two three four", "something else entirely here", "ONE two three four", "a third text of its own", "quite another text again", "the last of the texts here"]
+    d = docs(spark, texts, [None, None, None, 1, 1, 1])
+    assert sorted(r["text"].lower() for r in simhash.keep_first(d).collect()) == sorted({t.lower() for t in texts})
+
+
 def test_fingerprint_follows_the_definition():
     import xxhash
 
