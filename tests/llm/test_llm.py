@@ -321,6 +321,34 @@ def test_line_dedup_equals_plain_loops_and_catches_passages(spark):
     assert "".join(line_dedup.lines(texts[9])) == texts[9]
 
 
+def test_line_dedup_looks_at_every_earlier_place(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    pool = [" ".join(word() for _ in range(rng.choice([4, 9, 14, 40]))) + "\n" for _ in range(30)]
+    passage = pool[:12]
+    rows = [(i, line + pool[20 + i % 10]) for i, line in enumerate(pool)]  # every line alone, before the passage
+    rows += [(40 + k, "".join([word() + "\n", *passage, word() + "\n"])) for k in range(3)]
+    rows += [(50 + k, "".join(pool[j] for s in rng.choices(range(25), k=6) for j in range(s, min(30, s + rng.randrange(1, 6))))) for k in range(40)]
+    rows += [(None, "".join(passage)), (95, "".join(pool[5:11])), (95, "".join(pool[6:12]))]
+    d = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = {(r["doc_id"], r["n_lines"], r["text"]): r["n_removed"] for r in line_dedup.dedup_lines(d).collect()}
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+    seen, lost = [], {}
+    for k in order[:-2]:  # the rows of one id are told apart by a hash
+        ls = rows[k][1].splitlines()
+        gone = set()
+        for i in range(len(ls)):
+            for j in range(i, len(ls)):
+                if sum(len(x.split()) for x in ls[i : j + 1]) >= line_dedup.MIN_WORDS:
+                    run = ls[i : j + 1]
+                    if any(e[m : m + len(run)] == run for e in seen for m in range(len(e) - len(run) + 1)) or any(ls[m : m + len(run)] == run for m in range(i)):
+                        gone |= set(range(i, j + 1))
+        seen.append(ls)
+        lost[rows[k][0]] = (len(ls), "".join(x + "\n" for i, x in enumerate(ls) if i not in gone))
+    assert {i: (n, t) for i, n, t in got if i != 95} == lost
+    assert all(len(t.split()) < 30 for i, _, t in got if i == 41) and any(i == 95 for i, *_ in got)
+
+
 def test_pipeline_on_a_small_folder(spark, tmp_path):
     import corpus_pipeline
 
