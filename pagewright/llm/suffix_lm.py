@@ -53,30 +53,41 @@ def _words(text: str | None) -> list[bytes]:
 def markers(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
     """The most frequent words, each with its state, 1 to STATES - 1: clusters of how their next markers are distributed.
 
-    Each Arrow batch counts its own MARKERS most frequent words and the pairs of neighbouring ones among them, so what is
-    shuffled is at most MARKERS**2 sums a batch.
+    Words are counted over all texts first, by a map-side sum and one shuffle; a second pass counts the pairs of
+    neighbouring markers, at most MARKERS**2 sums a task.
     """
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter[bytes] = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()).cast(pa.string()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"])
+            sums.clear()
+            return made
+
+        for b in slices(batches):
+            for t in b.column(text).to_pylist():
+                sums.update(_words(t))
+            if len(sums) > 300_000:
+                yield out()
+        yield out()
+
+    words = docs.select(text).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    most = [r["word"] for r in words.orderBy(F.col("n").desc(), "word").limit(MARKERS).collect()]
+    given = docs.sparkSession.sparkContext.broadcast({w.encode() for w in most})  # MARKERS words
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [[_words(t) for t in part.column(text).to_pylist()] for part in slices(iter([b]))]
-            sums: Counter[bytes] = Counter()
-            for part in texts:
-                for ws in part:
-                    sums.update(ws)
-            top = {w for w, _ in sums.most_common(MARKERS)}
-            pairs: Counter[tuple[bytes, bytes]] = Counter()
-            for part in texts:
-                for ws in part:
-                    known = [w for w in ws if w in top]
-                    pairs.update(zip(known, known[1:], strict=False))
-            left, right = ([w.decode() for w in x] for x in zip(*pairs, strict=True)) if pairs else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "n"])
-
-    sums = written(docs.select(text).mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")), "markers")
-    most = [r["a"] for r in sums.groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "a").limit(MARKERS).collect()]
+        top = given.value
+        pairs: Counter[tuple[bytes, bytes]] = Counter()
+        for b in slices(batches):
+            for t in b.column(text).to_pylist():
+                known = [w for w in _words(t) if w in top]
+                pairs.update(zip(known, known[1:], strict=False))
+        left, right = ([w.decode() for w in x] for x in zip(*pairs, strict=True)) if pairs else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "n"])
+
     index = {w: i for i, w in enumerate(most)}
-    chosen = sums.filter(F.col("a").isin(most) & F.col("b").isin(most)).collect() if most else []  # MARKERS**2 rows at most
+    chosen = docs.select(text).mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect() if most else []  # MARKERS**2 rows at most
     counts = np.zeros((len(most), len(most)))
     for r in chosen:
         counts[index[r["a"]], index[r["b"]]] = r["n"]

@@ -244,6 +244,18 @@ def test_suffix_tree_is_a_distribution_and_beats_the_base(spark):
     assert suffix_lm.score(d, d.limit(0)).filter("train_tokens <> 0").count() == 0
 
 
+def test_markers_are_counted_over_all_texts(spark):
+    # every text has its own 300 words more often than the shared ones; each text is a batch of its own
+    shared = [f"s{i}" for i in range(suffix_lm.MARKERS)]
+    texts = [" ".join(f"d{k}w{i} d{k}w{i} d{k}w{i}" for i in range(300)) + " " + " ".join(shared) for k in range(6)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = suffix_lm.markers(docs(spark, texts).coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == suffix_lm.markers(docs(spark, texts)) and set(got) == {w.encode() for w in shared}
+
+
 def test_avi_round_trip(spark):
     rng = random.Random(10)
     for n in (0, 1, 63, 64, 65, 4096, 70_000):
