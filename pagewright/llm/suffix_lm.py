@@ -12,7 +12,7 @@ kept suffix of what precedes it.
 
 Counting, over all training texts: markers and their successors; then words by state, by a map-side sum and one shuffle;
 then contexts level by level over the distinct words, a context only where its suffix has its share. What reaches the
-driver is at most MARKERS**2 sums, 1 / P_MIN contexts a level and 1 / FREQUENT words, whatever the corpus. Scoring is one
+driver is at most MARKERS**2 sums, 1 / P_MIN contexts a level, 1 / FREQUENT words and each character of Unicode once, whatever the corpus. Scoring is one
 pass; words that are not among the frequent ones take their training counts by a join.
 
 Null and empty texts have the end alone. A null id counts as the empty text. Repeated rows each get a row.
@@ -41,8 +41,8 @@ SMOOTH = 4.0
 MARKERS = 256
 STATES = 8  # with state 0, before any marker
 
-_BITS = 7
-_STOP, _FIRST, _OTHER = 9, 10, 127  # the codes below _STOP start a word in state code - 1
+_STOP, _FIRST = 9, 10  # the codes below _STOP start a word in state code - 1; letters follow in order of frequency, and one code for all that training lacks
+_PACKED = 3  # depths up to this one have their contexts' symbols, of 21 bits at most, in one key
 _UNICODE = 1_114_112
 
 
@@ -151,29 +151,34 @@ def _states(words: list[bytes], state_of: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _bits(codes: dict[str, int]) -> int:
+    """Bits of a symbol; 21 hold all of Unicode."""
+    return (_FIRST + len(codes)).bit_length()
+
+
 def _symbols(words: list[str], states: np.ndarray, codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, letters and stop of all words in a row, each symbol's distance from its word's start, and where the words start."""
     text = "\n".join(words) + "\n"  # no word holds a line end
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    table = np.full(max(int(points.max(initial=0)) + 1, 11), _OTHER, np.int64)
-    for ch, c in codes.items():
-        if ord(ch) < len(table):
-            table[ord(ch)] = c
-    table[10] = _STOP
+    distinct, place = np.unique(points, return_inverse=True)
+    coded = np.array([_STOP if x == 10 else codes[chr(x)] for x in distinct.tolist()], np.int64)[place]
     stops = np.flatnonzero(points == 10)
     starts = np.concatenate([[0], stops[:-1] + 1])
-    symbols = np.insert(table[points], starts, states + 1)
+    symbols = np.insert(coded, starts, states + 1)
     begin = starts + np.arange(len(starts))
     distance = np.arange(len(symbols)) - np.repeat(begin, np.diff(np.append(begin, len(symbols))))
     return symbols, distance, begin
 
 
-def _grams(words: DataFrame, codes: dict[str, int], depths: range, below: np.ndarray) -> DataFrame:
-    """(depth, key, n): counts of context and next symbol, packed, for contexts whose suffix (less one symbol) is in `below` (not asked at depths under 4)."""
-    given = words.sparkSession.sparkContext.broadcast((codes, below))
+def _grams(words: DataFrame, codes: dict[str, int], depths: range, levels: list[np.ndarray]) -> DataFrame:
+    """(depth, key, symbol, n): counts of context and next symbol. A context's key is its symbols, packed, up to _PACKED of
+    them; beyond, its first symbol and the place of the rest in the level before. levels holds the sorted keys of _PACKED
+    and of each depth after it; contexts whose rest is not there are left out."""
+    given = words.sparkSession.sparkContext.broadcast((codes, levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, below = given.value
+        codes, levels = given.value
+        bits = _bits(codes)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -182,21 +187,22 @@ def _grams(words: DataFrame, codes: dict[str, int], depths: range, below: np.nda
             for depth in depths:
                 at = np.flatnonzero((distance >= max(depth, 1)))
                 key = np.zeros(len(at), np.int64)
-                for k in range(depth, -1, -1):
-                    key = key << _BITS | symbols[at - k]
-                w = weight[at]
-                if depth > 3:
-                    suffix = (key >> _BITS) & ((1 << _BITS * (depth - 1)) - 1)
-                    place = np.minimum(np.searchsorted(below, suffix), len(below) - 1)
-                    known = below[place] == suffix if len(below) else np.zeros(len(key), bool)
-                    key, w = key[known], w[known]
-                order = np.argsort(key, kind="stable")
-                key, w = key[order], w[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                for k in range(min(depth, _PACKED), 0, -1):
+                    key = key << bits | symbols[at - k]
+                for k in range(_PACKED + 1, depth + 1):
+                    level = levels[k - _PACKED - 1]
+                    place = np.minimum(np.searchsorted(level, key), len(level) - 1)
+                    known = level[place] == key if len(level) else np.zeros(len(key), bool)
+                    at, place = at[known], place[known]
+                    key = symbols[at - k] << 32 | place
+                symbol, w = symbols[at], weight[at]
+                order = np.lexsort((symbol, key))
+                key, symbol, w = key[order], symbol[order], w[order]
+                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (symbol[1:] != symbol[:-1])]) if len(key) else np.zeros(0, np.int64)
                 n = np.add.reduceat(w, first) if len(first) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), depth, np.int32)), pa.array(key[first]), pa.array(n)], names=["depth", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), depth, np.int32)), pa.array(key[first]), pa.array(symbol[first].astype(np.int32)), pa.array(n)], names=["depth", "key", "symbol", "n"])
 
-    return words.mapInArrow(run, "depth int, key bigint, n bigint").groupBy("depth", "key").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "depth int, key bigint, symbol int, n bigint").groupBy("depth", "key", "symbol").agg(F.sum("n").alias("n"))
 
 
 class Tree:
@@ -204,10 +210,11 @@ class Tree:
 
     def __init__(self, codes: dict[str, int], counts: dict[int, dict[int, dict[int, int]]]):
         self.codes, self.probability, self.lost = codes, {}, {}
+        self.bits, self.other = _bits(codes), _FIRST + len(codes)
         self.kept: dict[int, int] = {0: 0}  # context to its length
         root = counts.get(0, {}).get(0, {})
         total = sum(root.values())
-        alphabet = [_STOP, _OTHER, *codes.values()]
+        alphabet = [_STOP, self.other, *codes.values()]
         dense: dict[int, dict[int, float]] = {}
         base = {s: (root.get(s, 0) + 1) / (total + len(alphabet)) for s in alphabet}
         self._put(0, 0, base, 1.0)
@@ -229,7 +236,7 @@ class Tree:
         """The longest kept context that is a proper suffix."""
         while length > 0:
             length -= 1
-            context &= (1 << _BITS * length) - 1
+            context &= (1 << self.bits * length) - 1
             if self.kept.get(context) == length:
                 return context
         return 0
@@ -245,41 +252,41 @@ class Tree:
     def _put(self, context: int, length: int, own: dict[int, float], lost: float) -> None:
         self.lost[context] = math.log10(lost)
         for s, p in own.items():
-            self.probability[context << _BITS | s] = math.log10(p)
+            self.probability[context << self.bits | s] = math.log10(p)
 
     def step(self, context: int, length: int, symbol: int) -> float:
         """log10 probability of a symbol after the context's longest kept suffix."""
         kept, total = self.kept, 0.0
         while kept.get(context) != length:
             length -= 1
-            context &= (1 << _BITS * length) - 1
+            context &= (1 << self.bits * length) - 1
         while True:
-            p = self.probability.get(context << _BITS | symbol)
+            p = self.probability.get(context << self.bits | symbol)
             if p is not None:
                 return total + p
             total += self.lost[context]
             length -= 1
-            context &= (1 << _BITS * length) - 1
+            context &= (1 << self.bits * length) - 1
             while kept.get(context) != length:
                 length -= 1
-                context &= (1 << _BITS * length) - 1
+                context &= (1 << self.bits * length) - 1
 
     def move(self, key: int) -> tuple[float, int]:
         """For a context and the symbol after it, packed: the symbol's log10 probability and the next context. No code is 0, so a context's size tells its length."""
-        context, symbol = key >> _BITS, key & 127
-        length = -(-context.bit_length() // _BITS)
+        context, symbol = key >> self.bits, key & ((1 << self.bits) - 1)
+        length = -(-context.bit_length() // self.bits)
         p = self.step(context, length, symbol)
-        if symbol == _OTHER:
+        if symbol == self.other:
             p -= math.log10(_UNICODE)
-        return p, key & ((1 << _BITS * min(length + 1, DEPTH)) - 1)
+        return p, key & ((1 << self.bits * min(length + 1, DEPTH)) - 1)
 
     def word(self, word: bytes, state: int) -> float:
         """log10 probability of a word's letters and its end after a start in the state."""
-        context, total, codes, moves = state + 1, 0.0, self.codes, self.moves
+        context, total, codes, moves, bits, other = state + 1, 0.0, self.codes, self.moves, self.bits, self.other
         for ch in word.decode():
-            p, context = moves[context << _BITS | codes.get(ch, _OTHER)]
+            p, context = moves[context << bits | codes.get(ch, other)]
             total += p
-        return total + moves[context << _BITS | _STOP][0]
+        return total + moves[context << bits | _STOP][0]
 
 
 def grow(words: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
@@ -298,19 +305,22 @@ def grow(words: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
 
     letters = written(words.mapInArrow(run, "letter string, n bigint").groupBy("letter").agg(F.sum("n").alias("n")), "letters")
     total = letters.filter("letter = ''").agg(F.sum("n")).first()[0] or 0
-    most = letters.filter("letter <> ''").orderBy(F.col("n").desc(), "letter").limit(_OTHER - _FIRST).collect()
+    most = letters.filter("letter <> ''").orderBy(F.col("n").desc(), "letter").collect()  # Unicode's characters at most
     codes = {r["letter"]: _FIRST + i for i, r in enumerate(most)}
-    least = max(1, math.ceil(p_min * total))
+    bits, least = _bits(codes), max(1, math.ceil(p_min * total))
     counts: dict[int, dict[int, dict[int, int]]] = {}
-    below = np.zeros(0, np.int64)
-    for depths in (range(0, min(3, depth) + 1), *(range(d, d + 1) for d in range(4, depth + 1))):
-        grams = written(_grams(words, codes, depths, below), "grams")
-        contexts = grams.groupBy("depth", F.shiftrightunsigned("key", _BITS).alias("context")).agg(F.sum("n").alias("of")).filter(F.col("of") >= least)
-        kept = grams.withColumn("context", F.shiftrightunsigned("key", _BITS)).join(contexts, ["depth", "context"]).select("depth", "context", "key", "n")
-        found = kept.toArrow()  # at most 1 / p_min contexts a level
-        below = np.unique(found.column("context").to_numpy()[found.column("depth").to_numpy() == depths[-1]])
-        for d, c, k, n in zip(*(found.column(x).to_pylist() for x in ("depth", "context", "key", "n")), strict=True):
-            counts.setdefault(d, {}).setdefault(c, {})[k & 127] = n
+    levels: list[np.ndarray] = []
+    whole: list[int] = []  # the packed symbols of the last level's contexts
+    for depths in (range(0, min(_PACKED, depth) + 1), *(range(d, d + 1) for d in range(_PACKED + 1, depth + 1))):
+        grams = written(_grams(words, codes, depths, levels), "grams")
+        contexts = grams.groupBy("depth", "key").agg(F.sum("n").alias("of")).filter(F.col("of") >= least)
+        found = grams.join(contexts, ["depth", "key"]).select("depth", "key", "symbol", "n").toArrow()  # at most 1 / p_min contexts a level
+        last = np.unique(found.column("key").to_numpy()[found.column("depth").to_numpy() == depths[-1]])
+        for d, k, c, n in zip(*(found.column(x).to_pylist() for x in ("depth", "key", "symbol", "n")), strict=True):
+            context = k if d <= _PACKED else (k >> 32) << bits * (d - 1) | whole[k & 0xFFFFFFFF]
+            counts.setdefault(d, {}).setdefault(context, {})[c] = n
+        whole = [k if depths[-1] <= _PACKED else (k >> 32) << bits * (depths[-1] - 1) | whole[k & 0xFFFFFFFF] for k in last.tolist()]
+        levels.append(last)
     return Tree(codes, counts)
 
 

@@ -256,6 +256,19 @@ def test_markers_are_counted_over_all_texts(spark):
     assert got == suffix_lm.markers(docs(spark, texts)) and set(got) == {w.encode() for w in shared}
 
 
+def test_spelling_is_learned_in_every_script(spark):
+    # 400 characters, each always followed by one of its own
+    letters = [chr(0x4E00 + i) for i in range(400)]
+    words = [(a + letters[(i * 7 + 1) % 400] + letters[(i * 11 + 3) % 400] + "x", 0, 3) for i, a in enumerate(letters)]
+    tree = suffix_lm.grow(spark.createDataFrame(words, "word string, state int, n long"))
+    tree.moves = suffix_lm.Memo(tree.move, 1000)
+    assert len(tree.codes) == 401
+    right = [tree.word(w.encode(), 0) for w, *_ in words]
+    wrong = [tree.word((w[0] + w[2] + w[1] + "x").encode(), 0) for w, *_ in words]
+    assert min(right) > -4.5 and sum(wrong) < 2 * sum(right)
+    assert tree.word("あ".encode(), 0) < -6
+
+
 def test_avi_round_trip(spark):
     rng = random.Random(10)
     for n in (0, 1, 63, 64, 65, 4096, 70_000):
