@@ -1,7 +1,8 @@
 """Toxicity through a noisy channel: obfuscated words are restored, then the restored text is scored.
 
 A word with digits or signs between letters, with letters repeated three times or more, or spelled out with blanks or
-signs between its letters is a character lattice: each sign may stand for the letters it resembles, or for nothing; each
+signs between its letters is a character lattice of any length: each sign may stand for the letters it resembles, for
+nothing or for the end of a word; blanks between three or more single characters for nothing or the end of a word; each
 run of a letter for one, two or all of them. Viterbi decoding takes the path of least cost, the cost of the channel plus
 the negative log probability under a letter trigram model of the corpus (26 letters, a boundary and one class for all
 others, so a fixed size).
@@ -32,6 +33,7 @@ from .common import Memo, remainder, schema_with, slices, with_columns, written
 FIT_ROWS = 50_000
 FEATURES = 3_000
 Z_LEAST = 5.0
+REMEMBERED = 100
 
 #: Letters that a sign or digit resembles.
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
@@ -42,7 +44,7 @@ _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}  # 0: boundary; 27: any other
 _N = 28
 
 _PLAIN = re.compile(r"[^\W\d_]+")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_]([ .\-_*]))(?:[^\W_]\1){2,}[^\W_](?![^\W_])")
+_SPELLED = re.compile(r"[\s.\-_\"'(\[{]((?:[^\W_]|[@$!|+(€£¡*#])(?:[\s.\-_]+(?:[^\W_]|[@$!|+(€£¡*#])){2,})(?![^\W_])")  # the character before is a part, as that makes the search fast
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*#._\-~'`^/\\,:;&%]+[^\W\d_]|[0-9@$!|+(€£¡][^\W\d_]|([^\W\d_])\1\1")
 _EDGES = "\"'`.,;:?!)]}>%&*#~^_-/\\=+([{<"
 
@@ -58,29 +60,51 @@ def _costs(counts: dict[int, int]) -> np.ndarray:
     return -np.log(three)
 
 
+def _tokens(text: str) -> list[str]:
+    """The parts between blanks; three or more single characters in a row are one part, with their blanks."""
+    out, at, text = [], 0, " " + text
+    for m in _SPELLED.finditer(text):
+        out += text[at : m.start(1)].split()
+        out.append(m[1])
+        at = m.end()
+    return out + text[at:].split()
+
+
+def _before(a: tuple, b: tuple) -> bool:
+    """Whether path a's text is before path b's; both have as many steps, and only what they do not share is looked at."""
+    x, y = [], []
+    while a is not b:
+        x.append(a[1])
+        y.append(b[1])
+        a, b = a[0], b[0]
+    return "".join(reversed(x)) < "".join(reversed(y))
+
+
 class Restorer:
     def __init__(self, counts: dict[int, int]):
         self.cost = _costs(counts).tolist()
         self.words = Memo(self._word, 100_000)
 
     def _word(self, word: str) -> tuple[str, ...]:
-        """The words that a token without blanks stands for."""
+        """The words that a token stands for; one with blanks is spelled out."""
         if word.isalpha() and not _ODD.search(word):
             return (word,)
         core = word.strip(_EDGES)
         core = core if core.isalpha() or any(c.isalpha() for c in core) else word
-        if not _ODD.search(core) or len(core) > 30:
+        if sum(map(str.isalpha, core)) < 2 or not (_ODD.search(core) or _SPELLED.search(" " + core)):
             return tuple(_PLAIN.findall(core))
-        return tuple(w for w in (self.decode(core),) if w)
+        return tuple(self.decode(core).split())
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         steps, i = [], 0
         while i < len(token):
             c, j = token[i], i
-            while j < len(token) and token[j] == c:
+            while j < len(token) and (token[j] == c or c.isspace() and token[j].isspace()):
                 j += 1
             run = j - i
-            if c.isalpha():
+            if c.isspace():
+                steps.append([("", 0.5), (" ", 0.5)])
+            elif c.isalpha():
                 options = [(c * run, 0.0 if run < 3 else 3.0 * run)]
                 if run > 1:
                     options.append((c, 2.0 if run == 2 else 0.0))
@@ -88,7 +112,8 @@ class Restorer:
                     options.append((c * 2, 0.5))
                 steps.append(options)
             else:
-                options = [("", 0.5 if c in SEPARATORS else 4.0)]
+                nothing = 0.5 if c in SEPARATORS else 4.0
+                options = [("", nothing), (" ", nothing)]
                 for x in RESEMBLES.get(c, ""):
                     options.append((x, 1.0))
                     if run > 1:
@@ -99,36 +124,44 @@ class Restorer:
 
     def decode(self, token: str) -> str:
         """The least costly path; of equals the first in alphabetical order."""
-        best = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # a path is (path before, letters)
         for options in self.lattice(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, text) in best.items():
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (total, path) in best.items():
                 for letters, channel in options:
                     x, y, t = a, b, total + channel
                     for ch in letters:
+                        if ch == " ":
+                            t += self.cost[x][y][0]
+                            x = y = 0
+                            continue
                         z = _CODE.get(ch, 27)
                         t += self.cost[x][y][z]
                         x, y = y, z
-                    new = (t, text + letters)
-                    if (x, y) not in after or new < after[x, y]:
-                        after[x, y] = new
+                    new = (path, letters)
+                    known = after.get((x, y))
+                    if known is None or t < known[0] or t == known[0] and _before(new, known[1]):
+                        after[x, y] = (t, new)
             best = after
-        return min((t + self.cost[a][b][0], text) for (a, b), (t, text) in best.items())[1]
+        chosen = None
+        for (a, b), (t, path) in best.items():
+            t += self.cost[a][b][0]
+            if chosen is None or t < chosen[0] or t == chosen[0] and _before(path, chosen[1]):
+                chosen = (t, path)
+        path, out = chosen[1], []
+        while path:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> list[str]:
         """The words of the restored text, lower-cased."""
-        text = text.lower()
-        if _SPELLED.search(text):
-            text = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
-        of = self.words
-        return [w for token in text.split() for w in of[token]]
+        short = self.words
+        return [w for token in _tokens(text.lower()) for w in (short[token] if len(token) <= REMEMBERED else self._word(token))]
 
     def vocabulary(self, text: str) -> set[str]:
-        text = text.lower()
-        if _SPELLED.search(text):
-            text = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
-        of = self.words
-        return {w for token in set(text.split()) for w in of[token]}
+        short = self.words
+        return {w for token in set(_tokens(text.lower())) for w in (short[token] if len(token) <= REMEMBERED else self._word(token))}
 
 
 def features(word: str) -> list[str]:
@@ -157,7 +190,7 @@ class Model:
 
 
 def letter_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
-    """Letter trigrams of all words of letters alone."""
+    """Letter trigrams of all words of letters alone, except letters that are spelled out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[int] = Counter()
@@ -176,7 +209,7 @@ def letter_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
 
         for b in slices(batches):
             for t in b.column(text).to_pylist():
-                words.update((t or "").lower().split())
+                words.update(_SPELLED.sub(" ", " " + (t or "").lower()).split())
             if len(words) > 150_000:
                 empty()
         empty()

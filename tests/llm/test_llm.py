@@ -110,6 +110,19 @@ def test_obfuscated_words_are_restored_and_scored(spark):
     assert {r["result"] for r in toxicity.score(d.limit(3), none, column="result").collect()} == {0.0}
 
 
+def test_long_tokens_and_spelled_words_are_restored(spark):
+    rng = random.Random(15)
+    plain = ["table", "river", "window", "garden", "number", "paper", "morning", "idiot", "stupid", "shirt", "you", "are", "such", "an", "go", "away", "now"]
+    d = docs(spark, [" ".join([*rng.choices(plain, k=12), "u r", *rng.choices(plain, k=3)]) for _ in range(400)])
+    restorer = toxicity.Restorer(toxicity.letter_counts(d))
+    cases = {
+        "stu" + "u" * 40 + "pid": "stupid", "i" + "." * 40 + "diot": "idiot", "you-are-such-an-1d10t-go-away-now": "you are such an idiot go away now",
+        "s h ! r t": "shirt", "$ t u p i d": "stupid", "n o w": "now", "i  d\ti\n o  t": "idiot", "u r i d i o t": "u r idiot", "the i.d.i.o.t": "the idiot", "1 2 3 4": "",
+    }
+    assert {c: " ".join(restorer.restore(c)) for c in cases} == cases
+    assert len(restorer.decode("1!" * 20_000)) <= 80_000
+
+
 def test_held_out_uses_crc32(spark):
     got = {r["doc_id"]: r["m"] for r in docs(spark).select("doc_id", remainder(F.col("doc_id"), 5).alias("m")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(len(TEXTS))}
