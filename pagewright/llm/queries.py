@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import avi, bpe, decontam, line_dedup, secret_scan, simhash, suffix_lm, token_counts, toxicity, url_filter
-from .common import remainder, table
+from .common import remainder, table, written
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates go by their digests, so that no secret is spread further."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = secret_scan.scan(docs, secret_scan.train(secret_scan.findings(spark)), path="source")
+    words = written(secret_scan.dictionary(docs), "dictionary")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.findings(spark), words), path="source", words=words)
     return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
 
 

@@ -92,6 +92,21 @@ def test_secret_scan(spark):
     assert got == {2: True, 3: False, 4: True, 5: True, 6: False}
 
 
+def test_secret_scan_by_dictionary_path_and_late_digit(spark):
+    many = " ".join(["garden window river table"] * 20)
+    words = secret_scan.dictionary(docs(spark, [many, "zebra " * 3]))
+    assert sorted(r["word"] for r in words.collect()) == ["garden", "river", "table", "window"]
+    rows = spark.createDataFrame([("qzxvkjwbgypm", "", ""), ("gardenwindow", "", ""), ("RIVERxq-table", "", "")], "candidate string, before string, after string")
+    share = {r["candidate"]: round(r["f_words"] * len(r["candidate"])) for r in secret_scan.featured(rows, words=words).collect()}
+    assert share == {"qzxvkjwbgypm": 0, "gardenwindow": 12, "RIVERxq-table": 10}
+    model = secret_scan.train(secret_scan.findings(spark, 2_400), words)
+    secret = hashlib.sha1(b"x").hexdigest()
+    texts = [f'the token = "{secret}" and', f'the token = "{secret}" and', "the password=qzxvkjwbgypmhf then", "k" * 300 + "7"]
+    d = docs(spark, texts).withColumn("path", F.when(F.col("doc_id") == 1, "tests/unit/a.py").otherwise("src/a.py"))
+    got = {r["doc_id"]: (r["is_secret"], len(r["candidate"])) for r in secret_scan.scan(d, model, path="path", words=words).collect()}
+    assert [got[i][0] for i in range(3)] == [True, False, True] and got[3][1] == 301
+
+
 def test_obfuscated_words_are_restored_and_scored(spark):
     rng = random.Random(5)
     plain = ["table", "river", "window", "garden", "number", "paper", "morning", "idle", "ride", "dot"]
