@@ -1,4 +1,4 @@
-"""Answers as claims with citations, for a batch of questions: routing, retrieval, boosts, excerpts."""
+"""Answers as claims with citations, for a batch of questions: BM25 ranking and cited excerpts. The input type is reported and routes nothing; README lists the steps that are not built."""
 
 from __future__ import annotations
 
