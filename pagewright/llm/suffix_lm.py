@@ -1,430 +1,563 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-A text is words and an end. The tree's upper part has words as symbols: a context is the last word so far that is one of
-the MARKERS most frequent ones, and contexts whose next markers are distributed alike share a state (STATES at most; the
-text's start is one of its own), as the tree's states with one distribution would. A state's next-word distribution gives
-the mass of its number of distinct words (Witten and Bell) to that of all words, by the number of states that each follows
-(Kneser and Ney), which in turn gives that of its distinct words to the lower part: there symbols are characters, a context is the last symbols of the word so far, back to its start, which
-names the state. A context is kept if its share of all symbols is P_MIN or more and its next-symbol distribution diverges
-from that of its longest kept suffix (Kullback-Leibler, DIVERGENCE nats); kept distributions are smoothed towards the
-suffix's with SMOOTH pseudo-counts, at the root towards one for all of Unicode. Every symbol is scored from the longest
-kept suffix of what precedes it.
-
-Counting, over all training texts: markers and their successors; then words by state, by a map-side sum and one shuffle;
-then contexts level by level over the distinct words, a context only where its suffix has its share. What reaches the
-driver is at most MARKERS**2 sums, 1 / P_MIN contexts a level, 1 / FREQUENT words and each character of Unicode once, whatever the corpus. Scoring is one
-pass; words that are not among the frequent ones take their training counts by a join.
-
-Null and empty texts have the end alone. A null id counts as the empty text. Repeated rows each get a row.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+A text is a start, its words and an end. A context is the last 1 to DEPTH symbols before a word. It is a node of the tree
+if it occurs MIN_COUNT times or more in the training texts and if its next words diverge from those of its suffix, the
+context without its first symbol (Kullback-Leibler, DIVERGENCE nats or more). Next-word distributions are smoothed
+towards the suffix's by absolute discounting: P(w|c) = max(n(cw) - DISCOUNT, 0) / n(c) + DISCOUNT t(c) / n(c) P(w|suffix),
+t(c) the number of distinct next words; the root's towards a spelling model: P(w) = (n(w) + T S(w)) / (N + T), T the number
+of distinct words. So every node's distribution sums to 1 over all words there can be. A word is scored by the node of the
+longest kept context before it. The spelling model is a suffix tree too: its symbols are the bytes of UTF-8 and the word's
+end, its contexts up to LETTERS bytes back to the word's start with a share of LETTER_SHARE or more, so its size is
+bounded; the tree over words has no bound on its size and grows with the corpus.
+
+Words are 64-bit hashes and contexts hashes of hashes. Texts are dealt into blocks of BLOCK_BYTES or one text. Per round
+each block sends its distinct keys and counts, sorted and cut by ranges of the key, to the tasks that add them up, and has
+the totals back in the same order: single words and pairs first, then, for each depth, the next longer keys after
+contexts that occur often enough, together with the shares that the block has in its contexts' divergence and distinct next
+words. As keys are distinct within a block, a frequent word or context has one entry a block, and no task holds all next
+words of a context. Sums are of whole numbers, so results don't depend on how the texts are dealt. Nothing of the tree
+goes to the driver but the spelling model and two sums. Intermediate tables are in the shared folder.
+
+Null and empty texts have the end alone. Very long texts are a block of their own. Repeated rows each get a row. Without
+training texts words are scored by a spelling model of even bytes. Columns other than the text pass; those named like a
+result are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Memo, slices, written
+from .common import ASCII_LOWER, shared_folder, written
 
-DEPTH = 6
-P_MIN = 1e-5
-FREQUENT = 2e-6
-DIVERGENCE = 0.002
-SMOOTH = 4.0
+DEPTH = 2
+MIN_COUNT = 2
+DIVERGENCE = 0.02
+DISCOUNT = 0.75
 
-MARKERS = 256
-STATES = 8  # with state 0, before any marker
+LETTERS = 3
+LETTER_SHARE = 2e-4
+LETTER_SMOOTH = 4.0
+LETTER_DIVERGENCE = 0.002
 
-_STOP, _FIRST = 9, 10  # the codes below _STOP start a word in state code - 1; letters follow in order of frequency, and one code for all that training lacks
-_PACKED = 3  # depths up to this one have their contexts' symbols, of 21 bits at most, in one key
-_UNICODE = 1_114_112
+BLOCK_BYTES = 12 << 20  # of text in a block, and about 1.2 times as many of keys in a task that adds up
+FAN_OUT = 1024  # parts that a block's keys are cut into at once
+_SLICE = 1 << 20  # bytes that are cut into words at once
 
+_COUNT, _CONTEXT, _LETTER, _SIZE = range(4)  # kinds of rows
+_START, _END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # keys of the text's start and end
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_FIXED = float(1 << 12)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
+_MESSAGE = "block bigint, kind int, level int, part int, size int, keys binary, counts binary, words binary, more binary"
+_REPLY = "block bigint, kind int, level int, part int, body binary, n bigint, m bigint"
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(ASCII_LOWER).split()
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The bits of 64-bit keys spread over all of the key."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-def markers(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
-    """The most frequent words, each with its state, 1 to STATES - 1: clusters of how their next markers are distributed.
 
-    Words are counted over all texts first, by a map-side sum and one shuffle; a second pass counts the pairs of
-    neighbouring markers, at most MARKERS**2 sums a task.
-    """
+_OF_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_powers = np.ones(1, np.uint64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()).cast(pa.string()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"])
-            sums.clear()
-            return made
+def _power(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        _powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 64), _ODD))])
+    return _powers
 
-        for b in slices(batches):
-            for t in b.column(text).to_pylist():
-                sums.update(_words(t))
-            if len(sums) > 300_000:
-                yield out()
-        yield out()
 
-    words = docs.select(text).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    most = [r["word"] for r in words.orderBy(F.col("n").desc(), "word").limit(MARKERS).collect()]
-    given = docs.sparkSession.sparkContext.broadcast({w.encode() for w in most})  # MARKERS words
+def word_keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and key of each word of lower-cased bytes."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[data], [True]]).view(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    size = last - first
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    letters = data[~_BLANK[data]]
+    value = _OF_BYTE[letters] * _power(int(size.max()) if len(size) else 1)[within]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+    at = np.cumsum(size)
+    return first, last, _mixed(total[at] - total[at - size])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = given.value
-        pairs: Counter[tuple[bytes, bytes]] = Counter()
-        for b in slices(batches):
-            for t in b.column(text).to_pylist():
-                known = [w for w in _words(t) if w in top]
-                pairs.update(zip(known, known[1:], strict=False))
-        left, right = ([w.decode() for w in x] for x in zip(*pairs, strict=True)) if pairs else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "n"])
-
-    index = {w: i for i, w in enumerate(most)}
-    chosen = docs.select(text).mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect() if most else []  # MARKERS**2 rows at most
-    counts = np.zeros((len(most), len(most)))
-    for r in chosen:
-        counts[index[r["a"]], index[r["b"]]] = r["n"]
-    return dict(zip([w.encode() for w in most], _clusters(counts).tolist(), strict=True))
-
-
-def _clusters(counts: np.ndarray) -> np.ndarray:
-    """States 1 to STATES - 1 for the rows: k-means of the rows' square-rooted distributions, seeded by the farthest rows in turn, the first by the largest."""
-    if not len(counts):
-        return np.zeros(0, np.int64)
-    x = np.sqrt((counts + 1e-3) / (counts + 1e-3).sum(1, keepdims=True))
-    weight = counts.sum(1) + 1
-    centres = [x[int(weight.argmax())]]
-    while len(centres) < min(STATES - 1, len(x)):
-        d = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(x[int((d * np.sqrt(weight)).argmax())])
-    centres = np.array(centres)
-    for _ in range(50):
-        label = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        new = np.array([np.average(x[label == k], axis=0, weights=weight[label == k]) if (label == k).any() else centres[k] for k in range(len(centres))])
-        if np.allclose(new, centres):
-            break
-        centres = new
-    return label + 1
-
-
-def word_counts(docs: DataFrame, state_of: dict[bytes, int], text: str = "text") -> DataFrame:
-    """(word, by): counts of each word by the state before it, an array of STATES. The end of a text is the empty word."""
-    given = docs.sparkSession.sparkContext.broadcast(state_of)  # MARKERS words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state_of = given.value
-        sums: Counter[tuple[bytes, int]] = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([w for w, _ in sums], pa.binary()).cast(pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["word", "state", "n"])
-            sums.clear()
-            return made
-
-        for b in slices(batches):
-            for t in b.column(text).to_pylist():
-                ws = _words(t)
-                ws.append(b"")
-                sums.update(zip(ws, _states(ws, state_of), strict=True))
-            if len(sums) > 300_000:
-                yield out()
-        yield out()
-
-    sums = docs.select(text).mapInArrow(run, "word string, state int, n bigint")
-    by = F.array(*(F.sum(F.when(F.col("state") == k, F.col("n")).otherwise(0)) for k in range(STATES)))
-    return sums.groupBy("word").agg(by.alias("by"))
-
-
-def _states(words: list[bytes], state_of: dict[bytes, int]) -> list[int]:
-    """The state before each word."""
-    out, k = [], 0
-    get = state_of.get
-    for w in words:
-        out.append(k)
-        k = get(w, k)
-    return out
+def _pack(a: np.ndarray) -> bytes:
+    """64-bit values, byte by byte of equal weight, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype("<i8" if a.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(b: bytes, kind=np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.uint64), dtype=np.uint64)
+
 
+def _squeeze(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
 
-def _bits(codes: dict[str, int]) -> int:
-    """Bits of a symbol; 21 hold all of Unicode."""
-    return (_FIRST + len(codes)).bit_length()
 
+def _expand(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
 
-def _symbols(words: list[str], states: np.ndarray, codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, letters and stop of all words in a row, each symbol's distance from its word's start, and where the words start."""
-    text = "\n".join(words) + "\n"  # no word holds a line end
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    distinct, place = np.unique(points, return_inverse=True)
-    coded = np.array([_STOP if x == 10 else codes[chr(x)] for x in distinct.tolist()], np.int64)[place]
-    stops = np.flatnonzero(points == 10)
-    starts = np.concatenate([[0], stops[:-1] + 1])
-    symbols = np.insert(coded, starts, states + 1)
-    begin = starts + np.arange(len(starts))
-    distance = np.arange(len(symbols)) - np.repeat(begin, np.diff(np.append(begin, len(symbols))))
-    return symbols, distance, begin
 
+# blocks
 
-def _grams(words: DataFrame, codes: dict[str, int], depths: range, levels: list[np.ndarray]) -> DataFrame:
-    """(depth, key, symbol, n): counts of context and next symbol. A context's key is its symbols, packed, up to _PACKED of
-    them; beyond, its first symbol and the place of the rest in the level before. levels holds the sorted keys of _PACKED
-    and of each depth after it; contexts whose rest is not there are left out."""
-    given = words.sparkSession.sparkContext.broadcast((codes, levels))
+
+def blocks(docs: DataFrame, text: str, train: str, size: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each block: block, rows (the other columns), lengths, train, keys of its distinct symbols, their words, and the symbols of its texts in a row."""
+    others = ", ".join(f"c{i}: {f.dataType.simpleString()}" for i, f in enumerate(f for f in docs.schema.fields if f.name not in (text, train)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, levels = given.value
-        bits = _bits(codes)
-        for b in batches:
-            if not b.num_rows:
+        at, held, seen = TaskContext.get().partitionId() << 24, [], 0
+        for batch in batches:
+            texts = batch.column(text).cast(pa.large_string())
+            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, np.int64)
+            first = 0
+            for i, n in enumerate(sizes.tolist()):
+                if seen and seen + n > size:
+                    yield _block(at, held + [batch.slice(first, i - first)], text, train)
+                    at, held, seen, first = at + 1, [], 0, i
+                seen += n + 1
+            held.append(batch.slice(first))
+        if seen:
+            yield _block(at, held, text, train)
+
+    return docs.mapInArrow(run, f"block bigint, rows array<struct<{others}>>, lengths binary, train binary, keys binary, words binary, symbols binary")
+
+
+def _block(block: int, batches: list[pa.RecordBatch], text: str, train: str) -> pa.RecordBatch:
+    table = pa.Table.from_batches([b for b in batches if b.num_rows]).combine_chunks()
+    texts = [t.as_py() or "" for t in table.column(text)]
+    seen: dict[int, bytes] = {}
+    keys, lengths, i = [], [], 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + 4 * len(texts[j]) < _SLICE):
+            n += 4 * len(texts[j])
+            j += 1
+        raw = [t.encode() for t in texts[i:j]]
+        data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+        first, last, key = word_keys(data)
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        counts = np.diff(np.searchsorted(first, ends), prepend=0)
+        distinct, place = np.unique(key, return_index=True)
+        low = data.tobytes()
+        for k, a, b in zip(distinct.tolist(), first[place].tolist(), last[place].tolist(), strict=True):
+            if k not in seen:
+                seen[k] = low[a:b]
+        keys.append(_framed(key, counts))
+        lengths.append(counts + 2)
+        i = j
+    symbols, distinct = np.concatenate(keys), np.array(sorted([*seen, _START, _END]), np.uint64)
+    seen[_START] = seen[_END] = b""
+    joined = b" ".join(seen[k] for k in distinct.tolist()) + b" "
+    ids = np.searchsorted(distinct, symbols).astype(np.uint32)
+    often = np.argsort(-np.bincount(ids, minlength=len(distinct)), kind="stable")  # small numbers for frequent symbols, as these compress
+    rank = np.empty(len(distinct), np.int64)
+    rank[often] = np.arange(len(distinct))
+    flags = np.array([bool(x) for x in table.column(train).to_pylist()], np.int64)
+    rest = table.drop_columns([text, train])
+    rows = pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) for c in rest.columns], names=[f"c{i}" for i in range(rest.num_columns)])
+    made = {
+        "block": pa.array([block], pa.int64()), "rows": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), rows), "lengths": pa.array([_pack(np.concatenate(lengths))], pa.binary()),
+        "train": pa.array([_pack(flags)], pa.binary()), "keys": pa.array([_pack_keys(distinct)], pa.binary()), "words": pa.array([_squeeze(joined)], pa.binary()), "symbols": pa.array([_pack(np.concatenate([often, rank[ids]]))], pa.binary()),
+    }
+    return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+
+def _framed(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys of all words with a start before and an end after each text; counts: each text's words."""
+    out = np.empty(len(words) + 2 * len(counts), np.uint64)
+    size = counts + 2
+    at = np.cumsum(size) - size
+    inner = np.ones(len(out), bool)
+    inner[at] = inner[at + size - 1] = False
+    out[at], out[at + size - 1], out[inner] = _START, _END, words
+    return out
+
+
+class Walk:
+    """A block's symbols and, as far as replies are there, the totals of its keys."""
+
+    def __init__(self, row: dict, replies: dict[tuple[int, int], np.ndarray], depth: int, least: int):
+        self.depth, self.least = depth, least
+        lengths = _unpack(row["lengths"])
+        self.uniq = [None, _unpack_keys(row["keys"])]
+        packed = _unpack(row["symbols"])
+        often, ranked = packed[: len(self.uniq[1])], packed[len(self.uniq[1]) :]
+        self.words = row["words"]
+        self.lengths, self.first = lengths, np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        self.pos = np.arange(total) - np.repeat(self.first, lengths)
+        self.train = np.repeat(_unpack(row["train"]).astype(bool), lengths)
+        self.ends = np.zeros(total, bool)
+        self.ends[self.first + lengths - 1] = True
+        # by level: the asked positions, the place of their key among the distinct ones, the replies
+        self.at = [None, np.arange(total)]
+        self.inv = [None, often[ranked]]
+        self.replies, self.n = replies, [None]
+        keys = symbol = self.uniq[1][self.inv[1]]
+        self._count(1)
+        for level in range(2, depth + 2):
+            asked = self.pos >= level - 1
+            if level > 2:
+                if self.n[level - 1] is None:
+                    break
+                asked[1:] &= self.n[level - 1][:-1] >= least
+            keys = np.concatenate([np.zeros(1, np.uint64), _mixed(keys[:-1] * _ODD + symbol[1:])]) if total else keys
+            at = np.flatnonzero(asked)
+            uniq, inv = np.unique(keys[at], return_inverse=True)
+            self.at.append(at)
+            self.uniq.append(uniq)
+            self.inv.append(inv)
+            self._count(level)
+
+    def _count(self, level: int) -> None:
+        """n[level]: how often the key that ends at a position occurs in the training texts; 0 where not asked."""
+        reply = self.replies.get((_COUNT, level))
+        if reply is None:
+            self.n.append(None)
+            return
+        n = np.zeros(len(self.pos), np.int64)
+        n[self.at[level]] = (reply >> 1)[self.inv[level]]
+        self.n.append(n)
+
+    def own(self, level: int) -> np.ndarray:
+        """The block's own training counts of its distinct keys."""
+        return np.bincount(self.inv[level][self.train[self.at[level]]], minlength=len(self.uniq[level]))
+
+    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of symbols after a context of that level, the context's place among the block's contexts, and the places of these among the distinct keys."""
+        before = np.flatnonzero(~self.ends & (self.n[level] >= self.least) & (self.pos >= level - 1))
+        inverse = np.zeros(len(self.pos), np.int64)
+        inverse[self.at[level]] = self.inv[level]
+        there = np.zeros(len(self.uniq[level]), bool)
+        there[inverse[before]] = True
+        place = np.cumsum(there) - 1
+        return before + 1, place[inverse[before]], np.flatnonzero(there)
+
+    def root(self, spelling: Spelling, total: int, types: int) -> np.ndarray:
+        """P(symbol) at each position."""
+        spelled = np.exp(spelling.words(_expand(self.words)))
+        n = self.replies[_COUNT, 1] >> 1
+        p = (n + types * spelled) / (total + types) if total else spelled
+        return p[self.inv[1]]
+
+    def smoothed(self, level: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P after contexts of that level, towards `below` where there is none; the positions after contexts, and which contexts are kept."""
+        after, ctx, _ = self.contexts(level)
+        reply = self.replies[_CONTEXT, level]
+        n = self.n[level][after - 1].astype(float)
+        own = np.maximum(self.n[level + 1][after] - DISCOUNT, 0.0)
+        out = below.copy()
+        out[after] = own / n + DISCOUNT * (reply >> 1)[ctx] / n * below[after]
+        return out, after, (reply & 1).astype(bool)[ctx]
+
+
+# the spelling model
+
+
+class Spelling:
+    """Natural log probabilities of the next byte after the longest kept context; a blank is the word's end."""
+
+    def __init__(self, grams: dict[int, dict[int, int]]):
+        legal = ~_BLANK
+        legal[32] = True
+        root = np.zeros(256)
+        for b, n in grams.get(1, {}).items():
+            root[b] = n
+        rows = [np.where(legal, (root + 1) / (root.sum() + legal.sum()), 0.0)]
+        self.kept = {1: 0}
+        for context in sorted(grams):
+            if context == 1:
                 continue
-            symbols, distance, begin = _symbols(b.column("word").to_pylist(), b.column("state").to_numpy(), codes)
-            weight = np.repeat(b.column("n").to_numpy(), np.diff(np.append(begin, len(symbols))))
-            for depth in depths:
-                at = np.flatnonzero((distance >= max(depth, 1)))
-                key = np.zeros(len(at), np.int64)
-                for k in range(min(depth, _PACKED), 0, -1):
-                    key = key << bits | symbols[at - k]
-                for k in range(_PACKED + 1, depth + 1):
-                    level = levels[k - _PACKED - 1]
-                    place = np.minimum(np.searchsorted(level, key), len(level) - 1)
-                    known = level[place] == key if len(level) else np.zeros(len(key), bool)
-                    at, place = at[known], place[known]
-                    key = symbols[at - k] << 32 | place
-                symbol, w = symbols[at], weight[at]
-                order = np.lexsort((symbol, key))
-                key, symbol, w = key[order], symbol[order], w[order]
-                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (symbol[1:] != symbol[:-1])]) if len(key) else np.zeros(0, np.int64)
-                n = np.add.reduceat(w, first) if len(first) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), depth, np.int32)), pa.array(key[first]), pa.array(symbol[first].astype(np.int32)), pa.array(n)], names=["depth", "key", "symbol", "n"])
-
-    return words.mapInArrow(run, "depth int, key bigint, symbol int, n bigint").groupBy("depth", "key", "symbol").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """Contexts and next symbols as packed integers; .probability: context and symbol to log10; .lost: context to log10 of what its suffix's distribution is multiplied by."""
-
-    def __init__(self, codes: dict[str, int], counts: dict[int, dict[int, dict[int, int]]]):
-        self.codes, self.probability, self.lost = codes, {}, {}
-        self.bits, self.other = _bits(codes), _FIRST + len(codes)
-        self.kept: dict[int, int] = {0: 0}  # context to its length
-        root = counts.get(0, {}).get(0, {})
-        total = sum(root.values())
-        alphabet = [_STOP, self.other, *codes.values()]
-        dense: dict[int, dict[int, float]] = {}
-        base = {s: (root.get(s, 0) + 1) / (total + len(alphabet)) for s in alphabet}
-        self._put(0, 0, base, 1.0)
-        dense[0] = base
-        for depth in sorted(d for d in counts if d):
-            for context, after in sorted(counts[depth].items()):
-                up = self.suffix(context, depth)
-                n = sum(after.values())
-                parent = dense[up]
-                if sum(c / n * math.log(c / n / self._of(parent, up, s, dense)) for s, c in after.items()) < DIVERGENCE:
-                    continue
-                own = {s: (c + SMOOTH * self._of(parent, up, s, dense)) / (n + SMOOTH) for s, c in after.items()}
-                self.kept[context] = depth
-                dense[context] = own
-                self._put(context, depth, own, SMOOTH / (n + SMOOTH))
-        del dense
-
-    def suffix(self, context: int, length: int) -> int:
-        """The longest kept context that is a proper suffix."""
-        while length > 0:
-            length -= 1
-            context &= (1 << self.bits * length) - 1
-            if self.kept.get(context) == length:
-                return context
+            up, n = rows[self._suffix(context)], sum(grams[context].values())
+            c = np.zeros(256)
+            c[list(grams[context])] = list(grams[context].values())
+            some = c > 0
+            if (c[some] / n * np.log(c[some] / n / up[some])).sum() < LETTER_DIVERGENCE:
+                continue
+            self.kept[context] = len(rows)
+            rows.append((c + LETTER_SMOOTH * up) / (n + LETTER_SMOOTH))
+        with np.errstate(divide="ignore"):
+            self.log = np.log(np.array(rows))
+        self.short = [np.full(256**d, -1, np.int32) for d in range(3)]
+        for context, row in self.kept.items():
+            d = (context.bit_length() - 1) // 8
+            if d < 3:
+                self.short[d][context - (1 << 8 * d)] = row
+        self.long = []
+        for d in range(3, LETTERS + 1):
+            found = sorted((c - (1 << 8 * d), r) for c, r in self.kept.items() if (c.bit_length() - 1) // 8 == d)
+            self.long.append((np.array([c for c, _ in found], np.int64), np.array([r for _, r in found], np.int32)))
+
+    def _suffix(self, context: int) -> int:
+        d = (context.bit_length() - 1) // 8
+        while d:
+            d -= 1
+            context = (context & ((1 << 8 * d) - 1)) | 1 << 8 * d
+            if context in self.kept:
+                return self.kept[context]
         return 0
 
-    def _of(self, own: dict[int, float], context: int, symbol: int, dense: dict) -> float:
-        scale = 1.0
-        while symbol not in own:
-            scale *= 10 ** self.lost[context]
-            context = self.suffix(context, self.kept[context])
-            own = dense[context]
-        return scale * own[symbol]
-
-    def _put(self, context: int, length: int, own: dict[int, float], lost: float) -> None:
-        self.lost[context] = math.log10(lost)
-        for s, p in own.items():
-            self.probability[context << self.bits | s] = math.log10(p)
-
-    def step(self, context: int, length: int, symbol: int) -> float:
-        """log10 probability of a symbol after the context's longest kept suffix."""
-        kept, total = self.kept, 0.0
-        while kept.get(context) != length:
-            length -= 1
-            context &= (1 << self.bits * length) - 1
-        while True:
-            p = self.probability.get(context << self.bits | symbol)
-            if p is not None:
-                return total + p
-            total += self.lost[context]
-            length -= 1
-            context &= (1 << self.bits * length) - 1
-            while kept.get(context) != length:
-                length -= 1
-                context &= (1 << self.bits * length) - 1
-
-    def move(self, key: int) -> tuple[float, int]:
-        """For a context and the symbol after it, packed: the symbol's log10 probability and the next context. No code is 0, so a context's size tells its length."""
-        context, symbol = key >> self.bits, key & ((1 << self.bits) - 1)
-        length = -(-context.bit_length() // self.bits)
-        p = self.step(context, length, symbol)
-        if symbol == self.other:
-            p -= math.log10(_UNICODE)
-        return p, key & ((1 << self.bits * min(length + 1, DEPTH)) - 1)
-
-    def word(self, word: bytes, state: int) -> float:
-        """log10 probability of a word's letters and its end after a start in the state."""
-        context, total, codes, moves, bits, other = state + 1, 0.0, self.codes, self.moves, self.bits, self.other
-        for ch in word.decode():
-            p, context = moves[context << bits | codes.get(ch, other)]
-            total += p
-        return total + moves[context << bits | _STOP][0]
-
-
-def grow(words: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> Tree:
-    """words: (word, state, n)."""
+    def words(self, joined: bytes) -> np.ndarray:
+        """ln S of each word of those that end with a blank."""
+        data, contexts, size = _letters(joined)
+        row = np.zeros(len(data), np.int32)
+        for d in range(1, LETTERS + 1):
+            context = contexts & ((1 << 8 * d) - 1)
+            if d < 3:
+                found = np.where(size >= d, self.short[d][context], -1)
+            else:
+                keys, rows = self.long[d - 3]
+                place = np.minimum(np.searchsorted(keys, context), max(len(keys) - 1, 0))
+                found = np.where((size >= d) & (keys[place] == context), rows[place], -1) if len(keys) else np.full(len(data), -1)
+            row = np.where(found >= 0, found, row)
+        ends = np.flatnonzero(data == 32)
+        return np.add.reduceat(self.log[row, data], np.concatenate([[0], ends[:-1] + 1])) if len(ends) else np.zeros(0)
+
+
+def _letters(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words that end with a blank, the LETTERS bytes before each, and how many of these belong to the word and the blank before it."""
+    data = np.frombuffer(joined, np.uint8)
+    before = np.concatenate([np.full(LETTERS, 32, np.uint8), data])
+    contexts = np.zeros(len(data), np.int64)
+    for k in range(LETTERS):
+        contexts = contexts << 8 | before[k : k + len(data)]
+    blank = np.concatenate([[-1], np.flatnonzero(data == 32)])
+    at = np.arange(len(data))
+    last = blank[np.searchsorted(blank, at) - 1] if len(data) else at
+    return data, contexts, np.minimum(at - last, LETTERS)
+
+
+def letter_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Longest contexts with their next byte, packed after a 1, and their counts."""
+    data, contexts, size = _letters(b" ".join(words) + b" " if words else b"")
+    context = (contexts & ((1 << 8 * size) - 1)) | 1 << 8 * size
+    return np.unique(context << 8 | data, return_counts=True)
+
+
+def _spelling(replies: DataFrame) -> Spelling:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body in b.column("body").to_pylist():
+                packed, n = _unpack(body).reshape(2, -1)
+                for d in range(LETTERS + 1):
+                    context = packed >> 8
+                    here = context >= 1 << 8 * d
+                    key = ((context[here] & ((1 << 8 * d) - 1)) | 1 << 8 * d) << 8 | packed[here] & 255
+                    distinct, place = np.unique(key, return_inverse=True)
+                    sums = np.bincount(place, n[here], len(distinct)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(distinct >> 8), pa.array((distinct & 255).astype(np.int32)), pa.array(sums)], names=["context", "letter", "n"])
+
+    sums = written(replies.filter(F.col("kind") == _LETTER).select("body").mapInArrow(run, "context bigint, letter int, n bigint").groupBy("context", "letter").agg(F.sum("n").alias("n")), "letters")
+    total = sums.filter("context = 1").agg(F.sum("n")).first()[0] or 0
+    often = sums.groupBy("context").agg(F.sum("n").alias("of")).filter(F.col("of") >= max(1, LETTER_SHARE * total)).select("context")
+    grams: dict[int, dict[int, int]] = {}
+    for r in sums.join(often, "context").collect():  # at most LETTERS / LETTER_SHARE contexts of 256 letters
+        grams.setdefault(r["context"], {})[r["letter"]] = r["n"]
+    return Spelling(grams)
+
 
+# messages and replies
+
+
+def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the parts of sorted keys begin, and the end."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+def _message(block: int, kind: int, level: int, part: int, keys: np.ndarray, counts: np.ndarray, words: bytes | None = None, more: np.ndarray | None = None) -> tuple:
+    return block, kind, level, part, len(keys), _pack_keys(keys), _pack(counts), words if words is None else _squeeze(words), None if more is None else _pack(more)
+
+
+def _messages(block: int, kind: int, level: int, parts: int, keys: np.ndarray, counts: np.ndarray, words: list[bytes] | None = None, more: np.ndarray | None = None) -> Iterator[tuple]:
+    cut = _cut(keys, parts)
+    for k in range(parts):
+        at = slice(int(cut[k]), int(cut[k + 1]))
+        if at.stop > at.start:
+            yield _message(block, kind, level, k, keys[at], counts[at], None if words is None else b" ".join(words[at]) + b" ", None if more is None else more[at])
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
+def _first_round(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter[str] = Counter()
-        total = 0
         for b in batches:
-            for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
-                for ch in w:
-                    sums[ch] += n
-                total += n * (len(w) + 1)
-        sums[""] = total
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["letter", "n"])
-
-    letters = written(words.mapInArrow(run, "letter string, n bigint").groupBy("letter").agg(F.sum("n").alias("n")), "letters")
-    total = letters.filter("letter = ''").agg(F.sum("n")).first()[0] or 0
-    most = letters.filter("letter <> ''").orderBy(F.col("n").desc(), "letter").collect()  # Unicode's characters at most
-    codes = {r["letter"]: _FIRST + i for i, r in enumerate(most)}
-    bits, least = _bits(codes), max(1, math.ceil(p_min * total))
-    counts: dict[int, dict[int, dict[int, int]]] = {}
-    levels: list[np.ndarray] = []
-    whole: list[int] = []  # the packed symbols of the last level's contexts
-    for depths in (range(0, min(_PACKED, depth) + 1), *(range(d, d + 1) for d in range(_PACKED + 1, depth + 1))):
-        grams = written(_grams(words, codes, depths, levels), "grams")
-        contexts = grams.groupBy("depth", "key").agg(F.sum("n").alias("of")).filter(F.col("of") >= least)
-        found = grams.join(contexts, ["depth", "key"]).select("depth", "key", "symbol", "n").toArrow()  # at most 1 / p_min contexts a level
-        last = np.unique(found.column("key").to_numpy()[found.column("depth").to_numpy() == depths[-1]])
-        for d, k, c, n in zip(*(found.column(x).to_pylist() for x in ("depth", "key", "symbol", "n")), strict=True):
-            context = k if d <= _PACKED else (k >> 32) << bits * (d - 1) | whole[k & 0xFFFFFFFF]
-            counts.setdefault(d, {}).setdefault(context, {})[c] = n
-        whole = [k if depths[-1] <= _PACKED else (k >> 32) << bits * (depths[-1] - 1) | whole[k & 0xFFFFFFFF] for k in last.tolist()]
-        levels.append(last)
-    return Tree(codes, counts)
-
-
-class Model:
-    """What a worker scores with."""
-
-    def __init__(self, tree: Tree, state_of: dict[bytes, int], common: dict[bytes, list[int]], by_state: list[int], types_by_state: list[int], types: int):
-        tree.moves = Memo(tree.move, 300_000)
-        self.tree, self.state_of, self.common, self.by_state, self.types_by_state = tree, state_of, common, by_state, types_by_state
-        self.total, self.types = sum(by_state), types
-        self.denominator = math.log10(self.total + types + 1)
-        self.spelled = Memo(lambda key: tree.word(*key), 400_000)
-        self.seen = Memo(self._seen, 200_000)
-        self.base = {w: math.log10(sum(by) + 1) - self.denominator for w, by in common.items()}
-
-    def mixed(self, by: list[int], state: int, spelled: float) -> float:
-        """log10 of the mixture for a word with these counts by state."""
-        after = sum(1 for n in by if n)
-        everywhere = (after + self.types * 10**spelled) / (sum(self.types_by_state) + self.types) if self.total else 10**spelled
-        n, t = self.by_state[state], self.types_by_state[state]
-        return math.log10((by[state] + t * everywhere) / (n + t) if n else everywhere)
-
-    def _seen(self, key: tuple[bytes, int]) -> float:
-        word, state = key
-        return self.mixed(self.common[word], state, self.tree.word(word, state))
-
-
-_models: dict[int, Model] = {}
-
-
-def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of docs: doc_id, n_tokens, n_known, train_tokens long, base_score, score double."""
-    spark = docs.sparkSession
-    state_of = markers(train, text)
-    words = written(word_counts(train, state_of, text), "words")
-    size = words.agg(F.count("*"), *(F.sum(F.col("by")[k]) for k in range(STATES)), *(F.count_if(F.col("by")[k] > 0) for k in range(STATES))).first()
-    types, by_state, types_by_state = size[0], [n or 0 for n in size[1 : STATES + 1]], list(size[STATES + 1 :])
-    total = sum(by_state)
-    n = F.aggregate("by", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    frequent = words.filter((n >= max(1, math.ceil(FREQUENT * total))) | (F.col("word") == "")).toArrow()  # at most 1 / FREQUENT words and the end
-    common = dict(zip([w.encode() for w in frequent.column("word").to_pylist()], frequent.column("by").to_pylist(), strict=True))
-    common.setdefault(b"", [0] * STATES)
-    spelt = words.filter("word <> ''").select("word", F.posexplode("by").alias("state", "n")).filter("n > 0")
-    given = spark.sparkContext.broadcast((grow(spelt), state_of, common, by_state, types_by_state, types))
-    key = given.id if hasattr(given, "id") else id(given)
+            for i in range(b.num_rows):
+                row = {n: b.column(n)[i].as_py() for n in ("block", "lengths", "train", "keys", "words", "symbols")}
+                walk = Walk(row, {}, 1, MIN_COUNT)
+                words = _expand(walk.words).split(b" ")
+                yield _batch(list(_messages(row["block"], _COUNT, 1, parts, walk.uniq[1], walk.own(1), words)), _MESSAGE)
+                yield _batch(list(_messages(row["block"], _COUNT, 2, parts, walk.uniq[2], walk.own(2))), _MESSAGE)
+
+    return run
+
+
+def _replies_of(table: pa.Table) -> dict[tuple[int, int], np.ndarray]:
+    found: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+    for kind, level, part, body in zip(*(table.column(n).to_pylist() for n in ("kind", "level", "part", "body")), strict=True):
+        found.setdefault((kind, level), []).append((part, body))
+    return {k: np.concatenate([_unpack(body) for _, body in sorted(v)]) for k, v in found.items()}
+
+
+def _later_round(level: int, parts: int, depth: int, given, total: int, types: int):
+    """Asks for keys of level + 1 symbols, if depth allows, and for contexts of level - 1."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.select(["block", "lengths", "train", "keys", "words", "symbols"]).to_pylist():
+            walk = Walk(row, _replies_of(right), min(level, depth), MIN_COUNT)
+            if level <= depth:
+                rows += _messages(row["block"], _COUNT, level + 1, parts, walk.uniq[level + 1], walk.own(level + 1))
+            below = walk.root(given.value, total, types)
+            for k in range(1, level - 1):
+                below, _, _ = walk.smoothed(k, below)
+            after, ctx, places = walk.contexts(level - 1)
+            trained = walk.train[after]
+            at, of = after[trained], ctx[trained]
+            ratio = np.log(walk.n[level][at] / walk.n[level - 1][at - 1] / below[at]) - DIVERGENCE
+            share = np.bincount(of, np.round(ratio * _FIXED), len(places)).astype(np.int64)  # whole numbers, so the order of adding up does not matter
+            first = (walk.replies[_COUNT, level] & 1).astype(bool)
+            context_of = np.zeros(len(walk.uniq[level]), np.int64)
+            key = np.zeros(len(walk.pos), np.int64)
+            key[walk.at[level]] = walk.inv[level]
+            context_of[key[after]] = ctx
+            there = np.zeros(len(first), bool)
+            there[key[after]] = True
+            distinct = np.bincount(context_of[first & there], minlength=len(places))
+            rows += _messages(row["block"], _CONTEXT, level - 1, parts, walk.uniq[level - 1][places], distinct, more=share)
+        return pa.Table.from_batches([_batch(rows, _MESSAGE)])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Adds up what all blocks sent of one part; replies in each block's own order."""
+    out = []
+    messages: dict[tuple[int, int], list[dict]] = {}
+    for r in table.to_pylist():
+        messages.setdefault((r["kind"], r["level"]), []).append(r)
+    for (kind, level), rows in sorted(messages.items()):
+        rows.sort(key=lambda r: r["block"])
+        keys, counts = np.concatenate([_unpack_keys(r["keys"]) for r in rows]), np.concatenate([_unpack(r["counts"]) for r in rows])
+        distinct, place = np.unique(keys, return_inverse=True)
+        total = np.bincount(place, counts, len(distinct)).astype(np.int64)
+        if kind == _COUNT:
+            some = np.flatnonzero(counts > 0)
+            flag = np.zeros(len(keys), np.int64)
+            flag[some[np.unique(place[some], return_index=True)[1]]] = 1  # the first block that has the key in a training text counts it as distinct
+            body = total[place] << 1 | flag
+        else:
+            body = (total << 1 | (np.bincount(place, np.concatenate([_unpack(r["more"]) for r in rows]), len(distinct)) >= 0))[place]
+        ends = np.cumsum([r["size"] for r in rows])
+        for r, end in zip(rows, ends.tolist(), strict=True):
+            out.append((r["block"], kind, level, r["part"], _pack(body[end - r["size"] : end]), None, None))
+        if kind == _COUNT and level == 1:
+            words = [w for r in rows for w in _expand(r["words"]).split(b" ")[:-1]]
+            first = np.zeros(len(distinct), np.int64)
+            first[place[::-1]] = np.arange(len(keys))[::-1]
+            seen = np.flatnonzero((total > 0) & (distinct != _START))
+            out.append((None, _SIZE, 0, rows[0]["part"], None, int(total[seen].sum()), len(seen)))
+            out.append((None, _LETTER, 0, rows[0]["part"], _pack(np.concatenate(letter_grams([words[i] for i in first[seen].tolist() if words[i]]))), None, None))
+    return pa.Table.from_batches([_batch(out, _REPLY)])
+
+
+def _finer(coarse: int, parts: int):
+    """Cuts messages of `coarse` parts into `parts`, a multiple."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*given.value)
-        model = _models[key]
-        base, seen, spelled, state_of, ended = model.base, model.seen, model.spelled, model.state_of, sum(model.common[b""]) > 0
-        at = TaskContext.get().partitionId() << 36
-        for b in slices(batches):
-            rare_rows, rare, rare_n, tokens, known, bases, scores = [], [], [], [], [], [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                ws = _words(t)
-                ws.append(b"")
-                pairs = list(zip(ws, _states(ws, state_of), strict=True))
-                others = Counter(p for p in pairs if p[0] not in base)
-                rare_rows += [at + i] * len(others)
-                rare += others
-                rare_n += others.values()
-                common_pairs = [p for p in pairs if p[0] in base]
-                tokens.append(len(ws))
-                known.append(len(common_pairs) - (not ended))
-                bases.append(math.fsum([base[w] for w, _ in common_pairs]))
-                scores.append(math.fsum(map(seen.__getitem__, common_pairs)))
-            rows, n = b.num_rows, len(rare)
-            none = lambda kind, k: pa.nulls(k, kind)
-            columns = {
-                "row": pa.concat_arrays([pa.array(np.arange(at, at + rows)), pa.array(rare_rows, pa.int64())]),
-                "doc_id": pa.concat_arrays([b.column("doc_id"), none(b.column("doc_id").type, n)]),
-                "n_tokens": pa.concat_arrays([pa.array(tokens, pa.int64()), none(pa.int64(), n)]),
-                "n_known": pa.concat_arrays([pa.array(known, pa.int64()), none(pa.int64(), n)]),
-                "base": pa.concat_arrays([pa.array(bases, pa.float64()), none(pa.float64(), n)]),
-                "score": pa.concat_arrays([pa.array(scores, pa.float64()), none(pa.float64(), n)]),
-                "word": pa.concat_arrays([none(pa.string(), rows), pa.array([w for w, _ in rare], pa.binary()).cast(pa.string())]),
-                "state": pa.concat_arrays([none(pa.int32(), rows), pa.array([k for _, k in rare], pa.int32())]),
-                "spelled": pa.concat_arrays([none(pa.float64(), rows), pa.array([spelled[p] for p in rare], pa.float64())]),
-                "tf": pa.concat_arrays([none(pa.int64(), rows), pa.array(rare_n, pa.int64())]),
-            }
-            at += rows
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    kind = dict(docs.dtypes)[doc_id]
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    schema = f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, word string, state int, spelled double, tf bigint"
-    passed = written(narrow.mapInArrow(run, schema), "scored")  # written once, so that row is the same wherever it is read
-    rare = passed.filter(F.col("tf").isNotNull()).select("row", "word", "state", "spelled", "tf").join(words, "word", "left")
-    c, own = F.coalesce(n, F.lit(0)), F.coalesce(F.get("by", F.col("state")), F.lit(0))
-    after = F.coalesce(F.size(F.filter("by", lambda x: x > 0)), F.lit(0))
-    spelled = F.pow(F.lit(10.0), "spelled")
-    everywhere = (F.when(F.col("by").isNull(), 0).otherwise(after) + types * spelled) / (sum(types_by_state) + types) if total else spelled
-    at_state = lambda xs: F.get(F.array(*(F.lit(x) for x in xs)), F.col("state"))
-    mixed = F.when(at_state(by_state) > 0, (own + at_state(types_by_state) * everywhere) / (at_state(by_state) + at_state(types_by_state))).otherwise(everywhere)
+        for b in batches:
+            for r in b.to_pylist():
+                keys, words = _unpack_keys(r["keys"]), None if r["words"] is None else _expand(r["words"]).split(b" ")
+                more = None if r["more"] is None else _unpack(r["more"])
+                cut = _cut(keys, parts)
+                counts, by = _unpack(r["counts"]), parts // coarse
+                rows = []
+                for k in range(r["part"] * by, (r["part"] + 1) * by):
+                    at = slice(int(cut[k]), int(cut[k + 1]))
+                    if at.stop > at.start:
+                        rows.append(_message(r["block"], r["kind"], r["level"], k, keys[at], counts[at], None if words is None else b" ".join(words[at]) + b" ", None if more is None else more[at]))
+                yield _batch(rows, _MESSAGE)
+
+    return run
+
+
+def _answered(messages: DataFrame, sent: int, parts: int, name: str) -> DataFrame:
+    if sent < parts:  # so that a block never sends more than FAN_OUT rows at once
+        messages = messages.repartition("part").mapInArrow(_finer(sent, parts), _MESSAGE)
+    return written(messages.groupBy("part").applyInArrow(_added, _REPLY), name)
+
+
+def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each row of docs its other columns, n_tokens, n_known, train_tokens long, base_score, score double. train: which rows are learned from."""
+    spark = docs.sparkSession
+    names = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "train_tokens", "base_score", "score", "__train")]
+    narrow = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").cast("string").alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"))
+    size = narrow.agg(F.sum(F.octet_length("__text") + 1)).first()[0] or 0
+    parts = max(1, math.ceil(size / block_bytes))
+    sent = parts if parts <= FAN_OUT else FAN_OUT
+    parts = math.ceil(parts / sent) * sent
+    # bucketed, so that no join moves the blocks themselves
+    name = f"pagewright_blocks_{uuid.uuid4().hex}"
+    dealt = blocks(narrow, "__text", "__train", block_bytes)
+    dealt.write.bucketBy(parts, "block").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    replies = _answered(table.drop("rows").mapInArrow(_first_round(sent), _MESSAGE), sent, parts, "replies")
+    sizes = replies.filter(F.col("kind") == _SIZE).agg(F.sum("n"), F.sum("m")).first()
+    total, types = sizes[0] or 0, sizes[1] or 0
+    given = spark.sparkContext.broadcast(_spelling(replies))  # LETTERS / LETTER_SHARE contexts at most
+    replies = replies.filter("block IS NOT NULL").select("block", "kind", "level", "part", "body")
+    for level in range(2, depth + 2):
+        more = table.drop("rows").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_later_round(level, sent, depth, given, total, types), _MESSAGE)
+        replies = replies.unionByName(_answered(more, sent, parts, "replies").select(*replies.columns))
     denominator = math.log10(total + types + 1)
-    sums = rare.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * (F.log10(c + 1) - denominator)).alias("rare_base"), F.sum(F.col("tf") * F.log10(mixed)).alias("rare_score")
-    )
-    rows = passed.filter(F.col("tf").isNull()).drop("word", "state", "spelled", "tf")
-    joined = rows.join(sums, "row", "left")
-    zero = F.lit(0.0)
-    return joined.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("rare_score", zero)).alias("score"),
-    )
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for i in range(left.num_rows):
+            row = {n: left.column(n)[i].as_py() for n in ("block", "lengths", "train", "keys", "words", "symbols")}
+            walk = Walk(row, _replies_of(right), depth, MIN_COUNT)
+            p = used = walk.root(given.value, total, types)
+            for level in range(1, depth + 1):
+                p, after, kept = walk.smoothed(level, p)
+                used = used.copy()
+                used[after[kept]] = p[after[kept]]
+            n = walk.n[1]
+            tokens = walk.pos > 0
+            add = lambda x: np.add.reduceat(np.where(tokens, x, 0), walk.first)
+            columns = [walk.lengths - 1, add(n > 0), np.full(len(walk.lengths), total), add(np.log10(n + 1.0) - denominator), add(np.log10(np.maximum(used, 1e-300)))]
+            rows = pa.concat_arrays(left.column("rows").chunks).slice(i, 1).flatten()
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 2
+            out.append(pa.RecordBatch.from_arrays([rows.field(k) for k in range(rows.type.num_fields)] + [pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=result))
+        return pa.Table.from_batches(out)
+
+    result = [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name in names]
+    return table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, ", ".join([*fields, "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"]))
