@@ -148,9 +148,8 @@ def blocks(docs: DataFrame, text: str, train: str, size: int = BLOCK_BYTES) -> D
 def _block(block: int, batches: list[pa.RecordBatch], text: str, train: str) -> pa.RecordBatch:
     table = pa.Table.from_batches([b for b in batches if b.num_rows]).combine_chunks()
     texts = [t.as_py() or "" for t in table.column(text)]
-    seen: dict[int, bytes] = {}
-    keys, lengths, i = [], [], 0
-    while i < len(texts):
+    bytes_of, keys, inverse, starts, sizes, lengths, i, seen = [], [], [], [], [], [], 0, 0
+    while i < len(texts):  # cut into words in pieces that fit into a processor's cache
         j, n = i, 0
         while j < len(texts) and (j == i or n + 4 * len(texts[j]) < _SLICE):
             n += 4 * len(texts[j])
@@ -158,33 +157,51 @@ def _block(block: int, batches: list[pa.RecordBatch], text: str, train: str) ->
         raw = [t.encode() for t in texts[i:j]]
         data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
         first, last, key = word_keys(data)
-        ends = np.cumsum([len(r) + 1 for r in raw])
-        counts = np.diff(np.searchsorted(first, ends), prepend=0)
-        distinct, place = np.unique(key, return_index=True)
-        low = data.tobytes()
-        for k, a, b in zip(distinct.tolist(), first[place].tolist(), last[place].tolist(), strict=True):
-            if k not in seen:
-                seen[k] = low[a:b]
-        keys.append(_framed(key, counts))
+        counts = np.diff(np.searchsorted(first, np.cumsum([len(r) + 1 for r in raw])), prepend=0)
+        distinct, place, at = _distinct(_framed(key, counts))
+        inner = np.flatnonzero((distinct != _START) & (distinct != _END))
+        word = at[inner] - 2 * np.searchsorted(np.cumsum(counts + 2), at[inner], "right") - 1
+        start, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        start[inner], size[inner] = first[word] + seen, (last - first)[word]
+        bytes_of.append(data)
+        keys.append(distinct)
+        inverse.append(place)
+        starts.append(start)
+        sizes.append(size)
         lengths.append(counts + 2)
-        i = j
-    symbols, distinct = np.concatenate(keys), np.array(sorted([*seen, _START, _END]), np.uint64)
-    seen[_START] = seen[_END] = b""
-    joined = b" ".join(seen[k] for k in distinct.tolist()) + b" "
-    ids = np.searchsorted(distinct, symbols).astype(np.uint32)
+        seen, i = seen + len(data), j
+    distinct, place, at = _distinct(np.concatenate(keys))
+    start, size = np.concatenate(starts)[at], np.concatenate(sizes)[at]
+    ids = np.concatenate([place[o - len(k) : o][inv] for k, inv, o in zip(keys, inverse, np.cumsum([len(k) for k in keys]), strict=True)])
+    # the distinct words, each with a blank after it
+    to = np.cumsum(size + 1)
+    joined = np.full(int(to[-1]), 32, np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    joined[np.repeat(to - size - 1, size) + within] = np.concatenate(bytes_of)[np.repeat(start, size) + within]
     often = np.argsort(-np.bincount(ids, minlength=len(distinct)), kind="stable")  # small numbers for frequent symbols, as these compress
-    rank = np.empty(len(distinct), np.int64)
+    rank = np.empty(len(distinct), np.int32)
     rank[often] = np.arange(len(distinct))
     flags = np.array([bool(x) for x in table.column(train).to_pylist()], np.int64)
     rest = table.drop_columns([text, train])
     rows = pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) for c in rest.columns], names=[f"c{i}" for i in range(rest.num_columns)])
     made = {
         "block": pa.array([block], pa.int64()), "rows": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), rows), "lengths": pa.array([_pack(np.concatenate(lengths))], pa.binary()),
-        "train": pa.array([_pack(flags)], pa.binary()), "keys": pa.array([_pack_keys(distinct)], pa.binary()), "words": pa.array([_squeeze(joined)], pa.binary()), "symbols": pa.array([_pack(np.concatenate([often, rank[ids]]))], pa.binary()),
+        "train": pa.array([_pack(flags)], pa.binary()), "keys": pa.array([_pack_keys(distinct)], pa.binary()), "words": pa.array([_squeeze(joined.tobytes())], pa.binary()), "symbols": pa.array([_pack(np.concatenate([often, rank[ids]]))], pa.binary()),
     }
     return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, each key's place among them, and for each a position where it stands."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place, order[new]
+
+
 def _framed(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The keys of all words with a start before and an end after each text; counts: each text's words."""
     out = np.empty(len(words) + 2 * len(counts), np.uint64)
@@ -200,61 +217,59 @@ class Walk:
     """A block's symbols and, as far as replies are there, the totals of its keys."""
 
     def __init__(self, row: dict, replies: dict[tuple[int, int], np.ndarray], depth: int, least: int):
-        self.depth, self.least = depth, least
-        lengths = _unpack(row["lengths"])
-        self.uniq = [None, _unpack_keys(row["keys"])]
-        packed = _unpack(row["symbols"])
-        often, ranked = packed[: len(self.uniq[1])], packed[len(self.uniq[1]) :]
-        self.words = row["words"]
-        self.lengths, self.first = lengths, np.cumsum(lengths) - lengths
+        self.least, self.replies, self.words = least, replies, row["words"]
+        self.lengths = lengths = _unpack(row["lengths"])
+        self.first = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
-        self.pos = np.arange(total) - np.repeat(self.first, lengths)
+        pos = (np.arange(total) - np.repeat(self.first, lengths)).astype(np.int32)
+        self.tokens = pos > 0
         self.train = np.repeat(_unpack(row["train"]).astype(bool), lengths)
-        self.ends = np.zeros(total, bool)
-        self.ends[self.first + lengths - 1] = True
-        # by level: the asked positions, the place of their key among the distinct ones, the replies
-        self.at = [None, np.arange(total)]
-        self.inv = [None, often[ranked]]
-        self.replies, self.n = replies, [None]
-        keys = symbol = self.uniq[1][self.inv[1]]
+        self.inner = np.ones(total, bool)  # positions with a symbol after them
+        self.inner[self.first + lengths - 1] = False
+        symbol = _unpack_keys(row["keys"])
+        packed = _unpack(row["symbols"])
+        # by level: the distinct keys, the place of each position's among them, the positions that have one, and how often the key occurs in the training texts
+        self.uniq, self.inv, self.asked, self.n = [None, symbol], [None, packed[: len(symbol)].astype(np.int32)[packed[len(symbol) :]]], [None, np.ones(total, bool)], [None]
+        keys = symbol = symbol[self.inv[1]]
         self._count(1)
         for level in range(2, depth + 2):
-            asked = self.pos >= level - 1
+            asked = pos >= level - 1
             if level > 2:
                 if self.n[level - 1] is None:
                     break
                 asked[1:] &= self.n[level - 1][:-1] >= least
-            keys = np.concatenate([np.zeros(1, np.uint64), _mixed(keys[:-1] * _ODD + symbol[1:])]) if total else keys
-            at = np.flatnonzero(asked)
-            uniq, inv = np.unique(keys[at], return_inverse=True)
-            self.at.append(at)
+            after = _mixed(keys[:-1] * _ODD + symbol[1:])
+            keys = np.concatenate([symbol[:1], after])
+            uniq, place, _ = _distinct(after[asked[1:]])
+            inv = np.zeros(total, np.int32)
+            inv[asked] = place
             self.uniq.append(uniq)
             self.inv.append(inv)
+            self.asked.append(asked)
             self._count(level)
 
     def _count(self, level: int) -> None:
-        """n[level]: how often the key that ends at a position occurs in the training texts; 0 where not asked."""
         reply = self.replies.get((_COUNT, level))
         if reply is None:
             self.n.append(None)
-            return
-        n = np.zeros(len(self.pos), np.int64)
-        n[self.at[level]] = (reply >> 1)[self.inv[level]]
-        self.n.append(n)
+        else:
+            n = (reply >> 1).astype(np.float64)[self.inv[level]]
+            if level > 1:
+                n[~self.asked[level]] = 0
+            self.n.append(n)
 
     def own(self, level: int) -> np.ndarray:
         """The block's own training counts of its distinct keys."""
-        return np.bincount(self.inv[level][self.train[self.at[level]]], minlength=len(self.uniq[level]))
+        return np.bincount(self.inv[level][self.train & self.asked[level]], minlength=len(self.uniq[level]))
 
     def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of symbols after a context of that level, the context's place among the block's contexts, and the places of these among the distinct keys."""
-        before = np.flatnonzero(~self.ends & (self.n[level] >= self.least) & (self.pos >= level - 1))
-        inverse = np.zeros(len(self.pos), np.int64)
-        inverse[self.at[level]] = self.inv[level]
+        before = np.flatnonzero(self.inner & (self.n[level] >= self.least) & self.asked[level])
+        key = self.inv[level][before]
         there = np.zeros(len(self.uniq[level]), bool)
-        there[inverse[before]] = True
-        place = np.cumsum(there) - 1
-        return before + 1, place[inverse[before]], np.flatnonzero(there)
+        there[key] = True
+        place = np.cumsum(there, dtype=np.int32) - 1
+        return before + 1, place[key], np.flatnonzero(there)
 
     def root(self, spelling: Spelling, total: int, types: int) -> np.ndarray:
         """P(symbol) at each position."""
@@ -264,13 +279,12 @@ class Walk:
         return p[self.inv[1]]
 
     def smoothed(self, level: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P after contexts of that level, towards `below` where there is none; the positions after contexts, and which contexts are kept."""
+        """P after contexts of that level, towards `below` where there is none; the positions after contexts, and which of these contexts are kept."""
         after, ctx, _ = self.contexts(level)
         reply = self.replies[_CONTEXT, level]
-        n = self.n[level][after - 1].astype(float)
-        own = np.maximum(self.n[level + 1][after] - DISCOUNT, 0.0)
         out = below.copy()
-        out[after] = own / n + DISCOUNT * (reply >> 1)[ctx] / n * below[after]
+        mass = (DISCOUNT * (reply >> 1))[ctx]
+        out[after] = (np.maximum(self.n[level + 1][after] - DISCOUNT, 0.0) + mass * below[after]) / self.n[level][after - 1]
         return out, after, (reply & 1).astype(bool)[ctx]
 
 
@@ -301,15 +315,19 @@ class Spelling:
             rows.append((c + LETTER_SMOOTH * up) / (n + LETTER_SMOOTH))
         with np.errstate(divide="ignore"):
             self.log = np.log(np.array(rows))
-        self.short = [np.full(256**d, -1, np.int32) for d in range(3)]
-        for context, row in self.kept.items():
-            d = (context.bit_length() - 1) // 8
-            if d < 3:
-                self.short[d][context - (1 << 8 * d)] = row
-        self.long = []
-        for d in range(3, LETTERS + 1):
-            found = sorted((c - (1 << 8 * d), r) for c, r in self.kept.items() if (c.bit_length() - 1) // 8 == d)
-            self.long.append((np.array([c for c, _ in found], np.int64), np.array([r for _, r in found], np.int32)))
+        self.tables: list[np.ndarray] = []
+
+    def __getstate__(self):
+        return {"kept": self.kept, "log": self.log, "tables": []}
+
+    def _tables(self) -> list[np.ndarray]:
+        """For each length a context's row, or -1; made where they are used."""
+        if not self.tables:
+            self.tables = [np.full(256**d, -1, np.int16) for d in range(LETTERS + 1)]
+            for context, row in self.kept.items():
+                d = (context.bit_length() - 1) // 8
+                self.tables[d][context - (1 << 8 * d)] = row
+        return self.tables
 
     def _suffix(self, context: int) -> int:
         d = (context.bit_length() - 1) // 8
@@ -323,16 +341,10 @@ class Spelling:
     def words(self, joined: bytes) -> np.ndarray:
         """ln S of each word of those that end with a blank."""
         data, contexts, size = _letters(joined)
-        row = np.zeros(len(data), np.int32)
-        for d in range(1, LETTERS + 1):
-            context = contexts & ((1 << 8 * d) - 1)
-            if d < 3:
-                found = np.where(size >= d, self.short[d][context], -1)
-            else:
-                keys, rows = self.long[d - 3]
-                place = np.minimum(np.searchsorted(keys, context), max(len(keys) - 1, 0))
-                found = np.where((size >= d) & (keys[place] == context), rows[place], -1) if len(keys) else np.full(len(data), -1)
-            row = np.where(found >= 0, found, row)
+        row = np.zeros(len(data), np.int16)
+        for d, table in enumerate(self._tables()):
+            found = table[contexts & ((1 << 8 * d) - 1)]
+            row = np.where((size >= d) & (found >= 0), found, row)
         ends = np.flatnonzero(data == 32)
         return np.add.reduceat(self.log[row, data], np.concatenate([[0], ends[:-1] + 1])) if len(ends) else np.zeros(0)
 
@@ -341,18 +353,18 @@ def _letters(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of words that end with a blank, the LETTERS bytes before each, and how many of these belong to the word and the blank before it."""
     data = np.frombuffer(joined, np.uint8)
     before = np.concatenate([np.full(LETTERS, 32, np.uint8), data])
-    contexts = np.zeros(len(data), np.int64)
+    contexts = np.zeros(len(data), np.int32)
     for k in range(LETTERS):
         contexts = contexts << 8 | before[k : k + len(data)]
-    blank = np.concatenate([[-1], np.flatnonzero(data == 32)])
-    at = np.arange(len(data))
-    last = blank[np.searchsorted(blank, at) - 1] if len(data) else at
+    at = np.arange(len(data), dtype=np.int32)
+    last = np.maximum.accumulate(np.concatenate([np.full(1, -1, np.int32), np.where(data == 32, at, np.int32(-1))[:-1]])) if len(data) else at
     return data, contexts, np.minimum(at - last, LETTERS)
 
 
 def letter_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Longest contexts with their next byte, packed after a 1, and their counts."""
     data, contexts, size = _letters(b" ".join(words) + b" " if words else b"")
+    contexts, size = contexts.astype(np.int64), size.astype(np.int64)
     context = (contexts & ((1 << 8 * size) - 1)) | 1 << 8 * size
     return np.unique(context << 8 | data, return_counts=True)
 
@@ -444,13 +456,11 @@ def _later_round(level: int, parts: int, depth: int, given, total: int, types: i
             at, of = after[trained], ctx[trained]
             ratio = np.log(walk.n[level][at] / walk.n[level - 1][at - 1] / below[at]) - DIVERGENCE
             share = np.bincount(of, np.round(ratio * _FIXED), len(places)).astype(np.int64)  # whole numbers, so the order of adding up does not matter
-            first = (walk.replies[_COUNT, level] & 1).astype(bool)
-            context_of = np.zeros(len(walk.uniq[level]), np.int64)
-            key = np.zeros(len(walk.pos), np.int64)
-            key[walk.at[level]] = walk.inv[level]
-            context_of[key[after]] = ctx
+            key, first = walk.inv[level][after], (walk.replies[_COUNT, level] & 1).astype(bool)
+            context_of = np.zeros(len(first), np.int32)
+            context_of[key] = ctx
             there = np.zeros(len(first), bool)
-            there[key[after]] = True
+            there[key] = True
             distinct = np.bincount(context_of[first & there], minlength=len(places))
             rows += _messages(row["block"], _CONTEXT, level - 1, parts, walk.uniq[level - 1][places], distinct, more=share)
         return pa.Table.from_batches([_batch(rows, _MESSAGE)])
@@ -467,7 +477,7 @@ def _added(table: pa.Table) -> pa.Table:
     for (kind, level), rows in sorted(messages.items()):
         rows.sort(key=lambda r: r["block"])
         keys, counts = np.concatenate([_unpack_keys(r["keys"]) for r in rows]), np.concatenate([_unpack(r["counts"]) for r in rows])
-        distinct, place = np.unique(keys, return_inverse=True)
+        distinct, place, _ = _distinct(keys)
         total = np.bincount(place, counts, len(distinct)).astype(np.int64)
         if kind == _COUNT:
             some = np.flatnonzero(counts > 0)
@@ -547,12 +557,13 @@ def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH
             p = used = walk.root(given.value, total, types)
             for level in range(1, depth + 1):
                 p, after, kept = walk.smoothed(level, p)
+                at = after[kept]
                 used = used.copy()
-                used[after[kept]] = p[after[kept]]
+                used[at] = p[at]
             n = walk.n[1]
-            tokens = walk.pos > 0
-            add = lambda x: np.add.reduceat(np.where(tokens, x, 0), walk.first)
-            columns = [walk.lengths - 1, add(n > 0), np.full(len(walk.lengths), total), add(np.log10(n + 1.0) - denominator), add(np.log10(np.maximum(used, 1e-300)))]
+            add = lambda x: np.add.reduceat(np.where(walk.tokens, x, 0), walk.first)
+            based = np.log10((walk.replies[_COUNT, 1] >> 1) + 1.0) - denominator
+            columns = [walk.lengths - 1, add(n > 0), np.full(len(walk.lengths), total), add(based[walk.inv[1]]), add(np.log10(np.maximum(used, 1e-300)))]
             rows = pa.concat_arrays(left.column("rows").chunks).slice(i, 1).flatten()
             kinds = [pa.int64()] * 3 + [pa.float64()] * 2
             out.append(pa.RecordBatch.from_arrays([rows.field(k) for k in range(rows.type.num_fields)] + [pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=result))
