@@ -18,7 +18,7 @@ words. As keys are distinct within a block, a frequent word or context has one e
 words of a context. Sums are of whole numbers, so results don't depend on how the texts are dealt. Nothing of the tree
 goes to the driver but the spelling model and two sums. Intermediate tables are in the shared folder.
 
-Null and empty texts have the end alone. Very long texts are a block of their own. Repeated rows each get a row. Without
+Null and empty texts have the end alone. Very long texts are a block of their own; a word of any length is spelled whole. Repeated rows each get a row. Without
 training texts words are scored by a spelling model of even bytes. Columns other than the text pass; those named like a
 result are replaced.
 """
@@ -249,15 +249,20 @@ class Walk:
             self._count(level)
 
     def _count(self, level: int) -> None:
-        reply = self.replies.get((_COUNT, level))
-        if reply is None:
+        if not len(self.uniq[level]):
+            self.n.append(np.zeros(len(self.train)))
+        elif (_COUNT, level) not in self.replies:
             self.n.append(None)
         else:
-            n = (reply >> 1).astype(np.float64)[self.inv[level]]
+            n = (self.replies[_COUNT, level] >> 1).astype(np.float64)[self.inv[level]]
             if level > 1:
                 n[~self.asked[level]] = 0
             self.n.append(n)
 
+    def reply(self, kind: int, level: int) -> np.ndarray:
+        """Totals in the order of the keys that were asked for; empty where there were none."""
+        return self.replies.get((kind, level), np.zeros(0, np.int64))
+
     def own(self, level: int) -> np.ndarray:
         """The block's own training counts of its distinct keys."""
         return np.bincount(self.inv[level][self.train & self.asked[level]], minlength=len(self.uniq[level]))
@@ -271,17 +276,19 @@ class Walk:
         place = np.cumsum(there, dtype=np.int32) - 1
         return before + 1, place[key], np.flatnonzero(there)
 
-    def root(self, spelling: Spelling, total: int, types: int) -> np.ndarray:
-        """P(symbol) at each position."""
-        spelled = np.exp(spelling.words(_expand(self.words)))
-        n = self.replies[_COUNT, 1] >> 1
+    def root(self, spelling: Spelling, total: int, types: int) -> tuple[np.ndarray, np.ndarray]:
+        """P(symbol) at each position, and what is to be taken off its natural log: P of a new word that is too long for a float is given without that."""
+        spelled = spelling.words(_expand(self.words))
+        n = self.reply(_COUNT, 1) >> 1
+        off = np.where(n == 0, np.maximum(-600.0 - spelled, 0.0), 0.0)
+        spelled = np.exp(np.maximum(spelled, -600.0))
         p = (n + types * spelled) / (total + types) if total else spelled
-        return p[self.inv[1]]
+        return p[self.inv[1]], off[self.inv[1]]
 
     def smoothed(self, level: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P after contexts of that level, towards `below` where there is none; the positions after contexts, and which of these contexts are kept."""
         after, ctx, _ = self.contexts(level)
-        reply = self.replies[_CONTEXT, level]
+        reply = self.reply(_CONTEXT, level)
         out = below.copy()
         mass = (DISCOUNT * (reply >> 1))[ctx]
         out[after] = (np.maximum(self.n[level + 1][after] - DISCOUNT, 0.0) + mass * below[after]) / self.n[level][after - 1]
@@ -448,7 +455,7 @@ def _later_round(level: int, parts: int, depth: int, given, total: int, types: i
             walk = Walk(row, _replies_of(right), min(level, depth), MIN_COUNT)
             if level <= depth:
                 rows += _messages(row["block"], _COUNT, level + 1, parts, walk.uniq[level + 1], walk.own(level + 1))
-            below = walk.root(given.value, total, types)
+            below, _ = walk.root(given.value, total, types)
             for k in range(1, level - 1):
                 below, _, _ = walk.smoothed(k, below)
             after, ctx, places = walk.contexts(level - 1)
@@ -456,7 +463,7 @@ def _later_round(level: int, parts: int, depth: int, given, total: int, types: i
             at, of = after[trained], ctx[trained]
             ratio = np.log(walk.n[level][at] / walk.n[level - 1][at - 1] / below[at]) - DIVERGENCE
             share = np.bincount(of, np.round(ratio * _FIXED), len(places)).astype(np.int64)  # whole numbers, so the order of adding up does not matter
-            key, first = walk.inv[level][after], (walk.replies[_COUNT, level] & 1).astype(bool)
+            key, first = walk.inv[level][after], (walk.reply(_COUNT, level) & 1).astype(bool)
             context_of = np.zeros(len(first), np.int32)
             context_of[key] = ctx
             there = np.zeros(len(first), bool)
@@ -554,7 +561,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH
         for i in range(left.num_rows):
             row = {n: left.column(n)[i].as_py() for n in ("block", "lengths", "train", "keys", "words", "symbols")}
             walk = Walk(row, _replies_of(right), depth, MIN_COUNT)
-            p = used = walk.root(given.value, total, types)
+            p, off = walk.root(given.value, total, types)
+            used = p
             for level in range(1, depth + 1):
                 p, after, kept = walk.smoothed(level, p)
                 at = after[kept]
@@ -563,7 +571,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH
             n = walk.n[1]
             add = lambda x: np.add.reduceat(np.where(walk.tokens, x, 0), walk.first)
             based = np.log10((walk.replies[_COUNT, 1] >> 1) + 1.0) - denominator
-            columns = [walk.lengths - 1, add(n > 0), np.full(len(walk.lengths), total), add(based[walk.inv[1]]), add(np.log10(np.maximum(used, 1e-300)))]
+            columns = [walk.lengths - 1, add(n > 0), np.full(len(walk.lengths), total), add(based[walk.inv[1]]), add(np.log10(used) - off / math.log(10))]
             rows = pa.concat_arrays(left.column("rows").chunks).slice(i, 1).flatten()
             kinds = [pa.int64()] * 3 + [pa.float64()] * 2
             out.append(pa.RecordBatch.from_arrays([rows.field(k) for k in range(rows.type.num_fields)] + [pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=result))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import avi, bpe, decontam, line_dedup, secret_scan, simhash, suffix_lm, token_counts, toxicity, url_filter
+from pagewright.llm import avi, bpe, decontam, line_dedup, secret_scan, simhash, token_counts, toxicity, url_filter
 from pagewright.llm.common import remainder
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, n_tokens string"
@@ -246,57 +246,6 @@ def test_fingerprint_follows_the_definition():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0 and simhash.fingerprint("x") == xxhash.xxh64_intdigest(b"x", 42)
 
 
-def test_suffix_tree_is_a_distribution_and_beats_the_base(spark):
-    rng = random.Random(9)
-    # two languages with frequent words of their own, rarer ones and one new word in twenty
-    syllables = (["ba", "do", "ki", "lu", "men", "tor", "shi"], ["ra", "pe", "zu", "gon", "fil", "wex", "cha"])
-    new = lambda k: "".join(rng.choice(syllables[k]) for _ in range(rng.randrange(2, 5)))
-    common = [[f"{s[0][:1]}{i}" for i in range(12)] + [new(k) for _ in range(300)] for k, s in enumerate(syllables)]
-    weights = [1 / (i + 1) for i in range(312)]
-    make = lambda k: " ".join(new(k) if rng.random() < 0.05 else rng.choices(common[k], weights)[0] for _ in range(200))
-    texts = [make(i % 2) for i in range(150)] + [None, "", "x" * 5_000, "Neue Wörter"]
-    d = docs(spark, texts)
-    scored = {r["doc_id"]: r for r in suffix_lm.score(d, d.filter("doc_id < 100")).collect()}
-    train = [w for t in texts[:100] for w in [*t.encode().lower().split(), b"\0"]]
-    counts: dict = {}
-    for w in train:
-        counts[w] = counts.get(w, 0) + 1
-    for i, t in enumerate(texts):
-        ws = [*((t or "").lower().encode().split()), b"\0"]
-        r = scored[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in counts for w in ws), len(train))
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts.get(w, 0) + 1) / (len(train) + len(counts) + 1)) for w in ws), abs=1e-6)
-        assert r["score"] < 0
-    held = [scored[i] for i in range(100, 150)]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert suffix_lm.score(d, d.limit(0)).filter("train_tokens <> 0").count() == 0
-
-
-def test_markers_are_counted_over_all_texts(spark):
-    # every text has its own 300 words more often than the shared ones; each text is a batch of its own
-    shared = [f"s{i}" for i in range(suffix_lm.MARKERS)]
-    texts = [" ".join(f"d{k}w{i} d{k}w{i} d{k}w{i}" for i in range(300)) + " " + " ".join(shared) for k in range(6)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
-        got = suffix_lm.markers(docs(spark, texts).coalesce(1))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == suffix_lm.markers(docs(spark, texts)) and set(got) == {w.encode() for w in shared}
-
-
-def test_spelling_is_learned_in_every_script(spark):
-    # 400 characters, each always followed by one of its own
-    letters = [chr(0x4E00 + i) for i in range(400)]
-    words = [(a + letters[(i * 7 + 1) % 400] + letters[(i * 11 + 3) % 400] + "x", 0, 3) for i, a in enumerate(letters)]
-    tree = suffix_lm.grow(spark.createDataFrame(words, "word string, state int, n long"))
-    tree.moves = suffix_lm.Memo(tree.move, 1000)
-    assert len(tree.codes) == 401
-    right = [tree.word(w.encode(), 0) for w, *_ in words]
-    wrong = [tree.word((w[0] + w[2] + w[1] + "x").encode(), 0) for w, *_ in words]
-    assert min(right) > -4.5 and sum(wrong) < 2 * sum(right)
-    assert tree.word("あ".encode(), 0) < -6
-
-
 def test_avi_round_trip(spark):
     rng = random.Random(10)
     for n in (0, 1, 63, 64, 65, 4096, 70_000):
