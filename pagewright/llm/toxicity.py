@@ -83,7 +83,7 @@ def _before(a: tuple, b: tuple) -> bool:
 class Restorer:
     def __init__(self, counts: dict[int, int]):
         self.cost = _costs(counts).tolist()
-        self.words = Memo(self._word, 100_000)
+        self.words = Memo(self._word, 300_000)
 
     def _word(self, word: str) -> tuple[str, ...]:
         """The words that a token stands for; one with blanks is spelled out."""
@@ -175,14 +175,14 @@ class Model:
     bias: float = -math.inf
 
     def scorer(self):
-        restorer = Restorer(self.letters)
-        of_word = Memo(lambda w: tuple(f for f in features(w) if f in self.weights), 100_000)
-        weights, bias = self.weights, self.bias
+        restorer, weights, bias = Restorer(self.letters), self.weights, self.bias
+        of_token = lambda token: tuple({f for w in restorer._word(token) for f in features(w) if f in weights})
+        known = Memo(of_token, 400_000)  # most tokens have no feature, so an entry is little more than the token
 
         def score(text: str) -> float:
             if bias == -math.inf:
                 return 0.0
-            found = {f for w in restorer.vocabulary(text) for f in of_word[w]}
+            found = {f for token in set(_tokens(text.lower())) for f in (known[token] if len(token) <= REMEMBERED else of_token(token))}
             z = bias + math.fsum(weights[f] for f in found)
             return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
@@ -219,36 +219,47 @@ def letter_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
     return {r["gram"]: r["n"] for r in sums.collect()}  # 28**3 rows at most
 
 
-def _features_of(labelled: DataFrame, letters: dict[int, int], text: str) -> DataFrame:
+def _restored(labelled: DataFrame, letters: dict[int, int], text: str) -> DataFrame:
+    """(words, __y): the distinct words of each restored text and its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(letters)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(restorer.vocabulary(t or "")) for t in b.column(text).to_pylist()], pa.list_(pa.string())), b.column("__y")], names=["words", "__y"])
+
+    return labelled.mapInArrow(run, "words array<string>, __y int")
+
+
+def _features_of(restored: DataFrame) -> DataFrame:
     """(feature, ones, zeros): documents with the feature by label, summed for each part of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, sums = Restorer(letters), (Counter(), Counter())
+        sums = (Counter(), Counter())
 
         def out() -> pa.RecordBatch:
             names = list(sums[0].keys() | sums[1].keys())
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([s[n] for n in names], pa.int64()) for s in reversed(sums))], names=["feature", "ones", "zeros"])
 
         for b in slices(batches):
-            for t, y in zip(b.column(text).to_pylist(), b.column("__y").to_pylist(), strict=True):
-                sums[y].update({f for w in restorer.vocabulary(t or "") for f in features(w)})
+            for words, y in zip(b.column("words").to_pylist(), b.column("__y").to_pylist(), strict=True):
+                sums[y].update({f for w in words for f in features(w)})
             if len(sums[0]) + len(sums[1]) > 150_000:
                 yield out()
                 for s in sums:
                     s.clear()
         yield out()
 
-    return labelled.select(text, "__y").mapInArrow(run, "feature string, ones bigint, zeros bigint")
+    return restored.mapInArrow(run, "feature string, ones bigint, zeros bigint")
 
 
-def _rows_of(labelled: DataFrame, letters: dict[int, int], index: dict[str, int], text: str) -> DataFrame:
+def _rows_of(restored: DataFrame, index: dict[str, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(letters)
+        places = Memo(lambda w: tuple(index[f] for f in features(w) if f in index), 400_000)
         for b in slices(batches):
-            found = [sorted({index[f] for w in restorer.vocabulary(t or "") for f in features(w) if f in index}) for t in b.column(text).to_pylist()]
+            found = [sorted({i for w in words for i in places[w]}) for words in b.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column("__y")], names=["x", "y"])
 
-    return labelled.select(text, "__y").mapInArrow(run, "x array<int>, y int")
+    return restored.mapInArrow(run, "x array<int>, y int")
 
 
 def _logistic(rows: list[tuple[list[int], int]], n: int, steps: int = 250, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -275,15 +286,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("__y")).filter("doc_id IS NOT NULL AND __y IN (0, 1)")
     known = known.filter(remainder(F.col("doc_id"), held_out) != 0).groupBy("doc_id").agg(F.max("__y").alias("__y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    labelled = written(learn.join(F.broadcast(known), "doc_id").select("text", "__y"), "labelled")  # broadcasts fit_rows ids at most
-    sizes = {r["__y"]: r["n"] for r in labelled.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    restored = written(_restored(learn.join(F.broadcast(known), "doc_id").select("text", "__y"), letters, "text"), "restored")  # broadcasts fit_rows ids at most
+    sizes = {r["__y"]: r["n"] for r in restored.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model(letters)
-    sums = _features_of(labelled, letters, "text").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    sums = _features_of(restored).groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     expected = (F.col("ones") + F.col("zeros")) * (sizes[1] / (sizes[0] + sizes[1]))
     sums = sums.withColumn("z", (F.col("ones") - expected) / F.sqrt(expected)).filter((F.col("ones") + F.col("zeros") >= 4) & (F.abs("z") > Z_LEAST))
     chosen = [r["feature"] for r in sums.orderBy(F.abs("z").desc(), "feature").limit(FEATURES).collect()]
-    rows = [(list(r["x"]), r["y"]) for r in _rows_of(labelled, letters, {f: i for i, f in enumerate(chosen)}, "text").collect()]  # fit_rows at most
+    rows = [(list(r["x"]), r["y"]) for r in _rows_of(restored, {f: i for i, f in enumerate(chosen)}).collect()]  # fit_rows at most
     w, bias = _logistic(rows, len(chosen))
     return Model(letters, dict(zip(chosen, w.tolist(), strict=True)), bias)
 
