@@ -48,7 +48,8 @@ LETTER_SHARE = 2e-4
 LETTER_SMOOTH = 4.0
 LETTER_DIVERGENCE = 0.002
 
-BLOCK_BYTES = 12 << 20  # of text in a block, and about 1.2 times as many of keys in a task that adds up
+BLOCK_BYTES = 8 << 20  # of text in a block, and about 1.2 times as many of keys in a task that adds up
+BUCKETS = 100_000  # Spark's limit; beyond it a bucket has several blocks
 FAN_OUT = 1024  # parts that a block's keys are cut into at once
 _SLICE = 1 << 20  # bytes that are cut into words at once
 
@@ -544,7 +545,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH
     # bucketed, so that no join moves the blocks themselves
     name = f"pagewright_blocks_{uuid.uuid4().hex}"
     dealt = blocks(narrow, "__text", "__train", block_bytes)
-    dealt.write.bucketBy(parts, "block").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    dealt.write.bucketBy(min(4 * parts, BUCKETS), "block").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     replies = _answered(table.drop("rows").mapInArrow(_first_round(sent), _MESSAGE), sent, parts, "replies")
     sizes = replies.filter(F.col("kind") == _SIZE).agg(F.sum("n"), F.sum("m")).first()
