@@ -12,6 +12,7 @@ Null texts have no words. A null item_id counts as the empty string. Repeated ro
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,12 +74,12 @@ class Automaton:
         return [(item, a, b) for item, runs in sorted(found.items()) for a, b in runs]
 
 
-_built: dict[int, Automaton] = {}
+_built: dict[str, Automaton] = {}
 
 
 def _scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int, text: str) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
-    key = given.id if hasattr(given, "id") else id(given)
+    key = uuid.uuid4().hex  # what a reused worker tells automata apart by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:

@@ -139,6 +139,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "t
     """A row for each candidate: the other columns, start, candidate, before, after, probability, is_secret."""
     # written, as the candidates are read for the words they hold and for all else
     found = featured(written(candidates(docs, text), "candidates"), F.col(f"`{path}`") if path else None, words)
-    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="__features").transform(found))
-    out = scored.withColumn("probability", F.round(vector_to_array(F.col("probability"))[1], 6))
-    return out.withColumn("is_secret", F.col("probability") >= least).drop("__features", "rawPrediction", "prediction", *FEATURES)
+    # columns of its own, so that a document's "prediction" or "probability" is in nobody's way
+    own = model.copy({model.probabilityCol: "__probability", model.rawPredictionCol: "__raw", model.predictionCol: "__prediction"})
+    scored = own.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="__features").transform(found))
+    out = scored.withColumn("probability", F.round(vector_to_array(F.col("__probability"))[1], 6))
+    return out.withColumn("is_secret", F.col("probability") >= least).drop("__features", "__probability", "__raw", "__prediction", *FEATURES)
