@@ -144,3 +144,102 @@ def to_markdown(html: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(to_markdown, na_action="ignore")
+
+
+class _Structure(HTMLParser):
+    """The texts of pre elements and the rows of tables, header cells apart."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.pres: list[str] = []
+        self.tables: list[list[tuple[bool, list[str]]]] = []
+        self.pre: list[str] | None = None
+        self.cell: list[str] | None = None
+        self.row: list[str] | None = None
+        self.header = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "pre":
+            self.pre = []
+        elif tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.row, self.header = [], False
+        elif tag in ("td", "th") and self.row is not None:
+            self.cell = []
+            self.header |= tag == "th"
+
+    def handle_endtag(self, tag):
+        if tag == "pre" and self.pre is not None:
+            self.pres.append("".join(self.pre).strip("\n"))
+            self.pre = None
+        elif tag in ("td", "th") and self.cell is not None:
+            self.row.append(re.sub(r"\s+", " ", " ".join(self.cell)).strip().replace("|", "\\|"))
+            self.cell = None
+        elif tag == "tr" and self.row is not None:
+            if self.row:
+                self.tables[-1].append((self.header, self.row))
+            self.row = None
+
+    def handle_data(self, data):
+        if self.pre is not None:
+            self.pre.append(data)
+        if self.cell is not None:
+            self.cell.append(data)
+
+
+def pipe_table(rows: list[tuple[bool, list[str]]]) -> str:
+    """Rows of equal width; a header col_1, col_2, ... where the first row is none."""
+    width = max(len(r) for _, r in rows)
+    header = rows[0][1] if rows[0][0] else [f"col_{i + 1}" for i in range(width)]
+    body = [r for _, r in (rows[1:] if rows[0][0] else rows)]
+    shown = lambda r: "| " + " | ".join(r + [""] * (width - len(r))) + " |"
+    return "\n".join([shown(header), "|" + " --- |" * width, *map(shown, body)])
+
+
+def structure(html: str) -> str:
+    """The page's code blocks and tables as markdown."""
+    parser = _Structure()
+    parser.feed(html)
+    parser.close()
+    code = [f"### Code Block {i}\n```text\n{t}\n```" for i, t in enumerate(parser.pres, 1) if t]
+    return "\n\n".join(code + [pipe_table(t) for t in parser.tables if t])
+
+
+_HAS_STRUCTURE = re.compile(r"<(?:pre|code|table)\b", re.I)
+_SHOWS_STRUCTURE = re.compile(r"(?:```|~~~)|^\|.+\|", re.M)
+
+
+def with_structure(md: str, html: str, least_words: int = 40) -> str:
+    """The markdown, and where the page has code or tables that it does not show, or under 40 words, these behind it."""
+    if not _HAS_STRUCTURE.search(html) or (len(md.split()) >= least_words and _SHOWS_STRUCTURE.search(md)):
+        return md
+    more = structure(html)
+    return md if not more else (md.strip() + "\n\n---\n\n## Structured Fallback Extract\n\n" if md.strip() else "") + more
+
+
+@F.pandas_udf(T.StringType())
+def markdown_with_structure(md: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([m if h is None else with_structure(m or "", h) for m, h in zip(md, html, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def joined_links(base: pd.Series, hrefs: pd.Series) -> pd.Series:
+    """Links against the page's own URL (RFC 3986); those that cannot be joined are left out."""
+    from urllib.parse import urljoin
+
+    def one(b, h):
+        try:
+            return urljoin(b or "", h)
+        except ValueError:
+            return None
+
+    return pd.Series([[u for u in (one(b, h) for h in ([] if hs is None else hs)) if u] for b, hs in zip(base, hrefs, strict=True)])
+
+
+def links(html: Column | str, base: Column | str) -> Column:
+    """The page's links as whole http(s) URLs that may be documents, each once, in order."""
+    from . import urls
+
+    found = F.array_distinct(F.transform(joined_links(col(base), hrefs(html)), lambda u: F.regexp_replace(u, "#.*$", "")))
+    return F.filter(found, lambda u: u.rlike("(?i)^https?://") & urls.rejection(u).isNull())

@@ -188,6 +188,7 @@ def affected_paths(c: Column | str) -> Column:
     method, with_method = r"(?i)(?:GET|POST|PUT|DELETE|PATCH)\s+/[a-zA-Z0-9/_{}.\-:]+", r"(?i)^([A-Z]+)\s+"
     trim = lambda p: F.regexp_replace(p, r"[.,;:)]+$", "")
     named = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(method), F.lit(0)), lambda m: F.concat(F.upper(F.regexp_extract(m, with_method, 1)), F.lit(" "), trim(F.regexp_replace(m, with_method, "")))))
+    #: Fixed value: paths that are named without a method.
     bare = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?<!\w)(/(?:api|sapi|fapi|dapi|v[1-5])/[a-zA-Z0-9/_{}.\-]+)"), F.lit(1)), trim))
     return F.concat(named, F.filter(bare, lambda p: ~F.array_contains(named, F.concat(F.lit("GET "), p)) & ~F.array_contains(named, F.concat(F.lit("POST "), p))))
 
@@ -214,6 +215,7 @@ def content_flags(markdown: Column | str, html: Column | str, count: Column) ->
     lines = F.transform(F.split(col(markdown), "\n"), lambda s: F.trim(s))
     nav = F.size(F.filter(lines, lambda s: (F.length(s) < 50) & s.rlike(r"^[*\-\[]")))
     prose = F.size(F.filter(lines, lambda s: F.length(s) > 60))
+    #: Fixed value: pages that a browser has to build.
     shell = r"(?is)<div\s+id=[\"'](?:app|root|__next|__nuxt|gatsby-focus-wrapper)[\"']>\s*</div>|<noscript>.*?enable\s+javascript.*?</noscript>|window\.__(?:NEXT_DATA|NUXT|INITIAL_STATE)__\s*="
     return F.array_compact(F.array(
         F.when(count == 0, F.lit("empty")).when(count < 50, F.lit("thin")),

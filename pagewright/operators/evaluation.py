@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
+from . import vectors
+
 
 def first_ranks(queries: DataFrame, ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, first): the rank of the first relevant key, null for a miss. Queries without any list count as misses."""
@@ -61,3 +64,58 @@ def permutation_test(a: list[float], b: list[float], resamples: int = 9_999, see
     d = np.asarray(a, float) - np.asarray(b, float)
     signs = np.random.default_rng(seed).choice([-1.0, 1.0], (resamples, len(d)))
     return float((1 + (np.abs((signs * d).mean(1)) >= abs(d.mean()) - 1e-12).sum()) / (resamples + 1))
+
+
+# --- expected and retrieved URLs -------------------------------------------------------------------------------------------
+
+
+def match_levels(expected: DataFrame, retrieved: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, n_expected, exact, prefix, domain): how many of a query's expected URLs are among the first k retrieved: as they are, as a prefix of one or with one as a prefix, by their host. Both: query_id, url; retrieved also rank. A query's lists are short, so they meet as arrays, a row a query."""
+    want = expected.groupBy("query_id").agg(F.collect_list(urls.eval_form("url")).alias("want"), F.collect_list(urls.host("url")).alias("hosts"))
+    found = retrieved.filter(F.col("rank") <= k).groupBy("query_id").agg(F.collect_list(urls.eval_form("url")).alias("got"), F.collect_list(urls.host("url")).alias("got_hosts"))
+    rows = want.join(found, "query_id", "left")
+    got, hosts = (F.coalesce(c, F.array().cast("array<string>")) for c in ("got", "got_hosts"))
+    count = lambda items, test: F.size(F.filter(items, test))
+    return rows.select(
+        "query_id", F.size("want").alias("n_expected"), count("want", lambda u: F.array_contains(got, u)).alias("exact"),
+        count("want", lambda u: F.exists(got, lambda g: g.startswith(u) | u.startswith(g))).alias("prefix"), count("hosts", lambda h: F.array_contains(hosts, h)).alias("domain"),
+    )
+
+
+def retrieval_summary(queries: DataFrame, levels: DataFrame) -> DataFrame:
+    """(level, n_queries, hit_rate, mean_recall) for exact, prefix and domain; queries without expected URLs count as misses."""
+    rows = queries.select("query_id").distinct().join(levels, "query_id", "left")
+    each = rows.select("query_id", F.greatest(F.coalesce("n_expected", F.lit(0)), F.lit(1)).alias("n"), F.inline(F.array(*(F.struct(F.lit(x).alias("level"), F.coalesce(x, F.lit(0)).alias("found")) for x in ("exact", "prefix", "domain")))))
+    return each.groupBy("level").agg(F.count("*").alias("n_queries"), F.avg((F.col("found") > 0).cast("double")).alias("hit_rate"), F.avg(F.col("found") / F.col("n")).alias("mean_recall"))
+
+
+def by_kind(results: DataFrame) -> DataFrame:
+    """(kind, n, n_ok, hit_rate, mrr) and, with kind null, over all: negative queries, those without an expected answer, are counted but are no part of the qualities over all. results: kind, negative, status, first (rank of the first hit, null for a miss)."""
+    quality = lambda c: F.avg(F.when(F.col("kind_of").isNotNull() | ~F.col("negative"), c))
+    rows = results.select(F.explode(F.array("kind", F.lit(None).cast("string"))).alias("kind_of"), "negative", "status", "first")
+    hit = F.col("first").isNotNull().cast("double")
+    return rows.groupBy(F.col("kind_of").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("n_ok"), quality(hit).alias("hit_rate"), quality(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+
+
+def false_positive_rate(results: DataFrame) -> DataFrame:
+    """One row: n_negative, rate: the share of negative queries that were answered ok with a claim. results: negative, status, n_claims."""
+    wrong = (F.col("status") == "ok") & (F.col("n_claims") > 0)
+    return results.filter("negative").agg(F.count("*").alias("n_negative"), F.avg(wrong.cast("double")).alias("rate"))
+
+
+def interval_comparison(intervals: DataFrame) -> DataFrame:
+    """(a, b, metric, significant): whether two runs' intervals of a metric lie apart. intervals: run, metric, low, high; a few rows a run."""
+    x, y = intervals.alias("x"), intervals.alias("y")
+    pairs = x.join(y, (F.col("x.metric") == F.col("y.metric")) & (F.col("x.run") < F.col("y.run")))
+    return pairs.select(F.col("x.run").alias("a"), F.col("y.run").alias("b"), F.col("x.metric").alias("metric"), ((F.col("x.high") < F.col("y.low")) | (F.col("y.high") < F.col("x.low"))).alias("significant"))
+
+
+def vector_comparison(first: DataFrame, second: DataFrame, queries: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+    """(run, n_queries, mrr): the same queries over two sets of vectors of the same rows (with and without headings), by cosine. first, second, queries of each run: vec_id, embedding; relevant: query_id, key."""
+    out = None
+    for name, vectors_of in (("a", first), ("b", second)):
+        asked = vectors_of.join(queries.select("vec_id"), "vec_id", "left_semi")
+        ranked = vectors.knn(vectors_of, asked, k, "cosine").select("query_id", F.col("vec_id").alias("key"), "rank")
+        run = mrr(queries.select(F.col("vec_id").alias("query_id")), ranked, relevant).select(F.lit(name).alias("run"), "n_queries", "mrr")
+        out = run if out is None else out.unionByName(run)
+    return out

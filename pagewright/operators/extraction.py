@@ -161,6 +161,7 @@ def record_id(source: Column, section: Column, protocol: Column, base_url: Colum
     return F.sha2(F.concat_ws("|", F.coalesce(source, F.lit("")), F.coalesce(section, F.lit("")), F.coalesce(protocol, F.lit("")), http(base_url), http(version), F.upper(http(method)), http(path)), 256)
 
 
+#: How pages state a rate limit, the first that is found.
 _RATE = (
     r"(?i)Rate\s*Limit[:\s]+(\d+)\s*(?:requests?|times?|calls?)\s*(?:per|/)\s*(\d*)\s*(second|sec|s|minute|min|m|hour|h)",
     r"(?i)\bLimit[:\s]+(\d+)\s*(?:requests?)\s*(?:per|/)\s*(\d*)\s*(second|sec|s|minute|min|m)",

@@ -1,13 +1,15 @@
 """Lexical retrieval: postings as a table, BM25, boolean and phrase match, snippets.
 
-Postings are (doc_id, field, term, tf, positions), doc_stats (doc_id, field, len), term_stats (field, term, df). A query set
-is a table (query_id, term); it is a stated set, far smaller than the postings, and is broadcast when Spark's own size
-check allows it. All scoring is joins and sums; only top-k rows leave a partition.
+A query set is a table (query_id, term): a stated set of questions' words, read by the driver. Texts are searched as they
+are, or through a stored index: postings (term, field, doc_id, tf, positions), lengths (doc_id, field, len), terms (term,
+df, tf) and sums (field, n, total). Only top-k rows leave a partition.
 BM25 (Robertson and Zaragoza): sum of idf * f (k1 + 1) / (f + k1 (1 - b + b len / avg)), idf = ln(1 + (N - df + .5) / (df + .5)).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,43 +17,41 @@ from pyspark.sql import types as T
 from ..functions import text
 
 K1, B = 1.2, 0.75
+TERMS_AT_ONCE = 2_000
 
 
-def postings(docs: DataFrame, fields: dict[str, Column], doc_id: str = "doc_id") -> DataFrame:
-    """fields: name to Column of text."""
-    parts = [docs.select(F.col(doc_id).alias("doc_id"), F.lit(name).alias("field"), F.posexplode(text.tokens(c)).alias("pos", "term")) for name, c in fields.items()]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def doc_stats(docs: DataFrame, fields: dict[str, Column], doc_id: str = "doc_id") -> DataFrame:
-    """Lengths without a shuffle."""
-    structs = F.array(*(F.struct(F.lit(n).alias("field"), F.size(text.tokens(c)).alias("len")) for n, c in fields.items()))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.inline(structs))
-
-
-def weighted_frequency(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[Column, float]], doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """((query_id, doc_id, term, f, len), (query_id, term, df)) for the queries' terms alone: tokens that no query has go before any shuffle."""
-    weighted = lambda c, w: F.transform(text.tokens(c), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-    tokens = F.flatten(F.array(*(weighted(c, w) for c, w in fields.values())))
-    length = sum((F.size(text.tokens(c)) * w for c, w in fields.values()), F.lit(0.0))
-    base = docs.select(F.col(doc_id).alias("doc_id"), length.alias("len"), tokens.alias("tokens"))  # before the explode, so once a document
-    rows = base.select("doc_id", "len", F.explode("tokens").alias("t")).select("doc_id", "len", "t.term", "t.w")
-    hits = rows.join(queries.distinct(), "term").groupBy("query_id", "doc_id", "len", "term").agg(F.sum("w").alias("f"))
-    return hits, hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+def matched(docs: DataFrame, terms: list[str], fields: dict[str, tuple[Column, float]], doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, len, hits): the weighted length and, of the terms alone, each token with its field's weight. One pass, no shuffle."""
+    names = [f"__t{i}" for i in range(len(fields))]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *(text.tokens(c).alias(n) for n, (c, _) in zip(names, fields.values(), strict=True)))  # the tokens once a text
+    weights = [float(w) for _, w in fields.values()]
+    length = sum((F.size(n) * w for n, w in zip(names, weights, strict=True)), F.lit(0.0))
+    own = lambda n, w: F.transform(F.filter(n, lambda t: t.isin(terms)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    return rows.select("doc_id", length.alias("len"), F.flatten(F.array(*(own(n, w) for n, w in zip(names, weights, strict=True)))).alias("hits"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[Column, float]], doc_id: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score, n_terms); a higher score is better."""
-    hits, df = weighted_frequency(docs, queries, fields, doc_id)
-    length = sum((F.size(text.tokens(c)) * w for c, w in fields.values()), F.lit(0.0))
-    size = docs.agg(F.count("*").alias("n"), F.avg(length).alias("avg"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scored = hits.join(df, ["query_id", "term"]).crossJoin(F.broadcast(size)).withColumn("part", part)  # size is one row
-    return scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
+    """(query_id, doc_id, score, n_terms); a higher score is better.
+
+    The distinct terms of the stated queries, TERMS_AT_ONCE in a pass, are read by the driver with their document counts;
+    texts are read twice a pass, once for the counts and once for the scores, and only tokens that a query has leave a text.
+    """
+    terms = sorted(r["term"] for r in queries.select("term").distinct().collect() if r["term"] is not None)  # the stated queries' own words
+    out = None
+    for i in range(0, max(len(terms), 1), TERMS_AT_ONCE):
+        rows = matched(docs, terms[i : i + TERMS_AT_ONCE], fields, doc_id)
+        seen = F.array_union(F.array(F.lit("")), F.array_distinct(F.transform("hits", lambda h: h["term"])))  # the empty term counts texts
+        stats = {r["term"]: r for r in rows.select("len", F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total")).collect()}
+        whole = stats.pop("", None)
+        n, average = (whole["df"], whole["total"] / whole["df"] or 1.0) if whole else (0, 1.0)
+        idf = [(t, math.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))) for t, r in sorted(stats.items())]
+        weighed = queries.select("query_id", "term").distinct().join(docs.sparkSession.createDataFrame(idf, "term string, idf double"), "term")
+        found = rows.filter(F.size("hits") > 0).select("doc_id", "len", F.explode("hits").alias("h")).select("doc_id", "len", "h.term", "h.w")
+        hits = found.join(F.broadcast(weighed), "term").groupBy("query_id", "doc_id", "len", "term", "idf").agg(F.sum("w").alias("f"))  # the stated queries
+        part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / average))
+        scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))
+        out = scored if out is None else out.unionByName(scored)
+    return out if len(terms) <= TERMS_AT_ONCE else out.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.sum("n_terms").alias("n_terms"))
 
 
 def matching(scored: DataFrame, queries: DataFrame, operator: str) -> DataFrame:
@@ -74,6 +74,56 @@ def top(scored: DataFrame, k: int, order: Column | None = None) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def top_with_fallback(scored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best that have all of a query's terms or, where there are none, the k best of all, from one pass over the scores: those with all terms rank first."""
+    n = queries.distinct().groupBy("query_id").agg(F.count("*").alias("__n"))
+    judged = scored.join(F.broadcast(n), "query_id").withColumn("__all", F.col("n_terms") == F.col("__n"))  # a row a stated query
+    best = top(judged, k, F.struct((~F.col("__all")).alias("a"), (-F.col("score")).alias("s")))
+    return best.withColumn("__any", F.max("__all").over(Window.partitionBy("query_id"))).filter(F.col("__all") | ~F.col("__any")).drop("__n", "__all", "__any")
+
+
+def plain_tokens(c: Column) -> Column:
+    """A question as the words that no match language can trip over: runs of ASCII letters, digits and underscores."""
+    return F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]+"), F.lit(0))
+
+
+# --- a stored index --------------------------------------------------------------------------------------------------------
+
+
+def build_index(docs: DataFrame, fields: dict[str, Column], path: str, doc_id: str = "doc_id", parts: int | None = None, stems: bool = False) -> None:
+    """Writes postings (by ranges of the term, so that a lookup skips files and row groups), lengths and sums below a path. A rebuild writes a new path."""
+    as_tokens = (lambda c: stemmed(text.tokens(c))) if stems else text.tokens
+    rows = None
+    for name, c in fields.items():
+        part = docs.select(F.col(doc_id).alias("doc_id"), F.lit(name).alias("field"), F.posexplode(as_tokens(c)).alias("pos", "term"))
+        rows = part if rows is None else rows.unionByName(part)
+    grouped = rows.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    ranged = grouped.repartitionByRange(parts, "term", "doc_id") if parts else grouped.repartitionByRange("term", "doc_id")
+    ranged.sortWithinPartitions("term", "field", "doc_id").write.parquet(f"{path}/postings")
+    sizes = F.array(*(F.struct(F.lit(n).alias("field"), F.size(as_tokens(c)).alias("len")) for n, c in fields.items()))
+    docs.select(F.col(doc_id).alias("doc_id"), F.inline(sizes)).write.parquet(f"{path}/lengths")
+    spark = docs.sparkSession
+    spark.read.parquet(f"{path}/lengths").groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total")).coalesce(1).write.parquet(f"{path}/sums")
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.sum("tf").alias("tf")).write.parquet(f"{path}/terms")
+
+
+def search_index(spark, path: str, queries: DataFrame, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score, n_terms) from a stored index: the scan of the postings gets the queries' terms as a filter, lengths are read for what was found."""
+    terms = sorted(r["term"] for r in queries.select("term").distinct().collect() if r["term"] is not None)  # the stated queries' own words
+    sums = {r["field"]: r for r in spark.read.parquet(f"{path}/sums").collect()}  # a row a field
+    n = max((r["n"] for r in sums.values()), default=0)
+    average = sum(weights[f] * r["total"] for f, r in sums.items() if f in weights) / n if n else 1.0
+    weight = F.create_map(*(x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))))
+    postings_ = spark.read.parquet(f"{path}/postings").filter(F.col("term").isin(terms) & F.col("field").isin(list(weights)))
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = postings_.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    hits = postings_.groupBy("term", "doc_id").agg(F.sum(F.col("tf") * weight[F.col("field")]).alias("f"))
+    lengths = spark.read.parquet(f"{path}/lengths").filter(F.col("field").isin(list(weights))).groupBy("doc_id").agg(F.sum(F.col("len") * weight[F.col("field")]).alias("len"))
+    part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / average))
+    asked = queries.select("query_id", "term").distinct().join(df, "term")
+    return hits.join(F.broadcast(asked), "term").join(lengths, "doc_id").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))  # the stated queries
+
+
 def phrase(docs: DataFrame, phrases: DataFrame, c: Column, doc_id: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, n): how often the terms of a phrase stand side by side. phrases: (query_id, term, pos), pos from 0."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(text.tokens(c)).alias("at", "term"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markup, text, urls
+from ..functions import pages as page_functions
+
 MAX_EXCERPT = 600
 
 
@@ -81,3 +84,75 @@ def excerpt(c: Column, needle: str, before: int = 200, size: int = 550) -> Colum
 def open_new_items(found: DataFrame, queue: DataFrame, keys: list[str]) -> DataFrame:
     """Findings without an identical open item."""
     return found.join(queue.filter("status = 'open'").select(*keys), keys, "left_anti")
+
+
+# --- the write path of pages -----------------------------------------------------------------------------------------------
+
+
+def page_rows(fetched: DataFrame) -> DataFrame:
+    """Rows of the store from answers: canonical_url, domain, title, path_hash, content_hash, raw_hash, word_count, source_type, content_flags, html, markdown, and what came with them. fetched: url, final_url, body (bytes), content_type, http_status, run, crawled_at."""
+    rows = fetched.withColumns({"html": page_functions.decoded("body", "content_type"), "canonical_url": urls.canonical(F.coalesce("final_url", "url"))})
+    rows = rows.withColumn("markdown", text.normalized_markdown(markup.html_to_markdown("html")))
+    return _stored(rows.withColumn("raw_hash", F.sha2("body", 256)))
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    words = text.word_count(F.coalesce("markdown", F.lit("")))
+    return rows.withColumns({
+        "domain": urls.host("canonical_url"), "title": markup.title("html"), "path_hash": F.sha2("canonical_url", 256), "content_hash": F.sha2(F.coalesce("markdown", F.lit("")), 256),
+        "word_count": words, "source_type": urls.source_type("canonical_url"), "content_flags": text.content_flags(F.coalesce("markdown", F.lit("")), "html", words),
+    })
+
+
+def ingested(given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the store, errors (url, error)) from pages that were handed in as HTML or markdown: exactly one of the two, EINGEST otherwise. given: url, html, markdown, run, crawled_at."""
+    error = F.when(F.col("html").isNull() == F.col("markdown").isNull(), "EINGEST").when(urls.rejection("url").isNotNull(), F.concat(F.lit("EBADURL:"), urls.rejection("url")))
+    rows = given.withColumn("error", error)
+    good = rows.filter("error IS NULL").drop("error").withColumns({"canonical_url": urls.canonical("url"), "raw_hash": F.sha2(F.coalesce("html", "markdown"), 256), "http_status": F.lit(200), "render_mode": F.lit("ingest")})
+    md = F.when(F.col("html").isNull(), F.col("markdown")).otherwise(markup.html_to_markdown("html"))
+    return _stored(good.withColumn("markdown", text.normalized_markdown(md))), rows.filter("error IS NOT NULL").select("url", "error")
+
+
+def store_batch(current: DataFrame, incoming: DataFrame, citations: DataFrame, key: str = "url") -> dict[str, DataFrame]:
+    """pages: the new snapshot, as page_upsert; page_versions: a row to append for each row that came in; review_queue: (kind, record_id, field_name) for citations of a text that has changed; reindex: the keys whose postings are to be replaced. current, incoming: key, digest, run; citations: key, doc_hash, record_id, field_name."""
+    pages = page_upsert(current, incoming, key)
+    stale = invalidated(pages, citations, key).select(F.lit("source_changed").alias("kind"), "record_id", "field_name")
+    return {"pages": pages, "page_versions": incoming.select(key, "run", "digest"), "review_queue": stale, "reindex": pages.filter("action IN ('new', 'updated')").select(key)}
+
+
+def stale_citations_of(citations: DataFrame, records: DataFrame, pages: DataFrame, source: str | None = None, key: str = "doc_url") -> DataFrame:
+    """Stale citations with the source and section of their record; of one source where it is given. records: record_id, source, section."""
+    owners = records.select("record_id", "source", "section")
+    if source is not None:
+        owners = owners.filter(F.col("source") == source)
+    return stale_citations(citations, pages, key).join(owners, "record_id")
+
+
+def stale_sweep(citations: DataFrame, pages: DataFrame, queue: DataFrame, key: str = "doc_url") -> DataFrame:
+    """(kind, record_id, field_name, key) to queue: citations of pages that are gone (missing_source) or have another text now (stale_citation), without those that an open item of the queue has already."""
+    names = ["record_id", "field_name", key]
+    gone = missing_sources(citations, pages, key).select(F.lit("missing_source").alias("kind"), *names)
+    changed = stale_citations(citations, pages, key).select(F.lit("stale_citation").alias("kind"), *names)
+    return open_new_items(gone.unionByName(changed).distinct(), queue, ["kind", "record_id", "field_name"])
+
+
+def fsck(pages: DataFrame, bodies: DataFrame, indexed: DataFrame, records: DataFrame) -> DataFrame:
+    """(check, key): what is wrong with a store. missing_body, orphan_body, hash_mismatch between pages (url, content_hash) and bodies (url, markdown); not_indexed, orphan_index between pages and the index's ids (url); bad_record for records (record_id, record) that are no JSON or have another id of their own."""
+    found = lambda rows, check, key="url": rows.select(F.lit(check).alias("check"), F.col(key).alias("key"))
+    with_body = pages.join(bodies, "url")
+    out = found(pages.join(bodies, "url", "left_anti"), "missing_body").unionByName(found(bodies.join(pages, "url", "left_anti"), "orphan_body"))
+    out = out.unionByName(found(with_body.filter(F.sha2("markdown", 256) != F.col("content_hash")), "hash_mismatch"))
+    ids = indexed.select("url").distinct()
+    out = out.unionByName(found(pages.join(ids, "url", "left_anti"), "not_indexed")).unionByName(found(ids.join(pages, "url", "left_anti"), "orphan_index"))
+    own = F.get_json_object("record", "$.endpoint_id")
+    return out.unionByName(found(records.filter(F.try_parse_json("record").isNull() | (own.isNotNull() & (own != F.col("record_id")))), "bad_record", "record_id"))
+
+
+def owned_pages(pages: DataFrame, ownership: DataFrame, guess: Column) -> DataFrame:
+    """pages with source: the owner in the scope tables (a page owned in two scopes is there twice), else the guess. ownership: url, owner."""
+    return pages.join(ownership.select("url", "owner"), "url", "left").withColumn("source", F.coalesce("owner", guess)).drop("owner")
+
+
+def by_domain(pages: DataFrame, domains: DataFrame) -> DataFrame:
+    """pages (domain) with source: what the map (domain, source) says, else the domain itself."""
+    return pages.join(domains.select("domain", "source"), "domain", "left").withColumn("source", F.coalesce("source", "domain"))

@@ -33,3 +33,45 @@ def audit(checks: list[DataFrame]) -> DataFrame:
     rank = F.create_map(*(x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))))
     rows = rows.filter("status <> 'skip'")
     return rows.agg(F.max_by("status", rank[F.col("status")]).alias("status"), F.count("*").alias("n_checks"), F.sum("n_issues").alias("n_issues"))
+
+
+def extraction_scan(pages: DataFrame, quality: Column) -> DataFrame:
+    """One row: pages, incomplete (quality under 0.40), weak (under 0.70), mean."""
+    rows = pages.select(quality.alias("q"))
+    return rows.agg(F.count("*").alias("pages"), F.count_if(F.col("q") < 0.40).alias("incomplete"), F.count_if((F.col("q") >= 0.40) & (F.col("q") < 0.70)).alias("weak"), F.round(F.avg("q"), 6).alias("mean"))
+
+
+def quality_adapter(issues: DataFrame) -> DataFrame:
+    """quality: warns if any page is empty. issues: issue, n."""
+    empty = F.sum(F.when(F.col("issue").startswith("empty"), F.col("n")).otherwise(0))
+    n = F.coalesce(F.sum(F.when(F.col("issue") != "ok", F.col("n"))), F.lit(0))
+    return issues.agg(n.alias("n_issues"), F.when(F.coalesce(empty, F.lit(0)) > 0, "warn").otherwise("pass").alias("status")).select(F.lit("quality").alias("name"), "status", "n_issues")
+
+
+def retrieval_adapter(summary: DataFrame, good: float = 0.8, fair: float = 0.5) -> DataFrame:
+    """retrieval: passes from a hit rate of 0.8, warns from 0.5. summary: one row with hit_rate, n_queries."""
+    status = F.when(F.col("n_queries") == 0, "skip").when(F.col("hit_rate") >= good, "pass").when(F.col("hit_rate") >= fair, "warn").otherwise("fail")
+    misses = F.round(F.col("n_queries") * (1 - F.coalesce("hit_rate", F.lit(0.0)))).cast("bigint")
+    return summary.select(F.lit("retrieval").alias("name"), status.alias("status"), misses.alias("n_issues"))
+
+
+def extraction_adapter(scan: DataFrame) -> DataFrame:
+    """extraction: warns for under five incomplete pages, fails from five on. scan: as extraction_scan."""
+    status = F.when(F.col("incomplete") == 0, F.when(F.col("weak") > 0, "warn").otherwise("pass")).when(F.col("incomplete") < 5, "warn").otherwise("fail")
+    return scan.select(F.lit("extraction").alias("name"), status.alias("status"), (F.col("incomplete") + F.col("weak")).alias("n_issues"))
+
+
+def catalogue_adapter(matched: DataFrame) -> DataFrame:
+    """catalogue: informs only, so it always passes. matched: rows of cross_reference()."""
+    return matched.agg(F.count_if(F.col("how").isNull()).alias("n_issues")).select(F.lit("catalogue").alias("name"), F.lit("pass").alias("status"), "n_issues")
+
+
+def guarded(name: str, make) -> DataFrame | None:
+    """The check's row; where its tables cannot be read or planned, a row with status error. make: a function without arguments."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+
+    try:
+        return make()
+    except PySparkException:
+        return SparkSession.getActiveSession().createDataFrame([(name, "error", 0)], "name string, status string, n_issues bigint")

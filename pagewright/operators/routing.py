@@ -10,7 +10,7 @@ ERROR_CODES = (
     ("binance", r"-\d{4}\b"),
     ("okx", r"\b5\d{4}\b"),
     ("http", r"(?i)\bHTTP\s+[45]\d{2}\b"),
-    ("http", r"(?i)\b[45]\d{2}\s+(?:Bad Request|Unauthorized|Forbidden|Not Found|Method Not Allowed|Conflict|Gone|Too Many Requests|Internal Server Error|Bad Gateway|Service Unavailable)\b"),
+    ("http", r"(?i)\b[45]\d{2}\s+(?:Bad Request|Unauthorized|Forbidden|Not Found|Method Not Allowed|Conflict|Gone|Too Many Requests|Internal Server Error|Bad Gateway|Service Unavailable|Gateway Timeout)\b"),
     ("bybit", r"\b1[01]\d{3,4}\b"),
     ("kucoin", r"\b[24]00\d{3}\b"),
     ("bitget", r"\b4[0-9]\d{3}\b"),
@@ -28,6 +28,7 @@ CODE_SIGNS = (
     r"\.\b(?:create_order|cancel_order|fetch_balance|fetch_ticker|fetch_order_book|submitOrder|getOrderbook|getWalletBalance|placeOrder|cancelOrder)\s*\(", r"\b\w+Client(?:V\d+)?\.\w+\s*\(",
 )
 
+#: Paths with their method, form payloads, words that ask.
 _PATH = r"(?i)(?:^|\s)((?:GET|POST|PUT|DELETE|PATCH)\s+)?(/[a-zA-Z0-9_\-/{}.:]+)"
 _FORM = r"^[a-zA-Z_]\w*=[^&\s]+(&[a-zA-Z_]\w*=[^&\s]+)+$"
 _ASKS = r"(?i)^(what|how|when|where|why|which|can|does|is|are)\b"
@@ -67,6 +68,11 @@ def classified(c: Column) -> tuple[Column, Column]:
 
 
 def detected_sources(asked: DataFrame, registry: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sources): sources whose id or name stands in the text as words, in the registry's order. The registry is a dimension of a few rows a source."""
-    found = asked.join(F.broadcast(registry), F.expr(f"lower({text}) RLIKE concat('\\\\b(', source, '|', lower(name), ')\\\\b')"))
+    """(key, sources): sources whose id or name stands in the text as words, in the registry's order. Names and texts meet by the name's first word, so no text is held against every source; a registry's name is short."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    names = registry.select("source", "ord", F.explode(F.array_distinct(F.array(words(F.col("source")), words(F.col("name"))))).alias("name_words")).filter(F.size("name_words") > 0)
+    names = names.withColumn("word", F.get("name_words", F.lit(0)))
+    texts = asked.select(key, words(F.col(text)).alias("__w"))
+    spoken = texts.select(key, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__s"), F.explode(F.array_distinct("__w")).alias("word"))
+    found = spoken.join(names, "word").filter(F.contains("__s", F.concat(F.lit(" "), F.array_join("name_words", " "), F.lit(" ")))).select(key, "ord", "source").distinct()
     return found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("s")).select(key, F.transform("s", lambda x: x["source"]).alias("sources"))

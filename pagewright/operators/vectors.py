@@ -32,6 +32,13 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec_
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _distance(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of one query without the product's loss of digits for near vectors."""
+    if metric == "cosine":
+        return 1 - (v @ q) / (np.linalg.norm(q) * np.linalg.norm(v, axis=1))
+    return np.sqrt(((v - q) ** 2).sum(1))
+
+
 def _block(vectors, block, k, metric, vec_id, column, with_self, kind) -> DataFrame:
     ids = [i for i, _ in block]
     given = vectors.sparkSession.sparkContext.broadcast((ids, np.array([v for _, v in block], np.float64)))  # QUERY_BLOCK vectors at most
@@ -47,18 +54,21 @@ def _block(vectors, block, k, metric, vec_id, column, with_self, kind) -> DataFr
                 d = 1 - (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :])
             else:
                 d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T))
+            slack = 1e-5 * max(1.0, float(np.abs(q).max(initial=0)), float(np.abs(v).max(initial=0)))
             own = b.column(0).to_pylist()
             order = np.array(own, dtype=object)
             rows, cols = [], []
+            far_off = []
             for i, qid in enumerate(ids):
                 some = np.argpartition(d[i], min(k + 1, len(own)) - 1)[: k + 1] if len(own) > k + 1 else np.arange(len(own))
-                far = d[i, some].max()
-                some = np.flatnonzero(d[i] <= far)  # with all ties
-                some = sorted(some, key=lambda j: (d[i, j], order[j]))
-                some = [j for j in some if with_self or own[j] != qid][:k]
-                rows += [i] * len(some)
-                cols += some
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], b.column(0).type), pa.array([own[j] for j in cols], b.column(0).type), pa.array(d[rows, cols])], names=["query_id", "vec_id", "distance"])
+                some = np.flatnonzero(d[i] <= d[i, some].max() + slack)  # with all ties, and what rounding may have put behind them
+                exact = _distance(q[i], v[some], metric)
+                best = sorted(zip(exact.tolist(), order[some], some.tolist(), strict=True), key=lambda x: x[:2])
+                best = [x for x in best if with_self or x[1] != qid][:k]
+                rows += [i] * len(best)
+                cols += [j for _, _, j in best]
+                far_off += [x for x, _, _ in best]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], b.column(0).type), pa.array([own[j] for j in cols], b.column(0).type), pa.array(far_off, pa.float64())], names=["query_id", "vec_id", "distance"])
 
     return vectors.select(vec_id, column).mapInArrow(run, f"query_id {kind}, vec_id {kind}, distance double")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
-from ..operators import answer, lineage, quality
+from ..operators import lineage, quality
 from .registry import query, table
 
 
@@ -106,11 +106,3 @@ def audit_rollup(spark, sf_dir):
         quality.check("orders_without_customer", orders.join(customer, orders.o_custkey == customer.c_custkey, "left_anti"), fail=5),
         quality.check("error_events", table(spark, sf_dir, "events").filter("event_type = 'error'")),
     ])
-
-
-@query()
-def answer_claims(spark, sf_dir):
-    """Questions (two words each) answered by cited excerpts of the documents."""
-    questions = spark.sql("SELECT * FROM VALUES (1, 'the thonre'), (2, 'und erber'), (3, 'zzzz qqqq') AS t(query_id, question)")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("section"))
-    return answer.answers(questions, docs)

@@ -88,12 +88,6 @@ def error_code_search(spark, sf_dir):
     return values(spark, _PAGES, "id, url, rank").orderBy(first, "rank", "id").limit(4).select("id", "url")
 
 
-@query("SELECT p_partkey, p_name FROM parts_view".replace("parts_view", "part") + " WHERE p_name ILIKE '%a_e%' AND upper(p_brand) ILIKE 'BRAND%'")
-def path_lookup(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter(F.col("p_name").ilike("%a_e%") & F.upper("p_brand").ilike("BRAND%"))
-    return rows.select("p_partkey", "p_name")
-
-
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _NORM = "sqrt(list_dot_product({x}.embedding::DOUBLE[], {x}.embedding::DOUBLE[]))"
 

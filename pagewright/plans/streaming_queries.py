@@ -23,15 +23,20 @@ def event_sessions(spark, sf_dir):
     return crawl.sessions(e).withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT (user_id % 50)::VARCHAR AS domain, event_id AS seq, CASE event_type WHEN 'error' THEN 2.0 ELSE 0.9 END::DOUBLE AS m, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i FROM events),
+r AS (SELECT domain, seq, i, least(greatest(1.0 * m, 1.0), 60.0) AS delay FROM l WHERE i = 1 UNION ALL SELECT l.domain, l.seq, l.i, least(greatest(r.delay * l.m, 1.0), 60.0) FROM r JOIN l ON l.domain = r.domain AND l.i = r.i + 1)
+SELECT domain, seq, round(delay, 6) AS delay FROM r""")
 def adaptive_delay(spark, sf_dir):
     """A fold over the responses of a domain in their order."""
     e = table(spark, sf_dir, "events")
     log = e.select((F.col("user_id") % 50).cast("string").alias("domain"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"))
-    return inventory.adaptive_delay(log)
+    return inventory.adaptive_delay(log).withColumn("delay", F.round("delay", 6))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey * 7 % 500 AS dst FROM lineitem), r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 3)
+SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
 def frontier_closure(spark, sf_dir):
     """Pages reachable from page 0 over links, here an order's part to the next."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
