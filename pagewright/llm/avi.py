@@ -3,14 +3,18 @@
 write_media() stores bytes as the samples of intra frames: a frame is a baseline grey JPEG whose 8x8 blocks are each of one
 flat value, a payload byte, so its transform has a DC coefficient alone and any JPEG decoder gives the byte back exactly.
 The Huffman tables are chosen so that the code of difference category s has 9 - s bits: with the s bits that follow, and
-one bit for end-of-block, each sample takes 10 bits, and frames are coded and decoded as whole arrays.
-read_media() walks the RIFF chunks, takes the frames that the index (idx1) lists, and decodes them; frames with other
-tables, several components or AC coefficients go through a general baseline decoder, which yields the DC image (the mean
-of each 8x8 block). Shots are cut where the histogram difference of neighbouring DC images exceeds the mean of the
-differences before it in the shot by a factor and a floor; clips() yields a timed row for each.
-
-Null texts are stored as the empty text, one block of padding. Extra columns pass through. Files that are no AVI or hold
-no frame give a null payload and no clips.
+one bit for end-of-block, each sample takes 10 bits, and frames are coded as whole arrays.
+read_media() walks the RIFF chunks, takes the frames that the index (idx1) lists, or those of the movi list where there is
+no index, and decodes them. Frame is a baseline decoder: Huffman codes, DC and AC coefficients, restart intervals, several
+components, inverse cosine transform; Frame.flat() reads the codes of frames with the tables above as whole arrays, to the
+same values. Shots are cut where the histogram difference of neighbouring images exceeds the mean of the differences before
+it in the shot by a factor and a floor; clips() yields a timed row for each. The payload of a file of write_media() is a
+byte a block, up to the stored length; of any other file the samples of the first component, frame by frame.
+
+Null texts are stored as the empty text, one block of padding. Very long texts become many frames of at most 64 x 64
+bytes. Repeated rows have the same file each; an empty table stays empty. Extra columns pass through, those named like a
+result are replaced. Files that are no AVI, hold no frame, or a frame that is no baseline JPEG, give a null payload and no
+clips.
 """
 
 from __future__ import annotations
@@ -98,100 +102,140 @@ def _value(bits: int, s: int) -> int:
     return bits if s == 0 or bits >> (s - 1) else bits - (1 << s) + 1
 
 
-def decode_frame(data: bytes) -> np.ndarray:
-    """The DC image of a baseline JPEG: uint8 of (block rows, block columns), of the first component."""
-    at, quant, huffman, parts, restart, raw_tables = 2, {}, {}, [], 0, b""
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("no JPEG")
-    while True:
-        if data[at] != 0xFF:
-            raise ValueError("marker expected")
-        marker = data[at + 1]
-        if marker == 0xFF:
-            at += 1
-            continue
-        size = struct.unpack_from(">H", data, at + 2)[0]
-        body, whole = data[at + 4 : at + 2 + size], data[at : at + 2 + size]
-        at += 2 + size
-        if marker == 0xDB:
-            raw_tables += whole
-            while body:
-                wide = body[0] >> 4
-                quant[body[0] & 15] = struct.unpack_from(">H", body, 1)[0] if wide else body[1]
-                body = body[1 + 64 * (1 + wide) :]
-        elif marker == 0xC4:
-            raw_tables += whole
-            while body:
-                counts, code, k, table = body[1:17], 0, 17, {}
-                for n, many in enumerate(counts, 1):
-                    for _ in range(many):
-                        table[n, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                huffman[body[0]] = table
-                body = body[k:]
-        elif marker == 0xC0:
-            depth, height, width, n = struct.unpack_from(">BHHB", body)
-            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
-            if depth != 8:
-                raise ValueError("8-bit samples only")
-        elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
-            raise ValueError("baseline frames only")
-        elif marker == 0xDD:
-            restart = struct.unpack(">H", body)[0]
-        elif marker == 0xDA:
-            tables = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-            break
-    end = data.rindex(b"\xff\xd9")
-    wide, high = -(-width // 8), -(-height // 8)
-    if len(parts) == 1 and raw_tables == _TABLES and not restart:
-        ten = np.frombuffer(data[at:end].replace(b"\xff\x00", b"\xff"), np.uint8)
-        n = wide * high
-        if n % 4 == 0 and len(ten) == n // 4 * 5:
-            q = ten.reshape(-1, 5).astype(np.uint64)
-            forty = (q[:, 0] << np.uint64(32)) | (q[:, 1] << np.uint64(24)) | (q[:, 2] << np.uint64(16)) | (q[:, 3] << np.uint64(8)) | q[:, 4]
-            nine = np.stack([(forty >> np.uint64(k)) & np.uint64(511) for k in (31, 21, 11, 1)], 1).ravel()
-            return (np.cumsum(_DIFFERENCE[nine], dtype=np.int64) + 128).astype(np.uint8).reshape(high, wide)
-    return _decode_any(data[at:end], wide, high, parts, tables, huffman, quant, restart)
-
-
-def _decode_any(scan: bytes, wide: int, high: int, parts: list, tables: dict, huffman: dict, quant: dict, restart: int) -> np.ndarray:
-    """Reads every code of an interleaved baseline scan and keeps the first component's DC values."""
-    runs, start, i = [], 0, 0
-    while (i := scan.find(b"\xff", i)) >= 0 and i + 1 < len(scan):
-        if 0xD0 <= scan[i + 1] <= 0xD7:
-            runs.append(scan[start:i])
-            start = i + 2
-        i += 2
-    runs.append(scan[start:])
-    if len(parts) == 1:
-        parts = [(parts[0][0], 1, 1, parts[0][3])]
-    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
-    columns, rows = -(-wide // across), -(-high // down)
-    out = np.zeros((rows * parts[0][2], columns * parts[0][1]), np.float64)
-    unit = 0
-    for run in runs:
-        bits, last = _Bits(run.replace(b"\xff\x00", b"\xff")), [0] * len(parts)
-        for _ in range(restart or columns * rows):
-            if unit == columns * rows:
+class Frame:
+    """A baseline JPEG's headers and scan. ValueError for what is none."""
+
+    def __init__(self, data: bytes):
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("no JPEG")
+        at, self.quant, self.huffman, self.parts, self.restart, self.raw_tables, self.size = 2, {}, {}, [], 0, b"", (0, 0)
+        while True:
+            if data[at] != 0xFF:
+                raise ValueError("marker expected")
+            marker = data[at + 1]
+            if marker == 0xFF:
+                at += 1
+                continue
+            size = struct.unpack_from(">H", data, at + 2)[0]
+            body, whole = data[at + 4 : at + 2 + size], data[at : at + 2 + size]
+            at += 2 + size
+            if marker == 0xDB:
+                self.raw_tables += whole
+                while body:
+                    wide = body[0] >> 4
+                    self.quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * (1 + wide)], ">u2" if wide else np.uint8).astype(float)
+                    body = body[1 + 64 * (1 + wide) :]
+            elif marker == 0xC4:
+                self.raw_tables += whole
+                while body:
+                    counts, code, k, table = body[1:17], 0, 17, {}
+                    for n, many in enumerate(counts, 1):
+                        for _ in range(many):
+                            table[n, code] = body[k]
+                            code, k = code + 1, k + 1
+                        code <<= 1
+                    self.huffman[body[0]] = table
+                    body = body[k:]
+            elif marker == 0xC0:
+                depth, height, width, n = struct.unpack_from(">BHHB", body)
+                self.size = (height, width)
+                self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+                if depth != 8:
+                    raise ValueError("8-bit samples only")
+            elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+                raise ValueError("baseline frames only")
+            elif marker == 0xDD:
+                self.restart = struct.unpack(">H", body)[0]
+            elif marker == 0xDA:
+                tables = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
                 break
-            for c, (name, h, v, q) in enumerate(parts):
-                dc, ac = huffman[tables[name] >> 4], huffman[0x10 | tables[name] & 15]
-                for b in range(h * v):
-                    s = bits.symbol(dc)
-                    last[c] += _value(bits.take(s), s) if s else 0
-                    k = 1
-                    while k < 64:
-                        rs = bits.symbol(ac)
-                        if rs & 15:
-                            bits.take(rs & 15)
-                        elif rs != 0xF0:
-                            break
-                        k += (rs >> 4) + 1
-                    if c == 0:
-                        out[unit // columns * v + b // h, unit % columns * h + b % h] = last[0] * quant[q] / 8 + 128
-            unit += 1
-    return np.clip(np.rint(out[:high, :wide]), 0, 255).astype(np.uint8)
+        if not self.parts or not min(self.size) or any(not 1 <= x <= 4 for p in self.parts for x in p[1:3]) or any(p[0] not in tables for p in self.parts):
+            raise ValueError("no frame header before the scan, or not all components in it")
+        self.tables = tables
+        self.scan = data[at : data.rindex(b"\xff\xd9")]
+
+    def flat(self) -> np.ndarray | None:
+        """The block values of a frame as encode_frame() makes it, all blocks at once; None for any other."""
+        if len(self.parts) != 1 or self.raw_tables != _TABLES or self.restart:
+            return None
+        high, wide = (-(-x // 8) for x in self.size)
+        ten = np.frombuffer(self.scan.replace(b"\xff\x00", b"\xff"), np.uint8)
+        n = wide * high
+        if n % 4 or len(ten) != n // 4 * 5:
+            return None
+        q = ten.reshape(-1, 5).astype(np.uint64)
+        forty = (q[:, 0] << np.uint64(32)) | (q[:, 1] << np.uint64(24)) | (q[:, 2] << np.uint64(16)) | (q[:, 3] << np.uint64(8)) | q[:, 4]
+        nine = np.stack([(forty >> np.uint64(k)) & np.uint64(511) for k in (31, 21, 11, 1)], 1).ravel()
+        if (forty & np.uint64(0x0040100401)).any():  # an end-of-block bit that is no zero
+            return None
+        return (np.cumsum(_DIFFERENCE[nine], dtype=np.int64) + 128).astype(np.uint8).reshape(high, wide)
+
+    def coefficients(self) -> list[np.ndarray]:
+        """For each component the coefficients of its blocks, (block rows, block columns, 64) in zigzag order: every Huffman code of the interleaved scan is read."""
+        runs, start, i = [], 0, 0
+        while (i := self.scan.find(b"\xff", i)) >= 0 and i + 1 < len(self.scan):
+            if 0xD0 <= self.scan[i + 1] <= 0xD7:
+                runs.append(self.scan[start:i])
+                start = i + 2
+            i += 2
+        runs.append(self.scan[start:])
+        parts = [(self.parts[0][0], 1, 1, self.parts[0][3])] if len(self.parts) == 1 else self.parts
+        across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+        columns, rows = -(-self.size[1] // (8 * across)), -(-self.size[0] // (8 * down))
+        out = [np.zeros((rows * v, columns * h, 64)) for _, h, v, _ in parts]
+        unit = 0
+        for run in runs:
+            bits, last = _Bits(run.replace(b"\xff\x00", b"\xff")), [0] * len(parts)
+            for _ in range(self.restart or columns * rows):
+                if unit == columns * rows:
+                    break
+                for c, (name, h, v, _) in enumerate(parts):
+                    dc, ac = self.huffman[self.tables[name] >> 4], self.huffman[0x10 | self.tables[name] & 15]
+                    for b in range(h * v):
+                        block = out[c][unit // columns * v + b // h, unit % columns * h + b % h]
+                        s = bits.symbol(dc)
+                        last[c] += _value(bits.take(s), s) if s else 0
+                        block[0] = last[c]
+                        k = 1
+                        while k < 64:
+                            rs = bits.symbol(ac)
+                            k += rs >> 4
+                            if rs & 15:
+                                if k > 63:
+                                    raise ValueError("a coefficient beyond the block")
+                                block[k] = _value(bits.take(rs & 15), rs & 15)
+                            elif rs != 0xF0:
+                                break
+                            k += 1
+                unit += 1
+        return out
+
+    def planes(self) -> list[np.ndarray]:
+        """For each component its samples, uint8 of (height, width): inverse transform, then repeated where it has fewer samples than the image."""
+        height, width = self.size
+        across, down = (max(p[i] for p in self.parts) for i in (1, 2))
+        out = []
+        for (_, h, v, q), blocks in zip(self.parts, self.coefficients(), strict=True):
+            square = np.zeros(blocks.shape)
+            square[..., _ZIGZAG] = blocks * self.quant[q]
+            pixels = np.einsum("ux,rcuv,vy->rxcy", _COSINES, square.reshape(*blocks.shape[:2], 8, 8), _COSINES).reshape(blocks.shape[0] * 8, blocks.shape[1] * 8)
+            whole = pixels if len(self.parts) == 1 else pixels.repeat(down // v, 0).repeat(across // h, 1)
+            out.append(np.clip(np.rint(whole[:height, :width] + 128), 0, 255).astype(np.uint8))
+        return out
+
+    def values(self) -> np.ndarray:
+        """The value of each block of the first component, its mean: uint8 of (block rows, block columns)."""
+        found = self.flat()
+        if found is not None:
+            return found
+        high, wide = (-(-x // 8) for x in self.size)
+        means = self.coefficients()[0][:high, :wide, 0] * self.quant[self.parts[0][3]][0] / 8 + 128
+        return np.clip(np.rint(means), 0, 255).astype(np.uint8)
+
+
+#: Fixed values of the format: the order of coefficients along the diagonals, from a rule.
+_ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+_COSINES = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
 
 # --- AVI --------------------------------------------------------------------------------------------------------------
@@ -238,15 +282,24 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + (size & 1)
 
 
+def _listed(data: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Place and size of the frames of a list, also of the rec lists in it."""
+    for name, a, size in _chunks(data, at, end):
+        if name == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _listed(data, a + 4, a + size)
+        elif name[2:] in (b"dc", b"db"):
+            yield a, size
+
+
 def parse_avi(data: bytes) -> tuple[list[bytes], float, int | None]:
-    """The frames that the index lists, in its order; frames a second; the stored payload length, if any."""
+    """The frames that the index lists, in its order, or, without an index, those of the movi list in theirs; frames a second; the stored payload length, if any."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    index, movi, fps, length = [], None, float(FPS), None
+    index, movi, fps, length, end = None, None, float(FPS), None, 0
     for name, at, size in _chunks(data, 12, len(data)):
         kind = data[at : at + 4]
         if name == b"LIST" and kind == b"movi":
-            movi = at
+            movi, end = at, at + size
         elif name == b"LIST" and kind == b"hdrl":
             for n, a, s in _chunks(data, at + 4, at + size):
                 if n == b"avih" and s >= 4 and (us := struct.unpack_from("<I", data, a)[0]):
@@ -259,6 +312,8 @@ def parse_avi(data: bytes) -> tuple[list[bytes], float, int | None]:
             index = [(data[a : a + 4], *struct.unpack_from("<II", data, a + 8)) for a in range(at, at + size - 15, 16)]
     if movi is None:
         raise ValueError("no movi list")
+    if index is None:
+        return [data[a : a + n] for a, n in _listed(data, movi + 4, end)], fps, length
     base = movi if not index or data[movi + index[0][1] : movi + index[0][1] + 4] == index[0][0] else 0  # or from the file's start
     return [data[base + at + 8 : base + at + 8 + size] for name, at, size in index if name[2:] in (b"dc", b"db")], fps, length
 
@@ -300,17 +355,21 @@ _CLIP_TYPE = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32(
 def _read(data: bytes | None) -> tuple[bytes | None, list[dict], str | None]:
     try:
         frames, fps, length = parse_avi(data or b"")
-        images = [decode_frame(f) for f in frames]
+        # a file of write_media() has a byte a block; of any other file the first component's samples are read
+        images = [Frame(f).values() if length is not None else Frame(f).planes()[0] for f in frames]
     except (ValueError, IndexError, KeyError, struct.error):
         return None, [], None
+    if not images:
+        return None, [], None
     payload = b"".join(x.tobytes() for x in images)
     payload = payload if length is None else payload[:length]
     cut = shots(images)
     clips = [{"clip": i, "first_frame": a, "last_frame": b, "start_s": a / fps, "end_s": (b + 1) / fps} for i, (a, b) in enumerate(cut)]
     samples = np.frombuffer(payload, np.uint8)
     mean = int(samples.sum(dtype=np.int64)) * 1000 // max(1, samples.size)
-    height, width = images[0].shape if images else (0, 0)
-    return payload, clips, f"frames={len(images)};size={width * 8}x{height * 8};shots={len(cut)};cuts={','.join(str(a) for a, _ in cut[1:])};mean_milli={mean}"
+    height, width = images[0].shape
+    each = 1 if length is None else 8
+    return payload, clips, f"frames={len(images)};size={width * each}x{height * each};shots={len(cut)};cuts={','.join(str(a) for a, _ in cut[1:])};mean_milli={mean}"
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import avi, bpe, decontam, line_dedup, secret_scan, simhash, token_counts, toxicity, url_filter
+from pagewright.llm import bpe, decontam, line_dedup, secret_scan, simhash, token_counts, toxicity, url_filter
 from pagewright.llm.common import remainder
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, n_tokens string"
@@ -246,32 +246,6 @@ def test_fingerprint_follows_the_definition():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0 and simhash.fingerprint("x") == xxhash.xxh64_intdigest(b"x", 42)
 
 
-def test_avi_round_trip(spark):
-    rng = random.Random(10)
-    for n in (0, 1, 63, 64, 65, 4096, 70_000):
-        data = avi.padded(rng.randbytes(n))
-        file = avi.write_avi(data)
-        assert len(data) % 64 == 0 and len(data) >= max(64, n)
-        frames, fps, length = avi.parse_avi(file)
-        assert (fps, length) == (25.0, len(data)) and avi._read(file)[0] == data
-        assert (avi._decode_any(_scan_of(frames[0]), 64, avi.decode_frame(frames[0]).shape[0], [(1, 1, 1, 0)], {1: 0}, _tables(), {0: 8}, 0) == avi.decode_frame(frames[0])).all()
-    read = avi.read_media(avi.write_media(docs(spark)))
-    assert {r["doc_id"]: bytes(r["payload"]) for r in read.collect()} == {i: avi.padded((t or "").encode()) for i, t in enumerate(TEXTS)}
-    assert avi.read_media(spark.createDataFrame([(1, None), (2, bytearray(b"RIFFxxxxAVI "))], "doc_id long, media binary")).filter("payload IS NOT NULL").count() == 0
-    dark, light = np.zeros((4, 64), np.uint8), np.full((4, 64), 200, np.uint8)
-    assert avi.shots([dark, dark, light, light, light, dark]) == [(0, 1), (2, 4), (5, 5)]
-    assert avi.clips(read).filter("clip = 0").count() == len(TEXTS)
-
-
-def _scan_of(frame):
-    at = frame.index(b"\xff\xda")
-    return frame[at + 2 + struct.unpack_from(">H", frame, at + 2)[0] : frame.rindex(b"\xff\xd9")]
-
-
-def _tables():
-    return {0x00: {(9 - s, (1 << (9 - s)) - 2): s for s in range(9)}, 0x10: {(1, 0): 0}}
-
-
 def _deleted_by_hand(rows, least):
     """Winnowing and extension with plain loops."""
     seqs = {}
