@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 from . import vectors
 
 
@@ -119,3 +119,37 @@ def vector_comparison(first: DataFrame, second: DataFrame, queries: DataFrame, r
         run = mrr(queries.select(F.col("vec_id").alias("query_id")), ranked, relevant).select(F.lit(name).alias("run"), "n_queries", "mrr")
         out = run if out is None else out.unionByName(run)
     return out
+
+
+# --- passages --------------------------------------------------------------------------------------------------------------
+
+ANCHOR = 5  # words
+
+
+def _window(n: int):
+    return lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))
+
+
+def documents_with(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents that hold a passage word for word. docs: doc_id, text; passages: item_id, passage.
+
+    A passage's second and following words stand whole in any text that holds it, so ANCHOR of them, or as many as there
+    are before the last, are joined with the windows of that many words of the texts, and what meets is compared. Passages
+    of two words or fewer have no such words; they are compared with every text.
+    """
+    words = lambda c: text.words(c)
+    items = passages.withColumn("w", words("passage")).withColumn("n", F.least(F.size("w") - 2, F.lit(ANCHOR)))
+    anchored = items.filter("n > 0").select("item_id", "passage", "n", F.xxhash64(F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("h"))
+    sizes = [r["n"] for r in anchored.select("n").distinct().collect()]  # ANCHOR values at most
+    hits = None
+    for n in sorted(sizes):
+        windows = docs.select("doc_id", words("text").alias("w")).filter(F.size("w") >= n)
+        at = F.sequence(F.lit(1), F.size("w") - n + 1)
+        found = windows.select("doc_id", F.explode(F.array_distinct(F.transform(at, _window(n)))).alias("h"))
+        pairs = found.join(anchored.filter(F.col("n") == n), "h").select("doc_id", "item_id", "passage")
+        hits = pairs if hits is None else hits.unionByName(pairs)
+    short = items.filter("n <= 0").select("item_id", "passage")
+    out = docs.select("doc_id", "text").join(short, F.contains("text", "passage")).select("item_id", "doc_id")
+    if hits is None:
+        return out
+    return hits.distinct().join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id").distinct().unionByName(out)

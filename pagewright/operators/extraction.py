@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import pages as page_functions
 from ..functions import text as tx
 from ..functions import urls
 
@@ -124,29 +125,55 @@ def with_context(chunk: Column, title: Column, heading: Column) -> Column:
 # --- endpoints -------------------------------------------------------------------------------------------------------------
 
 _METHODS = "GET|POST|PUT|DELETE|PATCH"
-#: How pages name endpoints, in order of trust. The third has a method alone; its path is that of the next line in code.
-PATTERNS = (
-    rf"(?m)^#{{1,4}}\s+({_METHODS})\s+(/[^\s\]]+)",
-    rf"(?ms)^#{{1,4}}\s+[^\n]+?\(HTTP\s+({_METHODS})[^\n]*\n.*?[`\s](?:https?://[^/\s`]+)?(/[A-Za-z0-9_\-/{{}}:.]+)",
-    rf"(?m)^\s*({_METHODS})\s+`?(/[^\s`?]+)`?",
-    rf"(?m)^\s*`\s*({_METHODS})\s+(/[^\s`?]+)\s*`",
-)
+#: How pages name endpoints, in order of trust: a heading of method and path; a heading with a method whose path the code behind it has; code; a line of its own; a line in backticks.
+PATTERNS = ("P4", "P3", "P2", "P1", "P5")
+_HEADED = re.compile(rf"^#{{1,4}}\s+({_METHODS})\s+(/[^\s\]]+)")
+_HEADED_METHOD = re.compile(rf"^#{{1,4}}\s+.+?\(HTTP\s+({_METHODS})")
+_LINE = re.compile(rf"^\s*({_METHODS})\s+`?(/[^\s`?]+)`?")
+_TICKED = re.compile(rf"^\s*`\s*({_METHODS})\s+(/[^\s`?]+)\s*`")
+_BARE = re.compile(r"^\s*(/[^\s?]+)")
+_INLINE = re.compile(r"[`\s](?:https?://[^/\s`]+)?(/[A-Za-z0-9_\-/{}:.]+)")
+FIRST_LINES = 4  # of a code block
+
+
+def named_endpoints(md: str | None) -> list[tuple[str, str, int, int]]:
+    """(method, path, place of the pattern in PATTERNS, line) for each that a page names."""
+    md = md or ""
+    lines, code = md.splitlines(), page_functions.block_ranges(md)["code_blocks"]
+    inside = {i for start, end in code for i in range(start, end + 1)}
+    heads = lambda start, end: ((i, lines[i - 1]) for i in range(start + 1, min(end, start + FIRST_LINES + 1)) if i <= len(lines))
+    out = []
+    for i, line in enumerate(lines, 1):
+        if m := _HEADED.match(line):
+            out.append((m[1], m[2], 0, i))
+        elif m := _HEADED_METHOD.match(line):
+            block = next((b for b in code if b[0] > i), None)
+            found = next(((n, x[x.lastindex]) for n, t in heads(*block) if (x := _LINE.match(t) or _BARE.match(t))), None) if block else None
+            if not found:  # else what its own section names first
+                below = next((k for k in range(i, len(lines)) if lines[k].startswith("#")), len(lines))
+                found = next(((n + 1, x[1]) for n in range(i, below) if (x := _INLINE.search(" " + lines[n]))), None)
+            if found:
+                out.append((m[1], found[1], 1, found[0]))
+        if i not in inside:
+            out += [(x[1], x[2], rank, i) for rank, pattern in ((3, _LINE), (4, _TICKED)) if (x := pattern.match(line))]
+    for block in code:
+        if found := next(((n, x) for n, t in heads(*block) if (x := _LINE.match(t))), None):
+            out.append((found[1][1], found[1][2], 2, found[0]))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("method", T.StringType()), T.StructField("path", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("line", T.IntegerType())])))
+def _named(md: pd.Series) -> pd.Series:
+    return md.map(lambda t: [dict(zip(("method", "path", "rank", "line"), x, strict=True)) for x in named_endpoints(t)])
 
 
 def endpoints(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, method, path, dedup_path, pattern, seq): of each method and path of a page the first by pattern, then place."""
-    found = []
-    for i, p in enumerate(PATTERNS):
-        pairs = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)).alias("m"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(2)).alias("p"))
-        found.append(_tagged(pairs, i))
-    rows = pages.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*found)).alias("e")).select("doc_id", "e.*")
+    """(doc_id, method, path, dedup_path, pattern, line): of each method and path of a page the first by pattern, then place."""
+    rows = pages.select(F.col(doc_id).alias("doc_id"), F.inline(_named(F.col(text))))
     rows = rows.withColumns({"path": urls.normalized_api_path("path"), "dedup_path": urls.path_for_dedup("path")})
-    first = F.min(F.struct("pattern", "seq", "path")).alias("f")
-    return rows.groupBy("doc_id", "method", "dedup_path").agg(first).select("doc_id", "method", F.col("f.path").alias("path"), "dedup_path", F.col("f.pattern").alias("pattern"), F.col("f.seq").alias("seq"))
-
-
-def _tagged(pairs: Column, pattern: int) -> Column:
-    return F.transform(pairs, lambda x, k: F.struct(F.upper(x["m"]).alias("method"), x["p"].alias("path"), F.lit(pattern).alias("pattern"), k.alias("seq")))
+    first = F.min(F.struct("rank", "line", "path")).alias("f")
+    pattern = F.element_at(F.array(*(F.lit(p) for p in PATTERNS)), F.col("f.rank") + 1)
+    return rows.groupBy("doc_id", "method", "dedup_path").agg(first).select("doc_id", "method", F.col("f.path").alias("path"), "dedup_path", pattern.alias("pattern"), F.col("f.line").alias("line"))
 
 
 def new_endpoints(found: DataFrame, existing: DataFrame) -> DataFrame:

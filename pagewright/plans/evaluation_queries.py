@@ -56,7 +56,7 @@ def percentiles(spark, sf_dir):
 WITH q AS (SELECT item_id, text FROM benchmark), h AS (SELECT item_id, count(*) AS n FROM q JOIN documents d ON contains(d.text, q.text) GROUP BY 1)
 SELECT item_id, coalesce(n, 0) AS n_documents FROM q LEFT JOIN h USING (item_id)""")
 def passage_relevance(spark, sf_dir):
-    """Documents that hold a test passage word for word: the relevance set for retrieval tests. A stated query set against all rows."""
+    """Documents that hold a test passage word for word: the relevance set for retrieval tests."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    hits = table(spark, sf_dir, "documents").select("text").join(F.broadcast(q), F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = evaluation.documents_with(table(spark, sf_dir, "documents").select("doc_id", "text"), q).groupBy("item_id").agg(F.count("*").alias("n"))
     return q.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))

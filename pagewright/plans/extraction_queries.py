@@ -26,8 +26,8 @@ def chunk_markdown(spark, sf_dir):
     return chunks.select(F.col("doc_id").alias("page_id"), "chunk_index", "char_start", "char_end", F.sha2(shown, 256).alias("chunk_hash"))
 
 
-_API = "(1, '# GET /api/v3/order¶text¶POST `/api/v3/order/`¶GET /api/v3/order?x=1'), (2, '## Place order (HTTP PUT, x)¶¶`https://h.example/v2/spot`¶` DELETE /v1/:id `'), (3, 'no endpoint'), (4, 'GET /a/<id>).¶GET /a/{x}')"
-_API_EXPECTED = "(1, 'GET', '/api/v3/order', 0), (1, 'POST', '/api/v3/order', 2), (2, 'PUT', '/v2/spot', 1), (2, 'DELETE', '/v1/{id}', 3), (4, 'GET', '/a/{id}', 2)"
+_API = "(1, '# GET /api/v3/order¶text¶POST `/api/v3/order/`¶GET /api/v3/order?x=1'), (2, '## Place order (HTTP PUT, x)¶¶`https://h.example/v2/spot`¶` DELETE /v1/:id `'), (3, 'no endpoint'), (4, 'GET /a/<id>).¶GET /a/{x}'), (5, '## Cancel (HTTP DELETE)¶see /docs¶## Next¶```¶/v9/cancel?id=1¶```¶```¶PATCH /v9/code¶POST /v9/second¶```¶PATCH /v9/code')"
+_API_EXPECTED = "(1, 'GET', '/api/v3/order', 'P4'), (1, 'POST', '/api/v3/order', 'P1'), (2, 'PUT', '/v2/spot', 'P3'), (2, 'DELETE', '/v1/{id}', 'P5'), (4, 'GET', '/a/{id}', 'P1'), (5, 'DELETE', '/v9/cancel', 'P3'), (5, 'PATCH', '/v9/code', 'P2')"
 
 
 @query(f"SELECT doc_id, method, path, pattern FROM (VALUES {_API_EXPECTED}) AS v(doc_id, method, path, pattern)")
@@ -35,7 +35,7 @@ def endpoint_scan(spark, sf_dir):
     return extraction.endpoints(values(spark, _API, "doc_id, text")).select("doc_id", "method", "path", "pattern")
 
 
-@query("SELECT 'GET' AS method, '/api/v3/order' AS dedup_path, 1 AS doc_id UNION ALL SELECT 'POST', '/api/v3/order', 1 UNION ALL SELECT 'PUT', '/v2/spot', 2 UNION ALL SELECT 'DELETE', '/v1/{}', 2")
+@query("SELECT 'GET' AS method, '/api/v3/order' AS dedup_path, 1 AS doc_id UNION ALL SELECT 'POST', '/api/v3/order', 1 UNION ALL SELECT 'PUT', '/v2/spot', 2 UNION ALL SELECT 'DELETE', '/v1/{}', 2 UNION ALL SELECT 'DELETE', '/v9/cancel', 5 UNION ALL SELECT 'PATCH', '/v9/code', 5")
 def endpoint_new(spark, sf_dir):
     existing = values(spark, "('GET', '/a/{}')", "method, dedup_path")
     return extraction.new_endpoints(extraction.endpoints(values(spark, _API, "doc_id, text")), existing).select("method", "dedup_path", "doc_id")

@@ -179,28 +179,13 @@ def page_type_boost(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT l_returnflag AS query_id, l_orderkey AS page, l_partkey AS chunk, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem)
+WITH r AS (SELECT l_returnflag AS query_id, l_orderkey AS page, l_partkey AS chunk, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem QUALIFY rank <= 1000)
 SELECT query_id, page, min(rank) AS rank, arg_min(chunk, rank) AS chunk FROM r GROUP BY 1, 2""")
 def best_chunk_per_doc(spark, sf_dir):
-    """The first row of each page in a ranked list."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    order = F.struct((-F.col("l_extendedprice")).alias("p"), "l_orderkey", "l_linenumber")
-    best = l.groupBy(F.col("l_returnflag").alias("query_id"), F.col("l_orderkey").alias("page")).agg(F.min(F.struct(order.alias("o"), F.col("l_partkey").alias("chunk"))).alias("b"))
-    # the rank of a page's best row: ranks are dealt by range over all rows, not in one task
-    return _global_rank(l.select(F.col("l_returnflag").alias("query_id"), order.alias("o")), best)
-
-
-def _global_rank(rows, best):
-    """Joins the best rows with their position within their query's list: rows are range-partitioned by query and order, each partition numbers its own rows, and the counts of earlier partitions are added."""
-    dealt = rows.repartitionByRange("query_id", "o").sortWithinPartitions("query_id", "o").withColumn("p", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    numbered = dealt.withColumn("i", F.row_number().over(Window.partitionBy("p", "query_id").orderBy("o")))
-    sizes = dealt.groupBy("query_id", "p").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("query_id", "p", "before")
-    ranks = numbered.join(before, ["query_id", "p"]).select("query_id", "o", (F.col("i") + F.col("before")).alias("rank"))
-    b = best.select("query_id", "page", F.col("b.o").alias("o"), F.col("b.chunk").alias("chunk"))
-    return b.join(ranks, ["query_id", "o"]).select("query_id", "page", "rank", "chunk")
+    """The first row of each page in ranked lists of a thousand rows."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("query_id"), F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.col("l_partkey").alias("chunk"), F.col("l_extendedprice").alias("score"))  # noqa: E741
+    ranked = lexical.top(l, 1_000, F.struct((-F.col("score")).alias("p"), "doc_id", "l_linenumber"))
+    return fusion.best_per(ranked.select("query_id", F.col("doc_id").alias("page"), "rank", "chunk"), "page")
 
 
 @query(f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import coverage, store
+from ..operators import coverage, reports, store
 from .registry import query, table
 
 
@@ -203,8 +203,9 @@ def sync_totals(spark, sf_dir):
 @query("SELECT count(*) AS n, regr FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1999-06-17' - INTERVAL 7 DAYS AND o_orderstatus IN ('F', 'P') THEN 'resolved' ELSE 'open' END AS regr FROM orders) GROUP BY 2")
 def review_auto_resolve(spark, sf_dir):
     """Old items of certain kinds are resolved."""
-    old = (F.col("o_orderdate") < F.lit("1999-06-17").cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")) & F.col("o_orderstatus").isin("F", "P")
-    return table(spark, sf_dir, "orders").groupBy(F.when(old, "resolved").otherwise("open").alias("regr")).agg(F.count("*").alias("n"))
+    queue = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("kind"), F.lit("open").alias("status"), F.col("o_orderdate").alias("created_at"))
+    done = reports.auto_resolve(queue, F.lit("1999-06-17").cast("timestamp_ntz"), ("F", "P"))
+    return done.groupBy(F.col("status").alias("regr")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT sha256(string_agg(u, '\\n' ORDER BY u)) AS inventory_hash FROM (SELECT DISTINCT 'https://x.example/' || o_orderpriority AS u FROM orders)")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 METHODS = ("get", "post", "put", "delete", "patch", "head", "options")
 MAX_REFERENCES = 20
+MAX_NODES = 200_000
 
 _S = T.StringType()
 
@@ -68,8 +69,12 @@ def load_spec(text: str) -> dict:
     return spec
 
 
-def resolve(node: Any, root: dict, depth: int = 0) -> Any:
-    """References within the document are put in their place, up to MAX_REFERENCES deep; others stay."""
+def resolve(node: Any, root: dict, depth: int = 0, left: list[int] | None = None) -> Any:
+    """References within the document are put in their place, up to MAX_REFERENCES deep; others stay. A document that grows beyond MAX_NODES that way is refused."""
+    left = [MAX_NODES] if left is None else left
+    left[0] -= 1
+    if left[0] < 0:
+        raise ValueError("ETOOLARGE: references make too large a document")
     if isinstance(node, dict):
         if set(node) == {"$ref"} and isinstance(node["$ref"], str) and node["$ref"].startswith("#/") and depth < MAX_REFERENCES:
             target: Any = root
@@ -78,9 +83,9 @@ def resolve(node: Any, root: dict, depth: int = 0) -> Any:
                 if not isinstance(target, dict) or part not in target:
                     return node
                 target = target[part]
-            return resolve(target, root, depth + 1)
-        return {k: resolve(v, root, depth) for k, v in node.items()}
-    return [resolve(v, root, depth) for v in node] if isinstance(node, list) else node
+            return resolve(target, root, depth + 1, left)
+        return {k: resolve(v, root, depth, left) for k, v in node.items()}
+    return [resolve(v, root, depth, left) for v in node] if isinstance(node, list) else node
 
 
 _OPERATION = T.ArrayType(T.StructType([T.StructField(n, _S) for n in ("method", "path", "base_url", "api_version", "description", "request_schema", "response_schema", "excerpt")] + [T.StructField("excerpt_start", T.IntegerType()), T.StructField("excerpt_end", T.IntegerType()), T.StructField("error", _S)]))

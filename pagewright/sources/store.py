@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,9 @@ def init(spark: SparkSession, folder: str) -> None:
     for name in SCHEMAS:
         try:
             spark.read.parquet(f"{folder}/{name}").schema  # noqa: B018
-        except Exception:  # noqa: BLE001 - Spark names a missing path by one of several classes
+        except AnalysisException as e:  # a table that is there but cannot be read is no missing one
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             spark.createDataFrame([], schema(name)).write.mode("ignore").parquet(f"{folder}/{name}")
     spark.createDataFrame([(VERSION,)], "version int").write.mode("ignore").parquet(f"{folder}/_schema_version")
 
@@ -98,3 +101,8 @@ def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = old.select("path", F.col("sha256").alias("a")), new.select("path", F.col("sha256").alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
     return a.join(b, "path", "full").select("path", change.alias("change")).filter("change IS NOT NULL")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Appends to a log of JSON lines; a failed job leaves no part of a file behind."""
+    rows.write.mode("append").json(path)
