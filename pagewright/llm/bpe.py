@@ -5,7 +5,9 @@ makes with its right neighbour, an inner node the least rank below it. The root
 of that rank its place; a merge is three point updates, each logarithmic in the piece. Short pieces are merged many at a
 time, their trees being rows of one array. Equal chunks of text are encoded once per worker (a bounded cache).
 
-Null texts are encoded as the empty text: no ids. Extra columns pass through; columns named like a result are replaced.
+Null texts are encoded as the empty text: no ids. Very long texts are cut by the split pattern alone and encoded whole.
+Repeated rows have equal ids each; an empty table stays empty. Extra columns pass through; columns named like a result are
+replaced.
 """
 
 from __future__ import annotations

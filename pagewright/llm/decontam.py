@@ -6,7 +6,9 @@ a letter that no window has, so a document is scanned once, a word at a time; wo
 text's offsets where something was found.
 
 Items are read in blocks of at most BLOCK_WORDS words, so what a worker holds is bounded; usually there is one block.
-Null texts have no words. A null item_id counts as the empty string. Repeated rows each get a row; extra columns pass.
+Null texts have no words; very long ones are scanned whole. A null item_id counts as the empty string; items that repeat an
+id are one. Repeated rows each get a row; an empty table stays empty, and without items nothing is found. Extra columns
+pass; those named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ A hash that occurs very often is one row after map-side aggregation; its places
 Line hashes move in place of texts, until the lines to delete are joined with the documents.
 
 Null and empty texts have no lines and stay. A null id comes before all others. Rows that repeat both id and text are one
-place, so they lose the same lines. Extra columns pass through; those named like a result are replaced.
+place, so they lose the same lines. Very long texts are cut whole; an empty table stays empty. Extra columns pass through;
+those named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ hashes (commit, sha, uuid, ...). The forest is trained from labelled findings: c
 default from findings() below, FINDINGS rows that are made from hashes of their numbers, so training is bounded and the
 same everywhere.
 
-Null and empty texts have no candidates and give no rows. Repeated rows give their findings each. Extra columns pass
-through; those named like a result are replaced.
+Null and empty texts have no candidates and give no rows; very long texts are searched whole. Repeated rows give their
+findings each; an empty table gives none. Extra columns pass through, also those that the forest has names for; those named
+like a result are replaced.
 """
 
 from __future__ import annotations

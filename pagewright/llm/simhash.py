@@ -12,7 +12,8 @@ so this ends. Within a bucket only the links of a spanning forest are kept. Comp
 and small-star steps, each a join on minima, written to the shared folder.
 
 Null and empty texts have fingerprint zero and are linked like any other. Null ids count in no minimum; a component of
-null ids alone has a null id. Repeated rows each get a row. Extra columns pass through.
+null ids alone has a null id. Very long texts are shingled whole. Repeated rows each get a row; an empty table stays empty.
+Extra columns pass through; those named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Texts move once, by key, after copies within a partition have been dropped, so a
 task. Within a worker, equal words are encoded once (a bounded cache); words are cut at ASCII white space, where neither
 the normaliser nor the pre-split nor a special string reaches across.
 
-Null texts count as empty: 0 bytes, 0 tokens. Repeated rows each get a row. Extra columns pass through.
+Null texts count as empty: 0 bytes, 0 tokens. Very long texts are encoded whole. Repeated rows each get a row; an empty
+table stays empty. Extra columns pass through; those named like a result are replaced.
 """
 
 from __future__ import annotations

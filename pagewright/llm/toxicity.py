@@ -12,7 +12,8 @@ most FIT_ROWS labelled documents, taken by a hash of their ids, and at most FEAT
 apart most (chi over Z_LEAST); the letter model and the scores take all texts.
 
 Null texts are empty; the empty text has the score of no feature. Null labels are left out; of several labels of an id the
-largest holds. Without labelled rows of both classes every score is 0. Repeated rows each get a row, extra columns pass.
+largest holds. Without labelled rows of both classes every score is 0. Very long texts and tokens are read whole. Repeated
+rows each get a row, an empty table stays empty, extra columns pass; those named like a result are replaced.
 """
 
 from __future__ import annotations
