@@ -5,8 +5,8 @@ zero; table v, one for each vector v that is not zero, masks out the bits whose
 vectors of a pair's differing bits leave some v orthogonal to all of them, so every pair within the radius agrees under
 some table's mask: none is missed. Pairs that share a bucket are compared exactly.
 
-Copies are one fingerprint, so groups of copies never meet in a bucket. A bucket of more than BUCKET distinct fingerprints
-is dealt anew: the free bits of its mask fall into RADIUS + 1 blocks, a pair within the radius agrees on one of them, so
+Copies are one fingerprint, so groups of copies never meet in a bucket. Buckets are counted before any is formed; one of
+more than BUCKET distinct fingerprints is dealt anew: the free bits of its mask fall into RADIUS + 1 blocks, a pair within the radius agrees on one of them, so
 the bucket becomes RADIUS + 1 finer ones, again and again; a mask with f free bits has 2**f distinct fingerprints at most,
 so this ends. Within a bucket only the links of a spanning forest are kept. Components come from alternating large-star
 and small-star steps, each a join on minima, written to the shared folder.
@@ -98,66 +98,64 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-_STEP = pa.schema([("mask", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
-
-def _links_in_buckets(radius: int, bucket: int):
-    """Rows (mask, key, fp), sorted, to links (null, a, b) or, from a bucket that is too large, rows of finer tables (mask, fp, null)."""
-
-    def of_bucket(mask: int, fps: np.ndarray) -> tuple[list, list]:
-        if len(fps) <= bucket:
-            return _forest(fps, radius), []
-        return [], [(m, fps) for m in _finer(mask & (1 << 64) - 1, radius)]
+def _links_in_buckets(radius: int):
+    """Rows (mask, key, fp), sorted, to links (a, b); buckets are of a bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, held = None, 0  # the bucket that may go on in the next batch, and its rows
-        def batch(links, finer):  # noqa: E306
-            m = np.concatenate([np.full(len(f), _signed(k), np.int64) for k, f in finer]) if finer else np.zeros(0, np.int64)
-            f = np.concatenate([f for _, f in finer]) if finer else np.zeros(0, np.int64)
-            a, b = (np.array(x, np.int64) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
-            none = pa.nulls(len(f), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(m)]), pa.concat_arrays([pa.array(a), pa.array(f)]), pa.concat_arrays([pa.array(b), none])], schema=_STEP)
+        rest = np.zeros((3, 0), np.int64)  # the bucket that may go on in the next batch
+
+        def linked(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            two = starts[ends - starts == 2]
+            near = _ones(rows[2, two] ^ rows[2, two + 1]) <= radius
+            out = list(zip(rows[2, two[near]].tolist(), rows[2, two[near] + 1].tolist(), strict=True))
+            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+                out += _forest(rows[2, s:e], radius)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            rows = np.stack([b.column(n).to_numpy() for n in ("mask", "key", "fp")])
-            if rest is not None:
-                rows = np.concatenate([rest, rows], 1)
+            rows = np.concatenate([rest, np.stack([b.column(n).to_numpy() for n in ("mask", "key", "fp")])], 1)
             if not rows.shape[1]:
                 continue
             starts = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
             rest = rows[:, starts[-1] :]
-            ends = starts[1:]
-            starts = starts[:-1]
-            links, finer = [], []
-            two = starts[ends - starts == 2]
-            near = _ones(rows[2, two] ^ rows[2, two + 1]) <= radius
-            links += zip(rows[2, two[near]].tolist(), rows[2, two[near] + 1].tolist(), strict=True)
-            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-                more, deeper = of_bucket(int(rows[0, s]), rows[2, s:e])
-                links += more
-                finer += deeper
-            yield batch(links, finer)
-        if rest is not None and rest.shape[1] > 1:
-            links, finer = of_bucket(int(rest[0, 0]), rest[2])
-            yield batch(links, finer)
+            yield linked(rows, starts[:-1], starts[1:])
+        if rest.shape[1]:
+            yield linked(rest, np.array([0]), np.array([rest.shape[1]]))
+
+    return run
+
+
+def _dealt(radius: int):
+    """Rows (mask, fp) to one for each finer mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finer: dict[int, list[int]] = {}
+        for b in batches:
+            mask, fp = b.column("mask").to_numpy(), b.column("fp").to_numpy()
+            for m in np.unique(mask).tolist():
+                if m not in finer:
+                    finer[m] = [_signed(x) for x in _finer(m & (1 << 64) - 1, radius)]
+            new = np.array([finer[m] for m in mask.tolist()], np.int64).reshape(-1, radius + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(new.ravel()), pa.array(np.repeat(fp, radius + 1))], names=["mask", "fp"])
 
     return run
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that join all that are within the radius."""
-    spark = distinct.sparkSession
+    """(a, b): links between distinct fingerprints (column fp) that join all that are within the radius. Buckets are counted first, with partial sums in the map tasks; the rows of those that are too large are dealt to finer masks where they are, so no task ever holds such a bucket."""
     tables = F.array(*(F.lit(_signed(m)).cast("bigint") for m in masks(radius)))
     rows, found = distinct.select(F.explode(tables).alias("mask"), "fp"), None
     while True:
         keyed = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        sorted_rows = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-        step = written(sorted_rows.mapInArrow(_links_in_buckets(radius, bucket), "mask bigint, a bigint, b bigint"), "simhash-links")
-        new = step.filter(F.col("mask").isNull()).select("a", "b")
+        large = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("mask", "key"), "simhash-large")
+        some = bool(large.take(1))
+        small = keyed.join(large, ["mask", "key"], "left_anti").select("mask", "key", "fp") if some else keyed
+        sorted_rows = small.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+        new = written(sorted_rows.mapInArrow(_links_in_buckets(radius), "a bigint, b bigint"), "simhash-links")
         found = new if found is None else found.unionByName(new)
-        rows = step.filter(F.col("mask").isNotNull()).select("mask", F.col("a").alias("fp"))
-        if not rows.take(1):
+        if not some:
             return found
+        rows = written(keyed.join(large, ["mask", "key"], "left_semi").select("mask", "fp").mapInArrow(_dealt(radius), "mask bigint, fp bigint").distinct(), "simhash-finer")
 
 
 def components(found: DataFrame) -> DataFrame:
