@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,10 +40,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: the plan behind it is run once, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
+    made(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: dict[str, list[str]] = {}
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The folders that this application has written for its own use and not yet deleted."""
+    return _made.setdefault(spark.sparkContext.applicationId, [])
+
+
+def clean(spark: SparkSession, *keep: DataFrame, since: int = 0) -> None:
+    """Deletes the folders that this application has written, but for its first `since` and those that `keep` reads: for when all other results have been taken."""
+    files = {os.path.dirname(f) for df in keep for f in df.inputFiles()}
+    paths, jvm = made(spark), spark._jvm
+    for path in paths[since:]:
+        if not any(f.rstrip("/").endswith(path[path.index("/") :]) for f in files):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            paths.remove(path)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, shared_folder, written
+from .common import ASCII_LOWER, made, shared_folder, written
 
 DEPTH = 2
 MIN_COUNT = 2
@@ -545,7 +545,9 @@ def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH
     # bucketed, so that no join moves the blocks themselves
     name = f"pagewright_blocks_{uuid.uuid4().hex}"
     dealt = blocks(narrow, "__text", "__train", block_bytes)
-    dealt.write.bucketBy(min(4 * parts, BUCKETS), "block").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_folder(spark)}/{name}"
+    made(spark).append(path)
+    dealt.write.bucketBy(min(4 * parts, BUCKETS), "block").option("path", path).saveAsTable(name)
     table = spark.table(name)
     replies = _answered(table.drop("rows").mapInArrow(_first_round(sent), _MESSAGE), sent, parts, "replies")
     sizes = replies.filter(F.col("kind") == _SIZE).agg(F.sum("n"), F.sum("m")).first()

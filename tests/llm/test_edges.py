@@ -78,3 +78,18 @@ def test_urls(spark):
     assert [r["verdict"] for r in rows] == ["allow"] * 6 and rows[5]["host"] == "long.example" and len(rows[5]["path"]) == 40_001
     own = url_filter.filter_urls(pages.withColumn("bad", F.col("doc_id") == 4), "text", rejected=F.col("bad"))
     assert own.count() == 6 and url_filter.filter_urls(pages.limit(0), "text").count() == 0
+
+
+def test_folders_are_deleted_but_for_what_is_kept(spark):
+    from pagewright.llm import common
+
+    d = docs(spark)
+    first = common.written(d, "first")
+    since = len(common.made(spark))
+    a, b = common.written(d, "a"), common.written(d, "b")
+    common.clean(spark, b, since=since)
+    assert len(common.made(spark)) == since + 1 and b.count() == first.count() == len(TEXTS)
+    with pytest.raises(Exception):  # noqa: B017, PT011 - its files are gone
+        a.collect()
+    common.clean(spark, first)
+    assert len(common.made(spark)) == 1 and first.count() == len(TEXTS)
