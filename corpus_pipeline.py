@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, line dedup, near-duplicates, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
-writes what a stage returns as Parquet in the shared folder and reads it again as the next one's docs.
+writes what a stage returns as Parquet in the shared folder, reads it again as the next one's docs and deletes what the
+stage had written besides.
 
 In every stage a null text counts as the empty text and stays null where it stays; a null id is an id like any other for
 what is kept; texts are read whole at any length; an empty table gives an empty table; columns that documents may have
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, decontam, line_dedup, simhash, toxicity
-from pagewright.llm.common import table, written
+from pagewright.llm.common import clean, made, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), len(made(spark))
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        clean(spark, docs, since=others)  # what the stage wrote for itself, and its predecessor's rows
     return docs
