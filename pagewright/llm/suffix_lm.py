@@ -529,8 +529,9 @@ def _finer(coarse: int, parts: int):
 
 def _answered(messages: DataFrame, sent: int, parts: int, name: str) -> DataFrame:
     if sent < parts:  # so that a block never sends more than FAN_OUT rows at once
-        messages = messages.repartition("part").mapInArrow(_finer(sent, parts), _MESSAGE)
-    return written(messages.groupBy("part").applyInArrow(_added, _REPLY), name)
+        messages = messages.repartition(sent, "part").mapInArrow(_finer(sent, parts), _MESSAGE)
+    # as many tasks as parts, so that what a task reads does not grow with the input
+    return written(messages.repartition(parts, "part").groupBy("part").applyInArrow(_added, _REPLY), name)
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
