@@ -29,6 +29,11 @@ CC_ALPHA = {"question": 0.35, "endpoint_path": 0.35, "error_message": 0.65, "cod
 COMPARES = r"(?i)\b(compare|comparison|versus|vs\.?|difference|differ|between|both)\b"
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """A result of a few rows for each stated question, taken by the driver, so that later steps don't plan and run it again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def path_signal(c: Column) -> tuple[Column, Column]:
     """(path, method) that a question names; null without."""
     method, path = F.upper(F.trim(F.regexp_extract(c, routing._PATH, 1))), F.regexp_extract(c, routing._PATH, 2)
@@ -173,25 +178,25 @@ def answers(questions: DataFrame, docs: DataFrame, registry: DataFrame, known: D
 
     questions: query_id, question; docs: doc_id, source, section, url, text; registry: source, name, ord, sections; known: record_id, source, section, method, path, text, docs_url; semantic: query_id, key (doc_id), score, rank.
     """
-    q = asked(questions, registry, known)
+    q = _held(asked(questions, registry, known))
     n = F.size("sources")
     unclear = (n == 0) | ((n > 1) & ~(F.col("norm").rlike(COMPARES) & (n <= MAX_COMPARED)) & ~((F.col("kind") == "endpoint_path") & (F.col("confidence") >= DIRECT)))
     clear = q.filter(~unclear)
-    terms = terms_of(clear)
+    terms = _held(terms_of(clear))
     needles = terms.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("term")), 1, 4).alias("needles"))
     codes = clear.select("query_id", F.slice("codes", 1, 3).alias("needles"))
-    by_path, by_code = direct_paths(clear, known), direct_errors(clear, docs)
+    by_path, by_code = _held(direct_paths(clear, known)), _held(direct_errors(clear, docs))
     direct = _record_claims(by_path.withColumn("score", F.lit(1.0)), known).unionByName(_page_claims(by_code.withColumn("score", F.lit(1.0)).drop("code"), docs, codes))
     direct_ids = by_path.select("query_id").unionByName(by_code.select("query_id")).distinct().withColumn("__direct", F.lit(True))
-    gated = undocumented(clear, known, docs).distinct().withColumn("__gated", F.lit(True))
+    gated = _held(undocumented(clear, known, docs).distinct()).withColumn("__gated", F.lit(True))
     routed = q.withColumn("__unclear", unclear).join(direct_ids, "query_id", "left").join(gated, "query_id", "left")
-    routed = routed.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("__direct", "__gated")})
+    routed = _held(routed.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("__direct", "__gated")}))
     rest = routed.filter("NOT __unclear AND NOT __direct AND NOT __gated").select(*q.columns)
     asked_terms = terms.join(rest.select("query_id"), "query_id", "left_semi")
     ep = records.search(known, asked_terms, 10 * RECORDS).join(known.select(F.col("record_id").alias("doc_id"), "source"), "doc_id").join(F.broadcast(rest.select("query_id", "sources")), "query_id")  # the stated questions
     ep = ep.filter(F.array_contains("sources", F.col("source"))).withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("order") <= RECORDS)
-    ep = _record_claims(ep.select("query_id", "order", F.col("doc_id").alias("record_id"), F.round(intents.bm25_normalized("score"), 9).alias("score")), known)
-    found = _page_claims(searched(rest, asked_terms, docs, registry, semantic, mode), docs, needles)
+    ep = _record_claims(_held(ep.select("query_id", "order", F.col("doc_id").alias("record_id"), F.round(intents.bm25_normalized("score"), 9).alias("score"))), known)
+    found = _page_claims(_held(searched(rest, asked_terms, docs, registry, semantic, mode)), docs, needles)
     rows = direct.unionByName(ep.unionByName(found)).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("group", "order", "record_id", "doc_id"))).filter(F.col("r") <= MAX_CLAIMS)
     claim = F.struct(F.concat(F.lit("c"), F.col("r").cast("string")).alias("id"), "kind", "record_id", "doc_id", "url", F.round("score", 6).alias("score"), "excerpt", "excerpt_start", "excerpt_end", "content_hash")
     claims = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", claim.alias("claim")))).alias("c")).select("query_id", F.transform("c", lambda x: x["claim"]).alias("claims"))
