@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, decontam, line_dedup, secret_scan, simhash, suffix_lm, token_counts, toxicity, url_filter
+from . import avi, bpe, decontam, line_dedup, periodic, product_codes, secret_scan, sharding, simhash, suffix_lm, token_counts, toxicity, url_filter
 from .common import remainder, table, written
 
 
@@ -72,8 +72,41 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _repeated(text: Column, doc_id: Column) -> Column:
+    """Where crc32 of the id ends in 0, the text's words with a part of them repeated in place of those after it; else the text."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words)
+    a = F.pmod(g, n)
+    most = 3 + F.pmod(g, F.lit(8))
+    p = 1 + F.floor((n - a) / most)
+    part = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), 11))  # p * 10 words or fewer are wanted
+    again = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(part, F.lit(1), (n - a).cast("int")))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(again, " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _repeated(F.col("text"), F.col("doc_id")).alias("text"))
+    r = lambda c: F.col(f"longest.{c}")
+    each = F.transform("runs", lambda x: F.concat_ws("", F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    return periodic.periodic_runs(docs).select(
+        "doc_id", "n_runs", r("start").alias("start"), r("length").alias("length"), r("period").alias("period"), F.expr("1000 * longest.length DIV longest.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", each), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = product_codes.product_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_token_counts, op4_secret_scan, op5_toxicity, op6_decontamination, op7_simhash, op8_suffix_tree_lm, op9_avi_media, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_token_counts, op4_secret_scan, op5_toxicity, op6_decontamination, op7_simhash, op8_suffix_tree_lm, op9_avi_media, op10_line_dedup, op11_periodic_runs, op12_sharding, op13_product_codes)}
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
@@ -91,4 +124,4 @@ FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL: they need a tokeniser, a hash, a media format or a fitted model; tests hold them against brute force."""
-    return {"op2_url_filter": url_filter.sql(), "op6_decontamination": OP6_SQL}
+    return {"op2_url_filter": url_filter.sql(), "op6_decontamination": OP6_SQL, "op13_product_codes": product_codes.sql()}
