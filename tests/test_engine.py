@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import markup, text, urls
 from pagewright.operators import evaluation, extraction, fusion, inventory, lexical, lineage, routing, store
 from pagewright.plans import catalog
-from pagewright.sources import formats
+from pagewright.sources import commits, formats
 from pagewright.sources import store as folders
 from pagewright.streaming import crawl
 
@@ -176,14 +176,23 @@ def test_store_folder(spark, tmp_path):
 
 
 def test_streamed_upserts_survive_a_replay(spark, tmp_path):
-    inbox, state = tmp_path / "in", str(tmp_path / "store")
-    for run, html in ((1, "<title>a</title> x"), (2, "<title>a</title> y")):
-        spark.createDataFrame([(run, "https://a.example/p", html, None)], crawl.PAGES).coalesce(1).write.mode("append").parquet(str(inbox))
-        crawl.run_upserts(crawl.cleaned(crawl.page_batches(spark, str(inbox))), state, str(tmp_path / "cp")).awaitTermination(60)
-    last = spark.read.parquet(f"{state}/snapshot=1").collect()
-    assert [(r["url"], r["run"], r["action"]) for r in last] == [("https://a.example/p", 2, "updated")]
-    crawl.upsert_sink(state)(spark.createDataFrame([("https://a.example/p", "zzz", 9)], "url string, digest string, run long"), 1)
-    assert spark.read.parquet(f"{state}/snapshot=1").collect() == last
+    inbox, state = tmp_path / "in", f"file://{tmp_path}/store"
+    for run, html in ((1, "<title>a</title> x"), (2, "<title>a</title> y"), (3, "<title>a</title> y")):
+        rows = [(run, "https://a.example/p", html, None)] * 3 + [(run, f"https://a.example/{run}", html, None)]
+        spark.createDataFrame(rows, crawl.PAGES).coalesce(1).write.mode("append").parquet(str(inbox))
+        crawl.run_upserts(crawl.cleaned(crawl.page_batches(spark, str(inbox))), state, str(tmp_path / "cp")).awaitTermination(120)
+    now = {r["url"]: (r["run"], r["action"], r["prev_digest"] == r["digest"]) for r in crawl.current_pages(spark, state).collect()}
+    assert now == {"https://a.example/p": (3, "unchanged", True), "https://a.example/1": (1, "new", None), "https://a.example/2": (2, "new", None), "https://a.example/3": (3, "new", None)}
+    then = {r["url"]: r["action"] for r in crawl.current_pages(spark, state, 2).collect()}
+    assert then["https://a.example/p"] == "updated" and len(then) == 3
+    before = commits.latest(spark, state)
+    again = spark.createDataFrame([("https://a.example/p", "zzz", None, 9, "new")], crawl.CHANGES)
+    crawl.change_sink(state)(again, 1)  # a batch that comes again
+    assert commits.latest(spark, state) == before
+    crawl.change_sink(state, compact_after=2)(again, 3)
+    after = commits.latest(spark, state)
+    assert len(after.parts("page_changes")) == 1 and after.version == before.version + 2
+    assert {r["url"]: r["run"] for r in crawl.current_pages(spark, state).collect()}["https://a.example/p"] == 9
 
 
 @pytest.mark.parametrize(("value", "want"), [(None, "question"), ("", "question"), ("?", "question")])
