@@ -57,12 +57,13 @@ def deal(loads: list[float], count: int, size: float) -> list[int]:
     return got
 
 
-def schedule(classes: Iterable[tuple[int, int, int]], shards: int) -> list[tuple[int, list[int]]]:
-    """(class, groups, their sizes' sum), largest class first, to (class, for each shard how many of its groups go to it or one before)."""
+def schedule(classes: Iterable[tuple[int, int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
+    """(class, groups, their sizes' sum), largest class first, to (class, the shards that get groups of it, how many go to each of them or one before)."""
     loads, out = [0] * shards, []
     for name, count, total in classes:
         size = total // count if total % count == 0 else total / count
-        out.append((name, list(accumulate(deal(loads, count, size)))))
+        got = [(shard, n) for shard, n in enumerate(deal(loads, count, size)) if n]
+        out.append((name, [shard for shard, _ in got], list(accumulate(n for _, n in got))))
     return out
 
 
@@ -104,10 +105,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", doc_i
     groups = rows.groupBy("__digest").agg(F.sum("size").alias("__total"), F.count("*").alias("__rows"))
     groups = written(groups.withColumn("__class", size_class(F.col("__total"))), "shard-groups")
     classes = groups.groupBy("__class").agg(F.count("*").alias("n"), F.sum("__total").alias("total"), F.sum("__rows").alias("rows")).orderBy(F.desc("__class")).collect()
-    ends = spark.createDataFrame(schedule(((r["__class"], r["n"], r["total"]) for r in classes), shards), "__c bigint, __ends array<bigint>")
+    ends = spark.createDataFrame(schedule(((r["__class"], r["n"], r["total"]) for r in classes), shards), "__c bigint, __shards array<int>, __ends array<bigint>")
     at = ranked(groups, sum(r["n"] for r in classes), "__class", F.col("__digest"), F.xxhash64("__digest"), "__at")
     of_class = at.join(F.broadcast(ends), F.col("__class") == F.col("__c"))  # bounded as the classes are
-    shard_of = written(of_class.select(F.col("__digest").alias("__d"), F.size(F.filter("__ends", lambda e: e <= F.col("__at"))).alias("shard")), "shard-of-group")
+    shard_of = written(of_class.select(F.col("__digest").alias("__d"), F.get("__shards", F.size(F.filter("__ends", lambda e: e <= F.col("__at")))).alias("shard")), "shard-of-group")
     put = written(rows.join(shard_of, F.col("__digest") == F.col("__d")).drop("__d"), "shard-of-row")
     placed = ranked(put, sum(r["rows"] for r in classes), "shard", F.col(doc_id), F.xxhash64(F.col(doc_id), F.col("__digest")), "slot")
     return placed.drop("__digest").withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})

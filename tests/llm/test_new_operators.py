@@ -138,6 +138,11 @@ def test_dealing_by_classes_is_the_heap():
     assert sharding.deal([5, 0, 5], 4, 0) == [0, 4, 0]
 
 
+def test_classes_name_the_shards_that_get_groups():
+    classes = [(40, 2, 80), (9, 5, 45), (1, 100, 100)]
+    assert sharding.schedule(classes, 3) == [(40, [0, 1], [1, 2]), (9, [2], [5]), (1, [0, 1, 2], [35, 70, 100])]
+
+
 def check_shards(rows, shards):
     slots, of = defaultdict(list), {}
     for r in rows:
