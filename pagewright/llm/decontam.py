@@ -5,7 +5,8 @@ A-Z is lower-cased, words are runs of digits, letters a-z and everything outside
 a letter that no window has, so a document is scanned once, a word at a time; word positions are mapped to the original
 text's offsets where something was found.
 
-Items are read in blocks of at most BLOCK_WORDS words, so what a worker holds is bounded; usually there is one block.
+Items are read in blocks of at most BLOCK_WORDS words, so what a worker holds is bounded; usually there is one block. A
+longer item is cut into pieces that share WINDOW - 1 words; its spans are then joined within a piece only.
 Null texts have no words; very long ones are scanned whole. A null item_id counts as the empty string; items that repeat an
 id are one. Repeated rows each get a row; an empty table stays empty, and without items nothing is found. Extra columns
 pass; those named like a result are replaced.
@@ -76,6 +77,18 @@ class Automaton:
         return [(item, a, b) for item, runs in sorted(found.items()) for a, b in runs]
 
 
+def _pieces(text: str | None, window: int, most: int) -> Iterator[tuple[str | None, int]]:
+    """The item's text with its number of words; one of more than `most` words in pieces that share window - 1 words, so that each window is in one of them."""
+    ws = words(text)
+    if len(ws) <= max(most, window):
+        yield text, len(ws)
+        return
+    step = max(1, most - window + 1)
+    for i in range(0, len(ws) - window + 1, step):
+        part = ws[i : i + step + window - 1]
+        yield b" ".join(part).decode(), len(part)
+
+
 _built: dict[str, Automaton] = {}
 
 
@@ -110,11 +123,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(item_text).cast("string"))
     several = False
     for item in items.toLocalIterator():  # a partition of the items at a time
-        n = len(words(item[1]))
-        if block and size + n > block_words:
-            out, block, size, several = written(_scan(out, block, window, text), "decontamination"), [], 0, True
-        block.append((item[0], item[1]))
-        size += n
+        for part, n in _pieces(item[1], window, block_words):
+            if block and size + n > block_words:
+                out, block, size, several = written(_scan(out, block, window, text), "decontamination"), [], 0, True
+            block.append((item[0], part))
+            size += n
     out = _scan(out, block, window, text)
     return written(out, "decontamination") if several else out
 

@@ -63,6 +63,17 @@ def test_decontamination(spark):
     assert decontam.find_items(docs(spark), items.limit(0)).count() == len(TEXTS) and decontam.find_items(docs(spark, [], []), items).count() == 0
 
 
+def test_items_longer_than_a_block(spark):
+    ws = [f"w{i}" for i in range(130)]
+    items = spark.createDataFrame([("long", " ".join(ws)), ("short", "w3 w4")], "item_id string, text string")
+    texts = [" ".join(ws[20:40]), " ".join(ws), "x " + " ".join(ws[47:60]), " ".join(ws[3:14])]
+    got = {}
+    for block in (400_000, 40, 13):
+        rows = decontam.judged(decontam.find_items(docs(spark, texts, range(4)), items, block_words=block)).collect()
+        got[block] = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in rows)
+    assert got[400_000] == got[40] == got[13] and [r[2] for r in got[40]] == [20, 130, 13, 2]
+
+
 def test_near_duplicates(spark):
     rows = simhash.near_duplicates(docs(spark)).collect()
     assert len(rows) == len(TEXTS) and {r["component_id"] for r in rows if r["doc_id"] == 3} == {3}
