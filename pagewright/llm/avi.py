@@ -182,6 +182,8 @@ class Frame:
         parts = [(self.parts[0][0], 1, 1, self.parts[0][3])] if len(self.parts) == 1 else self.parts
         across, down = max(p[1] for p in parts), max(p[2] for p in parts)
         columns, rows = -(-self.size[1] // (8 * across)), -(-self.size[0] // (8 * down))
+        if 2 * columns * rows * sum(h * v for _, h, v, _ in parts) > 8 * len(self.scan):  # a block takes two codes of a bit or more
+            raise ValueError("fewer bits than the blocks of the frame's size take")
         out = [np.zeros((rows * v, columns * h, 64)) for _, h, v, _ in parts]
         unit = 0
         for run in runs:

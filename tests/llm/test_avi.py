@@ -147,6 +147,9 @@ def test_files_without_an_index_and_broken_ones(spark):
     assert avi._read(foreign)[0] == b"".join(whole)
     one = avi._chunk(b"RIFF", b"AVI " + avi._list(b"movi", avi._chunk(b"00dc", b"\xff\xd8" + segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + b"\xff\xd9")))
     none = avi._chunk(b"RIFF", b"AVI " + avi._list(b"movi"))
+    at = file.index(b"\xff\xc0")
+    huge = file[: at + 5] + struct.pack(">HH", 65_528, 65_528) + file[at + 9 :]  # a size that no frame of so few bytes has
+    assert avi._read(huge) == (None, [], None) == avi._read(huge.replace(b"payload=", b"comment="))
     cut = [file[:n] for n in range(0, 900, 7)]
     rows = [(i, None if x is None else bytearray(x)) for i, x in enumerate([None, b"", b"RIFFxxxxAVI ", one, none, file[:-1], *cut])]
     read = {r["doc_id"]: r for r in avi.read_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
