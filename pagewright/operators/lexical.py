@@ -1,8 +1,7 @@
 """Lexical retrieval: postings as a table, BM25, boolean and phrase match, snippets.
 
 A query set is a table (query_id, term): a stated set of questions' words, read by the driver. Texts are searched as they
-are, or through a stored index: postings (term, field, doc_id, tf, positions), lengths (doc_id, field, len), terms (term,
-df, tf) and sums (field, n, total). Only top-k rows leave a partition.
+are; `segments` keeps a stored index. Only top-k rows leave a partition.
 BM25 (Robertson and Zaragoza): sum of idf * f (k1 + 1) / (f + k1 (1 - b + b len / avg)), idf = ln(1 + (N - df + .5) / (df + .5)).
 """
 
@@ -23,7 +22,7 @@ TERMS_AT_ONCE = 2_000
 def matched(docs: DataFrame, terms: list[str], fields: dict[str, tuple[Column, float]], doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, len, hits): the weighted length and, of the terms alone, each token with its field's weight. One pass, no shuffle."""
     names = [f"__t{i}" for i in range(len(fields))]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *(text.tokens(c).alias(n) for n, (c, _) in zip(names, fields.values(), strict=True)))  # the tokens once a text
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *(F.coalesce(text.tokens(c), F.array().cast("array<string>")).alias(n) for n, (c, _) in zip(names, fields.values(), strict=True)))  # the tokens once a text; a null field has none
     weights = [float(w) for _, w in fields.values()]
     length = sum((F.size(n) * w for n, w in zip(names, weights, strict=True)), F.lit(0.0))
     own = lambda n, w: F.transform(F.filter(n, lambda t: t.isin(terms)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
@@ -87,43 +86,6 @@ def plain_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]+"), F.lit(0))
 
 
-# --- a stored index --------------------------------------------------------------------------------------------------------
-
-
-def build_index(docs: DataFrame, fields: dict[str, Column], path: str, doc_id: str = "doc_id", parts: int | None = None, stems: bool = False) -> None:
-    """Writes postings (by ranges of the term, so that a lookup skips files and row groups), lengths and sums below a path. A rebuild writes a new path."""
-    as_tokens = (lambda c: stemmed(text.tokens(c))) if stems else text.tokens
-    rows = None
-    for name, c in fields.items():
-        part = docs.select(F.col(doc_id).alias("doc_id"), F.lit(name).alias("field"), F.posexplode(as_tokens(c)).alias("pos", "term"))
-        rows = part if rows is None else rows.unionByName(part)
-    grouped = rows.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    ranged = grouped.repartitionByRange(parts, "term", "doc_id") if parts else grouped.repartitionByRange("term", "doc_id")
-    ranged.sortWithinPartitions("term", "field", "doc_id").write.parquet(f"{path}/postings")
-    sizes = F.array(*(F.struct(F.lit(n).alias("field"), F.size(as_tokens(c)).alias("len")) for n, c in fields.items()))
-    docs.select(F.col(doc_id).alias("doc_id"), F.inline(sizes)).write.parquet(f"{path}/lengths")
-    spark = docs.sparkSession
-    spark.read.parquet(f"{path}/lengths").groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total")).coalesce(1).write.parquet(f"{path}/sums")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.sum("tf").alias("tf")).write.parquet(f"{path}/terms")
-
-
-def search_index(spark, path: str, queries: DataFrame, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score, n_terms) from a stored index: the scan of the postings gets the queries' terms as a filter, lengths are read for what was found."""
-    terms = sorted(r["term"] for r in queries.select("term").distinct().collect() if r["term"] is not None)  # the stated queries' own words
-    sums = {r["field"]: r for r in spark.read.parquet(f"{path}/sums").collect()}  # a row a field
-    n = max((r["n"] for r in sums.values()), default=0)
-    average = sum(weights[f] * r["total"] for f, r in sums.items() if f in weights) / n if n else 1.0
-    weight = F.create_map(*(x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))))
-    postings_ = spark.read.parquet(f"{path}/postings").filter(F.col("term").isin(terms) & F.col("field").isin(list(weights)))
-    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = postings_.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
-    hits = postings_.groupBy("term", "doc_id").agg(F.sum(F.col("tf") * weight[F.col("field")]).alias("f"))
-    lengths = spark.read.parquet(f"{path}/lengths").filter(F.col("field").isin(list(weights))).groupBy("doc_id").agg(F.sum(F.col("len") * weight[F.col("field")]).alias("len"))
-    part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / average))
-    asked = queries.select("query_id", "term").distinct().join(df, "term")
-    return hits.join(F.broadcast(asked), "term").join(lengths, "doc_id").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))  # the stated queries
-
-
 def phrase(docs: DataFrame, phrases: DataFrame, c: Column, doc_id: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, n): how often the terms of a phrase stand side by side. phrases: (query_id, term, pos), pos from 0."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(text.tokens(c)).alias("at", "term"))

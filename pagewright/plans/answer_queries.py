@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import answer, evaluation, lexical
+from ..operators import answer, evaluation, lexical, segments
+from ..sources import commits, places
 from .registry import query, sql_values, table, values
 
 _REGISTRY = "(1, 'acme', 'Acme Exchange'), (2, 'globex', 'Globex'), (3, 'initech', 'Initech')"
@@ -105,29 +103,76 @@ def top_page(spark, sf_dir):
 # --- a stored index --------------------------------------------------------------------------------------------------------
 
 
-def _index(spark, sf_dir, name):
-    """The index of a table's texts, in the shared folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()  # a local session sets none
-    path = f"{where.rstrip('/')}/pagewright-index-{name}-{uuid.uuid4().hex}"
-    lexical.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), {"text": F.col("text")}, path)
-    return path
+_built: dict[tuple, str] = {}
+
+
+def _index(spark, sf_dir, analyzer="plain"):
+    """The index of a table's texts, in the shared folder: built once for an application, then searched."""
+    key = (spark.sparkContext.applicationId, sf_dir, analyzer)
+    if key not in _built or not commits.versions(spark, _built[key]):
+        _built[key] = places.fresh(spark, "index")
+        segments.add(table(spark, sf_dir, "documents").select("doc_id", "text"), _built[key], {"text": "text"}, analyzer=analyzer)
+    return _built[key]
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY 1")
 def index_rebuild(spark, sf_dir):
     """An index is written; its terms with the counts of documents and places."""
-    return spark.read.parquet(_index(spark, sf_dir, "terms") + "/terms").select("term", "df", "tf")
+    return segments.terms(spark, _index(spark, sf_dir))
 
 
-@query(f"""
-WITH q AS (SELECT query_id, term FROM {sql_values(_TERMS, 'query_id, term')}), d AS (SELECT doc_id, {_TOK} AS toks FROM documents), l AS (SELECT doc_id, len(toks) AS len FROM d), s AS (SELECT count(*) AS n, avg(len) AS avg FROM l),
+def _search_sql(terms, docs):
+    """The best ten by BM25 over docs (doc_id, toks)."""
+    return f"""
+WITH q AS (SELECT query_id, term FROM {sql_values(terms, 'query_id, term')}), d AS ({docs}), l AS (SELECT doc_id, len(toks) AS len FROM d), s AS (SELECT count(*) AS n, avg(len) AS avg FROM l),
 t AS (SELECT doc_id, unnest(toks) AS term FROM d), h AS (SELECT query_id, doc_id, term, count(*) AS f FROM t JOIN q USING (term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL),
 b AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg))) AS score FROM h JOIN df USING (query_id, term) JOIN l USING (doc_id) CROSS JOIN s GROUP BY 1, 2)
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) WHERE rank <= 10""")
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) WHERE rank <= 10"""
+
+
+def _ten(scored):
+    return lexical.top(scored.withColumn("score", F.round("score", 9)), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_search_sql(_TERMS, f"SELECT doc_id, {_TOK} AS toks FROM documents"))
 def index_search(spark, sf_dir):
     """A top-k report from the stored index."""
-    scored = lexical.search_index(spark, _index(spark, sf_dir, "search"), values(spark, _TERMS, "query_id, term"), {"text": 1.0})
-    return lexical.top(scored.withColumn("score", F.round("score", 9)), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _ten(segments.search(spark, _index(spark, sf_dir), values(spark, _TERMS, "query_id, term"), {"text": 1.0}))
+
+
+_FOLDED = "(1, 'the'), (1, 'thonre'), (2, 'für'), (2, 'über'), (3, 'que'), (3, 'ción'), (4, 'état')"
+
+
+@query(_search_sql("(1, 'the'), (1, 'thonre'), (2, 'fur'), (2, 'uber'), (3, 'que'), (3, 'cion'), (4, 'etat')", f"SELECT doc_id, {_TOK.replace('lower(text)', 'strip_accents(lower(text))')} AS toks FROM documents"))
+def index_search_folded(spark, sf_dir):
+    """A top-k report from an index without diacritics, for questions that have them."""
+    asked = segments.analyzed(values(spark, _FOLDED, "query_id, term"), "term", "folded")
+    return _ten(segments.search(spark, _index(spark, sf_dir, "folded"), asked, {"text": 1.0}))
+
+
+@query(_search_sql(_TERMS, f"""SELECT doc_id, {_TOK} AS toks FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN substr(text, 1, 200) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 2 OR doc_id % 10 = 4)"""))
+def index_growth(spark, sf_dir):
+    """Three segments, some documents deleted, some replaced by their first 200 characters, small segments merged: what is found is what a new index of the documents left would give."""
+    docs, root = table(spark, sf_dir, "documents").select("doc_id", "text"), places.fresh(spark, "index")
+    for k in range(3):
+        segments.add(docs.filter(F.col("doc_id") % 3 == k), root, {"text": "text"})
+    segments.delete(docs.filter(F.col("doc_id") % 7 == 2).select("doc_id"), root)
+    segments.merge(spark, root, at=2)
+    segments.add(docs.filter(F.col("doc_id") % 10 == 4).withColumn("text", F.substring("text", 1, 200)), root, {"text": "text"})
+    return _ten(segments.search(spark, root, values(spark, _TERMS, "query_id, term"), {"text": 1.0}))
+
+
+_PHRASES = "(1, 'of the'), (2, 'in der'), (3, 'de la'), (4, 'the the')"
+
+
+@query(f"""
+WITH q AS (SELECT query_id, string_split(phrase, ' ') AS ws FROM {sql_values(_PHRASES, 'query_id, phrase')}), d AS (SELECT doc_id, {_TOK} AS toks FROM documents),
+p AS (SELECT doc_id, toks[i] AS a, toks[i + 1] AS b FROM (SELECT doc_id, toks, unnest(range(1, len(toks))) AS i FROM d))
+SELECT query_id, doc_id, count(*) AS n FROM p JOIN q ON a = ws[1] AND b = ws[2] GROUP BY 1, 2""")
+def index_phrases(spark, sf_dir):
+    """Phrases by the positions in the stored index."""
+    asked = segments.analyzed(values(spark, _PHRASES, "query_id, phrase"), "phrase", "plain")
+    return segments.phrases(spark, _index(spark, sf_dir), asked, "text")
 
 
 @query("SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS words FROM documents")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fusion, lexical, vectors
+from ..operators import fusion, lexical, segments, vectors
 from .registry import query, sql_values, table, values
 
 _TERMS = "(1, 'the'), (1, 'thonre'), (2, 'und'), (2, 'erber'), (3, 'que'), (3, 'ción'), (3, 'loser')"
@@ -70,12 +70,19 @@ def bm25_fielded(spark, sf_dir):
     return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""
+WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b),
+x AS (SELECT query_id, doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS toks, string_split_regex(text, '[\\p{{L}}\\p{{N}}]+') AS gaps, (SELECT list(term) FROM q WHERE q.query_id = r.query_id) AS terms FROM r JOIN documents USING (doc_id) WHERE rank <= 3),
+w AS (SELECT *, [list_contains(terms, lower(t)) FOR t IN toks] AS hit FROM x), m AS (SELECT *, list_transform(range(0, greatest(len(toks) - 12, 0) + 1), lambda i: len(list_filter(hit[i + 1 : i + 12], lambda y: y))) AS sums FROM w),
+a AS (SELECT *, list_position(sums, list_max(sums)) - 1 AS s FROM m)
+SELECT query_id, doc_id, CASE WHEN s > 0 THEN '...' ELSE '' END || array_to_string(list_transform(range(s + 1, least(s + 12, len(toks)) + 1), lambda i: CASE WHEN i > s + 1 THEN gaps[i] ELSE '' END || CASE WHEN hit[i] THEN '[' || toks[i] || ']' ELSE toks[i] END), '')
+       || CASE WHEN s + 12 < len(toks) THEN '...' ELSE '' END AS snippet FROM a""")
 def snippets(spark, sf_dir):
+    """A top-k report with the first window of twelve words that holds most of a query's terms."""
     scored, queries = _scored(spark, sf_dir)
     terms = queries.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
-    best = lexical.top(scored, 3).join(terms, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return best.select("query_id", "doc_id", lexical.snippet(F.col("text"), F.col("terms")).alias("snippet"))
+    best = lexical.top(scored.withColumn("score", F.round("score", 9)), 3).join(terms, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return segments.snippets(best, "text", "terms").select("query_id", "doc_id", "snippet")
 
 
 _PAGES = "(1, 'https://a.example/errors/codes', 3), (2, 'https://a.example/guide', 1), (3, 'https://b.example/Error-list', 5), (4, 'https://b.example/x', 2), (5, NULL, 4)"
