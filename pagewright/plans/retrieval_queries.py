@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fusion, lexical, segments, vectors
+from ..operators import fusion, lexical, segments, vector_index, vectors
+from ..sources import places
 from .registry import query, sql_values, table, values
 
 _TERMS = "(1, 'the'), (1, 'thonre'), (2, 'und'), (2, 'erber'), (3, 'que'), (3, 'ción'), (3, 'loser')"
@@ -217,3 +218,15 @@ _CITED = "(1, 'https://a.example/docs', NULL, NULL), (2, 'https://a.example/open
 def citation_url(spark, sf_dir):
     usable = lambda c: F.when(~F.lower(c).rlike(r"openapi|swagger|\.ya?ml$"), F.col(c))
     return values(spark, _CITED, "id, docs_url, found, source").select("id", F.coalesce(usable("docs_url"), F.col("found"), usable("source")).alias("url"))
+
+
+@query("SELECT count(*) AS n_queries, 10 AS k, count(*) * 10 AS found, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf_dir):
+    """An approximate index is built, every fiftieth vector asked for its ten nearest, and the result held against the exact search: at least nine of ten are found. The number of lists a query is set by other queries."""
+    e, root = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), places.fresh(spark, "vectors")
+    vector_index.add(e.filter("vec_id % 3 > 0"), root)
+    vector_index.add(e.filter("vec_id % 3 = 0"), root)
+    probes = vector_index.probes_for(spark, root, e, e.filter("vec_id % 50 = 25"), 10)
+    found = vector_index.search(spark, root, e.filter("vec_id % 50 = 0"), 10, probes)
+    measured = vector_index.recall(found, e, e.filter("vec_id % 50 = 0"), 10)
+    return measured.crossJoin(found.agg(F.count("*").alias("found"))).select("n_queries", F.lit(10).alias("k"), "found", (F.col("recall") >= 0.9).alias("enough"))
