@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -48,22 +50,39 @@ def regression_gate(baseline: DataFrame, current: DataFrame, fail: float = -0.10
     return both.select("metric", delta.alias("delta"), F.when(delta <= fail, "fail").when(delta <= warn, "warn").otherwise("pass").alias("verdict"))
 
 
-def bootstrap_interval(values: list[float], resamples: int = 10_000, level: float = 0.95, seed: int = 0) -> tuple[float, float]:
-    """Percentile bootstrap of the mean of one metric's per-query values (Efron, 1979)."""
-    import numpy as np
+#: Upper ends of the Poisson(1) distribution: a uniform number's weight is how many of them it passes (later ones are under 1e-9).
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def _uniform(row_id: str, draw: str, seed: int) -> Column:
+    """A number in [0, 1) that the row's id, the draw and the seed decide: the first 8 hex digits of an MD5."""
+    digits = F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(row_id).cast("string"), F.col(draw).cast("string"))), 1, 8)
+    return F.conv(digits, 16, 10).cast("double") / 2.0**32
+
+
+def _drawn(rows: DataFrame, resamples: int, row_id: str, seed: int) -> DataFrame:
+    """Each row once for each draw, with its uniform number; sums by draw combine within a task before they are shuffled."""
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("u", _uniform(row_id, "draw", seed))
 
-    x = np.asarray(values, float)
-    means = np.random.default_rng(seed).choice(x, (resamples, len(x))).mean(1)
-    return tuple(float(v) for v in np.quantile(means, [(1 - level) / 2, (1 + level) / 2]))
 
+def bootstrap_interval(rows: DataFrame, by: list[str], value: str = "value", row_id: str = "query_id", resamples: int = 1_000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(by, n, mean, low, high): percentile bootstrap of the mean (Efron, 1979) with Poisson(1) weights in place of drawing rows, so a resample is a weighted sum that any number of tasks add up."""
+    weight = sum((F.when(F.col("u") >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
+    drawn = _drawn(rows.select(*by, row_id, F.col(value).cast("double").alias("__x")), resamples, row_id, seed).withColumn("w", weight)
+    means = drawn.groupBy(*by, "draw").agg((F.sum(F.col("w") * F.col("__x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    ends = means.groupBy(*by).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"))
+    whole = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    return whole.join(ends, by) if by else whole.crossJoin(ends)  # of a row each
 
-def permutation_test(a: list[float], b: list[float], resamples: int = 9_999, seed: int = 0) -> float:
-    """Two-sided p of the paired mean difference under random signs."""
-    import numpy as np
 
-    d = np.asarray(a, float) - np.asarray(b, float)
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (resamples, len(d)))
-    return float((1 + (np.abs((signs * d).mean(1)) >= abs(d.mean()) - 1e-12).sum()) / (resamples + 1))
+def permutation_test(rows: DataFrame, by: list[str], a: str = "a", b: str = "b", row_id: str = "query_id", resamples: int = 999, seed: int = 0) -> DataFrame:
+    """(by, n, mean_difference, p): two-sided p of the paired mean difference under random signs, a sign for each row and draw."""
+    pairs = rows.select(*by, row_id, (F.col(a).cast("double") - F.col(b).cast("double")).alias("__d"))
+    sums = _drawn(pairs, resamples, row_id, seed).groupBy(*by, "draw").agg(F.sum(F.when(F.col("u") < 0.5, F.col("__d")).otherwise(-F.col("__d"))).alias("s"))
+    whole = pairs.groupBy(*by).agg(F.count("__d").alias("n"), F.sum("__d").alias("t"))
+    both = sums.join(F.broadcast(whole), by) if by else sums.crossJoin(whole)  # a row a group
+    out = both.groupBy(*by, "n", "t").agg(F.sum((F.abs("s") >= F.abs("t") - 1e-9).cast("int")).alias("k"))
+    return out.select(*by, "n", (F.col("t") / F.col("n")).alias("mean_difference"), ((1 + F.col("k")) / F.lit(resamples + 1)).alias("p"))
 
 
 # --- expected and retrieved URLs -------------------------------------------------------------------------------------------

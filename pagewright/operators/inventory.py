@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pages as page_functions
 from ..functions import urls
-from ..sources import formats
+from ..sources import formats, places
 
 #: Where sitemaps usually are, at the root and below a path.
 ROOT_SITEMAPS = ("sitemap.xml", "sitemap_index.xml", "sitemap-index.xml", "sitemap.xml.gz", "sitemap/sitemap.xml", "sitemaps.xml")
@@ -160,3 +160,42 @@ def reachable(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def ordered_frontier(links: DataFrame, seeds: DataFrame, max_pages: int = 5_000, max_queue: int | None = None, rounds: int = 50) -> DataFrame:
+    """(section, url, round, visit): the pages that a crawl in lexicographic order visits, by rounds, with its budgets.
+
+    In a round a section's queued pages are visited in their URLs' order until max_pages are reached; what they link to is
+    queued in its order until max_queue (20 * max_pages, 200,000 at most) are queued; the rest is dropped. visit numbers a
+    section's visits from 1 and is null for pages that were queued only. links: section, src, dst; seeds: section, url.
+    A section has max_queue rows at most, so its ranks are counted within one task each; more candidates than that are cut
+    within the tasks that find them. Each round is written before the next one begins.
+    """
+    spark = links.sparkSession
+    most = max_queue or min(20 * max_pages, 200_000)
+    by_url = Window.partitionBy("section").orderBy("url")
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = places.fresh(spark, "frontier")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(name, F.row_number().over(by_url)).filter(F.col(name) <= most)
+
+    first = ranked(seeds.select("section", "url").filter(F.col("url").isNotNull()).distinct(), "__q")
+    queued = kept(first.select("section", "url", F.lit(0).alias("round"), F.lit(None).cast("int").alias("visit")))
+    edges = links.select("section", F.col("src").alias("url"), "dst")
+    for r in range(1, rounds + 1):
+        counts = queued.groupBy("section").agg(F.count("*").alias("__queued"), F.count("visit").alias("__visited"), F.max("round").alias("__last"))
+        # pages of the last round are the only ones that were never looked at
+        fresh = queued.filter(F.col("round") == r - 1).withColumn("__k", F.row_number().over(by_url)).join(counts, "section")
+        order = (F.col("__visited") + F.col("__k")).cast("int")
+        visited = fresh.withColumn("visit", F.when(order <= max_pages, order)).select("section", "url", "round", "visit")
+        found = edges.join(visited.filter(F.col("visit").isNotNull()), ["section", "url"], "left_semi").select("section", F.col("dst").alias("url")).filter(F.col("url").isNotNull()).distinct()
+        new = ranked(found.join(queued.select("section", "url"), ["section", "url"], "left_anti"), "__q").join(counts, "section").filter(F.col("__queued") + F.col("__q") <= most)
+        before = queued.filter(F.col("round") < r - 1)
+        queued = kept(before.unionByName(visited).unionByName(new.select("section", "url", F.lit(r).alias("round"), F.lit(None).cast("int").alias("visit"))))
+        if queued.filter(F.col("round") == r).isEmpty():
+            break
+    return queued

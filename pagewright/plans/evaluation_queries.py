@@ -52,6 +52,32 @@ def percentiles(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
+_UNIFORM = "('0x' || substr(md5('0/' || query_id || '/' || draw), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(f"""
+WITH v AS (SELECT event_type, user_id AS query_id, count(*) AS value FROM events GROUP BY ALL), d AS (SELECT *, unnest(range(200)) AS draw FROM v), u AS (SELECT *, {_UNIFORM} AS u FROM d),
+w AS (SELECT event_type, draw, value, len(list_filter({list(evaluation.POISSON)}, lambda t: u >= t)) AS w FROM u), m AS (SELECT event_type, draw, sum(w * value) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL),
+s AS (SELECT event_type, count(*) AS n, avg(value) AS mean FROM v GROUP BY 1)
+SELECT event_type, any_value(n) AS n, round(any_value(mean), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m JOIN s USING (event_type) GROUP BY 1""")
+def bootstrap_intervals(spark, sf_dir):
+    """Intervals of the mean number of events a user, for each type."""
+    v = table(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").alias("query_id")).agg(F.count("*").alias("value"))
+    out = evaluation.bootstrap_interval(v, ["event_type"], resamples=200)
+    return out.select("event_type", "n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
+@query(f"""
+WITH v AS (SELECT user_id AS query_id, user_id % 3 AS g, count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type = 'click') AS b FROM events GROUP BY ALL), d AS (SELECT *, unnest(range(499)) AS draw FROM v),
+s AS (SELECT g, draw, sum(CASE WHEN {_UNIFORM} < 0.5 THEN a - b ELSE b - a END) AS s FROM d GROUP BY ALL), t AS (SELECT g, count(*) AS n, sum(a - b) AS t FROM v GROUP BY 1)
+SELECT g, any_value(n) AS n, round(any_value(t) / any_value(n), 9) AS mean_difference, round((1 + count(*) FILTER (abs(s) >= abs(t))) / 500, 9) AS p FROM s JOIN t USING (g) GROUP BY 1""")
+def permutation_tests(spark, sf_dir):
+    """Whether users have as many views as clicks, in three groups."""
+    n = lambda kind: F.count(F.when(F.col("event_type") == kind, 1))
+    v = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query_id"), (F.col("user_id") % 3).alias("g")).agg(n("view").alias("a"), n("click").alias("b"))
+    return evaluation.permutation_test(v, ["g"], resamples=499).select("g", "n", F.round("mean_difference", 9).alias("mean_difference"), F.round("p", 9).alias("p"))
+
+
 @query("""
 WITH q AS (SELECT item_id, text FROM benchmark), h AS (SELECT item_id, count(*) AS n FROM q JOIN documents d ON contains(d.text, q.text) GROUP BY 1)
 SELECT item_id, coalesce(n, 0) AS n_documents FROM q LEFT JOIN h USING (item_id)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inventory
+from ..operators import batching, inventory
 from ..streaming import crawl
 from .registry import query, table
 
@@ -42,3 +42,43 @@ def frontier_closure(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     links = l.select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") * 7 % 500).alias("dst")).distinct()
     return inventory.reachable(links, spark.createDataFrame([(0,)], "node bigint"), 3)
+
+
+def _frontier_sql(max_pages: int, max_queue: int, rounds: int) -> str:
+    """The same rounds written out one after the other."""
+    steps = [
+        "l AS (SELECT DISTINCT 's' || l_linenumber % 3 AS section, 'p' || l_partkey % 300 AS src, 'p' || (l_suppkey * 7 + l_linenumber * 11) % 300 AS dst FROM lineitem)",
+        "q0 AS (SELECT DISTINCT section, 'p' || x AS url, 0 AS round FROM l, (SELECT unnest([0, 7, 150]) AS x))",
+    ]
+    for r in range(1, rounds + 1):
+        known = " UNION ALL ".join(f"SELECT section, url FROM q{k}" for k in range(r))
+        done = " UNION ALL ".join(f"SELECT section, visit FROM v{k}" for k in range(1, r)) or "SELECT NULL AS section, 0 AS visit WHERE false"
+        steps += [
+            f"v{r} AS (SELECT section, url, round, CASE WHEN k + coalesce(n, 0) <= {max_pages} THEN k + coalesce(n, 0) END::INT AS visit FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY url) AS k FROM q{r - 1}) LEFT JOIN (SELECT section, count(visit) AS n FROM ({done}) GROUP BY 1) USING (section))",
+            f"k{r} AS ({known})",
+            f"q{r} AS (SELECT section, url, {r} AS round FROM (SELECT section, url, row_number() OVER (PARTITION BY section ORDER BY url) AS n FROM (SELECT DISTINCT v.section, dst AS url FROM v{r} v JOIN l ON l.section = v.section AND l.src = v.url WHERE visit IS NOT NULL) f WHERE NOT EXISTS (SELECT 1 FROM k{r} k WHERE k.section = f.section AND k.url = f.url)) JOIN (SELECT section, count(*) AS queued FROM k{r} GROUP BY 1) USING (section) WHERE n + queued <= {max_queue})",
+        ]
+    all_visits = " UNION ALL ".join(f"SELECT section, url, round, visit FROM v{r}" for r in range(1, rounds + 1))
+    return f"WITH {', '.join(steps)} {all_visits} UNION ALL SELECT section, url, round, NULL FROM q{rounds}"
+
+
+@query(_frontier_sql(40, 120, 5))
+def ordered_frontier(spark, sf_dir):
+    """A crawl over links in the order of URLs, with 40 visits and 120 queued pages a section."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    page = lambda c: F.concat(F.lit("p"), (c % 300).cast("string"))
+    links = l.select(F.concat(F.lit("s"), (F.col("l_linenumber") % 3).cast("string")).alias("section"), page(F.col("l_partkey")).alias("src"), page(F.col("l_suppkey") * 7 + F.col("l_linenumber") * 11).alias("dst")).distinct()
+    seeds = links.select("section").distinct().select("section", F.explode(F.array(F.lit("p0"), F.lit("p7"), F.lit("p150"))).alias("url"))
+    return inventory.ordered_frontier(links, seeds, 40, 120, 5)
+
+
+@query("SELECT count(*) AS n_rows, sum(strlen(text) + 1)::BIGINT AS size, 0 AS over, true AS full_enough FROM documents")
+def length_batches(spark, sf_dir):
+    """Documents in batches of 64 KB by length: none over its budget unless it is one document, and of the neighbours in a partition no two that would fit into one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"))
+    batches = batching.length_batches(d, F.col("n") + 1, 65_536).groupBy("batch").agg(F.count("*").alias("n_rows"), F.sum("batch_size").alias("size"), F.min("batch_size").alias("least"))
+    after = batches.select((F.col("batch") - 1).alias("batch"), F.col("least").alias("next_least"))
+    both = batches.join(after, "batch", "left")
+    over = ((F.col("size") > 65_536) & (F.col("n_rows") > 1)).cast("int")
+    full = F.col("next_least").isNull() | (F.col("size") + F.col("next_least") > 65_536)
+    return both.agg(F.sum("n_rows").alias("n_rows"), F.sum("size").alias("size"), F.sum(over).cast("int").alias("over"), F.min(full).alias("full_enough"))

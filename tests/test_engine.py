@@ -2,13 +2,14 @@
 
 import gzip
 import json
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import markup, text, urls
-from pagewright.operators import evaluation, extraction, fusion, inventory, lexical, lineage, routing, store
+from pagewright.operators import batching, evaluation, extraction, fusion, inventory, lexical, lineage, routing, store
 from pagewright.plans import catalog
 from pagewright.sources import commits, formats
 from pagewright.sources import store as folders
@@ -135,10 +136,53 @@ def test_citation_offsets_count_characters(spark):
     assert sorted(str(r["error"]) for r in lineage.verify_citations(cited, pages).collect()) == ["EEXCERPT", "ENOPAGE", "None"]
 
 
-def test_statistics():
-    low, high = evaluation.bootstrap_interval([0, 1, 1, 0, 1, 1, 0, 1], 2_000)
-    assert low < 0.625 < high
-    assert evaluation.permutation_test([1, 1, 1, 1, 1, 1, 1, 1], [0] * 8, 999) < 0.05 and evaluation.permutation_test([1, 0], [1, 0], 99) == 1.0
+def test_statistics(spark):
+    rng = random.Random(3)
+    values = [(g, i, float(rng.random() < 0.6), 0.0) for g in ("x", "y") for i in range(60)] + [("one", 0, 1.0, 1.0)]
+    rows = spark.createDataFrame(values, "g string, query_id int, value double, zero double")
+    got = {r["g"]: r for r in evaluation.bootstrap_interval(rows, ["g"], resamples=400).collect()}
+    for g in "xy":
+        x = [v for k, _, v, _ in values if k == g]
+        mean, error = sum(x) / 60, (sum((v - sum(x) / 60) ** 2 for v in x) / 60 / 60) ** 0.5
+        assert got[g]["n"] == 60 and abs(got[g]["mean"] - mean) < 1e-9 and abs(got[g]["low"] - (mean - 1.96 * error)) < 0.05 and abs(got[g]["high"] - (mean + 1.96 * error)) < 0.05
+    assert (got["one"]["low"], got["one"]["high"]) == (1.0, 1.0)
+    p = {r["g"]: r["p"] for r in evaluation.permutation_test(rows, ["g"], "value", "zero").collect()}
+    assert p["x"] < 0.01 and p["one"] == 1.0
+    (whole,) = evaluation.permutation_test(rows, [], "zero", "zero", resamples=99).collect()
+    assert whole["p"] == 1.0 and whole["n"] == 121 and evaluation.bootstrap_interval(rows.limit(0), ["g"]).count() == 0
+
+
+def test_ordered_frontier(spark):
+    rng = random.Random(4)
+    links = {(f"s{k}", f"u{rng.randrange(60):02}", f"u{rng.randrange(60):02}") for k in (0, 1) for _ in range(150)}
+    seeds = [("s0", "u05"), ("s0", "u01"), ("s1", "u09"), ("s1", None), ("s1", "u09")]
+    got = {(r["section"], r["url"]): (r["round"], r["visit"]) for r in inventory.ordered_frontier(spark.createDataFrame(list(links), "section string, src string, dst string"), spark.createDataFrame(seeds, "section string, url string"), 15, 30).collect()}
+    want = {}
+    for s in ("s0", "s1"):
+        level, n, r = sorted({u for k, u in seeds if k == s and u}), 0, 0
+        queued = list(level)
+        while level:
+            r += 1
+            for u in level:
+                n += 1
+                want[s, u] = (r - 1, n if n <= 15 else None)
+            found = sorted({d for k, a, d in links if k == s and a in level and want[s, a][1]} - set(queued))
+            level = found[: 30 - len(queued)]
+            queued += level
+    assert got == want and len(got) > 50 and sum(v[1] is not None for v in got.values()) == 30
+
+
+def test_length_batches(spark):
+    rng = random.Random(5)
+    sizes = [rng.choice([1, 3, 3, 50, 120]) for _ in range(400)] + [None, 0]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "id int, s int").repartition(3)
+    for padded in (False, True):
+        out = batching.length_batches(rows, F.col("s"), 100, padded, most_rows=20).collect()
+        groups = {}
+        for r in out:
+            groups.setdefault(r["batch"], []).append(r["batch_size"])
+        assert len(out) == len(sizes) and all(len(g) == 1 or len(g) <= 20 and (len(g) * max(g) if padded else sum(g)) <= 100 for g in groups.values())
+    assert batching.length_batches(rows.limit(0), F.col("s"), 10).count() == 0
 
 
 def test_sitemaps_and_robots(spark):
