@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intents, pages, text, urls
+from ..sources import places
 from . import extraction, fusion, lexical, matching, records, routing
 
 MAX_CLAIMS, MAX_COMPARED = 10, 4
@@ -30,8 +31,10 @@ COMPARES = r"(?i)\b(compare|comparison|versus|vs\.?|difference|differ|between|bo
 
 
 def _held(df: DataFrame) -> DataFrame:
-    """A result of a few rows for each stated question, taken by the driver, so that later steps don't plan and run it again."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A step's rows, a few for each stated question, written to the shared folder, so that later steps don't plan and run it again."""
+    path = places.fresh(df.sparkSession, "answers")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def path_signal(c: Column) -> tuple[Column, Column]:
@@ -132,9 +135,9 @@ def undocumented(questions: DataFrame, known: DataFrame, docs: DataFrame) -> Dat
     """(query_id): clear paths whose last two telling segments no record path of the source holds, though the source has records; clear codes that no page holds."""
     q = questions.filter((F.col("kind") == "endpoint_path") & (F.col("confidence") >= DIRECT) & F.col("path").isNotNull())
     q = q.select("query_id", "sources", F.slice(F.reverse(matching.segments(F.col("path"))), 1, 2).alias("segments")).filter(F.size("segments") > 0)
-    parts = known.select("source", F.explode(F.array_distinct(F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), F.lower))).alias("part")).groupBy("source").agg(F.collect_set("part").alias("parts"))  # a source's distinct segments
-    by_source = q.select("query_id", "segments", F.explode("sources").alias("source")).join(parts, "source")
-    has = F.exists("segments", lambda s: F.exists("parts", lambda p: F.contains(p, F.lower(s))))
+    parts = known.select("source", F.explode(F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), F.lower)).alias("part"))
+    by_source = parts.join(F.broadcast(q.select("query_id", "segments", F.explode("sources").alias("source"))), "source")  # the stated questions
+    has = F.exists("segments", lambda s: F.contains("part", F.lower(s)))
     paths = by_source.groupBy("query_id").agg(F.max(has).alias("has")).filter("NOT has").select("query_id")
     codes = questions.filter((F.col("kind") == "error_message") & (F.col("confidence") >= DIRECT) & (F.size("codes") > 0)).select("query_id", F.explode("codes").alias("code")).withColumn("term", F.regexp_replace("code", "^-", ""))
     words = [r["term"] for r in codes.select("term").distinct().collect()]  # of the stated questions
@@ -223,3 +226,16 @@ def top_page(questions: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFra
     """(query_id, doc_id, score): the best page under the question's URL prefix. questions: query_id, prefix; docs: doc_id, url, text."""
     scored = lexical.bm25(docs, terms, {"text": (F.col("text"), 1.0)}).join(docs.select("doc_id", "url"), "doc_id").join(F.broadcast(questions.select("query_id", "prefix")), "query_id")  # the stated questions
     return lexical.top(scored.filter(F.col("url").startswith(F.col("prefix"))).select("query_id", "doc_id", "score"), 1).drop("rank")
+
+
+def citation_url(documented: Column, found: Column, source: Column) -> Column:
+    """What an answer cites for a record: its documentation, unless that is a specification, else the page that was found for it, else its source, unless that is a specification."""
+    usable = lambda c: F.when(~matching.is_spec(c), c)
+    return F.coalesce(usable(documented), found, usable(source))
+
+
+def error_pages_first(found: DataFrame, k: int) -> DataFrame:
+    """(id, url, position): the first k of id, url, rank; those with "error" in their URL before all others, then by rank and id."""
+    first = F.when(F.contains(F.lower(F.coalesce("url", F.lit(""))), F.lit("error")), 0).otherwise(1)
+    best = found.select(first.alias("f"), "rank", "id", "url").orderBy("f", "rank", "id").limit(k)
+    return best.withColumn("position", F.row_number().over(Window.orderBy("f", "rank", "id"))).select("id", "url", "position")  # k rows

@@ -85,6 +85,13 @@ def permutation_test(rows: DataFrame, by: list[str], a: str = "a", b: str = "b",
     return out.select(*by, "n", (F.col("t") / F.col("n")).alias("mean_difference"), ((1 + F.col("k")) / F.lit(resamples + 1)).alias("p"))
 
 
+def alpha_sweep(lexical: DataFrame, semantic: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
+    """(alpha, query_id, best): the best key by alpha * l + (1 - alpha) * s, a missing side 0; ties by the greater key. lexical: query_id, key, l; semantic: query_id, key, s, both scaled."""
+    swept = lexical.join(semantic, ["query_id", "key"], "full").withColumn("alpha", F.explode(F.array(*(F.lit(a) for a in alphas))))
+    score = F.round(F.col("alpha") * F.coalesce("l", F.lit(0.0)) + (1 - F.col("alpha")) * F.coalesce("s", F.lit(0.0)), 6)
+    return swept.groupBy("alpha", "query_id").agg(F.max_by("key", F.struct(score.alias("s"), F.col("key"))).alias("best"))
+
+
 # --- expected and retrieved URLs -------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import fusion, lexical, segments, vector_index, vectors
+from ..operators import answer, evaluation, fusion, lexical, segments, vector_index, vectors
 from ..sources import places
 from .registry import query, sql_values, table, values
 
@@ -86,14 +87,15 @@ def snippets(spark, sf_dir):
     return segments.snippets(best, "text", "terms").select("query_id", "doc_id", "snippet")
 
 
-_PAGES = "(1, 'https://a.example/errors/codes', 3), (2, 'https://a.example/guide', 1), (3, 'https://b.example/Error-list', 5), (4, 'https://b.example/x', 2), (5, NULL, 4)"
+_PAGE_URL = "url || CASE page_id % 3 WHEN 0 THEN '/errors/codes' WHEN 1 THEN '/guide' ELSE '' END"
 
 
-@query(f"SELECT id, url FROM {sql_values(_PAGES, 'id, url, rank')} ORDER BY CASE WHEN contains(lower(url), 'error') THEN 0 ELSE 1 END, rank, id LIMIT 4")
+@query(f"SELECT id, url, position FROM (SELECT page_id AS id, {_PAGE_URL} AS url, row_number() OVER (ORDER BY CASE WHEN contains(lower({_PAGE_URL}), 'error') THEN 0 ELSE 1 END, strlen(html), page_id) AS position FROM pages) WHERE position <= 20")
 def error_code_search(spark, sf_dir):
-    """A top-k report: error pages first, then by rank."""
-    first = F.when(F.lower("url").contains("error"), 0).otherwise(1)
-    return values(spark, _PAGES, "id, url, rank").orderBy(first, "rank", "id").limit(4).select("id", "url")
+    """A top-k report: error pages first, then by rank, here the page's length."""
+    p = table(spark, sf_dir, "pages")
+    tail = F.when(F.col("page_id") % 3 == 0, "/errors/codes").when(F.col("page_id") % 3 == 1, "/guide").otherwise("")
+    return answer.error_pages_first(p.select(F.col("page_id").alias("id"), F.concat("url", tail).alias("url"), F.octet_length("html").alias("rank")), 20)
 
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -117,73 +119,92 @@ def knn_cosine(spark, sf_dir):
     return vectors.knn(e, e.filter("vec_id % 50 = 0"), 10, "cosine").select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
 
 
-_LEX = "(1, 'a', 9.0), (1, 'b', 7.5), (1, 'c', 1.0), (2, 'x', 3.0), (2, 'y', 3.0), (3, 'm', 0.9), (5, 'p', 0.8), (5, 'q', 0.4)"
-_SEM = "(1, 'b', 0.9), (1, 'd', 0.8), (1, 'a', 0.1), (2, 'z', 0.5), (4, 'k', 0.2), (4, 'l', 0.2)"
+# Two ranked lists for each part: its suppliers by price and by quantity. No part has all suppliers in both.
+_LEX = "(SELECT l_partkey AS query_id, 's' || l_suppkey AS key, max(l_extendedprice) / 100000 AS score FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)"
+_SEM = "(SELECT l_partkey AS query_id, 's' || l_suppkey AS key, max(l_quantity) / 50 AS score FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL)"
 
 
-def _lists(spark):
-    from pyspark.sql import Window
+def _side(spark, sf_dir, lex):
+    l = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") != ("R" if lex else "A"))  # noqa: E741
+    score = F.max("l_extendedprice") / 100_000 if lex else F.max("l_quantity") / 50
+    return l.groupBy(F.col("l_partkey").alias("query_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("key")).agg(score.alias("score"))
 
+
+def _ranks(df, list_id, weight):
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
-    part = lambda rows, n, weight: values(spark, rows, "query_id, key, score").withColumns({"rank": F.row_number().over(w), "list_id": F.lit(n), "weight": F.lit(weight)})
-    return part(_LEX, 1, 0.7).unionByName(part(_SEM, 2, 1.3))
+    return df.withColumns({"rank": F.row_number().over(w), "list_id": F.lit(list_id), "weight": F.lit(weight)})
 
 
 @query(f"""
-WITH u AS (SELECT query_id, key, 0.7 AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {sql_values(_LEX, 'query_id, key, score')} UNION ALL SELECT query_id, key, 1.3, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) FROM {sql_values(_SEM, 'query_id, key, score')})
+WITH u AS (SELECT query_id, key, 0.7 AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {_LEX} UNION ALL SELECT query_id, key, 1.3, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) FROM {_SEM})
 SELECT query_id, key, round(sum(w / (60 + r))::DOUBLE, 9) AS score FROM u GROUP BY 1, 2""")
 def rrf_fuse(spark, sf_dir):
-    return fusion.rrf(_lists(spark)).select("query_id", "key", F.round("score", 9).alias("score"))
+    lists = _ranks(_side(spark, sf_dir, True), 1, 0.7).unionByName(_ranks(_side(spark, sf_dir, False), 2, 1.3))
+    return fusion.rrf(lists).select("query_id", "key", F.round("score", 9).alias("score"))
+
+
+_KINDS = ("question", "endpoint_path", "code_snippet", "error_message", "request_payload")
+
+
+@query(f"""
+WITH k AS (SELECT p_partkey AS query_id, {list(_KINDS)}[1 + p_size % 5] AS kind FROM part), w AS (SELECT query_id, CASE WHEN kind IN ('error_message', 'request_payload') THEN 1.3 ELSE 0.7 END AS a FROM k),
+u AS (SELECT query_id, key, false AS sem, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {_LEX} UNION ALL SELECT query_id, key, true, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) FROM {_SEM})
+SELECT query_id, key, round(sum(CASE WHEN sem THEN 2.0 - a ELSE a END / (60 + r))::DOUBLE, 9) AS score FROM u JOIN w USING (query_id) GROUP BY 1, 2""")
+def rrf_by_kind(spark, sf_dir):
+    """The weights of the two lists by the kind of input."""
+    kinds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.element_at(F.array(*map(F.lit, _KINDS)), F.col("p_size") % 5 + 1).alias("kind"))
+    lists = _ranks(_side(spark, sf_dir, True), 1, 1.0).unionByName(_ranks(_side(spark, sf_dir, False), 2, 1.0)).join(kinds, "query_id")
+    weight = F.coalesce(*(F.when(F.col("kind") == k, F.when(F.col("list_id") == 1, a).otherwise(b)) for k, (a, b) in fusion.RRF_WEIGHTS.items()))
+    return fusion.rrf(lists.withColumn("weight", weight)).select("query_id", "key", F.round("score", 9).alias("score"))
 
 
 def _mm(rows, name):
-    return f"(SELECT query_id, key, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END::DOUBLE AS {name} FROM {sql_values(rows, 'query_id, key, score')} WINDOW w AS (PARTITION BY query_id))"
+    return f"(SELECT query_id, key, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END::DOUBLE AS {name} FROM {rows} WINDOW w AS (PARTITION BY query_id))"
 
 
 @query(f"SELECT query_id, key, round(0.4 * coalesce(l, 0) + 0.6 * coalesce(s, 0), 9) AS score, (l IS NOT NULL AND s IS NOT NULL) AS in_both FROM {_mm(_LEX, 'l')} a FULL JOIN {_mm(_SEM, 's')} b USING (query_id, key)")
 def cc_fuse(spark, sf_dir):
-    side = lambda rows: values(spark, rows, "query_id, key, score").withColumn("score", F.col("score").cast("double"))
-    return fusion.convex(side(_LEX), side(_SEM), 0.4).withColumn("score", F.round("score", 9))
+    return fusion.convex(_side(spark, sf_dir, True), _side(spark, sf_dir, False), 0.4).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH a AS ({_mm(_LEX, 'l')[1:-1]}), b AS ({_mm(_SEM, 's')[1:-1]}), g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS alpha), c AS (SELECT alpha, query_id, key, alpha * coalesce(l, 0) + (1 - alpha) * coalesce(s, 0) AS score FROM a FULL JOIN b USING (query_id, key) CROSS JOIN g) SELECT alpha::DOUBLE AS alpha, query_id, arg_max(key, (round(score::DOUBLE, 9), key)) AS best FROM c GROUP BY 1, 2")
+@query(f"WITH a AS ({_mm(_LEX, 'l')[1:-1]}), b AS ({_mm(_SEM, 's')[1:-1]}), g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS alpha), c AS (SELECT alpha, query_id, key, alpha::DOUBLE * coalesce(l, 0) + (1 - alpha::DOUBLE) * coalesce(s, 0) AS score FROM a FULL JOIN b USING (query_id, key) CROSS JOIN g) SELECT alpha::DOUBLE AS alpha, query_id, arg_max(key, (round(score, 6), key)) AS best FROM c GROUP BY 1, 2")
 def alpha_sweep(spark, sf_dir):
-    side = lambda rows, n: values(spark, rows, "query_id, key, score").withColumn("score", F.col("score").cast("double")).withColumn(n, fusion.minmax("score")).select("query_id", "key", n)
-    both = side(_LEX, "l").join(side(_SEM, "s"), ["query_id", "key"], "full")
-    swept = both.withColumn("alpha", F.explode(F.array(*(F.lit(a) for a in (0.0, 0.25, 0.5, 0.75, 1.0)))))
-    score = F.round(F.col("alpha") * F.coalesce("l", F.lit(0.0)) + (1 - F.col("alpha")) * F.coalesce("s", F.lit(0.0)), 9)
-    return swept.groupBy("alpha", "query_id").agg(F.max_by("key", F.struct(score.alias("s"), F.col("key"))).alias("best"))
+    """The best key of each part at five mixtures."""
+    side = lambda lex, n: _side(spark, sf_dir, lex).withColumn(n, fusion.minmax("score")).select("query_id", "key", n)
+    return evaluation.alpha_sweep(side(True, "l"), side(False, "s"), (0.0, 0.25, 0.5, 0.75, 1.0))
 
 
-@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {sql_values(_LEX, 'query_id, key, score')}) SELECT query_id, max(score) FILTER (r = 1) >= 0.7 AND (count(*) = 1 OR max(score) FILTER (r = 1) - max(score) FILTER (r = 2) >= 0.3) AS strong FROM r GROUP BY 1")
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {_LEX}) SELECT query_id, max(score) FILTER (r = 1) >= 0.5 AND (count(*) = 1 OR max(score) FILTER (r = 1) - max(score) FILTER (r = 2) >= 0.05) AS strong FROM r GROUP BY 1")
 def strong_signal(spark, sf_dir):
-    return fusion.strong_signal(values(spark, _LEX, "query_id, key, score"))
+    return fusion.strong_signal(_side(spark, sf_dir, True), 0.5, 0.05)
 
 
-_RERANK = "(1, 'a', 0.900), (1, 'b', 0.895), (1, 'c', 0.5), (1, 'd', 0.4), (1, 'e', 0.3), (1, 'f', 0.2), (2, 'a', 0.9), (3, 'a', 0.9), (3, 'b', 0.7), (3, 'c', 0.5), (3, 'd', 0.4), (3, 'e', 0.3), (3, 'f', 0.2), (4, 'a', 0.5), (4, 'b', 0.49), (4, 'c', 0.488), (4, 'd', 0.485), (4, 'e', 0.482), (4, 'f', 0.1)"
-
-
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {sql_values(_RERANK, 'query_id, key, score')}), s AS (SELECT query_id, count(*) AS n, max(score) FILTER (r = 1) AS a, max(score) FILTER (r = 2) AS b, min(score) FILTER (r <= 5) AS z FROM r GROUP BY 1),
-d AS (SELECT query_id, CASE WHEN n < 6 THEN 'few_candidates' WHEN a - b <= 0.006 OR a - z <= 0.02 THEN 'ambiguous' ELSE 'confident' END AS reason FROM s) SELECT query_id, reason = 'ambiguous' AS rerank, reason FROM d""")
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {_LEX}), s AS (SELECT query_id, count(*) AS n, max(score) FILTER (r = 1) AS a, max(score) FILTER (r = 2) AS b, min(score) FILTER (r <= 5) AS z FROM r GROUP BY 1),
+d AS (SELECT query_id, CASE WHEN n < 6 THEN 'few_candidates' WHEN round(a - b, 12) <= 0.006 OR round(a - z, 12) <= 0.02 THEN 'ambiguous' ELSE 'confident' END AS reason FROM s) SELECT query_id, reason = 'ambiguous' AS rerank, reason FROM d""")
 def auto_rerank(spark, sf_dir):
-    return fusion.auto_rerank(values(spark, _RERANK, "query_id, key, score").withColumn("score", F.col("score").cast("double")), 5)
-
+    return fusion.auto_rerank(_side(spark, sf_dir, True), 5)
 
-_BLEND = "(1, 'a', 1, 2.0, 0.5), (1, 'b', 2, 1.5, -1.0), (1, 'c', 4, 1.0, 3.0), (1, 'd', 11, 0.5, 2.0), (1, 'e', 12, 0.4, NULL), (2, 'x', 1, 0.0, 1.0)"
 
-
-@query(f"SELECT query_id, key, round(CASE WHEN rerank IS NULL THEN n ELSE w * n + (1 - w) / (1 + exp(-rerank)) END::DOUBLE, 9) AS score FROM (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS n, CASE WHEN rank <= 3 THEN 0.75 WHEN rank <= 10 THEN 0.6 ELSE 0.4 END AS w FROM {sql_values(_BLEND, 'query_id, key, rank, score, rerank')})")
+@query(f"""
+WITH r AS (SELECT l.query_id, l.key, l.score, row_number() OVER (PARTITION BY l.query_id ORDER BY l.score DESC, l.key) AS rank, s.score * 4 - 2 AS rerank FROM {_LEX} l LEFT JOIN {_SEM} s ON s.query_id = l.query_id AND s.key = l.key)
+SELECT query_id, key, round(CASE WHEN rerank IS NULL THEN n ELSE w * n + (1 - w) / (1 + exp(-rerank)) END::DOUBLE, 9) AS score FROM (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS n, CASE WHEN rank <= 3 THEN 0.75 WHEN rank <= 10 THEN 0.6 ELSE 0.4 END AS w FROM r)""")
 def position_blend(spark, sf_dir):
-    rows = values(spark, _BLEND, "query_id, key, rank, score, rerank").withColumns({"score": F.col("score").cast("double"), "rerank": F.col("rerank").cast("double")})
+    """The first list blended with what the second gives as a model's score, where it has one."""
+    model = _side(spark, sf_dir, False).select("query_id", "key", (F.col("score") * 4 - 2).alias("rerank"))
+    rows = _ranks(_side(spark, sf_dir, True), 1, 1.0).select("query_id", "key", "rank", "score").join(model, ["query_id", "key"], "left")
     return fusion.position_blend(rows).withColumn("score", F.round("score", 9))
 
 
-_BOOST = "(1, 'https://a.example/docs/introduction', 'how to start', 1.0), (2, 'https://a.example/docs/introduction', 'order 5', 1.0), (3, 'https://a.example/x', 'what is it', 2.0), (4, 'https://a.example/rest-api', 'API', 1.0), (5, 'https://a.example/rate-limits', 'rate limit', 1.0)"
+_FOLDERS = ("introduction", "x", "rest-api", "rate-limits", "orders")
 
 
-@query(f"SELECT id, round(CASE WHEN regexp_matches(url, '{fusion.OVERVIEW}') AND regexp_matches(q, '{fusion.BROAD}') THEN score * 1.4 ELSE score END::DOUBLE, 6) AS score FROM {sql_values(_BOOST, 'id, url, q, score')}")
+@query(f"SELECT page_id AS id, conv_id, turn, round(CASE WHEN regexp_matches(u, '{fusion.OVERVIEW}') AND regexp_matches(q, '{fusion.BROAD}') THEN score * 1.4 ELSE score END::DOUBLE, 6) AS score FROM (SELECT page_id, url || '/' || {list(_FOLDERS)}[1 + page_id % 5] AS u, c.text AS q, conv_id, turn, strlen(html) / 1000.0 AS score FROM pages JOIN conversations c ON conv_id = page_id)")
 def page_type_boost(spark, sf_dir):
-    return values(spark, _BOOST, "id, url, q, score").select("id", F.round(fusion.page_type_boost(F.col("score").cast("double"), F.col("url"), F.col("q")), 6).alias("score"))
+    """Pages scored for the turns of the conversation with their number."""
+    asked = table(spark, sf_dir, "conversations").select(F.col("conv_id"), "turn", F.col("text").alias("q"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("/"), F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.col("page_id") % 5 + 1).cast("int"))).alias("u"), (F.octet_length("html") / 1000.0).alias("score"))
+    rows = p.join(asked, F.col("conv_id") == F.col("page_id"))
+    return rows.select(F.col("page_id").alias("id"), "conv_id", "turn", F.round(fusion.page_type_boost(F.col("score"), F.col("u"), F.col("q")), 6).alias("score"))
 
 
 @query("""
@@ -211,13 +232,18 @@ def hybrid_search(spark, sf_dir):
     return lexical.top(fused, 10)
 
 
-_CITED = "(1, 'https://a.example/docs', NULL, NULL), (2, 'https://a.example/openapi.yaml', 'https://a.example/found', NULL), (3, NULL, NULL, 'https://a.example/src'), (4, NULL, NULL, 'https://a.example/swagger.json'), (5, NULL, NULL, NULL)"
+_CITED = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '/openapi.yaml' END"
 
 
-@query(f"SELECT id, CASE WHEN docs_url IS NOT NULL AND NOT regexp_matches(lower(docs_url), 'openapi|swagger|\\.ya?ml$') THEN docs_url WHEN found IS NOT NULL THEN found WHEN source IS NOT NULL AND NOT regexp_matches(lower(source), 'openapi|swagger|\\.ya?ml$') THEN source END AS url FROM {sql_values(_CITED, 'id, docs_url, found, source')}")
+@query(f"SELECT page_id, CASE WHEN c IS NOT NULL AND NOT regexp_matches(lower(c), 'openapi|swagger|\\.ya?ml$') THEN c WHEN found IS NOT NULL THEN found WHEN s IS NOT NULL AND NOT regexp_matches(lower(s), 'openapi|swagger|\\.ya?ml$') THEN s END AS url FROM (SELECT page_id, {_CITED} AS c, CASE WHEN page_id % 3 = 0 THEN 'https://found.example/' || page_id END AS found, CASE WHEN page_id % 5 < 3 THEN url WHEN page_id % 5 = 3 THEN url || '/swagger.json' END AS s FROM pages)")
 def citation_url(spark, sf_dir):
-    usable = lambda c: F.when(~F.lower(c).rlike(r"openapi|swagger|\.ya?ml$"), F.col(c))
-    return values(spark, _CITED, "id, docs_url, found, source").select("id", F.coalesce(usable("docs_url"), F.col("found"), usable("source")).alias("url"))
+    """What an answer cites: the documented URL, unless it is a specification, else the one that was found, else the source."""
+    i, url = F.col("page_id"), F.col("url")
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(i % 4 == 0, url).when(i % 4 == 1, F.concat(url, F.lit("/openapi.yaml"))).alias("docs_url"), F.when(i % 3 == 0, F.concat(F.lit("https://found.example/"), i.cast("string"))).alias("found"),
+        F.when(i % 5 < 3, url).when(i % 5 == 3, F.concat(url, F.lit("/swagger.json"))).alias("source"),
+    )
+    return rows.select("page_id", answer.citation_url(F.col("docs_url"), F.col("found"), F.col("source")).alias("url"))
 
 
 @query("SELECT count(*) AS n_queries, 10 AS k, count(*) * 10 AS found, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
