@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..operators import extraction
-from .registry import query, sql_values, table, values
+from .registry import cases, query, sql_cases, table
 
 
 @query("""
@@ -26,47 +26,66 @@ def chunk_markdown(spark, sf_dir):
     return chunks.select(F.col("doc_id").alias("page_id"), "chunk_index", "char_start", "char_end", F.sha2(shown, 256).alias("chunk_hash"))
 
 
-_API = "(1, '# GET /api/v3/order¶text¶POST `/api/v3/order/`¶GET /api/v3/order?x=1'), (2, '## Place order (HTTP PUT, x)¶¶`https://h.example/v2/spot`¶` DELETE /v1/:id `'), (3, 'no endpoint'), (4, 'GET /a/<id>).¶GET /a/{x}'), (5, '## Cancel (HTTP DELETE)¶see /docs¶## Next¶```¶/v9/cancel?id=1¶```¶```¶PATCH /v9/code¶POST /v9/second¶```¶PATCH /v9/code')"
-_API_EXPECTED = "(1, 'GET', '/api/v3/order', 'P4'), (1, 'POST', '/api/v3/order', 'P1'), (2, 'PUT', '/v2/spot', 'P3'), (2, 'DELETE', '/v1/{id}', 'P5'), (4, 'GET', '/a/{id}', 'P1'), (5, 'DELETE', '/v9/cancel', 'P3'), (5, 'PATCH', '/v9/code', 'P2')"
+_API = "(1, '# GET /api/v3/order§¶text¶POST `/api/v3/order§/`¶GET /api/v3/order§?x=1'), (2, '## Place order (HTTP PUT, x)¶¶`https://h.example/v2/spot§`¶` DELETE /v1/p§/:id `'), (3, 'no endpoint'), (4, 'GET /a§/<id>).¶GET /a§/{x}'), (5, '## Cancel (HTTP DELETE)¶see /docs¶## Next¶```¶/v9/cancel§?id=1¶```¶```¶PATCH /v9/code§¶POST /v9/second¶```¶PATCH /v9/code§')"
+_API_EXPECTED = "(1, 'GET', '/api/v3/order§', 'P4'), (1, 'POST', '/api/v3/order§', 'P1'), (2, 'PUT', '/v2/spot§', 'P3'), (2, 'DELETE', '/v1/p§/{id}', 'P5'), (4, 'GET', '/a§/{id}', 'P1'), (5, 'DELETE', '/v9/cancel§', 'P3'), (5, 'PATCH', '/v9/code§', 'P2')"
+_PLANTED = sql_cases(_API_EXPECTED, "n, method, path, pattern", ("path",), "documents", "doc_id", 5)
 
 
-@query(f"SELECT doc_id, method, path, pattern FROM (VALUES {_API_EXPECTED}) AS v(doc_id, method, path, pattern)")
+def _planted(spark, sf_dir):
+    """Every document, whole, below one of five pieces of documentation about its own endpoints."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("own"))
+    return cases(spark, sf_dir, _API, "n, text", "documents", "doc_id").join(docs, "row_id").select(F.col("row_id").alias("doc_id"), F.concat("text", F.lit("\n\n## Text\n\n"), "own").alias("text"))
+
+
+@query(f"SELECT row_id AS doc_id, method, path, pattern FROM {_PLANTED}")
 def endpoint_scan(spark, sf_dir):
-    return extraction.endpoints(values(spark, _API, "doc_id, text")).select("doc_id", "method", "path", "pattern")
+    """The prose names no endpoints, so those found are those put above it."""
+    return extraction.endpoints(_planted(spark, sf_dir)).select("doc_id", "method", "path", "pattern")
 
 
-@query("SELECT 'GET' AS method, '/api/v3/order' AS dedup_path, 1 AS doc_id UNION ALL SELECT 'POST', '/api/v3/order', 1 UNION ALL SELECT 'PUT', '/v2/spot', 2 UNION ALL SELECT 'DELETE', '/v1/{}', 2 UNION ALL SELECT 'DELETE', '/v9/cancel', 5 UNION ALL SELECT 'PATCH', '/v9/code', 5")
+@query(f"""
+WITH e AS (SELECT method, regexp_replace(path, '\\{{[^}}]+\\}}', '{{}}', 'g') AS dedup_path, row_id AS doc_id FROM {_PLANTED})
+SELECT method, dedup_path, min(doc_id) AS doc_id FROM e WHERE NOT (method = 'GET' AND starts_with(dedup_path, '/a')) OR (method = 'GET' AND starts_with(dedup_path, '/api')) GROUP BY 1, 2""")
 def endpoint_new(spark, sf_dir):
-    existing = values(spark, "('GET', '/a/{}')", "method, dedup_path")
-    return extraction.new_endpoints(extraction.endpoints(values(spark, _API, "doc_id, text")), existing).select("method", "dedup_path", "doc_id")
+    """Endpoints that the store does not hold yet; it holds GET /a<n>/{} of all parts' numbers."""
+    docs = table(spark, sf_dir, "documents")
+    existing = docs.select(F.lit("GET").alias("method"), F.concat(F.lit("/a"), F.col("doc_id").cast("string"), F.lit("/{}")).alias("dedup_path"))
+    return extraction.new_endpoints(extraction.endpoints(_planted(spark, sf_dir)), existing).select("method", "dedup_path", "doc_id")
 
 
-_LOG = "('https://a.example/log', 'intro¶# 2024-01-05¶first¶# 2024-02-06 more¶second'), ('https://a.example/prose', '## March 3rd, 2023¶one¶## April 2, 2023¶two'), ('https://a.example/2022-09-09/x', 'single entry'), ('https://a.example/none', 'nothing dated')"
-_LOG_EXPECTED = "('https://a.example/log', 0, NULL, 'intro'), ('https://a.example/log', 1, '2024-01-05', '# 2024-01-05¶first'), ('https://a.example/log', 2, '2024-02-06', '# 2024-02-06 more¶second'), ('https://a.example/prose', 0, '2023-03-03', '## March 3rd, 2023¶one'), ('https://a.example/prose', 1, '2023-04-02', '## April 2, 2023¶two'), ('https://a.example/2022-09-09/x', 0, '2022-09-09', 'single entry'), ('https://a.example/none', 0, NULL, 'nothing dated')"
+_LOG = "(1, 'https://a.example/§/log', 'intro¶# 2024-01-05¶first §¶# 2024-02-06 more¶second'), (2, 'https://a.example/§/prose', '## March 3rd, 2023¶one¶## April 2, 2023¶two §'), (3, 'https://a.example/2022-09-09/x§', 'single entry §'), (4, 'https://a.example/none§', 'nothing dated')"
+_LOG_EXPECTED = "(1, 'https://a.example/§/log', 0, NULL, 'intro'), (1, 'https://a.example/§/log', 1, '2024-01-05', '# 2024-01-05¶first §'), (1, 'https://a.example/§/log', 2, '2024-02-06', '# 2024-02-06 more¶second'), (2, 'https://a.example/§/prose', 0, '2023-03-03', '## March 3rd, 2023¶one'), (2, 'https://a.example/§/prose', 1, '2023-04-02', '## April 2, 2023¶two §'), (3, 'https://a.example/2022-09-09/x§', 0, '2022-09-09', 'single entry §'), (4, 'https://a.example/none§', 0, NULL, 'nothing dated')"
 
 
-@query(f"SELECT url, seq, entry_date, trim(entry, ' ' || chr(10)) AS entry FROM {sql_values(_LOG_EXPECTED, 'url, seq, entry_date, entry', ('entry',))}")
+@query(f"SELECT url, seq, entry_date, trim(entry, ' ' || chr(10)) AS entry FROM {sql_cases(_LOG_EXPECTED, 'n, url, seq, entry_date, entry', ('url', 'entry'), n=4)}")
 def dated_entries(spark, sf_dir):
-    return extraction.dated_entries(values(spark, _LOG, "url, md")).select("url", "seq", "entry_date", F.trim(F.regexp_replace("entry", r"\s+\z", "")).alias("entry"))
-
+    """A changelog for each part, in four forms."""
+    return extraction.dated_entries(cases(spark, sf_dir, _LOG, "n, url, md").select("url", "md")).select("url", "seq", "entry_date", F.trim(F.regexp_replace("entry", r"\s+\z", "")).alias("entry"))
 
-_LIMITS = "(1, 'Rate Limit: 20 requests per 2 seconds'), (2, 'Limit: 10 requests per second'), (3, '10 times/1s'), (4, 'weight: 40'), (5, 'Rate limit: 5 calls / 3 minutes, weight is 7'), (6, 'none')"
-_LIMITS_EXPECTED = "(1, 20, 2, NULL), (2, 10, 1, NULL), (3, 10, 1, NULL), (4, NULL, NULL, 40), (5, 5, 180, 7), (6, NULL, NULL, NULL)"
 
-
-@query(f"SELECT id, requests::BIGINT AS requests, seconds::BIGINT AS seconds, weight::BIGINT AS weight FROM (VALUES {_LIMITS_EXPECTED}) AS v(id, requests, seconds, weight)")
+@query("""
+SELECT p_partkey AS id, CASE WHEN k < 4 THEN p_size END::BIGINT AS requests, CASE k WHEN 0 THEN s WHEN 1 THEN 1 WHEN 2 THEN s WHEN 3 THEN 60 * s END::BIGINT AS seconds, CASE WHEN k = 3 THEN p_size + 7 WHEN k = 4 THEN p_size END::BIGINT AS weight
+FROM (SELECT p_partkey, p_size, p_partkey % 6 AS k, 1 + p_partkey % 5 AS s FROM part)""")
 def rate_limits(spark, sf_dir):
+    """A sentence about each part's limit, in six forms."""
+    k, size, s = F.col("p_partkey") % 6, F.col("p_size").cast("string"), (1 + F.col("p_partkey") % 5).cast("string")
+    said = (
+        F.when(k == 0, F.concat(F.lit("Rate Limit: "), size, F.lit(" requests per "), s, F.lit(" seconds"))).when(k == 1, F.concat(F.lit("Limit: "), size, F.lit(" requests per second")))
+        .when(k == 2, F.concat(size, F.lit(" times/"), s, F.lit("s"))).when(k == 3, F.concat(F.lit("Rate limit: "), size, F.lit(" calls / "), s, F.lit(" minutes, weight is "), (F.col("p_size") + 7).cast("string")))
+        .when(k == 4, F.concat(F.lit("weight: "), size)).otherwise(F.col("p_name"))
+    )
     requests, seconds = extraction.rate_limit(F.col("s"))
-    return values(spark, _LIMITS, "id, s").select("id", requests.alias("requests"), seconds.alias("seconds"), extraction.weight(F.col("s")).alias("weight"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), said.alias("s")).select("id", requests.alias("requests"), seconds.alias("seconds"), extraction.weight(F.col("s")).alias("weight"))
 
 
-_PARAMS = "(1, '| Parameter | Type | Required | Description |¶| --- | --- | --- | --- |¶| symbol | STRING | YES | the pair |¶| -leg | INT | no | |¶| side | ENUM | | |'), (2, 'Name¦Type¦Mandatory¶id¦LONG¦true'), (3, 'no table')"
-_PARAMS_EXPECTED = "(1, 'symbol', 'STRING', true, NULL), (1, 'leg', 'INT', false, 'symbol'), (1, 'side', 'ENUM', NULL, NULL), (2, 'id', 'LONG', true, NULL)"
+_PARAMS = "(1, '| Parameter | Type | Required | Description |¶| --- | --- | --- | --- |¶| symbol§ | STRING | YES | the pair |¶| -leg§ | INT | no | |¶| side | ENUM | | |'), (2, 'Name¦Type¦Mandatory¶id§¦LONG¦true'), (3, 'no table')"
+_PARAMS_EXPECTED = "(1, 'symbol§', 'STRING', true, NULL), (1, 'leg§', 'INT', false, 'symbol§'), (1, 'side', 'ENUM', NULL, NULL), (2, 'id§', 'LONG', true, NULL)"
 
 
-@query(f"SELECT id, name, type, required, parent FROM (VALUES {_PARAMS_EXPECTED}) AS v(id, name, type, required, parent)")
+@query(f"SELECT row_id, name, type, required, parent FROM {sql_cases(_PARAMS_EXPECTED, 'n, name, type, required, parent', ('name', 'parent'), n=3)}")
 def parameter_tables(spark, sf_dir):
-    return values(spark, _PARAMS, "id, md").select("id", F.inline(extraction.parameter_table("md"))).select("id", "name", "type", "required", "parent")
+    """The parameters of each part's page, in three forms."""
+    return cases(spark, sf_dir, _PARAMS, "n, md").select("row_id", F.inline(extraction.parameter_table("md"))).select("row_id", "name", "type", "required", "parent")
 
 
 @query("SELECT l_orderkey, l_linenumber, sha256(concat_ws('|', l_returnflag, l_linestatus, 'http', 'https://h.example', 'v1', 'GET', '/o/' || l_orderkey)) AS record_id FROM lineitem")

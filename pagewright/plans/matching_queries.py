@@ -5,31 +5,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching, reports
-from .registry import query, table, values
+from .registry import cases, query, sql_cases, table
 
-_CAT = "('/api/v3/order', 'GET'), ('/api/v3/order', 'POST'), ('/v1/{id}', 'GET'), ('/v2/spot/:sym', 'GET'), ('/v9/none', 'GET')"
-_REC = "('/api/v3/order/', 'GET'), ('https://h.example/v1/<x>', 'GET'), ('/v3/spot/{s}', 'POST'), ('/v4/spot/{s}', 'GET'), ('/other', 'GET')"
+_CAT = "(1, '/api/v3/order§', 'GET'), (2, '/v1/{id}/x§', 'GET'), (3, '/v2/spot§/:sym', 'GET'), (4, '/v9/none§', 'GET')"
+_REC = "(1, '/api/v3/order§/', 'GET'), (2, 'https://h.example/v1/<x>/x§', 'GET'), (3, '/v4/spot§/{s}', 'POST'), (4, '/other§', 'GET')"
+_XREF = "(1, '/api/v3/order§', '/api/v3/order§', 'exact', true), (2, '/v1/{}/x§', '/v1/{}/x§', 'exact', true), (3, '/v2/spot§/{}', '/v4/spot§/{}', 'suffix', false), (4, '/v9/none§', NULL, NULL, NULL), (4, NULL, '/other§', NULL, NULL)"
 
 
-@query("SELECT * FROM (VALUES ('/api/v3/order', '/api/v3/order', 'exact', false), ('/v1/{}', '/v1/{}', 'exact', true), ('/v2/spot/{}', '/v4/spot/{}', 'suffix', true), ('/v9/none', NULL, NULL, NULL), (NULL, '/v3/spot/{}', NULL, NULL), (NULL, '/other', NULL, NULL)) AS v(cat_path, rec_path, how, methods_agree)")
+@query(f"SELECT cat_path, rec_path, how, methods_agree FROM {sql_cases(_XREF, 'n, cat_path, rec_path, how, methods_agree', ('cat_path', 'rec_path'), n=4)}")
 def path_cross_reference(spark, sf_dir):
-    return matching.cross_reference(values(spark, _CAT, "path, method"), values(spark, _REC, "path, method"))
+    """A catalogue entry and a record for each part: the same path, the same but for its parameter's name, the same but for its version, or different ones."""
+    return matching.cross_reference(cases(spark, sf_dir, _CAT, "n, path, method").select("path", "method"), cases(spark, sf_dir, _REC, "n, path, method").select("path", "method"))
 
 
-_DOCS = "('https://a.example/docs/order', 'GET /api/v3/order places one'), ('https://a.example/faq', 'see /api/v3/order'), ('https://a.example/changelog', '/api/v3/order added'), ('https://a.example/spot', '/v1/spot/trade here')"
-
-
-@query("SELECT * FROM (VALUES (1, 'https://a.example/docs/order', 44), (2, 'https://a.example/spot', 43)) AS v(record_id, url, score)")
+@query("SELECT p_partkey AS record_id, CASE p_partkey % 3 WHEN 0 THEN 'https://a.example/docs/order' ELSE 'https://a.example/spot' END || p_partkey AS url, CASE p_partkey % 3 WHEN 0 THEN 44 ELSE 43 END AS score FROM part WHERE p_partkey % 3 < 2")
 def documentation_urls(spark, sf_dir):
-    return matching.documentation_urls(values(spark, "(1, '/api/v3/order'), (2, '/v1/spot/trade'), (3, '/gone')", "record_id, path"), values(spark, _DOCS, "url, md"))
+    """A record for each part; a third of them have three pages that name them, a third one, a third none."""
+    key, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    path = F.concat(F.when(k == 0, "/api/v3/order").when(k == 1, "/v1/spot/trade").otherwise("/gone"), n)
+    page = lambda where, url, md: p.filter(where).select(F.concat(F.lit(f"https://a.example/{url}"), n).alias("url"), md.alias("md"))
+    pages = page(k == 0, "docs/order", F.concat(F.lit("GET /api/v3/order"), n, F.lit(" places one"))).unionByName(page(k == 0, "faq", F.concat(F.lit("see /api/v3/order"), n)))
+    pages = pages.unionByName(page(k == 0, "changelog", F.concat(F.lit("/api/v3/order"), n, F.lit(" added")))).unionByName(page(k == 1, "spot", F.concat(F.lit("/v1/spot/trade"), n, F.lit(" here"))))
+    return matching.documentation_urls(p.select(key.alias("record_id"), path.alias("path")), pages)
 
 
-_PAYLOADS = """(1, '{"symbol":"X","side":"BUY","type":"LIMIT","quantity":1}'), (2, '{"instId":"X","side":"buy","ordType":"limit"}'), (3, '{"coin":"a","address":"b","amount":1}'), (4, 'not json'), (5, '{"leverage":5,"symbol":"X"}'), (6, '{"a":1}')"""
+_PAYLOADS = """(1, '{"symbol":"X§","side":"BUY","type":"LIMIT","quantity":1}'), (2, '{"instId":"X§","side":"buy","ordType":"limit"}'), (3, '{"coin":"a§","address":"b","amount":1}'), (4, 'not json §'), (5, '{"leverage":5,"symbol":"X§"}'), (6, '{"a":§}')"""
+_PAYLOADS_EXPECTED = "(1, 'place order', 'binance'), (2, 'place order', 'okx'), (3, 'withdraw', NULL), (4, NULL, NULL), (5, 'set leverage', NULL), (6, NULL, NULL)"
 
 
-@query("SELECT * FROM (VALUES (1, 'place order', 'binance'), (2, 'place order', 'okx'), (3, 'withdraw', NULL), (4, NULL, NULL), (5, 'set leverage', NULL), (6, NULL, NULL)) AS v(id, action, source)")
+@query(f"SELECT row_id, action, source FROM {sql_cases(_PAYLOADS_EXPECTED, 'n, action, source')}")
 def payload_routing(spark, sf_dir):
-    return values(spark, _PAYLOADS, "id, s").select("id", matching.payload_action(F.col("s")).alias("action"), matching.payload_source(F.col("s")).alias("source"))
+    """A payload about each part, in six forms."""
+    return cases(spark, sf_dir, _PAYLOADS, "n, s").select("row_id", matching.payload_action(F.col("s")).alias("action"), matching.payload_source(F.col("s")).alias("source"))
 
 
 @query("""

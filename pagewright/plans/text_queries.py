@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, text, urls
 from ..operators import routing
-from .registry import query, sql_values, table, values
+from .registry import cases, query, sql_cases, sql_texts, sql_values, table, texts, values
 
 _WORDS = "len(list_filter(string_split_regex({c}, '\\s+'), lambda t: t <> ''))"
 
@@ -29,18 +29,18 @@ _SYN = "CASE t " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(s) for s in v)}]"
 
 
 @query(f"""
-WITH q AS (SELECT id, string_split(lower(s), ' ') AS terms FROM {sql_values(_Q, 'id, s')}),
+WITH q AS (SELECT id, string_split(lower(s), ' ') AS terms FROM {sql_texts(_Q)}),
 f AS (SELECT id, terms, list_filter(flatten(list_transform(terms, lambda t: {_SYN})), lambda s: NOT list_contains(terms, s)) AS more FROM q),
 d AS (SELECT id, terms, more, list_filter(more, lambda s, i: list_position(more, s) = i) AS uniq FROM f)
 SELECT id, terms || uniq[1:3] AS expanded FROM d""")
 def synonym_expansion(spark, sf_dir):
-    return values(spark, _Q, "id, s").select("id", text.expand_synonyms(F.split(F.lower("s"), " ")).alias("expanded"))
+    return texts(spark, sf_dir, _Q).select("id", text.expand_synonyms(F.split(F.lower("s"), " ")).alias("expanded"))
 
 
 @query(f"""
-SELECT id, list_aggregate(list_transform(list_filter(string_split(s, ' ')[1:8], lambda t: t <> '' AND NOT list_contains(['OR','AND','NOT','NEAR'], upper(t))), lambda t: CASE WHEN NOT regexp_matches(t, '[-:"''/{{}}()*?=&+#@!<>;]') OR (starts_with(t, '"') AND ends_with(t, '"')) THEN t ELSE '"' || replace(t, '"', '""') || '"' END), 'string_agg', ' AND ') AS match FROM {sql_values(_Q, 'id, s')}""")
+SELECT id, list_aggregate(list_transform(list_filter(string_split(replace(s, chr(10), ' '), ' ')[1:8], lambda t: t <> '' AND NOT list_contains(['OR','AND','NOT','NEAR'], upper(t))), lambda t: CASE WHEN NOT regexp_matches(t, '[-:"''/{{}}()*?=&+#@!<>;]') OR (starts_with(t, '"') AND ends_with(t, '"')) THEN t ELSE '"' || replace(t, '"', '""') || '"' END), 'string_agg', ' AND ') AS match FROM {sql_texts(_Q)}""")
 def match_query_text(spark, sf_dir):
-    return values(spark, _Q, "id, s").select("id", text.match_query(F.split("s", " ")).alias("match"))
+    return texts(spark, sf_dir, _Q).select("id", text.match_query(F.split(F.translate("s", "\n", " "), " ")).alias("match"))
 
 
 _DATES = "(1, 'Released 2025-12-23 today'), (2, 'December 23rd, 2025 - Major Update'), (3, 'February 2026'), (4, 'May 45, 2024'), (5, 'no date'), (6, 'june 1 1999'), (7, 'On March 3, 2021 and April 4, 2022'), (8, '')"
@@ -49,11 +49,11 @@ _M = "(" + "|".join(m.capitalize() for m in text.MONTHS) + ")"
 
 
 @query(f"""
-WITH d AS (SELECT id, s, nullif(regexp_extract(s, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS iso, regexp_extract(s, '(?i){_M}\\s+(\\d{{1,2}})(?:st|nd|rd|th)?,?\\s+(\\d{{4}})', ['m', 'd', 'y']) AS f, regexp_extract(s, '(?i){_M}\\s+(\\d{{4}})', ['m', 'y']) AS g FROM {sql_values(_DATES, 'id, s')})
+WITH d AS (SELECT id, s, nullif(regexp_extract(s, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS iso, regexp_extract(s, '(?i){_M}\\s+(\\d{{1,2}})(?:st|nd|rd|th)?,?\\s+(\\d{{4}})', ['m', 'd', 'y']) AS f, regexp_extract(s, '(?i){_M}\\s+(\\d{{4}})', ['m', 'y']) AS g FROM {sql_texts(_DATES)})
 SELECT id, coalesce(iso, CASE WHEN try_cast(f.d AS INT) BETWEEN 1 AND 31 AND try_cast(f.y AS INT) BETWEEN 2000 AND 2099 THEN f.y || '-' || lpad(list_position({_MONTHS}, lower(f.m))::VARCHAR, 2, '0') || '-' || lpad(f.d, 2, '0') END,
  CASE WHEN try_cast(g.y AS INT) BETWEEN 2000 AND 2099 THEN g.y || '-' || lpad(list_position({_MONTHS}, lower(g.m))::VARCHAR, 2, '0') || '-01' END) AS date FROM d""")
 def prose_dates(spark, sf_dir):
-    return values(spark, _DATES, "id, s").select("id", text.prose_date("s").alias("date"))
+    return texts(spark, sf_dir, _DATES).select("id", text.prose_date("s").alias("date"))
 
 
 _CHANGES = "(1, 'The endpoint GET /api/v3/order will be removed. Use POST /api/v4/order.'), (2, 'Breaking change: parameter side renamed'), (3, 'Added a new field in the response'), (4, 'Rate limit weight increased for /fapi/v1/depth,'), (5, 'Fixed typos'), (6, 'deprecated api path /v1/old and new endpoint'), (7, 'path one¶removed later'), (8, '')"
@@ -61,9 +61,9 @@ _IMPACT = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(s, '(?i){p}') T
 _RANK = "greatest(1, " + ", ".join(f"CASE WHEN regexp_matches(s, '(?i){p}') THEN {dict(err=3, warn=2, info=1)[v]} ELSE 0 END" for _, v, p in text.IMPACTS) + ")"
 
 
-@query(f"SELECT id, CASE WHEN len({_IMPACT}) = 0 THEN ['informational'] ELSE {_IMPACT} END AS classes, ['info', 'warn', 'err'][{_RANK}] AS severity FROM {sql_values(_CHANGES, 'id, s', ('s',))}")
+@query(f"SELECT id, CASE WHEN len({_IMPACT}) = 0 THEN ['informational'] ELSE {_IMPACT} END AS classes, ['info', 'warn', 'err'][{_RANK}] AS severity FROM {sql_texts(_CHANGES)}")
 def impact_classify(spark, sf_dir):
-    return values(spark, _CHANGES, "id, s").select("id", text.impact_classes("s").alias("classes"), text.max_severity("s").alias("severity"))
+    return texts(spark, sf_dir, _CHANGES).select("id", text.impact_classes("s").alias("classes"), text.max_severity("s").alias("severity"))
 
 
 _METHOD = "'(?i)(?:GET|POST|PUT|DELETE|PATCH)\\s+/[a-zA-Z0-9/_{}.\\-:]+'"
@@ -71,29 +71,29 @@ _METHOD = "'(?i)(?:GET|POST|PUT|DELETE|PATCH)\\s+/[a-zA-Z0-9/_{}.\\-:]+'"
 
 @query(f"""
 WITH m AS (SELECT id, list_transform(regexp_extract_all(s, {_METHOD}), lambda x: upper(regexp_extract(x, '^([A-Za-z]+)', 1)) || ' ' || regexp_replace(regexp_replace(x, '^[A-Za-z]+\\s+', ''), '[.,;:)]+$', '')) AS named,
- list_transform(regexp_extract_all(s, '(?:^|\\W)(/(?:api|sapi|fapi|dapi|v[1-5])/[a-zA-Z0-9/_{{}}.\\-]+)', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')) AS bare FROM {sql_values(_CHANGES, 'id, s', ('s',))})
+ list_transform(regexp_extract_all(s, '(?:^|\\W)(/(?:api|sapi|fapi|dapi|v[1-5])/[a-zA-Z0-9/_{{}}.\\-]+)', 1), lambda x: regexp_replace(x, '[.,;:)]+$', '')) AS bare FROM {sql_texts(_CHANGES)})
 SELECT id, named || list_filter(bare, lambda p: NOT list_contains(named, 'GET ' || p) AND NOT list_contains(named, 'POST ' || p)) AS paths FROM m""")
 def affected_paths(spark, sf_dir):
-    return values(spark, _CHANGES, "id, s").select("id", text.affected_paths("s").alias("paths"))
+    return texts(spark, sf_dir, _CHANGES).select("id", text.affected_paths("s").alias("paths"))
 
 
 _CHUNKS = "(1, '  code¶  more¶text'), (2, '|a|b|¶|-|-|¶|1|2|'), (3, 'http://a http://b https://c http://d'), (4, '한국어 문서입니다'), (5, 'plain prose here'), (6, '* one¶* two¶- three¶[x](y)¶text, with comma that is long enough to be prose for sure'), (7, 'Home¶About¶Docs¶API'), (8, 'one¶two')"
 
 
 @query(f"""
-WITH c AS (SELECT id, s, string_split(trim(s), chr(10)) AS l FROM {sql_values(_CHUNKS, 'id, s', ('s',))})
+WITH c AS (SELECT id, s, string_split(trim(s), chr(10)) AS l FROM {sql_texts(_CHUNKS)})
 SELECT id, CASE WHEN len(list_filter(l, lambda x: starts_with(x, '  ') OR starts_with(x, chr(9)) OR starts_with(x, '```'))) / len(l) > 0.5 THEN 'code_heavy'
  WHEN len(list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) >= 2)) / len(l) > 0.3 THEN 'table_heavy' WHEN len(regexp_extract_all(s, 'https?://')) > 3 THEN 'url_heavy'
  WHEN length(s) - length(regexp_replace(s, '[\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}\\x{{3040}}-\\x{{30ff}}]', '', 'g')) > length(s) * 0.1 THEN 'cjk_text' ELSE 'prose' END AS class FROM c""")
 def chunk_class(spark, sf_dir):
-    return values(spark, _CHUNKS, "id, s").select("id", text.chunk_class("s").alias("class"))
+    return texts(spark, sf_dir, _CHUNKS).select("id", text.chunk_class("s").alias("class"))
 
 
 @query(f"""
-WITH c AS (SELECT id, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM {sql_values(_CHUNKS, 'id, s', ('s',))})
+WITH c AS (SELECT id, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM {sql_texts(_CHUNKS)})
 SELECT id, CASE WHEN len(l) < 4 THEN 0.0 ELSE len(list_filter(l, lambda x: (regexp_matches(x, '^[*\\-+]') AND length(x) < 100) OR (starts_with(x, '[') AND contains(x, '](') AND ends_with(x, ')')) OR (length(x) < 30 AND NOT regexp_matches(x, '[.,:;!?|#]')))) / len(l) END::DOUBLE AS ratio FROM c""")
 def nav_line_ratio(spark, sf_dir):
-    return values(spark, _CHUNKS, "id, s").select("id", text.nav_line_ratio("s").alias("ratio"))
+    return texts(spark, sf_dir, _CHUNKS).select("id", text.nav_line_ratio("s").alias("ratio"))
 
 
 @query(f"""
@@ -174,12 +174,16 @@ def source_type(spark, sf_dir):
 _PATHS = "(1, '/api/v3/order?x=1'), (2, '/api/:id/x/'), (3, '/a/<user>/b).'), (4, '{{base}}/v1/{id}'), (5, 'https://h.example/v1/{a}/{b}'), (6, '/'), (7, '/x/],'), (8, '')"
 
 
+_PATH_ROWS = f"(SELECT row_id AS id, CASE WHEN row_id % 2 = 0 THEN s ELSE s || '/' || row_id END AS s FROM {sql_cases(_PATHS, 'n, s', ('s',))})"
+
+
 @query(f"""
-WITH a AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\?.*$', ''), '<([^>]+)>', '{{\\1}}', 'g'), '/:([A-Za-z_][A-Za-z0-9_]*)', '/{{\\1}}', 'g'), '[)\\],.]+$', ''), '/+$', '') AS x FROM {sql_values(_PATHS, 'id, s')}),
+WITH a AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\?.*$', ''), '<([^>]+)>', '{{\\1}}', 'g'), '/:([A-Za-z_][A-Za-z0-9_]*)', '/{{\\1}}', 'g'), '[)\\],.]+$', ''), '/+$', '') AS x FROM {_PATH_ROWS}),
 b AS (SELECT id, CASE WHEN x = '' THEN '/' ELSE x END AS path FROM a), c AS (SELECT id, path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '^https?://[^/]*', ''), '^\\{{\\{{[^}}]*\\}}\\}}', ''), '\\{{[^}}]+\\}}', '{{}}', 'g'), '/+$', '') AS y FROM b)
 SELECT id, path, CASE WHEN y = '' THEN '/' ELSE y END AS dedup_path FROM c""")
 def path_normalize(spark, sf_dir):
-    return values(spark, _PATHS, "id, s").select("id", urls.normalized_api_path("s").alias("path"), urls.path_for_dedup("s").alias("dedup_path"))
+    rows = cases(spark, sf_dir, _PATHS, "n, s").withColumn("s", F.when(F.col("row_id") % 2 == 0, F.col("s")).otherwise(F.concat("s", F.lit("/"), F.col("row_id").cast("string"))))
+    return rows.select(F.col("row_id").alias("id"), urls.normalized_api_path("s").alias("path"), urls.path_for_dedup("s").alias("dedup_path"))
 
 
 # --- markup ----------------------------------------------------------------------------------------------------------------
@@ -209,25 +213,32 @@ _MD = "(1, '# A¶text¶## B¶```¶# no¶```¶| a | b |¶| --- | --- |¶| 1 | 2 |
 _EXPECTED = "(1, 2, 1, 1), (2, 1, 1, 0), (3, 0, 1, 0), (4, 0, 0, 0), (5, 0, 0, 1)"
 
 
-@query(f"SELECT id, h::BIGINT AS n_headings, f::BIGINT AS n_fences, t::BIGINT AS n_tables FROM (VALUES {_EXPECTED}) AS v(id, h, f, t)")
+@query(f"SELECT row_id, h::BIGINT AS n_headings, f::BIGINT AS n_fences, t::BIGINT AS n_tables FROM {sql_cases(_EXPECTED, 'id, h, f, t')}")
 def block_counts(spark, sf_dir):
-    """The other dialect has no back-references: its side lists the counts."""
-    return values(spark, _MD, "id, md").select("id", markup.heading_count("md").alias("n_headings"), markup.fence_count("md").alias("n_fences"), markup.table_count("md").alias("n_tables"))
-
+    """Every part's note in one of five forms, with its name below; the other dialect has no back-references, so its side knows what each form holds."""
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), "p_name")
+    md = cases(spark, sf_dir, _MD, "id, md").join(named, "row_id").withColumn("md", F.concat("md", F.lit("\n\n"), "p_name"))
+    return md.select("row_id", markup.heading_count("md").alias("n_headings"), markup.fence_count("md").alias("n_fences"), markup.table_count("md").alias("n_tables"))
 
-_QUAL = "(1, '<table></table><pre></pre><h1></h1>', '# A¶```¶x¶```¶| a | b |¶| --- | --- |'), (2, '<table></table><table></table><h1></h1><h2></h2>', '# A'), (3, '<p>x</p>', 'x y z'), (4, '<pre></pre>', '')"
-_QUAL_EXPECTED = "(1, 0.35 + 0.30 + 0.15 + 0.2 * 15 / 40), (2, 0.30 + 0.15 * 0.5 + 0.2 * 2 / 40), (3, 0.8 + 0.2 * 3 / 40), (4, 0.5)"
 
-
-@query(f"SELECT id, round(q, 6)::DOUBLE AS quality FROM (VALUES {_QUAL_EXPECTED}) AS v(id, q)")
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 4 AS t, p_partkey % 3 AS c, p_partkey % 5 AS h, length(p_name) - length(replace(p_name, ' ', '')) + 1 AS words, p_partkey % 2 = 0 AS kept FROM part),
+m AS (SELECT *, CASE WHEN kept THEN t ELSE 0 END AS mt, CASE WHEN kept THEN c ELSE 0 END AS mc, CASE WHEN kept THEN h ELSE 0 END AS mh, words + CASE WHEN kept THEN 10 * t + 3 * c + 2 * h ELSE 0 END AS n FROM p)
+SELECT p_partkey, round(0.35 * CASE WHEN t > 0 THEN least(mt / t, 1) ELSE 1 END + 0.30 * CASE WHEN c > 0 THEN least(mc / c, 1) ELSE 1 END + 0.15 * CASE WHEN h > 0 THEN least(mh / h, 1) ELSE 1 END + 0.2 * least(n / 40, 1), 6)::DOUBLE AS quality FROM m""")
 def extraction_quality(spark, sf_dir):
-    return values(spark, _QUAL, "id, html, md").select("id", F.round(markup.extraction_quality("html", "md", text.word_count("md")), 6).alias("quality"))
+    """Pages of a part with tables, code and headings, whose markdown has kept all of them or none."""
+    k = F.col("p_partkey")
+    times = lambda what, n: F.concat_ws("", F.array_repeat(F.lit(what), n.cast("int")))
+    html = F.concat(times("<table></table>", k % 4), times("<pre></pre>", k % 3), times("<h2></h2>", k % 5))
+    kept = F.concat(times("| a | b |\n| --- | --- |\n\n", k % 4), times("```\nx\n```\n", k % 3), times("## A\n", k % 5))
+    p = table(spark, sf_dir, "part").select("p_partkey", html.alias("html"), F.concat(F.when(k % 2 == 0, kept).otherwise(""), "p_name").alias("md"))
+    return p.select("p_partkey", F.round(markup.extraction_quality("html", "md", text.word_count("md")), 6).alias("quality"))
 
 
-@query(f"SELECT id, (len(regexp_extract_all(s, '(?m)^\\s*\\|.*\\|')) > 0) AS has_rows, len(regexp_extract_all(s, '(?m)^\\s*\\|?\\s*:?-+:?\\s*(?:\\|\\s*:?-+:?\\s*)+\\|?\\s*$'))::BIGINT AS n_tables FROM {sql_values(_MD, 'id, s', ('s',))}")
+@query(f"SELECT id, (len(regexp_extract_all(s, '(?m)^\\s*\\|.*\\|')) > 0) AS has_rows, len(regexp_extract_all(s, '(?m)^\\s*\\|?\\s*:?-+:?\\s*(?:\\|\\s*:?-+:?\\s*)+\\|?\\s*$'))::BIGINT AS n_tables FROM {sql_texts(_MD)}")
 def table_detect(spark, sf_dir):
-    c = F.col("md")
-    return values(spark, _MD, "id, md").select("id", (F.regexp_count(c, F.lit(r"(?m)^\s*\|.*\|")) > 0).alias("has_rows"), F.regexp_count(c, F.lit(r"(?m)^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$")).cast("bigint").alias("n_tables"))
+    c = F.col("s")
+    return texts(spark, sf_dir, _MD).select("id", (F.regexp_count(c, F.lit(r"(?m)^\s*\|.*\|")) > 0).alias("has_rows"), F.regexp_count(c, F.lit(r"(?m)^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$")).cast("bigint").alias("n_tables"))
 
 
 # --- routing ---------------------------------------------------------------------------------------------------------------
@@ -238,11 +249,12 @@ _INPUT_EXPECTED = """(1, 'error_message', 0.7), (2, 'error_message', 0.8), (3, '
  (8, 'question', 0.0), (9, 'error_message', 0.7), (10, 'error_message', 0.4), (11, 'endpoint_path', 0.6), (12, 'question', 0.2), (13, 'error_message', 0.3), (14, 'endpoint_path', 0.6)"""
 
 
-@query(f"SELECT id, t AS input_type, c::DOUBLE AS confidence FROM (VALUES {_INPUT_EXPECTED}) AS v(id, t, c)")
+@query(f"SELECT row_id, t AS input_type, c::DOUBLE AS confidence FROM {sql_cases(_INPUT_EXPECTED, 'id, t, c')}")
 def classify_input(spark, sf_dir):
-    """The rules need look-around, so the other side lists what they give."""
+    """One input for each part, in fourteen forms; the rules need look-around, so the other side knows what each form is."""
     kind, confidence = routing.classified(F.col("s"))
-    return values(spark, _INPUTS, "id, s").select("id", kind.alias("input_type"), confidence.alias("confidence"))
+    rows = cases(spark, sf_dir, _INPUTS, "id, s").repartition("row_id")  # the rules are long: a stage of their own
+    return rows.select("row_id", kind.alias("input_type"), confidence.alias("confidence"))
 
 
 @query()
@@ -251,10 +263,10 @@ def classify_conversations(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("input_type"), confidence.alias("confidence"))
 
 
-_ASKED = "(1, 'How does Alpha Store compare with beta?'), (2, 'gamma limits'), (3, 'alphabet'), (4, 'BETA and gamma-ray')"
 _REGISTRY = "(1, 'alpha', 'Alpha Store'), (2, 'beta', 'Beta'), (3, 'gamma', 'Gamma Ray')"
+_ASKED = "(1, 'How does Alpha Store compare with beta?'), (2, 'gamma limits'), (3, 'alphabet'), (4, 'BETA and gamma-ray')"
 
 
-@query(f"SELECT id, list(source ORDER BY ord) AS sources FROM {sql_values(_ASKED, 'id, s')} q JOIN {sql_values(_REGISTRY, 'ord, source, name')} r ON regexp_matches(lower(s), '\\b(' || source || '|' || lower(name) || ')\\b') GROUP BY id")
+@query(f"SELECT id, list(source ORDER BY ord) AS sources FROM {sql_texts(_ASKED)} q JOIN {sql_values(_REGISTRY, 'ord, source, name')} r ON regexp_matches(lower(s), '\\b(' || source || '|' || lower(name) || ')\\b') GROUP BY id")
 def source_detect(spark, sf_dir):
-    return routing.detected_sources(values(spark, _ASKED, "id, s"), values(spark, _REGISTRY, "ord, source, name"), "id", "s")
+    return routing.detected_sources(texts(spark, sf_dir, _ASKED), values(spark, _REGISTRY, "ord, source, name"), "id", "s")
