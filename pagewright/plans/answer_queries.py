@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import answer, evaluation, lexical, segments
 from ..sources import commits, places
-from .registry import query, sql_values, table, values
+from .registry import cases, query, sql_cases, sql_values, table, values
 
 _REGISTRY = "(1, 'acme', 'Acme Exchange'), (2, 'globex', 'Globex'), (3, 'initech', 'Initech')"
 _DOCS = (
@@ -26,35 +26,44 @@ _QUESTIONS = (
 )
 
 
-def _answered(spark):
+def _answered(spark, sf_dir):
+    """A question for each nation, in eleven forms, over a few pages and records among all documents and parts."""
     sections = F.when(F.col("source") == "acme", F.array(F.lit("spot"), F.lit("margin"))).otherwise(F.array(F.lit("api")))
     registry = values(spark, _REGISTRY, "ord, source, name").withColumn("sections", sections)
-    return answer.answers(values(spark, _QUESTIONS, "query_id, question"), values(spark, _DOCS, "doc_id, source, section, url, text"), registry, values(spark, _RECORDS, "record_id, source, section, method, path, text, docs_url"))
+    questions = cases(spark, sf_dir, _QUESTIONS, "n, question", "nation", "n_nationkey").select(F.col("row_id").alias("query_id"), "question")
+    own = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.lit("web").alias("source"), F.col("source").alias("section"), F.concat(F.lit("https://web.example/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    docs = values(spark, _DOCS, "doc_id, source, section, url, text").withColumn("doc_id", F.col("doc_id").cast("bigint")).unionByName(own)
+    p, none = table(spark, sf_dir, "part"), F.lit(None).cast("string")
+    parts = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("record_id"), F.lit("web").alias("source"), F.col("p_brand").alias("section"), F.lit("GET").alias("method"), F.concat(F.lit("/p/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").alias("text"), none.alias("docs_url"))
+    return answer.answers(questions, docs, registry, values(spark, _RECORDS, "record_id, source, section, method, path, text, docs_url").unionByName(parts)), docs
 
 
-@query("""SELECT * FROM (VALUES (1, 'ok', 'direct', 'endpoint_path', 'r1', NULL), (2, 'ok', 'direct', 'error_message', NULL, '3'), (3, 'ok', 'search', 'question', 'r1', NULL), (4, 'needs_clarification', NULL, 'question', NULL, NULL), (5, 'undocumented', NULL, 'endpoint_path', NULL, NULL),
-(6, 'undocumented', NULL, 'error_message', NULL, NULL), (7, 'ok', 'search', 'question', 'r1', NULL), (8, 'needs_clarification', NULL, 'question', NULL, NULL), (9, 'not_found', NULL, 'question', NULL, NULL), (10, 'ok', 'direct', 'endpoint_path', 'r3', NULL), (11, 'ok', 'search', 'question', 'r1', NULL)) AS v(query_id, status, route, input_type, first_record, first_doc)""")
+_ROUTES = """(1, 'ok', 'direct', 'endpoint_path', 'r1', NULL), (2, 'ok', 'direct', 'error_message', NULL, '3'), (3, 'ok', 'search', 'question', 'r1', NULL), (4, 'needs_clarification', NULL, 'question', NULL, NULL), (5, 'undocumented', NULL, 'endpoint_path', NULL, NULL),
+(6, 'undocumented', NULL, 'error_message', NULL, NULL), (7, 'ok', 'search', 'question', 'r1', NULL), (8, 'needs_clarification', NULL, 'question', NULL, NULL), (9, 'not_found', NULL, 'question', NULL, NULL), (10, 'ok', 'direct', 'endpoint_path', 'r3', NULL), (11, 'ok', 'search', 'question', 'r1', NULL)"""
+
+
+@query(f"SELECT row_id AS query_id, status, route, input_type, first_record, first_doc FROM {sql_cases(_ROUTES, 'n, status, route, input_type, first_record, first_doc', (), 'nation', 'n_nationkey', 11)}")
 def answer_routes(spark, sf_dir):
     """A question for each way to an answer, with its first claim."""
     first = F.get("claims", F.lit(0))
-    return _answered(spark).select("query_id", "status", "route", "input_type", first["record_id"].alias("first_record"), first["doc_id"].alias("first_doc"))
+    return _answered(spark, sf_dir)[0].select("query_id", "status", "route", "input_type", first["record_id"].alias("first_record"), first["doc_id"].alias("first_doc"))
 
 
-@query("SELECT * FROM (VALUES (3, '5', false), (11, '5', true)) AS v(query_id, doc_id, found)")
+@query("SELECT n_nationkey AS query_id, n_nationkey % 11 = 10 AS found FROM nation WHERE n_nationkey % 11 IN (2, 10)")
 def answer_testnet(spark, sf_dir):
     """The test system's page is cited only where the question names it."""
-    rows = _answered(spark).filter("query_id IN (3, 11)")
-    return rows.select("query_id", F.lit("5").alias("doc_id"), F.exists("claims", lambda c: F.coalesce(c["doc_id"] == "5", F.lit(False))).alias("found"))
+    rows = _answered(spark, sf_dir)[0].filter("query_id % 11 IN (2, 10)")
+    return rows.select("query_id", F.exists("claims", lambda c: F.coalesce(c["doc_id"] == "5", F.lit(False))).alias("found"))
 
 
-@query("SELECT query_id, true AS all_slices FROM (VALUES (2), (3), (7), (11)) AS v(query_id)")
+@query("SELECT n_nationkey AS query_id, true AS all_slices FROM nation WHERE n_nationkey % 11 IN (1, 2, 6, 10)")
 def answer_citations(spark, sf_dir):
     """Every cited excerpt is what stands at its place in the cited text, whose hash it carries."""
-    claims = _answered(spark).select("query_id", F.inline("claims")).filter("kind = 'SOURCE'")
-    docs = values(spark, _DOCS, "doc_id, source, section, url, text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    answered, docs = _answered(spark, sf_dir)
+    claims = answered.select("query_id", F.inline("claims")).filter("kind = 'SOURCE'")
     slice_ = F.trim(F.substring("text", F.col("excerpt_start") + 1, F.col("excerpt_end") - F.col("excerpt_start")))
     good = (slice_ == F.col("excerpt")) & (F.sha2("text", 256) == F.col("content_hash"))
-    return claims.join(docs, "doc_id").groupBy("query_id").agg(F.min(good).alias("all_slices"))
+    return claims.join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id").groupBy("query_id").agg(F.min(good).alias("all_slices"))
 
 
 @query()
@@ -68,12 +77,15 @@ def answer_claims(spark, sf_dir):
     return answer.answers(questions, docs, registry, known)
 
 
-_CLAIMS = "(1, 'c1', 1, 'weight: 12 for each'), (1, 'c2', 2, 'the weight is 5'), (2, 'c1', 1, 'weight: 3'), (2, 'c2', 2, 'no number'), (3, 'c1', 1, 'weight 1')"
-
-
-@query("SELECT 1 AS query_id, 'c1' AS first, 'c2' AS second, 7::BIGINT AS value")
+@query("""
+WITH w AS (SELECT l_orderkey AS query_id, l_linenumber AS n, max(CASE WHEN l_partkey % 3 > 0 THEN l_quantity::BIGINT END) AS w FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2)
+SELECT query_id, 'c1' AS first, 'c2' AS second, a.w - b.w AS value FROM (SELECT * FROM w WHERE n = 1) a JOIN (SELECT * FROM w WHERE n = 2) b USING (query_id) WHERE a.w IS NOT NULL AND b.w IS NOT NULL""")
 def derived_differences(spark, sf_dir):
-    return answer.derived_differences(values(spark, _CLAIMS, "query_id, id, order, excerpt"))
+    """A claim for each line of an order; two thirds of them say a weight, of lines with one number the largest counts."""
+    q = F.col("l_quantity").cast("bigint").cast("string")
+    said = F.when(F.col("l_partkey") % 3 == 0, F.lit("no number")).when(F.col("l_partkey") % 3 == 1, F.concat(F.lit("weight: "), q, F.lit(" for each"))).otherwise(F.concat(F.lit("the weight is "), q))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_linenumber").alias("order"), said.alias("excerpt"))  # noqa: E741
+    return answer.derived_differences(l)
 
 
 @query("SELECT p_brand AS source, upper(p_brand) AS name, count(*) AS n_records FROM part GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 15")
@@ -190,20 +202,30 @@ def code_search_terms(spark, sf_dir):
 
 # --- evaluation by URLs ----------------------------------------------------------------------------------------------------
 
-_EXPECTED = "(1, 'https://a.example/docs/x'), (1, 'https://a.example/docs/y/'), (2, 'https://b.example/p%20q'), (3, 'https://c.example/only'), (4, 'https://a.example/docs')"
-_RETRIEVED = "(1, 'https://a.example/docs/x#top', 1), (1, 'https://a.example/docs/y/z', 2), (2, 'https://b.example/p q', 3), (3, 'https://d.example/', 1), (4, 'https://a.example/other', 1), (4, 'https://a.example/docs/deep', 6)"
+# Every four pages are a query's expected URLs. Of pages whose number 5 does not divide the first is retrieved as it is, the
+# second as a longer URL, the third as another page of its host, the fourth below the cut.
+_LEVELS = """SELECT page_id // 4 AS query_id, count(*) AS n_expected, count(*) FILTER (page_id % 4 = 0 AND page_id % 5 > 0) AS exact, count(*) FILTER (page_id % 4 < 2 AND page_id % 5 > 0) AS prefix, count(*) FILTER (page_id % 4 < 3 AND page_id % 5 > 0) AS domain FROM pages GROUP BY 1"""
+
 
+def _url_lists(spark, sf_dir):
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    p = table(spark, sf_dir, "pages").select(F.expr("page_id DIV 4").alias("query_id"), F.concat(F.lit("https://h"), n, F.lit(".example/docs/p"), n).alias("url"), "page_id")
+    got = F.when(k == 0, F.concat("url", F.lit("#top"))).when(k == 1, F.concat("url", F.lit("/z"))).when(k == 2, F.concat(F.lit("https://h"), n, F.lit(".example/other"))).otherwise(F.col("url"))
+    found = p.filter("page_id % 5 > 0").select("query_id", got.alias("url"), F.when(k < 3, k + 1).otherwise(6).alias("rank"))
+    return p.select("query_id", "url"), found
 
-@query("SELECT * FROM (VALUES (1, 2, 1, 2, 2), (2, 1, 1, 1, 1), (3, 1, 0, 0, 0), (4, 1, 0, 0, 1)) AS v(query_id, n_expected, exact, prefix, domain)")
+
+@query(_LEVELS)
 def match_levels(spark, sf_dir):
-    return evaluation.match_levels(values(spark, _EXPECTED, "query_id, url"), values(spark, _RETRIEVED, "query_id, url, rank"), 5)
+    return evaluation.match_levels(*_url_lists(spark, sf_dir), 5)
 
 
-@query("SELECT * FROM (VALUES ('exact', 5, 0.4, 0.3), ('prefix', 5, 0.4, 0.4), ('domain', 5, 0.6, 0.6)) AS v(level, n_queries, hit_rate, mean_recall)")
+@query(f"""
+WITH l AS ({_LEVELS}) SELECT level, n_queries, round(hit_rate, 9) AS hit_rate, round(mean_recall, 9) AS mean_recall FROM (
+SELECT 'exact' AS level, count(*) AS n_queries, avg((exact > 0)::INT) AS hit_rate, avg(exact / n_expected) AS mean_recall FROM l UNION ALL SELECT 'prefix', count(*), avg((prefix > 0)::INT), avg(prefix / n_expected) FROM l UNION ALL SELECT 'domain', count(*), avg((domain > 0)::INT), avg(domain / n_expected) FROM l)""")
 def retrieval_levels(spark, sf_dir):
-    """Query 5 has no list: a miss."""
-    levels = evaluation.match_levels(values(spark, _EXPECTED, "query_id, url"), values(spark, _RETRIEVED, "query_id, url, rank"), 5)
-    out = evaluation.retrieval_summary(values(spark, "(1), (2), (3), (4), (5)", "query_id"), levels)
+    expected, found = _url_lists(spark, sf_dir)
+    out = evaluation.retrieval_summary(expected.select("query_id").distinct(), evaluation.match_levels(expected, found, 5))
     return out.select("level", "n_queries", F.round("hit_rate", 9).alias("hit_rate"), F.round("mean_recall", 9).alias("mean_recall"))
 
 
@@ -230,12 +252,13 @@ def false_positives(spark, sf_dir):
     return evaluation.false_positive_rate(_results(spark, sf_dir)).select("n_negative", F.round("rate", 9).alias("rate"))
 
 
-_INTERVALS = "('a', 'mrr', 0.5, 0.6), ('b', 'mrr', 0.61, 0.7), ('c', 'mrr', 0.55, 0.65), ('a', 'hit', 0.1, 0.2), ('b', 'hit', 0.2, 0.3)"
-
-
-@query("SELECT * FROM (VALUES ('a', 'b', 'mrr', true), ('a', 'c', 'mrr', false), ('b', 'c', 'mrr', false), ('a', 'b', 'hit', false)) AS v(a, b, metric, significant)")
+@query("""
+WITH i AS (SELECT p_brand AS run, 's' || p_size % 10 AS metric, min(p_retailprice) AS low, min(p_retailprice) + 40 AS high FROM part GROUP BY 1, 2)
+SELECT a.run AS a, b.run AS b, metric, a.high < b.low OR b.high < a.low AS significant FROM i a JOIN i b USING (metric) WHERE a.run < b.run""")
 def interval_overlap(spark, sf_dir):
-    return evaluation.interval_comparison(values(spark, _INTERVALS, "run, metric, low, high"))
+    """Brands as runs, whose prices' intervals are compared by size."""
+    i = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("run"), F.concat(F.lit("s"), (F.col("p_size") % 10).cast("string")).alias("metric")).agg(F.min("p_retailprice").alias("low"))
+    return evaluation.interval_comparison(i.withColumn("high", F.col("low") + 40))
 
 
 _RANKED = """p AS (SELECT a.vec_id AS query_id, b.vec_id AS key, 1 - list_dot_product({x}.embedding::DOUBLE[], {y}.embedding::DOUBLE[]) / (sqrt(list_dot_product({x}.embedding::DOUBLE[], {x}.embedding::DOUBLE[])) * sqrt(list_dot_product({y}.embedding::DOUBLE[], {y}.embedding::DOUBLE[]))) AS d FROM {t} a, {t} b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, vectors
-from .registry import query, sql_values, table, values
+from .registry import query, table
 
 _RANKED = """q AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT a.vec_id AS query_id, b.vec_id AS key, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY d, key) AS rank FROM p QUALIFY rank <= 10), rel AS (SELECT q.query_id, e.vec_id AS key, 1 + e.vec_id % 3 AS relevance FROM q JOIN embeddings e ON q.label = e.label AND q.query_id <> e.vec_id)"""
@@ -37,13 +37,15 @@ def ndcg_at_5(spark, sf_dir):
     return evaluation.ndcg(*_lists(spark, sf_dir)).withColumn("ndcg", F.round("ndcg", 9))
 
 
-_BASE, _NOW = "('hit', 0.80), ('mrr', 0.60), ('ndcg', 0.70), ('gone', 0.2)", "('hit', 0.78), ('mrr', 0.45), ('ndcg', 0.64), ('new', 0.1)"
-
-
-@query(f"SELECT coalesce(a.metric, b.metric) AS metric, round(coalesce(b.value, 0) - coalesce(a.value, 0), 9)::DOUBLE AS delta, CASE WHEN coalesce(b.value, 0) - coalesce(a.value, 0) <= -0.10 THEN 'fail' WHEN coalesce(b.value, 0) - coalesce(a.value, 0) <= -0.05 THEN 'warn' ELSE 'pass' END AS verdict FROM {sql_values(_BASE, 'metric, value')} a FULL JOIN {sql_values(_NOW, 'metric, value')} b ON a.metric = b.metric")
+@query("""
+WITH m AS (SELECT 'u' || user_id AS metric, event_id % 2 AS half, count(*) / 200.0::DOUBLE AS value FROM events WHERE event_id % 7 > 0 OR user_id % 5 > 0 OR event_id % 2 = 0 GROUP BY ALL), a AS (SELECT * FROM m WHERE half = 0), b AS (SELECT * FROM m WHERE half = 1),
+d AS (SELECT coalesce(a.metric, b.metric) AS metric, round(coalesce(b.value, 0) - coalesce(a.value, 0), 9)::DOUBLE AS delta FROM a FULL JOIN b ON a.metric = b.metric)
+SELECT metric, delta, CASE WHEN delta <= -0.10 THEN 'fail' WHEN delta <= -0.05 THEN 'warn' ELSE 'pass' END AS verdict FROM d""")
 def regression_gate(spark, sf_dir):
-    side = lambda rows: values(spark, rows, "metric, value").withColumn("value", F.col("value").cast("double"))
-    return evaluation.regression_gate(side(_BASE), side(_NOW))
+    """A metric for each user, before and now."""
+    e = table(spark, sf_dir, "events").filter((F.col("event_id") % 7 > 0) | (F.col("user_id") % 5 > 0) | (F.col("event_id") % 2 == 0))
+    side = lambda half: e.filter(F.col("event_id") % 2 == half).groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("metric")).agg((F.count("*") / 200.0).alias("value"))
+    return evaluation.regression_gate(side(0), side(1))
 
 
 @query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p05, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1")

@@ -11,10 +11,11 @@ _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 _CANON = f"regexp_extract(url, '^([a-z]+)', 1) || '://' || {_HOST} || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1)"
 
 
-@query("SELECT 1 AS id, ['https://a.example/', 'https://a.example/docs/', 'https://b.example/x/y/'] AS prefixes")
+@query(f"SELECT g, list_sort(list(DISTINCT regexp_replace(regexp_replace(c, '\\?.*$', ''), '[^/]*$', ''))) AS prefixes FROM (SELECT page_id // 10 AS g, {_CANON} AS c FROM pages) GROUP BY 1")
 def scope_prefixes(spark, sf_dir):
-    seeds = F.array(*(F.lit(u) for u in ("https://b.example/x/y/z?q=1", "HTTPS://A.example:443/docs/intro#top", "https://a.example/docs/other", "", "https://a.example")))
-    return values(spark, "(1)", "id").select("id", inventory.scope_prefixes(seeds).alias("prefixes"))
+    """The folders of every ten pages."""
+    seeds = table(spark, sf_dir, "pages").groupBy(F.expr("page_id DIV 10").alias("g")).agg(F.collect_list("url").alias("seeds"))  # ten pages
+    return seeds.select("g", inventory.scope_prefixes(F.col("seeds")).alias("prefixes"))
 
 
 def _sitemaps(spark, sf_dir):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import intents, markup, pages
 from ..operators import lineage, quality, reports
-from .registry import query, sql_values, table, values
+from .registry import cases, query, sql_cases, sql_texts, table, texts
+from .text_queries import _RANK
 
 
 @query("SELECT doc_id, sha256(text) AS decoded_hash FROM documents")
@@ -70,9 +71,10 @@ def excerpts(spark, sf_dir):
 _NAV = "(1, '* a¶* b¶* c¶* d¶text that goes on'), (2, 'one line of text.¶another line of text.¶a third one here.¶and a fourth.'), (3, 'Skip to content¶text'), (4, '* a¶* b'), (5, '[a](b)¶[c](d)¶[e](f) [g](h)¶EN | DE¶text of some length')"
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, true)) AS v(id, nav)")
+@query(f"SELECT row_id, nav FROM {sql_cases('(1, true), (2, false), (3, true), (4, false), (5, true)', 'n, nav')}")
 def nav_regions(spark, sf_dir):
-    return values(spark, _NAV, "id, md").select("id", pages.is_navigation("md", F.lit(0)).alias("nav"))
+    """The head of each part's page, in five forms."""
+    return cases(spark, sf_dir, _NAV, "id, md").select("row_id", pages.is_navigation("md", F.lit(0)).alias("nav"))
 
 
 @query("SELECT p_partkey, method, path FROM part, (SELECT unnest(['GET', 'GET', 'POST', 'PUT', 'GET', 'DELETE']) AS method, unnest(['/api/v3/a/', '/api/v3/list/', '/api/v3/b/', '/w/', '/spot/tickers/', '/spot/x/']) AS base), LATERAL (SELECT base || p_partkey AS path)")
@@ -113,19 +115,24 @@ def unsafe_hosts(spark, sf_dir):
 _CODE = """(1, 'ex = ccxt.OKX({}); ex.fetch_balance()'), (2, 'import RestClientV5'), (3, 'curl "https://api.kraken.com/0/public/{x}/Time/"'), (4, 'no code'), (5, 'getTickers() on www.okx.com')"""
 
 
-@query("SELECT * FROM (VALUES (1, 'okx', 'ccxt', NULL, 'account balance'), (2, 'bybit', 'library', NULL, NULL), (3, 'kraken', 'url', '/0/public//Time', NULL), (4, NULL, NULL, NULL, NULL), (5, 'okx', 'library', NULL, 'tickers')) AS v(id, source_hint, code_source, api_path, topic)")
+_CODE_EXPECTED = "(1, 'okx', 'ccxt', NULL, 'account balance'), (2, 'bybit', 'library', NULL, NULL), (3, 'kraken', 'url', '/0/public//Time', NULL), (4, NULL, NULL, NULL, NULL), (5, 'okx', 'library', NULL, 'tickers')"
+
+
+@query(f"SELECT row_id, source_hint, code_source, api_path, topic FROM {sql_cases(_CODE_EXPECTED, 'n, source_hint, code_source, api_path, topic')}")
 def code_context(spark, sf_dir):
-    c = values(spark, _CODE, "id, s").select("id", intents.code_context("s").alias("c"))
-    return c.select("id", "c.source_hint", "c.code_source", "c.api_path", F.get("c.methods", F.lit(0))["topic"].alias("topic"))
+    """A piece of code for each part, in five forms."""
+    c = cases(spark, sf_dir, _CODE, "id, s").select("row_id", intents.code_context("s").alias("c"))
+    return c.select("row_id", "c.source_hint", "c.code_source", "c.api_path", F.get("c.methods", F.lit(0))["topic"].alias("topic"))
 
 
 _SECTIONS = "(1, 'binance', 'coin-m futures order'), (2, 'binance', 'spot order'), (3, 'kraken', 'a perp on margin'), (4, 'other', 'the sub account api'), (5, 'other', 'nothing'), (6, 'okx', 'rest endpoint'), (7, 'single', 'spot')"
 
 
-@query("SELECT * FROM (VALUES (1, 'futures_coinm'), (2, 'spot'), (3, NULL), (4, 'sub_account'), (5, NULL), (6, 'rest'), (7, NULL)) AS v(id, section)")
+@query(f"SELECT row_id, section FROM {sql_cases("(1, 'futures_coinm'), (2, 'spot'), (3, NULL), (4, 'sub_account'), (5, NULL), (6, 'rest'), (7, NULL)", 'n, section')}")
 def section_detect(spark, sf_dir):
+    """A question about each part, in seven forms."""
     has = F.when(F.col("source") == "kraken", F.array(F.lit("spot"), F.lit("earn"))).when(F.col("source") == "other", F.array(F.lit("trade"), F.lit("sub_account"))).when(F.col("source") == "okx", F.array(F.lit("websocket"), F.lit("rest"))).otherwise(F.array(F.lit("spot")))
-    return values(spark, _SECTIONS, "id, source, q").select("id", intents.section("q", F.col("source"), has).alias("section"))
+    return cases(spark, sf_dir, _SECTIONS, "id, source, q").select("row_id", intents.section("q", F.col("source"), has).alias("section"))
 
 
 @query(f"SELECT conv_id, turn, regexp_matches(text, '{intents.RATE_LIMIT}') AS rate, regexp_matches(text, '{intents.PERMISSIONS}') AS permissions, regexp_matches(text, '{intents.REQUIRES}') AS requires FROM conversations")
@@ -210,9 +217,10 @@ def changelog_page(spark, sf_dir):
 _CHANGES = "(1, 'The endpoint was removed'), (2, 'new field in the response'), (3, 'parameter x renamed, rate limit halved'), (4, 'typo')"
 
 
-@query("SELECT * FROM (VALUES (1, 'err'), (3, 'warn')) AS v(id, severity)")
+@query(f"SELECT id, severity FROM (SELECT id, ['info', 'warn', 'err'][{_RANK}] AS severity FROM (SELECT id, substr(s, 1, 3000) AS s FROM {sql_texts(_CHANGES)})) WHERE severity <> 'info'")
 def classify_changelogs(spark, sf_dir):
-    rows = reports.classified_changelogs(values(spark, _CHANGES, "id, entry_text"))
+    """Changelog entries, each with a document below it, by the operator's first 3,000 characters."""
+    rows = reports.classified_changelogs(texts(spark, sf_dir, _CHANGES).select("id", F.col("s").alias("entry_text")))
     return rows.filter("severity <> 'info'").select("id", "severity")
 
 
@@ -253,12 +261,18 @@ def extraction_scan(spark, sf_dir):
     return quality.extraction_scan(table(spark, sf_dir, "documents"), (F.col("doc_id") % 10) / 10.0)
 
 
-@query("SELECT * FROM (VALUES ('quality', 'warn', 7), ('retrieval', 'warn', 12), ('extraction', 'fail', 9), ('catalogue', 'pass', 2), ('broken', 'error', 0)) AS v(name, status, n_issues)")
+@query("""
+SELECT 'quality' AS name, CASE WHEN count(*) FILTER (doc_id % 10 = 0) > 0 THEN 'warn' ELSE 'pass' END AS status, count(*) FILTER (doc_id % 10 < 3)::INT AS n_issues FROM documents
+UNION ALL SELECT 'retrieval', CASE WHEN avg((event_type <> 'error')::INT) >= 0.8 THEN 'pass' WHEN avg((event_type <> 'error')::INT) >= 0.5 THEN 'warn' ELSE 'fail' END, count(*) FILTER (event_type = 'error')::INT FROM events
+UNION ALL SELECT 'extraction', CASE WHEN count(*) FILTER (doc_id % 10 < 4) = 0 THEN 'warn' WHEN count(*) FILTER (doc_id % 10 < 4) < 5 THEN 'warn' ELSE 'fail' END, count(*) FILTER (doc_id % 10 < 7)::INT FROM documents
+UNION ALL SELECT 'catalogue', 'pass', count(*) FILTER (page_id % 3 = 0)::INT FROM pages UNION ALL SELECT 'broken', 'error', 0""")
 def audit_adapters(spark, sf_dir):
-    issues = values(spark, "('empty+tiny_html', 2), ('thin', 5), ('ok', 90)", "issue, n")
-    summary = values(spark, "(30, 0.6)", "n_queries, hit_rate").withColumn("hit_rate", F.col("hit_rate").cast("double"))
-    scan = values(spark, "(100, 6, 3)", "pages, incomplete, weak")
-    matched = values(spark, "('exact'), (NULL), (NULL), ('suffix')", "how")
+    """The checks' rows from four tables, and one whose table is not there."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 10
+    issues = docs.groupBy(F.when(k == 0, "empty+tiny_html").when(k < 3, "thin").otherwise("ok").alias("issue")).agg(F.count("*").alias("n"))
+    summary = table(spark, sf_dir, "events").agg(F.count("*").alias("n_queries"), F.avg((F.col("event_type") != "error").cast("double")).alias("hit_rate"))
+    scan = quality.extraction_scan(docs, k / 10.0)
+    matched = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 3 > 0, "exact").alias("how"))
     rows = [quality.quality_adapter(issues), quality.retrieval_adapter(summary), quality.extraction_adapter(scan), quality.catalogue_adapter(matched), quality.guarded("broken", lambda: spark.table("no_such_table").filter("x > 1"))]
     out = rows[0]
     for r in rows[1:]:
@@ -266,16 +280,17 @@ def audit_adapters(spark, sf_dir):
     return out.withColumn("n_issues", F.col("n_issues").cast("int"))
 
 
-_SYNC = "(1, 10, 2, NULL), (2, 5, 1, 'ETIMEOUT'), (3, 0, 0, NULL)"
-
-
-@query(f"SELECT count(*) AS sections, count(error) AS failed, sum(fetched)::BIGINT AS fetched, sum(skipped)::BIGINT AS skipped FROM {sql_values(_SYNC, 'section, fetched, skipped, error')}")
+@query("SELECT count(*) AS sections, count(*) FILTER (errors > 0) AS failed, sum(fetched)::BIGINT AS fetched, sum(errors)::BIGINT AS skipped FROM (SELECT user_id, count(*) AS fetched, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)")
 def sync_sections(spark, sf_dir):
-    return reports.sync_totals(values(spark, _SYNC, "section, fetched, skipped, error"))
+    """Users stand for sections, their errors for what was skipped."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("fetched"), F.count(F.when(F.col("event_type") == "error", 1)).alias("skipped"))
+    return reports.sync_totals(e.withColumn("error", F.when(F.col("skipped") > 0, "ETIMEOUT")))
 
 
-@query("SELECT * FROM (VALUES ('a', ['http://a.example/1', 'https://b.example/'])) AS v(id, urls)")
+@query("SELECT g, list(url ORDER BY page_id) AS urls FROM (SELECT page_id // 10 AS g, url, min(page_id) AS page_id FROM pages GROUP BY 1, 2) GROUP BY 1")
 def wayback_urls(spark, sf_dir):
-    """An archive's answer: the first list names the columns."""
-    given = """('a', '[["urlkey","original"],["k","http://a.example/1"],["k","https://b.example/"],["k","http://a.example/1"]]')"""
-    return values(spark, given, "id, body").select("id", pages.wayback_urls("body").alias("urls"))
+    """An archive's answer for every ten pages: the first list names the columns; pages come twice."""
+    rows = table(spark, sf_dir, "pages").groupBy(F.expr("page_id DIV 10").alias("g")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("r"))  # ten pages
+    lists = F.transform("r", lambda x: F.array(F.lit("k"), x["url"]))
+    body = F.to_json(F.concat(F.array(F.array(F.lit("urlkey"), F.lit("original"))), lists, lists))
+    return rows.select("g", pages.wayback_urls(body).alias("urls"))

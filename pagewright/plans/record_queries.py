@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import records
-from .registry import query, table, values
+from .registry import cases, query, sql_cases, table, values
 
 _ID = "sha256('acme|' || p_brand || '|http|https://h.example||GET|/p/' || p_partkey)"
 
@@ -34,9 +34,10 @@ def record_builder(spark, sf_dir):
 _BROKEN = """(1, '{"section":"s"'), (2, '[1]'), (3, '{"source":"a","section":"s","protocol":"smtp","field_status":{}}'), (4, '{"source":"a","section":"s","protocol":"ws","field_status":{"x":"maybe"}}'), (5, '{"source":"a","section":"s","protocol":"ws","field_status":{},"endpoint_id":"no"}'), (6, '{"source":"a","section":"s","protocol":"ws","field_status":{},"rate_limit":[1]}'), (7, '{"protocol":"ws"}'), (8, '{"source":"a","section":"s","protocol":"ws","field_status":{},"sources":[{"url":"u"}]}')"""
 
 
-@query("SELECT * FROM (VALUES (1, 'EBADJSON', 1), (2, 'EBADJSON', 1), (3, 'ESCHEMA', 1), (4, 'ESCHEMA', 1), (5, 'EIDMISMATCH', 0), (6, 'ESCHEMA', 1), (7, 'ESCHEMA', 3), (8, 'ESCHEMA', 1)) AS v(id, error, n_messages)")
+@query(f"SELECT row_id, error, n_messages FROM {sql_cases("(1, 'EBADJSON', 1), (2, 'EBADJSON', 1), (3, 'ESCHEMA', 1), (4, 'ESCHEMA', 1), (5, 'EIDMISMATCH', 0), (6, 'ESCHEMA', 1), (7, 'ESCHEMA', 3), (8, 'ESCHEMA', 1)", 'n, error, n_messages')}")
 def record_check(spark, sf_dir):
-    return values(spark, _BROKEN, "id, record").withColumn("j", records.judged("record")).select("id", F.col("j.error").alias("error"), F.size("j.messages").alias("n_messages"))
+    """A broken record for each part, in eight ways."""
+    return cases(spark, sf_dir, _BROKEN, "id, record").withColumn("j", records.judged("record")).select("row_id", F.col("j.error").alias("error"), F.size("j.messages").alias("n_messages"))
 
 
 def _batches(spark, sf_dir):
@@ -67,20 +68,25 @@ def record_lineage(spark, sf_dir):
     return records.cited_rows(built).groupBy("field_name").agg(F.count("*").alias("n"), F.countDistinct("doc_url").alias("n_urls"))
 
 
-_REVIEW = """('r1', '{"field_status":{"description":"unknown","rate_limit":"unknown"},"description":"text"}'), ('r2', '{"field_status":{"error_codes":"conflict","description":"documented"},"description":"x"}'), ('r3', '{"field_status":{}}')"""
+_REVIEW = """(1, 'r§', '{"field_status":{"description":"unknown","rate_limit":"unknown"},"description":"text"}' ), (2, 'r§', '{"field_status":{"error_codes":"conflict","description":"documented"},"description":"x"}'), (3, 'r§', '{"field_status":{}}')"""
 
 
-@query("SELECT * FROM (VALUES ('inconsistent_status', 'r1', 'description', 'value_without_status'), ('inconsistent_status', 'r2', 'error_codes', 'conflict')) AS v(kind, record_id, field_name, reason)")
+_REVIEW_EXPECTED = "(1, 'inconsistent_status', 'r§', 'description', 'value_without_status'), (2, 'inconsistent_status', 'r§', 'error_codes', 'conflict')"
+
+
+@query(f"SELECT kind, record_id, field_name, reason FROM {sql_cases(_REVIEW_EXPECTED, 'n, kind, record_id, field_name, reason', ('record_id',), n=3)}")
 def record_reviews(spark, sf_dir):
-    return records.review_items(values(spark, _REVIEW, "record_id, record"))
+    """A record for each part, in three forms."""
+    return records.review_items(cases(spark, sf_dir, _REVIEW, "n, record_id, record").select("record_id", "record"))
 
 
-_TEXTS = """(1, '{"description":"Places an order","rate_limit":{"weight":5,"unit":"s"},"error_codes":[{"code":-1013,"message":"bad"},{"code":7,"description":"worse"}],"required_permissions":["trade","read"]}'), (2, '{"rate_limit":"10/s","required_permissions":"read"}'), (3, '{}')"""
+_TEXTS = """(1, '{"description":"Places an order §","rate_limit":{"weight":5,"unit":"s"},"error_codes":[{"code":-1013,"message":"bad"},{"code":7,"description":"worse"}],"required_permissions":["trade","read"]}'), (2, '{"rate_limit":"10/s","required_permissions":"read"}'), (3, '{}')"""
 
 
-@query("SELECT id, replace(t, '|', chr(10)) AS text FROM (VALUES (1, 'Places an order|5|s|-1013|bad|7|worse|trade|read'), (2, '10/s|read'), (3, '')) AS v(id, t)")
+@query(f"SELECT row_id, text FROM {sql_cases("(1, 'Places an order §¶5¶s¶-1013¶bad¶7¶worse¶trade¶read'), (2, '10/s¶read'), (3, '')", 'n, text', ('text',))}")
 def record_search_text(spark, sf_dir):
-    return values(spark, _TEXTS, "id, record").select("id", records.search_text(F.col("record")).alias("text"))
+    """What is searched of a record for each part, in three forms."""
+    return cases(spark, sf_dir, _TEXTS, "id, record").select("row_id", records.search_text(F.col("record")).alias("text"))
 
 
 _TERMS = "(1, 'small'), (1, 'ring'), (2, 'widget'), (2, 'nowhere'), (3, 'p')"
