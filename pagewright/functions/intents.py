@@ -10,6 +10,7 @@ from .text import col
 #: Parts of URLs of test systems.
 TEST_PARTS = ("/testnet/", "/sandbox/")
 
+#: Questions about rate limits and about permissions.
 RATE_LIMIT = r"(?i)\brate\s+limit\b|\bweight\b"
 PERMISSIONS = r"(?i)\bpermissions?\b|\bapi\s+key\b|\bscopes?\b"
 
@@ -99,6 +100,7 @@ API_HOSTS = (
     (r"(?i)api\.bitfinex\.com", "bitfinex"),
     (r"(?i)www\.okx\.com", "okx"),
 )
+#: URLs of APIs in code.
 _API_URL = r"(https?://(?:api\.\w+\.(?:com|io|ws)|www\.okx\.com|stream\.\w+\.com)/[^\s'\"`,\)\]]+)"
 
 #: Methods of client libraries and what they are about.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -246,39 +246,103 @@ _COLUMNS = {"name": ("parameter", "name", "field", "param", "key", "필드", "
 _YES, _NO = ("yes", "true", "y", "required", "mandatory", "o", "필수"), ("no", "false", "n", "optional", "x", "선택")
 
 
-def parameters(md: str | None) -> list[dict]:
-    """Parameters of the first table with a name column: dashes before a name make it a child of the last one above."""
-    lines = (md or "").split("\n")
-    rows = [[c.strip() for c in line.strip().strip("|").split("|" if "|" in line else "\t")] if "|" in line or "\t" in line else None for line in lines]
-    for i, header in enumerate(rows):
-        if not header:
+#: Headings over parameters, and how far before and behind an endpoint's place they are looked for.
+_PARAMETER_HEADING = re.compile(r"param|argument|request|field|quer|body|파라미터|요청", re.I)
+BEFORE, BEHIND = 500, 3_000
+
+
+def _lines(md: str) -> Iterator[tuple[int, str, int]]:
+    """(place, line, level) of the lines outside fences; level: of a heading, else 0."""
+    at, fence = 0, ""
+    for line in md.split("\n"):
+        mark = _FENCE.match(line)
+        if fence:
+            fence = "" if mark and mark[1].startswith(fence) else fence
+        elif mark:
+            fence = mark[1]
+        else:
+            head = _HEADING.match(line)
+            yield at, line, len(head[1]) if head else 0
+        at += len(line) + 1
+
+
+def _cells(line: str) -> list[str] | None:
+    sign = "|" if "|" in line else "\t" if "\t" in line else None
+    return [c.strip() for c in line.strip().strip("|").split(sign)] if sign else None
+
+
+def _columns(header: list[str]) -> dict[str, int] | None:
+    """The place of each column, of a header with a name column and another one."""
+    where = {k: j for k, words in _COLUMNS.items() for j, h in reversed(list(enumerate(header))) if h.lower().strip("* ") in words}
+    return where if "name" in where and len(where) > 1 else None
+
+
+def tables(lines: Iterable[tuple[int, str, int]]) -> list[dict]:
+    """Parameters of all tables with a name column, by an automaton over the lines: outside of a table, or in one with columns and the parents above.
+
+    Dashes before a name make it a child of the last one that has fewer; a table under a heading or behind a line that names
+    one parameter from above it, in code signs or as the heading's only word, has that parameter's fields.
+    """
+    out: list[dict] = []
+    where, parents, number, owner = None, [], 0, None
+    for _, line, level in lines:
+        row = None if level else _cells(line)
+        if row is None:
+            where = None
+            head = _HEADING.match(line)
+            named = set(re.findall(r"`([^`]+)`", line)) | ({head[2].strip()} if head else set())
+            known = [p["name"] for p in out if p["name"] in named]
+            if known or level:
+                owner = known[-1] if known else None
+            continue
+        if where is None:
+            where = _columns(row)
+            parents, number = [], number + (where is not None)
             continue
-        where = {k: next((j for j, h in enumerate(header) if h.lower().strip("* ") in words), None) for k, words in _COLUMNS.items()}
-        if where["name"] is None or (where["type"] is None and where["required"] is None and where["description"] is None):
+        if all(re.fullmatch(r":?-{2,}:?", c) for c in row if c) or where["name"] >= len(row) or not row[where["name"]]:
             continue
-        out, parents = [], []
-        for row in rows[i + 1 :]:
-            if row is None:
-                break
-            if all(re.fullmatch(r":?-{2,}:?", c) for c in row if c) or where["name"] >= len(row) or not row[where["name"]]:
-                continue
-            raw = row[where["name"]].strip("`* ")
-            depth = len(raw) - len(raw.lstrip(">-– "))
-            name = raw.lstrip(">-– ").strip("`* ")
-            parents = parents[:depth]
-            get = lambda k: row[where[k]] if where[k] is not None and where[k] < len(row) else None  # noqa: B023, E731
-            said = (get("required") or "").lower().strip("* ")
-            out.append({"name": name, "type": get("type"), "required": True if said in _YES else False if said in _NO else None, "description": get("description"), "parent": parents[-1] if parents else None})
-            parents.append(name)
-        return out
-    return []
+        raw = row[where["name"]].strip("`* ")
+        depth = len(raw) - len(raw.lstrip(">-– "))
+        name = raw.lstrip(">-– ").strip("`* ")
+        parents = parents[:depth]
+        cell = {k: row[j] for k, j in where.items() if j < len(row)}
+        said = cell.get("required", "").lower().strip("* ")
+        required = True if said in _YES else False if said in _NO else None
+        out.append({"name": name, "type": cell.get("type"), "required": required, "description": cell.get("description"), "parent": parents[-1] if parents else owner, "table": number})
+        parents.append(name)
+    return out
+
+
+def parameters(md: str | None) -> list[dict]:
+    """Parameters of the first table with a name column."""
+    return [p for p in tables(_lines(md or "")) if p["table"] == 1]
+
+
+def parameters_near(md: str | None, at: int = 0) -> list[dict]:
+    """Parameters of all tables in the section about parameters that is nearest behind an endpoint's place, or else before it: from its heading to the next one of its level or above. A parameter that tables repeat under one parent comes once."""
+    lines = list(_lines(md or ""))
+    heads = [(i, place, level) for i, (place, line, level) in enumerate(lines) if level and _PARAMETER_HEADING.search(line)]
+    behind = [h for h in heads if at <= h[1] <= at + BEHIND]
+    before = [h for h in heads if at - BEFORE <= h[1] < at]
+    if not behind and not before:
+        return []
+    first, _, level = behind[0] if behind else before[-1]
+    end = next((i for i in range(first + 1, len(lines)) if 0 < lines[i][2] <= level), len(lines))
+    once = {(p["name"], p["parent"]): p for p in reversed(tables(lines[first:end]))}
+    return list(reversed(once.values()))
 
 
 # types as objects: the module is imported on workers, where no session can read a type's text
 _TEXT = T.StringType()
 _PARAMETER = T.ArrayType(T.StructType([T.StructField("name", _TEXT), T.StructField("type", _TEXT), T.StructField("required", T.BooleanType()), T.StructField("description", _TEXT), T.StructField("parent", _TEXT)]))
+_REGION = T.ArrayType(T.StructType([*_PARAMETER.elementType.fields, T.StructField("table", T.IntegerType())]))
 
 
 @F.pandas_udf(_PARAMETER)
 def parameter_table(md: pd.Series) -> pd.Series:
     return md.map(parameters)
+
+
+@F.pandas_udf(_REGION)
+def region_parameters(md: pd.Series, at: pd.Series) -> pd.Series:
+    return pd.Series([parameters_near(t, int(a)) for t, a in zip(md, at, strict=True)])

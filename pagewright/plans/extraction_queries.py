@@ -88,6 +88,22 @@ def parameter_tables(spark, sf_dir):
     return cases(spark, sf_dir, _PARAMS, "n, md").select("row_id", F.inline(extraction.parameter_table("md"))).select("row_id", "name", "type", "required", "parent")
 
 
+@query("""
+WITH p AS (SELECT page_id, unnest([['id', 'LONG', 'true', NULL, '1'], ['order', 'OBJECT', 'true', NULL, '1'], ['side' || page_id, 'ENUM', 'true', 'order', '2'], ['leg', 'INT', 'false', 'order', '2'], ['price', 'DECIMAL', NULL, 'leg', '2'], ['limit', 'INT', 'false', NULL, '3']]) AS x FROM pages)
+SELECT page_id, x[1] AS name, x[2] AS type, x[3]::BOOLEAN AS required, x[4] AS parent, x[5]::INT AS "table" FROM p WHERE x[5] <> '3' OR page_id % 2 = 0""")
+def region_parameters(spark, sf_dir):
+    """Every page's text, then an endpoint with its parameters in two or three tables; tables behind the section are another's."""
+    said = (
+        "## GET /x\n\n### Parameters\n\n| Name | Type | Required |\n| --- | --- | --- |\n| id | LONG | YES |\n| order | OBJECT | YES |\n\nThe fields of `order`:\n\n"
+        "| Name | Type | Required |\n|---|---|---|\n| side§ | ENUM | YES |\n| leg | INT | NO |\n| - price | DECIMAL | |\n\n```\n| Name | Type |\n| no | table |\n```\n\n"
+    )
+    more, tail = "#### Paging\n\nName\tType\tRequired\nlimit\tINT\tno\n\n", "### Response\n\n| Name | Type |\n| --- | --- |\n| result | INT |\n"
+    n = F.col("page_id")
+    own = F.concat(F.lit("Text of its own.\n\n"), F.replace(F.lit(said), F.lit("§"), n.cast("string")), F.when(n % 2 == 0, more).otherwise(""), F.lit(tail))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("html"), F.lit("\n\n"), own).alias("md"), F.length("html").alias("at"))
+    return p.select("page_id", F.inline(extraction.region_parameters("md", "at")).alias("name", "type", "required", "description", "parent", "table")).drop("description")
+
+
 @query("SELECT l_orderkey, l_linenumber, sha256(concat_ws('|', l_returnflag, l_linestatus, 'http', 'https://h.example', 'v1', 'GET', '/o/' || l_orderkey)) AS record_id FROM lineitem")
 def record_ids(spark, sf_dir):
     c = F.col

@@ -102,6 +102,27 @@ def test_chunks_cover_the_text_and_keep_fences():
     assert extraction.chunk_markdown("  ") == [] and len(extraction.chunk_markdown("short")) == 1
 
 
+def test_parameters_of_all_tables_of_a_section():
+    md = "# Order\n## GET /a\n### Request\n|Name|Type|\n|--|--|\n|a|INT|\n|-b|INT|\n|--c|INT|\n|-d|INT|\n\n#### a\n|Name|Type|\n|--|--|\n|e|INT|\n\n|x|y|\n|--|--|\n|1|2|\n### Response\n|Name|Type|\n|--|--|\n|r|INT|\n"
+    got = [(p["name"], p["parent"], p["table"]) for p in extraction.parameters_near(md, md.index("## GET"))]
+    assert got == [("a", None, 1), ("b", "a", 1), ("c", "b", 1), ("d", "a", 1), ("e", "a", 2)]
+    assert extraction.parameters_near(None) == extraction.parameters_near("# Request\ntext") == extraction.parameters_near("no heading |a|b|") == []
+    assert [p["name"] for p in extraction.parameters_near(md, len(md))] == ["a", "b", "c", "d", "e"]
+    assert extraction.parameters_near("## Params\n" + md, 20_000) == [] and [p["name"] for p in extraction.parameters(md)] == ["a", "b", "c", "d"]
+
+
+def test_navigation_by_lines():
+    from pagewright.functions.pages import Layout
+
+    menu = "\n".join(f"* entry {i}" for i in range(20))
+    text = "\n".join(f"A sentence number {i} that says something." for i in range(60))
+    page = Layout(menu + "\n" + text)
+    assert page.is_navigation(0) and not page.is_navigation(len(menu) + 1500) and not Layout("").is_navigation(0) and not Layout("* a\n* b\n* c").is_navigation(0)
+    for line, want in (("[a](b)", True), ("EN | DE | FR", True), ("| a | b |", False), ("# A | B", False), ("see [a](b) and [c](d) here", True), ("* " + "x" * 140, False), ("plain text", False)):
+        assert Layout("\n".join([line] * 5)).is_navigation(0) == want
+    assert Layout("x\nSkip to content\n").is_navigation(0)
+
+
 def test_rrf_does_not_depend_on_order(spark):
     rows = [(1, 1, "a", 1, 1.0), (1, 1, "b", 2, 1.0), (1, 2, "b", 1, 1.0), (1, 2, "", 2, 1.0), (1, 2, None, 3, 1.0)]
     ddl = "query_id int, list_id int, key string, rank int, weight double"
