@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answer_queries, commit_queries, evaluation_queries, extraction_queries, inventory_queries, lineage_queries, matching_queries, page_queries, retrieval_queries, record_queries, store_queries, streaming_queries, text_queries  # noqa: F401
+from . import answer_queries, commit_queries, evaluation_queries, extraction_queries, inventory_queries, lineage_queries, matching_queries, page_queries, retrieval_queries, record_queries, rule_queries, store_queries, streaming_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
