@@ -531,7 +531,9 @@ def _answered(messages: DataFrame, sent: int, parts: int, name: str) -> DataFram
     if sent < parts:  # so that a block never sends more than FAN_OUT rows at once
         messages = messages.repartition(sent, "part").mapInArrow(_finer(sent, parts), _MESSAGE)
     # as many tasks as parts, so that what a task reads does not grow with the input
-    return written(messages.repartition(parts, "part").groupBy("part").applyInArrow(_added, _REPLY), name)
+    answers = written(messages.repartition(parts, "part").groupBy("part").applyInArrow(_added, _REPLY), name)
+    messages.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of what the driver no longer holds: the messages are answered
+    return answers
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
