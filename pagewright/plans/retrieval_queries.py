@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import answer, evaluation, fusion, lexical, segments, vector_index, vectors
+from ..operators import answer, evaluation, fusion, hybrid, lexical, segments, vector_index, vectors
 from ..sources import places
 from .registry import query, sql_values, table, values
 
@@ -256,3 +256,41 @@ def vector_index_recall(spark, sf_dir):
     found = vector_index.search(spark, root, e.filter("vec_id % 50 = 0"), 10, probes)
     measured = vector_index.recall(found, e, e.filter("vec_id % 50 = 0"), 10)
     return measured.crossJoin(found.agg(F.count("*").alias("found"))).select("n_queries", F.lit(10).alias("k"), "found", (F.col("recall") >= 0.9).alias("enough"))
+
+
+# Questions 1 and 2 are bound to a source; pages are pairs of documents; vectors of documents are those with their number.
+_ASKED = "(1, 'question', 'src1'), (2, 'error_message', 'src2'), (3, 'code_snippet', NULL)"
+
+
+def _hybrid_sql(k: int, over: int) -> str:
+    lists = lambda name, rows: f"""
+{name}0 AS (SELECT f.query_id, f.key, f.score, f.key // 2 AS page FROM ({rows}) f JOIN asked a ON a.query_id = f.query_id WHERE a.source IS NULL OR a.source = 'src' || (f.key % 3)),
+{name}1 AS (SELECT * FROM {name}0 QUALIFY row_number() OVER (PARTITION BY query_id, page ORDER BY score DESC, key) = 1),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM {name}1 QUALIFY rank <= {over * k})""".replace("  # noqa: E731", "")
+    return f"""
+WITH {_HITS}, asked AS (SELECT query_id, kind, source FROM {sql_values(_ASKED, 'query_id, kind, source')}),
+{lists('lx', "SELECT query_id, doc_id AS key, round(score, 9) AS score FROM b")},
+{lists('se', "SELECT a.vec_id / 50 + 1 AS query_id, e.vec_id AS key, -round(list_distance(a.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE a.vec_id IN (0, 50, 100) QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) <= 300")},
+nm AS (SELECT query_id, rank, abs(score) / (1 + abs(score)) AS score FROM lx), sg AS (SELECT query_id FROM nm GROUP BY 1 HAVING max(score) FILTER (rank = 1) >= 0.85 AND (count(*) = 1 OR max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) >= 0.01)),
+sv AS (SELECT se.query_id, coalesce(lx.key, se.key) AS key, se.rank FROM se LEFT JOIN lx ON lx.query_id = se.query_id AND lx.page = se.page WHERE se.query_id NOT IN (SELECT query_id FROM sg)),
+u AS (SELECT query_id, key, rank, true AS lexical FROM lx UNION ALL SELECT query_id, key, rank, false FROM sv),
+f AS (SELECT u.query_id, key, round(sum(CASE WHEN lexical = (kind IN ('error_message', 'request_payload')) THEN 1.3 ELSE 0.7 END / (60 + rank))::DOUBLE, 9) AS score FROM u JOIN asked a ON a.query_id = u.query_id GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM f),
+d2 AS (SELECT query_id, count(*) >= 6 AND (round(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 12) <= 0.006 OR round(max(score) FILTER (r = 1) - min(score) FILTER (r <= 5), 12) <= 0.02) AS wants FROM fr GROUP BY 1),
+bl AS (SELECT fr.query_id, key, wants, CASE WHEN NOT wants THEN score WHEN key % 4 = 0 THEN n ELSE w * n + (1 - w) / (1 + exp(-(key % 7 - 3))) END AS score FROM (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS n, CASE WHEN r <= 3 THEN 0.75 WHEN r <= 10 THEN 0.6 ELSE 0.4 END AS w FROM fr) fr JOIN d2 USING (query_id))
+SELECT query_id::BIGINT AS query_id, key AS doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank, query_id NOT IN (SELECT query_id FROM sg) AS used_vectors, wants AS reranked FROM bl QUALIFY rank <= {k}"""
+
+
+@query(_hybrid_sql(10, hybrid.OVER_FETCH))
+def hybrid_search_filtered(spark, sf_dir):
+    """Hybrid search with a source for two of three questions, pages of two documents each, a strong lexical signal that leaves the vectors out, and a model's scores for three quarters of the documents; a top-k report."""
+    docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scored, _ = _scored(spark, sf_dir)
+    lex = scored.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("doc_id").alias("key"), F.round("score", 9).alias("score"))
+    near = vectors.knn(e, e.filter("vec_id IN (0, 50, 100)"), 300, with_self=True)
+    sem = near.select((F.col("query_id") / 50 + 1).cast("bigint").alias("query_id"), F.col("vec_id").alias("key"), (-F.round("distance", 6)).alias("score"))
+    asked = values(spark, _ASKED, "query_id, kind, source").withColumn("query_id", F.col("query_id").cast("bigint"))
+    pages = docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string")).alias("source"), F.expr("doc_id DIV 2").alias("page"))
+    model = docs.filter("doc_id % 4 > 0").select(F.col("doc_id").alias("key"), (F.col("doc_id") % 7 - 3).cast("double").alias("rerank")).crossJoin(F.broadcast(asked.select("query_id")))  # three questions
+    found = hybrid.search(asked, lex, sem, pages, 10, rerank=model, strong=(0.85, 0.01))
+    return found.withColumnRenamed("key", "doc_id")
