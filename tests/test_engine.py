@@ -247,7 +247,7 @@ def test_streamed_upserts_survive_a_replay(spark, tmp_path):
         spark.createDataFrame(rows, crawl.PAGES).coalesce(1).write.mode("append").parquet(str(inbox))
         crawl.run_upserts(crawl.cleaned(crawl.page_batches(spark, str(inbox))), state, str(tmp_path / "cp")).awaitTermination(120)
     now = {r["url"]: (r["run"], r["action"], r["prev_digest"] == r["digest"]) for r in crawl.current_pages(spark, state).collect()}
-    assert now == {"https://a.example/p": (3, "unchanged", True), "https://a.example/1": (1, "new", None), "https://a.example/2": (2, "new", None), "https://a.example/3": (3, "new", None)}
+    assert now == {"https://a.example/p": (3, "unchanged", True), "https://a.example/1": (1, "new", False), "https://a.example/2": (2, "new", False), "https://a.example/3": (3, "new", False)}
     then = {r["url"]: r["action"] for r in crawl.current_pages(spark, state, 2).collect()}
     assert then["https://a.example/p"] == "updated" and len(then) == 3
     before = commits.latest(spark, state)
