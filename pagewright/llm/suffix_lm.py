@@ -25,6 +25,7 @@ result are replaced.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, made, shared_folder, written
@@ -527,13 +528,24 @@ def _finer(coarse: int, parts: int):
     return run
 
 
+@contextlib.contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile delete their shuffle files as they end: what they read is written then and not shuffled again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _answered(messages: DataFrame, sent: int, parts: int, name: str) -> DataFrame:
     if sent < parts:  # so that a block never sends more than FAN_OUT rows at once
         messages = messages.repartition(sent, "part").mapInArrow(_finer(sent, parts), _MESSAGE)
     # as many tasks as parts, so that what a task reads does not grow with the input
-    answers = written(messages.repartition(parts, "part").groupBy("part").applyInArrow(_added, _REPLY), name)
-    messages.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of what the driver no longer holds: the messages are answered
-    return answers
+    with _swept(messages.sparkSession):
+        return written(messages.repartition(parts, "part").groupBy("part").applyInArrow(_added, _REPLY), name)
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
