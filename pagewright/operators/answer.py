@@ -145,13 +145,17 @@ def undocumented(questions: DataFrame, known: DataFrame, docs: DataFrame) -> Dat
     return paths.unionByName(codes.join(codes.join(found, "term", "left_semi").select("query_id").distinct(), "query_id", "left_anti").select("query_id").distinct())
 
 
-def searched(questions: DataFrame, terms: DataFrame, docs: DataFrame, registry: DataFrame, semantic: DataFrame | None, mode: str) -> DataFrame:
-    """(query_id, order, doc_id, score): pages by the fused score, boosted, those of the question's section first; PER_SECTION of a section, OF_SECTION of that one, MAX_CLAIMS in all."""
+def searched(questions: DataFrame, terms: DataFrame, docs: DataFrame, registry: DataFrame, semantic: DataFrame | None, mode: str, rerank: DataFrame | None = None, policy: str | bool | None = None) -> DataFrame:
+    """(query_id, order, doc_id, score): pages by the fused score (the lexical list alone where its first score is clearly ahead), with a model's scores blended in where the policy wants them, boosted, those of the question's section first; PER_SECTION of a section, OF_SECTION of that one, MAX_CLAIMS in all."""
     sections = registry.groupBy("source").agg(F.first("sections").alias("sections"))
     q = questions.select("query_id", "norm", "kind", F.try_element_at("sources", F.lit(1)).alias("source")).join(sections, "source", "left")
     q = q.withColumn("section", intents.section("norm", F.col("source"), F.coalesce("sections", F.array().cast("array<string>"))))
     lists = page_list(questions, terms, docs, 10 * MAX_CLAIMS)
-    rows = fused(lists, semantic, questions, mode).join(docs.select(F.col("doc_id").alias("key"), F.col("section").alias("of"), "url"), "key").join(F.broadcast(q.select("query_id", "norm", "section")), "query_id")  # the stated questions
+    if semantic is not None:
+        sure = fusion.strong_signal(lists.select("query_id", "key", "score")).filter("strong").select("query_id")
+        semantic = semantic.join(sure, "query_id", "left_anti")
+    both = fusion.reranked(fused(lists, semantic, questions, mode), rerank, MAX_CLAIMS, policy).drop("reranked")
+    rows = both.join(docs.select(F.col("doc_id").alias("key"), F.col("section").alias("of"), "url"), "key").join(F.broadcast(q.select("query_id", "norm", "section")), "query_id")  # the stated questions
     in_section = F.coalesce(F.col("of") == F.col("section"), F.lit(False))
     score = fusion.page_type_boost(F.when(in_section, F.col("score") * 1.3).otherwise(F.col("score")), F.col("url"), F.col("norm"))
     rows = rows.withColumns({"score": F.round(score, 9), "first": in_section})
@@ -176,10 +180,10 @@ def _record_claims(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known, "record_id").select("query_id", F.lit(0).alias("group"), "order", F.lit("ENDPOINT").alias("kind"), "record_id", none("string").alias("doc_id"), url.alias("url"), "score", said.alias("excerpt"), none("int").alias("excerpt_start"), none("int").alias("excerpt_end"), none("string").alias("content_hash"))
 
 
-def answers(questions: DataFrame, docs: DataFrame, registry: DataFrame, known: DataFrame, semantic: DataFrame | None = None, mode: str = "rrf") -> DataFrame:
+def answers(questions: DataFrame, docs: DataFrame, registry: DataFrame, known: DataFrame, semantic: DataFrame | None = None, mode: str = "rrf", rerank: DataFrame | None = None, policy: str | bool | None = None) -> DataFrame:
     """(query_id, status, route, input_type, sources, claims): status ok, not_found, undocumented or needs_clarification; route direct or search, null without claims. claims: structs of id, kind (ENDPOINT, SOURCE), record_id, doc_id, url, score, excerpt, excerpt_start, excerpt_end, content_hash.
 
-    questions: query_id, question; docs: doc_id, source, section, url, text; registry: source, name, ord, sections; known: record_id, source, section, method, path, text, docs_url; semantic: query_id, key (doc_id), score, rank.
+    questions: query_id, question; docs: doc_id, source, section, url, text; registry: source, name, ord, sections; known: record_id, source, section, method, path, text, docs_url; semantic: query_id, key (doc_id), score, rank; rerank: query_id, key, rerank, a model's scores, used by the policy (auto, always, never).
     """
     q = _held(asked(questions, registry, known))
     n = F.size("sources")
@@ -199,7 +203,7 @@ def answers(questions: DataFrame, docs: DataFrame, registry: DataFrame, known: D
     ep = records.search(known, asked_terms, 10 * RECORDS).join(known.select(F.col("record_id").alias("doc_id"), "source"), "doc_id").join(F.broadcast(rest.select("query_id", "sources")), "query_id")  # the stated questions
     ep = ep.filter(F.array_contains("sources", F.col("source"))).withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("order") <= RECORDS)
     ep = _record_claims(_held(ep.select("query_id", "order", F.col("doc_id").alias("record_id"), F.round(intents.bm25_normalized("score"), 9).alias("score"))), known)
-    found = _page_claims(_held(searched(rest, asked_terms, docs, registry, semantic, mode)), docs, needles)
+    found = _page_claims(_held(searched(rest, asked_terms, docs, registry, semantic, mode, rerank, policy)), docs, needles)
     rows = direct.unionByName(ep.unionByName(found)).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("group", "order", "record_id", "doc_id"))).filter(F.col("r") <= MAX_CLAIMS)
     claim = F.struct(F.concat(F.lit("c"), F.col("r").cast("string")).alias("id"), "kind", "record_id", "doc_id", "url", F.round("score", 6).alias("score"), "excerpt", "excerpt_start", "excerpt_end", "content_hash")
     claims = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", claim.alias("claim")))).alias("c")).select("query_id", F.transform("c", lambda x: x["claim"]).alias("claims"))

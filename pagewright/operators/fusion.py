@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import intents
+
 RRF_K = 60
 
 #: By kind of input the weights of the lexical and the vector list, and alpha of the convex fusion.
@@ -62,6 +64,19 @@ def position_blend(ranked: DataFrame, code_like: bool = False) -> DataFrame:
     return ranked.select("query_id", "key", F.when(F.col("rerank").isNull(), norm).otherwise(w * norm + (1 - w) * sigmoid).alias("score"))
 
 
+def reranked(rows: DataFrame, scores: DataFrame | None, k: int, policy: str | bool | None = None, code_like: bool = False) -> DataFrame:
+    """rows (query_id, key, score) with the model's scores (query_id, key, rerank) blended in where the policy says so, and whether they were."""
+    policy = intents.rerank_policy(policy)
+    if scores is None or policy == "never":
+        return rows.withColumn("reranked", F.lit(False))
+    wants = auto_rerank(rows, k).select("query_id", "rerank") if policy == "auto" else rows.select("query_id").distinct().withColumn("rerank", F.lit(True))
+    marked = rows.join(wants.withColumnRenamed("rerank", "__wants"), "query_id")
+    ranked = marked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key"))).join(scores.select("query_id", "key", "rerank"), ["query_id", "key"], "left")
+    blended = position_blend(ranked.select("query_id", "key", "rank", "score", "rerank"), code_like).withColumnRenamed("score", "__blend")
+    out = marked.join(blended, ["query_id", "key"])
+    return out.select("query_id", "key", F.when(F.col("__wants"), F.col("__blend")).otherwise(F.col("score")).alias("score"), F.col("__wants").alias("reranked"))
+
+
 def best_per(ranked: DataFrame, group: str) -> DataFrame:
     """Of each query and group the row of the best rank, as a minimum."""
     rest = [c for c in ranked.columns if c not in ("query_id", group, "rank")]

@@ -33,19 +33,6 @@ def listed(found: DataFrame, n: int, by_page: bool) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order())).filter(F.col("rank") <= n)
 
 
-def reranked(rows: DataFrame, scores: DataFrame | None, k: int, policy: str | bool | None = None, code_like: bool = False) -> DataFrame:
-    """rows (query_id, key, score) with the model's scores (query_id, key, rerank) blended in where the policy says so, and whether they were."""
-    policy = intents.rerank_policy(policy)
-    if scores is None or policy == "never":
-        return rows.withColumn("reranked", F.lit(False))
-    wants = fusion.auto_rerank(rows, k).select("query_id", "rerank") if policy == "auto" else rows.select("query_id").distinct().withColumn("rerank", F.lit(True))
-    marked = rows.join(wants.withColumnRenamed("rerank", "__wants"), "query_id")
-    ranked = marked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key"))).join(scores.select("query_id", "key", "rerank"), ["query_id", "key"], "left")
-    blended = fusion.position_blend(ranked.select("query_id", "key", "rank", "score", "rerank"), code_like).withColumnRenamed("score", "__blend")
-    out = marked.join(blended, ["query_id", "key"])
-    return out.select("query_id", "key", F.when(F.col("__wants"), F.col("__blend")).otherwise(F.col("score")).alias("score"), F.col("__wants").alias("reranked"))
-
-
 def search(
     questions: DataFrame, lexical: DataFrame, semantic: DataFrame, pages: DataFrame, k: int, mode: str = "rrf", rerank: DataFrame | None = None, policy: str | bool | None = None,
     strong: tuple[float, float] = (0.7, 0.3), normalized: Column | None = None,
@@ -65,7 +52,7 @@ def search(
     names = lex.select("query_id", "page", F.col("key").alias("__key"))
     sem = sem.join(names, ["query_id", "page"], "left").withColumn("key", F.coalesce("__key", "key"))
     fused = answer.fused(lex.select("query_id", "key", "score", "rank"), sem.select("query_id", "key", "score", "rank"), questions, mode)
-    best = reranked(fused.select("query_id", "key", F.round("score", 9).alias("score")), rerank, k, policy)
+    best = fusion.reranked(fused.select("query_id", "key", F.round("score", 9).alias("score")), rerank, k, policy)
     flag = best.join(sure.withColumn("__sure", F.lit(True)), "query_id", "left").withColumn("used_vectors", F.col("__sure").isNull())
     ranked = flag.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "key", "score", "rank", "used_vectors", "reranked")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagewright.operators import hybrid
+from pagewright.operators import answer, hybrid
 
 
 def lists(spark):
@@ -38,3 +38,17 @@ def test_reranking_by_policy(spark, policy, changed):
     assert all(abs(r["score"] - want[r["key"]]) < 1e-3 for r in rows)  # three candidates are too few to be unsure of
     empty = hybrid.search(q, lex.limit(0), sem.limit(0), pages, 5, "cc")
     assert empty.count() == 0
+
+
+def test_answers_take_vectors_and_a_models_scores(spark):
+    docs = spark.createDataFrame([(1, "a", "s", "https://a.example/1", "alpha beta order order"), (2, "a", "s", "https://a.example/2", "alpha order"), (3, "a", "s", "https://a.example/3", "nothing of it"), (4, "b", "s", "https://b.example/4", "alpha order")], "doc_id long, source string, section string, url string, text string")
+    registry = spark.createDataFrame([(1, "a", "Aa", ["s"]), (2, "b", "Bb", ["s"])], "ord int, source string, name string, sections array<string>")
+    known = spark.createDataFrame([], "record_id string, source string, section string, method string, path string, text string, docs_url string")
+    asked = spark.createDataFrame([(1, "how does an alpha order work on Aa")], "query_id int, question string")
+    near = spark.createDataFrame([(1, 3, 0.9, 1)], "query_id int, key long, score double, rank int")
+    cited = lambda **b: [c["doc_id"] for c in answer.answers(asked, docs, registry, known, **b).first()["claims"]]
+    assert cited() == ["1", "2"] or cited() == ["2", "1"]
+    assert set(cited(semantic=near)) == {"1", "2", "3"}
+    model = spark.createDataFrame([(1, 3, 12.0), (1, 1, -12.0), (1, 2, -12.0)], "query_id int, key long, rerank double")
+    first = cited(semantic=near)[0]
+    assert cited(semantic=near, rerank=model, policy="never")[0] == first and cited(semantic=near, rerank=model, policy="always")[0] == "3"
