@@ -81,19 +81,30 @@ def scope_prefixes(seeds: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(seeds, lambda u: F.length(u) > 0), folder)))
 
 
+def _held(df: DataFrame, name: str) -> DataFrame:
+    """A step's rows, written to the shared folder, so that later steps don't plan and run it again."""
+    path = places.fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sitemap_walk(fetched: DataFrame, seeds: DataFrame, depth: int = 5) -> tuple[DataFrame, DataFrame]:
     """(pages (url, lastmod), errors (url, error)) from sitemaps that were fetched before: indexes lead to their children, level by level, each sitemap once by its canonical form. fetched: url, status, content_type, body (bytes); seeds: url. ESITEMAPHTTP for a status outside 2xx, ESITEMAPFORMAT for what is no XML; sitemaps that were not fetched are in neither."""
     there = fetched.select(urls.canonical("url").alias("__c"), "url", "status", "content_type", formats.sitemap_bytes(F.col("body")).alias("xml"))
     bad = F.when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), "ESITEMAPHTTP").when(~F.lower(F.coalesce("content_type", F.lit(""))).contains("xml") & ~F.ltrim(F.coalesce("xml", F.lit(""))).startswith("<"), "ESITEMAPFORMAT")
     there = there.withColumn("error", bad).withColumn("entries", F.when(F.col("error").isNull(), formats.sitemap_urls(F.col("xml"))))
-    frontier = seeds.select(urls.canonical("url").alias("__c")).distinct()
-    seen, visited = frontier, None
-    for _ in range(depth):
-        level = there.join(frontier, "__c")
-        visited = level if visited is None else visited.unionByName(level)
-        children = level.select(F.inline("entries")).filter("is_index").select(urls.canonical("loc").alias("__c")).distinct()
-        frontier = children.join(seen, "__c", "left_anti")
+    # each sitemap is parsed once; a level reads the indexes' links and the level before
+    there = _held(there.select("__c", "url", "error", "entries"), "sitemaps")
+    links = _held(there.select("__c", F.explode(F.filter("entries", lambda e: e["is_index"])).alias("e")).select("__c", urls.canonical("e.loc").alias("child")), "sitemaps")
+    frontier = _held(seeds.select(urls.canonical("url").alias("__c")).distinct(), "sitemaps")
+    seen = frontier
+    for _ in range(depth - 1):
+        children = links.join(frontier, "__c").select(F.col("child").alias("__c")).distinct()
+        frontier = _held(children.join(seen, "__c", "left_anti"), "sitemaps")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
+    visited = there.join(seen, "__c")
     found = visited.select(F.inline("entries")).filter(~F.col("is_index") & F.col("loc").rlike("^https?://"))
     return found.groupBy(F.col("loc").alias("url")).agg(F.max("lastmod").alias("lastmod")), visited.filter("error IS NOT NULL").select("url", "error")
 
@@ -171,20 +182,14 @@ def ordered_frontier(links: DataFrame, seeds: DataFrame, max_pages: int = 5_000,
     A section has max_queue rows at most, so its ranks are counted within one task each; more candidates than that are cut
     within the tasks that find them. Each round is written before the next one begins.
     """
-    spark = links.sparkSession
     most = max_queue or min(20 * max_pages, 200_000)
     by_url = Window.partitionBy("section").orderBy("url")
 
-    def kept(df: DataFrame) -> DataFrame:
-        path = places.fresh(spark, "frontier")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     def ranked(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.row_number().over(by_url)).filter(F.col(name) <= most)
 
     first = ranked(seeds.select("section", "url").filter(F.col("url").isNotNull()).distinct(), "__q")
-    queued = kept(first.select("section", "url", F.lit(0).alias("round"), F.lit(None).cast("int").alias("visit")))
+    queued = _held(first.select("section", "url", F.lit(0).alias("round"), F.lit(None).cast("int").alias("visit")), "frontier")
     edges = links.select("section", F.col("src").alias("url"), "dst")
     for r in range(1, rounds + 1):
         counts = queued.groupBy("section").agg(F.count("*").alias("__queued"), F.count("visit").alias("__visited"), F.max("round").alias("__last"))
@@ -195,7 +200,7 @@ def ordered_frontier(links: DataFrame, seeds: DataFrame, max_pages: int = 5_000,
         found = edges.join(visited.filter(F.col("visit").isNotNull()), ["section", "url"], "left_semi").select("section", F.col("dst").alias("url")).filter(F.col("url").isNotNull()).distinct()
         new = ranked(found.join(queued.select("section", "url"), ["section", "url"], "left_anti"), "__q").join(counts, "section").filter(F.col("__queued") + F.col("__q") <= most)
         before = queued.filter(F.col("round") < r - 1)
-        queued = kept(before.unionByName(visited).unionByName(new.select("section", "url", F.lit(r).alias("round"), F.lit(None).cast("int").alias("visit"))))
+        queued = _held(before.unionByName(visited).unionByName(new.select("section", "url", F.lit(r).alias("round"), F.lit(None).cast("int").alias("visit"))), "frontier")
         if queued.filter(F.col("round") == r).isEmpty():
             break
     return queued

@@ -42,9 +42,11 @@ def sitemap_urls(xml: Column) -> Column:
     index = xml.rlike(rf"<{name}sitemapindex[\s>]")
     field = lambda c, tag: F.nullif(F.trim(F.regexp_extract(c, rf"(?s)<{name}{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}{tag}>", 1)), F.lit(""))
     unescaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    found = F.transform(entries, lambda e: F.struct(unescaped(field(e, "loc")).alias("loc"), field(e, "lastmod").alias("lastmod"), index.alias("is_index")))
+    # a lambda's variable holds the entries and the document's kind, so that the document is searched once, not once an entry
+    found = lambda x: F.transform(x["entries"], lambda e: F.struct(unescaped(field(e, "loc")).alias("loc"), field(e, "lastmod").alias("lastmod"), x["index"].alias("is_index")))
     bare = F.transform(F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}loc>\s*(.*?)\s*</{name}loc>"), F.lit(1)), lambda u: F.struct(unescaped(u).alias("loc"), F.lit(None).cast("string").alias("lastmod"), F.lit(False).alias("is_index")))
-    return F.filter(F.when(F.size(entries) > 0, found).otherwise(bare), lambda e: e["loc"].isNotNull())
+    parsed = F.transform(F.array(F.struct(entries.alias("entries"), index.alias("index"))), lambda x: F.when(F.size(x["entries"]) > 0, found(x)).otherwise(bare))
+    return F.filter(F.get(parsed, F.lit(0)), lambda e: e["loc"].isNotNull())
 
 
 def sitemap_bytes(content: Column) -> Column:
