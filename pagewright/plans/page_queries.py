@@ -170,8 +170,8 @@ def domain_map(spark, sf_dir):
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'owner' WHEN contains(url, '/en/') THEN 'english' ELSE 'unknown' END AS source FROM pages UNION ALL SELECT page_id, 'second' FROM pages WHERE page_id % 6 = 0")
 def owned_pages(spark, sf_dir):
-    """A third of the pages have an owner, half of these two; others are guessed."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    """A third of the pages have an owner, half of these two; others are guessed. Several pages can have one URL: the page's number, as a fragment, keeps them apart."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
     owners = F.when(F.col("page_id") % 6 == 0, F.array(F.lit("owner"), F.lit("second"))).when(F.col("page_id") % 3 == 0, F.array(F.lit("owner")))
     ownership = p.select("url", F.explode(owners).alias("owner"))
     return lineage.owned_pages(p, ownership, intents.guessed_source("url", [("/en/", "english")])).select("page_id", "source")

@@ -2,6 +2,9 @@
 
 import time
 
+import __spark_entry__
+from pyspark.sql import functions as F
+
 from pagewright.operators import answer, inventory
 
 
@@ -15,6 +18,26 @@ def test_sitemap_of_many_entries_is_searched_once(spark):
     assert time.monotonic() - began < 60  # minutes where each entry searched the whole sitemap again
 
 
+def _pages(spark, tmp_path):
+    """Pages 0 to 11 with the URLs of 0 to 3."""
+    spark.range(12).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.example/en/"), (F.col("id") % 4).cast("string")).alias("url"), F.lit("").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_backfill_of_pages_with_one_url(spark, tmp_path):
+    rows = __spark_entry__.queries()["inventory_backfill"](spark, _pages(spark, tmp_path)).collect()
+    assert sorted(r["url"] for r in rows) == sorted(f"https://a.example/en/{i % 4}" for i in range(12) if i % 3)
+
+
+def test_recount_of_pages_with_one_url(spark, tmp_path):
+    assert [tuple(r) for r in __spark_entry__.queries()["inventory_recount"](spark, _pages(spark, tmp_path)).collect()] == [(2, 12)]
+
+
+def test_owners_of_pages_with_one_url(spark, tmp_path):
+    rows = __spark_entry__.queries()["owned_pages"](spark, _pages(spark, tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == sorted([(i, "owner" if i % 3 == 0 else "english") for i in range(12)] + [(0, "second"), (6, "second")])
+
+
 def test_a_code_in_another_sources_page_is_undocumented(spark):
     questions = spark.createDataFrame([(1, "acme error -4242"), (2, "acme error -1013")], "query_id int, question string")
     docs = spark.createDataFrame([(1, "acme", "spot", "https://acme.example/errors", "Error -1013: a filter."), (2, "web", "x", "https://web.example/2", "4242 words")], "doc_id bigint, source string, section string, url string, text string")
