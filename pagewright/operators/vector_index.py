@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import commits
+from ..sources import commits, places
 from . import vectors as exact
 
 PARTS, ENTRIES = 16, 64
 SAMPLE, ROUNDS = 20_000, 8
 QUERIES_AT_ONCE = 4_096
+ASKED = 256  # queries that settings are measured by
 
 
 def _means(rows: np.ndarray, k: int) -> np.ndarray:
@@ -238,11 +239,11 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int, probes: i
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def probes_for(spark: SparkSession, root: str, rows: DataFrame, queries: DataFrame, k: int, target: float = 0.95) -> int:
-    """The least number of lists a query that hold `target` of the exact k nearest of the queries (a stated set apart from those to be asked): which of a query's lists, by distance, hold them."""
+def probes_for(spark: SparkSession, root: str, rows: DataFrame, queries: DataFrame, k: int, target: float = 0.95, right: DataFrame | None = None) -> int:
+    """The least number of lists a query that hold `target` of the exact k nearest of the queries (a stated set apart from those to be asked): which of a query's lists, by distance, hold them. right: those nearest, where they are known."""
     s = commits.latest(spark, root)
     q = Quantiser.read(spark, s)
-    right = exact.knn(rows, queries, k, "l2").select("query_id", "vec_id")
+    right = (exact.knn(rows, queries, k, "l2") if right is None else right).select("query_id", "vec_id")
     of_row = right.join(_live(spark, s).select("vec_id", "list"), "vec_id").groupBy("query_id").agg(F.collect_list("list").alias("lists"))  # k lists a query
     place = []
     for r in of_row.join(_usable(queries, "vec_id", "embedding").withColumnRenamed("vec_id", "query_id"), "query_id").toLocalIterator():
@@ -252,6 +253,22 @@ def probes_for(spark: SparkSession, root: str, rows: DataFrame, queries: DataFra
     return int(np.quantile(place, target, method="higher")) + 1 if place else len(q.centres)
 
 
+def settings_for(spark: SparkSession, root: str, rows: DataFrame, queries: DataFrame, k: int, target: float = 0.95) -> tuple[int, int]:
+    """(probes, candidates) for search(): of ASKED of the queries, by their ids' hash, the lists that hold nearly all of the exact k nearest, and candidates doubled until `target` of the k nearest are found. Codes tell neighbours apart less well the closer vectors lie, so the more of them there are the more candidates a query needs."""
+    where = places.fresh(spark, "asked")
+    _usable(queries, "vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).write.parquet(f"{where}/queries")
+    some = spark.read.parquet(f"{where}/queries")
+    exact.knn(rows, some, k, "l2").write.parquet(f"{where}/right")
+    right = spark.read.parquet(f"{where}/right")
+    probes, candidates, n = probes_for(spark, root, rows, some, k, (1 + target) / 2, right), 10, rows.count()
+    while k * candidates < n:
+        found = search(spark, root, some, k, probes, candidates).select("query_id", "vec_id")
+        if found.join(right, ["query_id", "vec_id"], "left_semi").count() >= target * right.count():
+            break
+        candidates *= 2
+    return probes, candidates
+
+
 def recall(found: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(n_queries, recall): the share of the exact k nearest that were found."""
     right = exact.knn(rows, queries, k, "l2").select("query_id", "vec_id")

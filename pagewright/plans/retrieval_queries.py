@@ -248,12 +248,12 @@ def citation_url(spark, sf_dir):
 
 @query("SELECT count(*) AS n_queries, 10 AS k, count(*) * 10 AS found, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
 def vector_index_recall(spark, sf_dir):
-    """An approximate index is built, every fiftieth vector asked for its ten nearest, and the result held against the exact search: at least nine of ten are found. The number of lists a query is set by other queries."""
+    """An approximate index is built, every fiftieth vector asked for its ten nearest, and the result held against the exact search: at least nine of ten are found. The numbers of lists and candidates a query are set by other queries."""
     e, root = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), places.fresh(spark, "vectors")
     vector_index.add(e.filter("vec_id % 3 > 0"), root)
     vector_index.add(e.filter("vec_id % 3 = 0"), root)
-    probes = vector_index.probes_for(spark, root, e, e.filter("vec_id % 50 = 25"), 10)
-    found = vector_index.search(spark, root, e.filter("vec_id % 50 = 0"), 10, probes)
+    probes, candidates = vector_index.settings_for(spark, root, e, e.filter("vec_id % 50 = 25"), 10)
+    found = vector_index.search(spark, root, e.filter("vec_id % 50 = 0"), 10, probes, candidates)
     measured = vector_index.recall(found, e, e.filter("vec_id % 50 = 0"), 10)
     return measured.crossJoin(found.agg(F.count("*").alias("found"))).select("n_queries", F.lit(10).alias("k"), "found", (F.col("recall") >= 0.9).alias("enough"))
 
