@@ -68,11 +68,20 @@ def classified(c: Column) -> tuple[Column, Column]:
 
 
 def detected_sources(asked: DataFrame, registry: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sources): sources whose id or name stands in the text as words, in the registry's order. Names and texts meet by the name's first word, so no text is held against every source; a registry's name is short."""
+    """(key, sources): sources whose id or name stands in the text as words, in the registry's order. The registry's names, some hundreds at most, are looked up among a text's runs of as many words; only names that it holds leave the text."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     names = registry.select("source", "ord", F.explode(F.array_distinct(F.array(words(F.col("source")), words(F.col("name"))))).alias("name_words")).filter(F.size("name_words") > 0)
-    names = names.withColumn("word", F.get("name_words", F.lit(0)))
-    texts = asked.select(key, words(F.col(text)).alias("__w"))
-    spoken = texts.select(key, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__s"), F.explode(F.array_distinct("__w")).alias("word"))
-    found = spoken.join(names, "word").filter(F.contains("__s", F.concat(F.lit(" "), F.array_join("name_words", " "), F.lit(" ")))).select(key, "ord", "source").distinct()
+    names = names.select("source", "ord", F.array_join("name_words", " ").alias("name"), F.size("name_words").alias("n"))
+    by_size: dict[int, list[str]] = {}
+    for r in names.select("n", "name").distinct().orderBy("n", "name").collect():  # of the registry
+        by_size.setdefault(r["n"], []).append(r["name"])
+    none = F.array().cast("array<string>")
+
+    def held(ws: Column, n: int, wanted: list[str]) -> Column:
+        runs = ws if n == 1 else F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))).otherwise(none)
+        return F.array_intersect(runs, F.array(*map(F.lit, wanted)))
+
+    # the words are a lambda's variable, so that a text is split once, not once a run
+    spoken = F.transform(F.array(words(F.col(text))), lambda ws: F.concat(none, *(held(ws, n, wanted) for n, wanted in by_size.items())))
+    found = asked.select(key, F.explode(F.get(spoken, F.lit(0))).alias("name")).join(F.broadcast(names.drop("n")), "name").select(key, "ord", "source").distinct()  # the registry
     return found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("s")).select(key, F.transform("s", lambda x: x["source"]).alias("sources"))
