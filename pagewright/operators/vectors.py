@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4_096
+AT_ONCE = 256  # queries that a batch is multiplied with at a time
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec_id: str = "vec_id", column: str = "embedding", with_self: bool = False) -> DataFrame:
@@ -43,6 +44,14 @@ def _block(vectors, block, k, metric, vec_id, column, with_self, kind) -> DataFr
     ids = [i for i, _ in block]
     given = vectors.sparkSession.sparkContext.broadcast((ids, np.array([v for _, v in block], np.float64)))  # QUERY_BLOCK vectors at most
 
+    def rough(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
+        """Distances by a product, and what rounding may have changed of them."""
+        if metric == "cosine":
+            d = 1 - (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :])
+        else:
+            d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T))
+        return d, 1e-5 * max(1.0, float(np.abs(q).max(initial=0)), float(np.abs(v).max(initial=0)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = given.value
         for b in batches:
@@ -50,24 +59,21 @@ def _block(vectors, block, k, metric, vec_id, column, with_self, kind) -> DataFr
             if not b.num_rows or not len(ids):
                 continue
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            if metric == "cosine":
-                d = 1 - (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :])
-            else:
-                d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T))
-            slack = 1e-5 * max(1.0, float(np.abs(q).max(initial=0)), float(np.abs(v).max(initial=0)))
             own = b.column(0).to_pylist()
             order = np.array(own, dtype=object)
             rows, cols = [], []
             far_off = []
-            for i, qid in enumerate(ids):
-                some = np.argpartition(d[i], min(k + 1, len(own)) - 1)[: k + 1] if len(own) > k + 1 else np.arange(len(own))
-                some = np.flatnonzero(d[i] <= d[i, some].max() + slack)  # with all ties, and what rounding may have put behind them
-                exact = _distance(q[i], v[some], metric)
-                best = sorted(zip(exact.tolist(), order[some], some.tolist(), strict=True), key=lambda x: x[:2])
-                best = [x for x in best if with_self or x[1] != qid][:k]
-                rows += [i] * len(best)
-                cols += [j for _, _, j in best]
-                far_off += [x for x, _, _ in best]
+            for at in range(0, len(ids), AT_ONCE):
+                d, slack = rough(q[at : at + AT_ONCE], v)
+                for i, near in enumerate(d, at):
+                    some = np.argpartition(near, min(k + 1, len(own)) - 1)[: k + 1] if len(own) > k + 1 else np.arange(len(own))
+                    some = np.flatnonzero(near <= near[some].max() + slack)  # with all ties, and what rounding may have put behind them
+                    exact = _distance(q[i], v[some], metric)
+                    best = sorted(zip(exact.tolist(), order[some], some.tolist(), strict=True), key=lambda x: x[:2])
+                    best = [x for x in best if with_self or x[1] != ids[i]][:k]
+                    rows += [i] * len(best)
+                    cols += [j for _, _, j in best]
+                    far_off += [x for x, _, _ in best]
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], b.column(0).type), pa.array([own[j] for j in cols], b.column(0).type), pa.array(far_off, pa.float64())], names=["query_id", "vec_id", "distance"])
 
     return vectors.select(vec_id, column).mapInArrow(run, f"query_id {kind}, vec_id {kind}, distance double")
