@@ -3,9 +3,11 @@
 import time
 
 import __spark_entry__
+import numpy as np
 from pyspark.sql import functions as F
 
-from pagewright.operators import answer, inventory
+from pagewright.operators import answer, evaluation, inventory, routing, vector_index, vectors
+from pagewright.sources import formats
 
 
 def test_sitemap_of_many_entries_is_searched_once(spark):
@@ -45,3 +47,49 @@ def test_a_code_in_another_sources_page_is_undocumented(spark):
     known = spark.createDataFrame([("r", "acme", "spot", "GET", "/x", "X", None)], "record_id string, source string, section string, method string, path string, text string, docs_url string")
     rows = {r["query_id"]: r for r in answer.answers(questions, docs, registry, known).collect()}
     assert (rows[1]["status"], rows[1]["claims"]) == ("undocumented", None) and [c["doc_id"] for c in rows[2]["claims"]] == ["1"]
+
+
+def test_settings_of_an_index_hold_the_neighbours_of_vectors_without_clusters(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4_000, 128)))], "vec_id bigint, embedding array<double>").cache()
+    root, asked = str(tmp_path / "i"), rows.filter("vec_id % 50 = 0")
+    vector_index.add(rows, root)
+    probes, candidates = vector_index.settings_for(spark, root, rows, rows.filter("vec_id % 50 = 25"), 10)
+    share = lambda c: vector_index.recall(vector_index.search(spark, root, asked, 10, probes, c), rows, asked, 10).first()["recall"]
+    assert candidates > 10 and share(candidates) >= 0.9 > share(10)
+
+
+def test_sources_of_a_long_text_are_looked_up_in_it(spark):
+    long = "Alpha  store, " + " ".join(f"w{i}x" for i in range(40_000)) + " BETA"
+    asked = spark.createDataFrame([(1, long), (2, "alphabet store"), (3, None), (4, "beta and gamma-ray")], "id int, s string")
+    registry = spark.createDataFrame([(1, "a", "Alpha Store"), (2, "beta", "Beta"), (3, "g", "Gamma Ray")], "ord int, source string, name string")
+    found = routing.detected_sources(asked, registry, "id", "s")
+    assert {r["id"]: r["sources"] for r in found.collect()} == {1: ["a", "beta"], 4: ["beta", "g"]}
+    assert "__s" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row a word that carries the whole text
+
+
+def test_specs_of_one_file_are_parsed_by_many_tasks(spark):
+    files = spark.createDataFrame([(i, f"openapi: 3.0.0\npaths:\n  /a{i}:\n    get:\n      summary: x\n") for i in range(40)], "file int, content string").coalesce(1)
+    rows = formats.import_specs(files)
+    assert rows.rdd.getNumPartitions() > 1 and sorted(r["path"] for r in rows.collect()) == sorted(f"/a{i}" for i in range(40))
+
+
+def test_relevance_by_label_equals_pairs(spark):
+    keys = spark.createDataFrame([(i, (None if i == 7 else i % 3), 1 + i % 2) for i in range(14)], "key bigint, label int, relevance int")
+    queries = keys.filter("key % 2 = 1").select(F.col("key").alias("query_id"))
+    ranked = spark.createDataFrame([(q, (q * 5 + r) % 14, r) for q in range(1, 14, 2) for r in range(1, 8)], "query_id bigint, key bigint, rank int").filter("query_id <> key")
+    asked = queries.join(keys.select(F.col("key").alias("query_id"), "label"), "query_id")
+    pairs = asked.join(keys, "label").filter("query_id <> key").select("query_id", "key", "relevance")
+    of = evaluation.Labelled(keys)
+    for metric in (evaluation.mrr, lambda *x: evaluation.hit_and_recall(*x, 3), lambda *x: evaluation.ndcg(*x, 5)):
+        assert sorted(map(tuple, metric(queries, ranked, of).collect())) == sorted(map(tuple, metric(queries, ranked, pairs).collect()))
+
+
+def test_more_queries_than_are_multiplied_at_once(spark):
+    rng = np.random.default_rng(1)
+    m = rng.standard_normal((2 * vectors.AT_ONCE + 9, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in vectors.knn(rows, rows, 1).collect()}
+    d = ((m[:, None] - m[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert got == set(enumerate(d.argmin(1).tolist()))
