@@ -107,7 +107,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", title: s
     kind = dict(docs.dtypes)[doc_id]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (whole.iloc[i : i + 256] for whole in frames for i in range(0, len(whole), 256)):  # chunks are copies of their text
             rows = [(d, i, a, b, h, lv, t[a:b]) for d, t in zip(f["d"], f["t"], strict=True) if t for i, (a, b, h, lv) in enumerate(chunk_markdown(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_start", "char_end", "heading", "heading_level", "chunk"])
 
