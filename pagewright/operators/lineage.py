@@ -130,10 +130,11 @@ def stale_citations_of(citations: DataFrame, records: DataFrame, pages: DataFram
 
 def stale_sweep(citations: DataFrame, pages: DataFrame, queue: DataFrame, key: str = "doc_url") -> DataFrame:
     """(kind, record_id, field_name, key) to queue: citations of pages that are gone (missing_source) or have another text now (stale_citation), without those that an open item of the queue has already."""
-    names = ["record_id", "field_name", key]
-    gone = missing_sources(citations, pages, key).select(F.lit("missing_source").alias("kind"), *names)
-    changed = stale_citations(citations, pages, key).select(F.lit("stale_citation").alias("kind"), *names)
-    return open_new_items(gone.unionByName(changed).distinct(), queue, ["kind", "record_id", "field_name"])
+    now = pages.select(key, F.col("doc_hash").alias("__now"), F.lit(True).alias("__there"))
+    stale = F.col("doc_hash").isNotNull() & (F.col("doc_hash") != F.col("__now"))
+    kind = F.when(F.col("__there").isNull(), "missing_source").when(stale, "stale_citation")
+    found = citations.join(now, key, "left").select(kind.alias("kind"), "record_id", "field_name", key).filter("kind IS NOT NULL")  # one join tells both
+    return open_new_items(found.distinct(), queue, ["kind", "record_id", "field_name"])
 
 
 def fsck(pages: DataFrame, bodies: DataFrame, indexed: DataFrame, records: DataFrame) -> DataFrame:
