@@ -191,6 +191,11 @@ def sources_of_path(records: DataFrame, path: str, most: int = 10) -> DataFrame:
     return records.filter(F.col("path").ilike(f"%{path}%")).select("source").distinct().orderBy("source").limit(most)
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """As many partitions as a shuffle has, by key: Spark would join small compressed ones into one whose texts fill a task's memory."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def parameters_backfill(records: DataFrame, pages: DataFrame, region: int = 2_000, after: int = 3_000, before: int = 500) -> DataFrame:
     """(record_id, parameters): for records without a request schema, the parameter table near the place where their cited page names the path. records: record_id, path, request_schema, url; pages: url, md.
 
@@ -198,7 +203,7 @@ def parameters_backfill(records: DataFrame, pages: DataFrame, region: int = 2_00
     """
     lacking = records.filter(F.col("request_schema").isNull()).select("record_id", "path", "url")
     at = F.instr(F.lower("md"), F.lower("path"))
-    rows = lacking.join(pages.select("url", "md"), "url").withColumn("at", at).filter("at > 0")
+    rows = _dealt(lacking, "url").join(_dealt(pages.select("url", "md"), "url"), "url").withColumn("at", at).filter("at > 0")
     near = F.substring("md", F.greatest(F.col("at") - before, F.lit(1)), F.lit(before + after))
     heading = F.regexp_instr(near, F.lit(r"(?mi)^#{1,6}[^\n]*(?:param|request|argument|query|body)"))
     start = F.when(heading > 0, F.greatest(F.col("at") - before, F.lit(1)) + heading - 1).otherwise(F.col("at"))
@@ -211,7 +216,8 @@ def inferred_limits(records: DataFrame, pages: DataFrame, before: int = 200, aft
     tail = F.lower(F.regexp_extract(F.regexp_replace("path", "/+$", ""), r"([^/]+)$", 1))
     wanted = records.select("record_id", "prefix", urls.origin("prefix").alias("origin"), tail.alias("word")).filter("word <> ''")
     words = pages.select("url", "origin", F.explode(F.array_distinct(F.split(F.lower("md"), r"[^\p{L}\p{N}_\-{}]+"))).alias("word"))
-    pairs = wanted.join(words, ["origin", "word"]).filter(F.col("url").startswith(F.col("prefix"))).select("record_id", "word", "url").join(pages.select("url", "md"), "url")
+    pairs = wanted.join(words, ["origin", "word"]).filter(F.col("url").startswith(F.col("prefix"))).select("record_id", "word", "url")
+    pairs = _dealt(pairs, "url").join(_dealt(pages.select("url", "md"), "url"), "url")
     window = F.substring("md", F.greatest(F.instr(F.lower("md"), F.col("word")) - before, F.lit(1)), F.lit(before + after))
     found = pairs.select("record_id", "url", extraction.weight(window).alias("weight")).filter("weight IS NOT NULL")
     return found.groupBy("record_id").agg(F.min(F.struct("url", "weight")).alias("f")).select("record_id", "f.url", "f.weight")
