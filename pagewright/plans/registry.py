@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(df: DataFrame, rows: int) -> int:
+    """How many partitions of about so many rows a table has, at least as many as a shuffle has: a task's memory then does not grow with the table. Parquet files tell their rows without being read."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     """Literal rows that both dialects read; ¶ in a text is a line end, ¦ a tab."""
     df = spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")

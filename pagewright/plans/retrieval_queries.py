@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answer, evaluation, fusion, hybrid, lexical, segments, vector_index, vectors
 from ..sources import places
-from .registry import query, sql_values, table, values
+from .registry import parts_of, query, sql_values, table, values
 
 _TERMS = "(1, 'the'), (1, 'thonre'), (2, 'und'), (2, 'erber'), (3, 'que'), (3, 'ción'), (3, 'loser')"
 _TOK = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
@@ -124,8 +124,13 @@ _LEX = "(SELECT l_partkey AS query_id, 's' || l_suppkey AS key, max(l_extendedpr
 _SEM = "(SELECT l_partkey AS query_id, 's' || l_suppkey AS key, max(l_quantity) / 50 AS score FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL)"
 
 
+_LINES = 500_000  # of a partition
+
+
 def _side(spark, sf_dir, lex):
-    l = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") != ("R" if lex else "A"))  # noqa: E741
+    """One of the lists. A part's lines are dealt to one partition, so that no later step by part moves them again."""
+    whole = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    l = whole.filter(F.col("l_returnflag") != ("R" if lex else "A")).repartition(parts_of(whole, _LINES), "l_partkey")  # noqa: E741
     score = F.max("l_extendedprice") / 100_000 if lex else F.max("l_quantity") / 50
     return l.groupBy(F.col("l_partkey").alias("query_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("key")).agg(score.alias("score"))
 
@@ -171,7 +176,7 @@ def cc_fuse(spark, sf_dir):
 def alpha_sweep(spark, sf_dir):
     """The best key of each part at five mixtures."""
     side = lambda lex, n: _side(spark, sf_dir, lex).withColumn(n, fusion.minmax("score")).select("query_id", "key", n)
-    return evaluation.alpha_sweep(side(True, "l"), side(False, "s"), (0.0, 0.25, 0.5, 0.75, 1.0))
+    return evaluation.alpha_sweep(side(True, "l"), side(False, "s"), (0.0, 0.25, 0.5, 0.75, 1.0), parts_of(table(spark, sf_dir, "lineitem"), _LINES))
 
 
 @query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM {_LEX}) SELECT query_id, max(score) FILTER (r = 1) >= 0.5 AND (count(*) = 1 OR max(score) FILTER (r = 1) - max(score) FILTER (r = 2) >= 0.05) AS strong FROM r GROUP BY 1")
