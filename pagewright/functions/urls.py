@@ -110,13 +110,18 @@ def source_type(c: Column | str) -> Column:
     )
 
 
+def _or_root(x: Column) -> Column:
+    """An empty path as /. One expression, as a condition's two sides would each work out the path again, and once more for every one within another."""
+    return F.regexp_replace(x, r"\A\z", "/")
+
+
 def normalized_api_path(c: Column | str) -> Column:
     """No query, invisible characters or closing signs; <p> and :p as {p}; no slash at the end."""
     x = F.regexp_replace(col(c), "[​‌‍﻿]", "")
     x = F.regexp_replace(x, r"\?.*$", "")
     x = F.regexp_replace(F.regexp_replace(x, r"<([^>]+)>", "{$1}"), r"(?<=/):([A-Za-z_][A-Za-z0-9_]*)", "{$1}")
     x = F.regexp_replace(F.regexp_replace(x, r"[)\],.]+$", ""), "/+$", "")
-    return F.when(x == "", "/").otherwise(x)
+    return _or_root(x)
 
 
 def path_for_dedup(c: Column | str) -> Column:
@@ -124,7 +129,7 @@ def path_for_dedup(c: Column | str) -> Column:
     x = F.regexp_replace(normalized_api_path(c), r"^https?://[^/]*", "")
     x = F.regexp_replace(F.regexp_replace(x, r"^\{\{[^}]*\}\}", ""), r"\{[^}]+\}", "{}")
     x = F.regexp_replace(x, "/+$", "")
-    return F.when(x == "", "/").otherwise(x)
+    return _or_root(x)
 
 
 def discovery_kind(c: Column | str) -> Column:

@@ -33,6 +33,11 @@ def parts_of(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """A table by keys in partitions of about so many rows: Parquet of few bytes may hold many rows, which Spark reads in few tasks."""
+    return df.repartition(parts_of(df, rows), *keys)
+
+
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     """Literal rows that both dialects read; ¶ in a text is a line end, ¦ a tab."""
     df = spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")

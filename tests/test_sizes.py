@@ -118,3 +118,23 @@ def test_lists_are_dealt_by_the_rows_of_their_table(spark, tmp_path, monkeypatch
     spark.range(2_000).selectExpr("id % 50 AS l_partkey", "id % 7 AS l_suppkey", "double(id) AS l_extendedprice", "double(id % 50) AS l_quantity", "'N' AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
     monkeypatch.setattr(retrieval_queries, "_LINES", 100)
     assert retrieval_queries._side(spark, str(tmp_path), True).rdd.getNumPartitions() == 20
+
+
+def test_a_path_is_worked_out_once(spark):
+    from pagewright.functions import urls
+
+    given = ["", "/", "\n", None, "/a/:id/", "https://h.example", "{{url}}/v1/<p>?x=1", "https://h.example/?q", "/a/{b}/c)."]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(given)], "i int, s string").select("i", urls.normalized_api_path("s").alias("path"), urls.path_for_dedup("s").alias("dedup"))
+    assert [(r["path"], r["dedup"]) for r in rows.orderBy("i").collect()] == [
+        ("/", "/"), ("/", "/"), ("\n", "\n"), (None, None), ("/a/{id}", "/a/{}"), ("https://h.example", "/"), ("{{url}}/v1/{p}", "/v1/{}"), ("https://h.example", "/"), ("/a/{b}/c", "/a/{}/c"),
+    ]
+    plan = rows.select("dedup")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 12  # more than thirty where a condition held the path on both its sides
+
+
+def test_records_of_parts_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    from pagewright.plans import answer_queries
+
+    spark.range(900).selectExpr("id AS p_partkey", "'b' AS p_brand", "'n' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(answer_queries, "_RECORDS_OF_PART", 100)
+    assert answer_queries._parts(spark, str(tmp_path)).rdd.getNumPartitions() == 9
