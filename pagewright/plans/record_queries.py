@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import records
-from .registry import cases, query, sql_cases, table, values
+from .registry import cases, dealt, parts_of, query, sql_cases, table, values
 
 _ID = "sha256('acme|' || p_brand || '|http|https://h.example||GET|/p/' || p_partkey)"
 
 
+_RECORDS = 50_000  # of a partition
+
+
 def _built(spark, sf_dir):
     """A record for each part, cited from a page that has its name."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), _RECORDS, "p_partkey")
     key = F.col("p_partkey").cast("string")
     body = F.concat(F.lit("GET /p/"), key, F.lit(" "), F.col("p_name"))
     none = F.lit(None).cast("string")
@@ -65,7 +68,8 @@ def record_rejects(spark, sf_dir):
 @query("SELECT field_name, count(*) AS n, count(DISTINCT p_partkey) AS n_urls FROM (SELECT p_partkey, unnest(['http.method', 'http.path', 'http.base_url', 'description']) AS field_name FROM part UNION ALL SELECT p_partkey, 'rate_limit' FROM part WHERE p_size > 25) GROUP BY 1")
 def record_lineage(spark, sf_dir):
     built, _ = _built(spark, sf_dir)
-    return records.cited_rows(built).groupBy("field_name").agg(F.count("*").alias("n"), F.countDistinct("doc_url").alias("n_urls"))
+    cited = records.cited_rows(built).select("field_name", "doc_url")
+    return records.field_counts(cited, parts_of(table(spark, sf_dir, "part"), _RECORDS))
 
 
 _REVIEW = """(1, 'r§', '{"field_status":{"description":"unknown","rate_limit":"unknown"},"description":"text"}' ), (2, 'r§', '{"field_status":{"error_codes":"conflict","description":"documented"},"description":"x"}'), (3, 'r§', '{"field_status":{}}')"""

@@ -156,3 +156,16 @@ def test_percentiles_of_a_group_are_found_in_ranges(spark, tmp_path):
     assert "percentile(" not in plan  # that aggregate gives a whole group's values to one task
     empty = evaluation.percentiles(rows.limit(0), ["g"], "v", at, 3)
     assert empty.columns == ["g", *at] and empty.count() == 0
+
+
+def test_records_are_built_in_partitions_of_few_rows(spark, tmp_path, monkeypatch):
+    from pagewright.operators import records
+    from pagewright.plans import record_queries
+
+    spark.range(600).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'b' AS p_brand", "int(id % 50) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(record_queries, "_RECORDS", 100)
+    assert [df.rdd.getNumPartitions() for df in record_queries._built(spark, str(tmp_path))] == [6, 6]
+    rows = {r["field_name"]: (r["n"], r["n_urls"]) for r in record_queries.record_lineage(spark, str(tmp_path)).collect()}
+    assert rows == {**dict.fromkeys(("http.method", "http.path", "http.base_url", "description"), (600, 600)), "rate_limit": (288, 288)}
+    cited = spark.createDataFrame([("f", "u"), ("f", "u"), ("f", None), ("g", "u"), ("h", None)], "field_name string, doc_url string")
+    assert sorted(map(tuple, records.field_counts(cited, 3).collect())) == [("f", 3, 1), ("g", 1, 1), ("h", 1, 0)]
